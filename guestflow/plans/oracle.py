@@ -160,15 +160,25 @@ CTES: dict[str, tuple[list[str], str]] = {
           CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'confirmed' WHEN 'P' THEN 'cancelled' ELSE 'no_show' END AS status,
           o_orderkey % 7 < 4 AS checklist_confirmed
         FROM orders"""),
-    "messages": (["proc"], """
+    "valid": (["checked"], "SELECT * FROM checked WHERE n_errors = 0"),
+    "vdec": (["valid"], f"""
+        SELECT *, CAST({cents_sql('query_type', 'lower(message)')} AS INTEGER) AS score_cents,
+          {action_sql(cents_sql('query_type', 'lower(message)'), 'query_type')} AS action,
+          {_FALLBACK} AS drafted_reply
+        FROM (SELECT *, {classify_sql('lower(message)')} AS query_type FROM valid)"""),
+    "messages": (["vdec"], """
         SELECT message_id AS id, CAST(guest_id AS VARCHAR) || '|' || source || '|' || property_id AS conversation_id,
           guest_id, property_id, 'inbound' AS direction, source AS channel, message AS raw_content, sent_at,
           'received' AS delivery_status, event_id
-        FROM proc
+        FROM vdec
         UNION ALL
         SELECT message_id || '-r', CAST(guest_id AS VARCHAR) || '|' || source || '|' || property_id,
           guest_id, property_id, 'outbound', source, drafted_reply, sent_at + INTERVAL 3 SECOND, 'sent', event_id
-        FROM proc WHERE action = 'auto_send'"""),
+        FROM vdec WHERE action = 'auto_send' AND first_name IS NOT NULL"""),
+    "conversations": (["messages"], """
+        SELECT conversation_id AS id, min(guest_id) AS guest_id, min(property_id) AS property_id, min(channel) AS channel,
+          min(sent_at) AS opened_at, max(sent_at) AS last_message_at, CAST(NULL AS VARCHAR) AS reservation_id, 'open' AS status
+        FROM messages GROUP BY conversation_id"""),
     "ai": (["proc"], f"""
         SELECT 'ai-' || CAST(event_id AS VARCHAR) AS id, message_id, query_type, drafted_reply AS ai_drafted_reply,
           CAST(confidence_score AS DECIMAL(4,3)) AS confidence_score, action AS action_taken,
@@ -323,3 +333,192 @@ ORACLE: dict[str, str] = {
     "normalize_phone": sql(["guests"], f"SELECT id, phone, {_PHONE} AS phone_e164 FROM guests"),
     "lang_rules": f"SELECT doc_id, lang, CASE WHEN lang = 'en' THEN {classify_sql('lower(text)')} ELSE 'general_enquiry' END AS query_type FROM documents",
 }
+
+
+# ---------------------------------------------------------------------------
+# Batch 2: domain tables, constraints, reports, jobs
+
+from ..operators.constraints import (DOMAINS, EMAIL_PATTERN, FOREIGN_KEYS, NOT_NULL, NUMERICS,  # noqa: E402
+                                     WIDTHS, DEFAULTS)
+from ..operators.reports import BASE_CHECKLIST, TOPIC_CHECK  # noqa: E402
+from ..sources.fixtures import TEMPLATE_EXPECTED  # noqa: E402
+
+CTES.update({
+    "tbl_properties": (["properties"], "SELECT * FROM properties"),
+    "senders": (["proc"], """SELECT message_id, source AS channel, guest_id, booking_ref, guest_name, sent_at, property_id,
+        source || ':' || CAST(guest_id AS VARCHAR) AS channel_guest_id FROM proc"""),
+    "unified": (["senders", "reservations", "identities"], """
+        SELECT s.*, r.id AS reservation_id, r.guest_id AS booking_guest_id, i.guest_id AS channel_guest,
+          coalesce(r.guest_id, i.guest_id) AS resolved_guest_id,
+          CASE WHEN r.guest_id IS NOT NULL THEN 'booking' WHEN i.guest_id IS NOT NULL THEN 'channel' ELSE 'unresolved' END AS resolution
+        FROM senders s LEFT JOIN reservations r ON r.booking_ref = nullif(s.booking_ref, '')
+        LEFT JOIN identities i ON i.channel = s.channel AND i.channel_guest_id = s.channel_guest_id"""),
+    "provisional": (["unified"], """
+        SELECT 'prov-' || channel_guest_id AS id, min(guest_name) AS full_name, channel, channel_guest_id,
+          FALSE AS identity_verified, min(sent_at) AS first_seen_at
+        FROM unified WHERE resolution = 'unresolved' GROUP BY channel, channel_guest_id"""),
+    "complaints": (["messages", "ai"], f"""
+        SELECT m.id AS message_id, m.property_id, m.sent_at, m.raw_content, ai.query_type, {topic_sql('lower(m.raw_content)')} AS topic
+        FROM messages m JOIN ai ON ai.message_id = m.id
+        WHERE m.direction = 'inbound' AND ai.query_type = 'complaint'"""),
+    "rolling": (["complaints"], """
+        SELECT message_id, property_id, topic, sent_at,
+          count(*) OVER (PARTITION BY property_id, topic ORDER BY sent_at
+                         RANGE BETWEEN INTERVAL 60 DAYS PRECEDING AND CURRENT ROW) AS rolling_count
+        FROM complaints"""),
+    "trends": (["messages", "ai", "properties"], """
+        SELECT m.property_id, p.name AS property_name, ai.query_type, CAST(date_trunc('month', m.sent_at) AS TIMESTAMP) AS month,
+          count(*) AS complaint_count
+        FROM messages m JOIN ai ON ai.message_id = m.id JOIN properties p ON m.property_id = p.id
+        WHERE m.direction = 'inbound' AND ai.query_type = 'complaint'
+        GROUP BY m.property_id, p.name, ai.query_type, CAST(date_trunc('month', m.sent_at) AS TIMESTAMP)"""),
+    "tickets": (["complaints"], """
+        SELECT property_id, topic, ticket_no, string_agg(message_id, ',' ORDER BY rn) AS message_ids, max(sent_at) AS opened_at
+        FROM (SELECT *, CAST(ceil(rn / 3.0) AS BIGINT) AS ticket_no FROM
+              (SELECT *, row_number() OVER (PARTITION BY property_id, topic ORDER BY sent_at, message_id) AS rn FROM complaints))
+        GROUP BY property_id, topic, ticket_no HAVING count(*) = 3"""),
+    "checklists": (["reservations", "tickets"], f"""
+        SELECT r.id AS reservation_id, r.property_id, r.check_in_at, r.checklist_confirmed,
+          concat_ws('; ', {', '.join(q(x) for x in BASE_CHECKLIST)}, x.extra) AS items
+        FROM (SELECT *, CAST(check_in_date AS TIMESTAMP) + INTERVAL 14 HOUR AS check_in_at FROM reservations
+              WHERE status = 'confirmed') r
+        LEFT JOIN (SELECT property_id, array_to_string(list_sort(list_distinct(list(item))), '; ') AS extra
+                   FROM (SELECT property_id, CASE {' '.join(f'WHEN topic = {q(t)} THEN {q(c)}' for t, c in TOPIC_CHECK.items())} END AS item FROM tickets)
+                   WHERE item IS NOT NULL GROUP BY property_id) x ON x.property_id = r.property_id
+        WHERE r.check_in_at >= {CHECKLIST_CLOCK} AND r.check_in_at < {CHECKLIST_CLOCK} + INTERVAL 24 HOUR"""),
+})
+
+_TABLE_CTE = {"properties": "properties", "guests": "guests", "guest_channel_identities": "identities",
+              "reservations": "reservations", "conversations": "conversations", "messages": "messages",
+              "ai_message_metadata": "ai", "escalations": "esc_marked"}
+_ALL_TABLES = list(_TABLE_CTE.values())
+
+
+def _tbl(name: str) -> str:
+    return _TABLE_CTE[name]
+
+
+_PK = " UNION ALL ".join(
+    f"""SELECT '{n}' AS table_name, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) FILTER (WHERE id IS NULL) AS BIGINT) AS n_null_ids,
+        CAST((SELECT count(*) FROM (SELECT id FROM {c} WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1)) AS BIGINT) AS n_duplicate_ids FROM {c}"""
+    for n, c in _TABLE_CTE.items())
+_FK = " UNION ALL ".join(
+    f"""SELECT '{ch}' AS child_table, '{col}' AS fk_column, '{par}' AS parent_table, CAST(count(*) AS BIGINT) AS n_orphans
+        FROM {_tbl(ch)} c WHERE c.{col} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {_tbl(par)} p WHERE p.{pk} = c.{col})"""
+    for ch, col, par, pk in FOREIGN_KEYS)
+_NN = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS n_nulls FROM {_tbl(t)}"
+    for t, cols in NOT_NULL.items() for c in cols)
+_DOM = " UNION ALL ".join(
+    f"""SELECT '{t}' AS table_name, '{c}' AS column_name, CAST(count(*) AS BIGINT) AS n_rows,
+        CAST(count(*) FILTER (WHERE {c} IS NULL OR {c} NOT IN ({', '.join(q(v) for v in vals)})) AS BIGINT) AS n_outside FROM {_tbl(t)}"""
+    for (t, c), vals in DOMAINS.items())
+_WID = " UNION ALL ".join(
+    [f"SELECT '{t}' AS table_name, '{c}' AS column_name, 'varchar({n})' AS rule, CAST(count(*) FILTER (WHERE length({c}) > {n}) AS BIGINT) AS n_violations FROM {_tbl(t)}"
+     for (t, c), n in WIDTHS.items()] +
+    [f"SELECT '{t}' AS table_name, '{c}' AS column_name, 'numeric({p},{sc})' AS rule, CAST(count(*) FILTER (WHERE {c} IS NOT NULL AND try_cast({c} AS DECIMAL({p},{sc})) IS NULL) AS BIGINT) AS n_violations FROM {_tbl(t)}"
+     for (t, c), (p, sc) in NUMERICS.items()])
+_COUNTS = " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {c}" for n, c in _TABLE_CTE.items())
+_BLOCKERS = ["reservations", "conversations", "messages", "escalations"]
+_BLOCKING = "concat_ws(',', " + ", ".join(
+    f"CASE WHEN EXISTS (SELECT 1 FROM {_tbl(b)} x WHERE x.guest_id = g.id) THEN '{b}' END" for b in _BLOCKERS) + ")"
+_EXPECTED = ", ".join(f"({i}, {q(t)}, {q(a)})" for i, (t, a) in enumerate(TEMPLATE_EXPECTED))
+
+
+def _pct(p: float) -> str:
+    return f"list_sort(list(processing_time_ms))[greatest(CAST(ceil({p}::DOUBLE * count(*)) AS BIGINT), 1)]"
+
+
+ORACLE.update({
+    "domain_tables": sql(_ALL_TABLES, _COUNTS),
+    "write_responses": sql(["proc"], "SELECT message_id, query_type, drafted_reply, confidence_score, action FROM proc"),
+    "check_email": sql(["guests"], f"SELECT id, email FROM guests WHERE email IS NOT NULL AND NOT regexp_matches(email, {q(EMAIL_PATTERN)}, 'i')"),
+    "check_stay_dates": sql(["reservations"], "SELECT id, check_in_date, check_out_date FROM reservations WHERE NOT (check_out_date > check_in_date)"),
+    "check_guest_count": sql(["reservations"], "SELECT id, num_guests FROM reservations WHERE NOT (num_guests > 0)"),
+    "check_direction": """SELECT conv_id, turn, direction FROM (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'inbound'
+        WHEN 'assistant' THEN 'outbound' ELSE role END AS direction FROM conversations)
+        WHERE direction IS NULL OR direction NOT IN ('inbound', 'outbound')""",
+    "check_channel": sql(["inbound"], f"SELECT message_id, source FROM inbound WHERE source IS NULL OR source NOT IN ({', '.join(q(c) for c in CHANNELS)})"),
+    "check_unique_booking_ref": sql(["reservations"], "SELECT booking_ref, count(*) AS n_rows FROM reservations GROUP BY booking_ref HAVING count(*) > 1"),
+    "check_unique_identity": sql(["identities"], "SELECT channel, channel_guest_id, count(*) AS n_rows FROM identities GROUP BY channel, channel_guest_id HAVING count(*) > 1"),
+    "check_primary_keys": sql(_ALL_TABLES, _PK),
+    "check_foreign_keys": sql(_ALL_TABLES, _FK),
+    "check_not_null": sql(_ALL_TABLES, _NN),
+    "apply_defaults": sql(["guests"], f"SELECT id, FALSE AS identity_verified, {AS_OF} AS created_at, {AS_OF} AS updated_at FROM guests"),
+    "check_domains": sql(_ALL_TABLES, _DOM),
+    "check_widths": sql(_ALL_TABLES, _WID),
+    "cascade_delete": sql(_ALL_TABLES, f"""SELECT g.id AS guest_id, length({_BLOCKING}) > 0 AS blocked, {_BLOCKING} AS blocking_tables,
+        CAST(CASE WHEN length({_BLOCKING}) > 0 THEN 0 ELSE (SELECT count(*) FROM identities i WHERE i.guest_id = g.id) END AS BIGINT) AS cascaded_identities
+        FROM guests g WHERE NOT EXISTS (SELECT 1 FROM reservations r WHERE r.guest_id = g.id AND r.status = 'confirmed')"""),
+    "overdue_escalations": sql(["esc_marked", "guests", "properties"], f"""
+        SELECT e.id, e.reason, e.severity, e.sla_deadline, e.escalated_at, g.full_name AS guest_name, p.name AS property_name,
+          date_diff('second', e.sla_deadline, {AS_OF}) AS overdue_seconds
+        FROM esc_marked e JOIN guests g ON e.guest_id = g.id JOIN properties p ON e.property_id = p.id
+        WHERE e.status NOT IN ('resolved', 'closed') AND e.sla_deadline < {AS_OF} AND e.first_response_at IS NULL"""),
+    "complaint_trends": sql(["trends"], "SELECT * FROM trends"),
+    "trend_order": sql(["trends"], "SELECT * FROM trends ORDER BY month DESC, complaint_count DESC, property_id LIMIT 20"),
+    "resolve_booking": sql(["unified"], "SELECT message_id, booking_ref, reservation_id, booking_guest_id FROM unified"),
+    "resolve_channel": sql(["unified"], "SELECT message_id, channel_guest_id, channel_guest FROM unified"),
+    "unify_guests": sql(["unified"], "SELECT message_id, resolved_guest_id, resolution FROM unified"),
+    "provisional_guests": sql(["provisional"], "SELECT * FROM provisional"),
+    "merge_candidates": sql(["provisional", "unified"], """
+        SELECT p.id AS provisional_id, u.booking_guest_id, min(u.sent_at) AS first_booking_message_at
+        FROM provisional p JOIN unified u ON u.channel_guest_id = p.channel_guest_id AND u.resolution = 'booking' AND u.sent_at > p.first_seen_at
+        GROUP BY p.id, u.booking_guest_id"""),
+    "verified_guests": sql(["guests", "reservations"], """SELECT g.id, EXISTS (SELECT 1 FROM reservations r WHERE r.guest_id = g.id AND r.status = 'confirmed') AS identity_verified FROM guests g"""),
+    "thread_messages": sql(["unified"], """
+        SELECT substr(sha256(concat_ws(chr(1), coalesce(CAST(guest_id AS VARCHAR), ''), coalesce(channel, ''), coalesce(property_id, ''), coalesce(reservation_id, ''))), 1, 16) AS thread_id,
+          guest_id, channel, property_id, reservation_id, count(*) AS n_messages, min(sent_at) AS opened_at, max(sent_at) AS last_message_at
+        FROM unified GROUP BY guest_id, channel, property_id, reservation_id"""),
+    "unaudited_messages": sql(["messages", "ai"], """SELECT m.id AS message_id, m.guest_id, m.property_id, m.sent_at FROM messages m
+        WHERE m.direction = 'inbound' AND NOT EXISTS (SELECT 1 FROM ai WHERE ai.message_id = m.id)"""),
+    "recurring_complaints": sql(["rolling"], """SELECT property_id, topic, CAST(date_trunc('week', sent_at) AS TIMESTAMP) AS week,
+        count(*) AS n_flagged, max(rolling_count) AS max_in_window FROM rolling WHERE rolling_count >= 3
+        GROUP BY property_id, topic, CAST(date_trunc('week', sent_at) AS TIMESTAMP)"""),
+    "rolling_complaints": sql(["rolling"], "SELECT * FROM rolling"),
+    "last_message_at": sql(["messages"], "SELECT conversation_id, max(sent_at) AS last_message_at, count(*) AS n_messages FROM messages GROUP BY conversation_id"),
+    "model_quality": sql(["ai"], """SELECT model_version, count(*) AS n_decisions, round(avg(CAST(confidence_score AS DOUBLE)), 6) AS mean_score,
+        round(count(*) FILTER (WHERE agent_edited_reply IS NOT NULL) / count(*), 6) AS share_edited,
+        round(count(*) FILTER (WHERE action_taken = 'escalate') / count(*), 6) AS share_escalated FROM ai GROUP BY model_version"""),
+    "processing_latency": sql(["ai"], f"""SELECT CAST(created_at AS DATE) AS day, model_version, count(*) AS n,
+        round(avg(CAST(processing_time_ms AS DOUBLE)), 6) AS mean_ms, {_pct(0.5)} AS p50_ms, {_pct(0.95)} AS p95_ms,
+        max(processing_time_ms) AS max_ms FROM ai GROUP BY CAST(created_at AS DATE), model_version"""),
+    "sla_report": sql(["esc_marked"], """SELECT property_id, severity, count(*) AS n_escalations, count(*) FILTER (WHERE sla_breached) AS n_breached,
+        round(count(*) FILTER (WHERE sla_breached) / count(*), 6) AS breach_rate,
+        round(avg(date_diff('second', escalated_at, first_response_at) / 60.0), 6) AS mean_minutes_to_first_response
+        FROM esc_marked GROUP BY property_id, severity"""),
+    "preferred_channel": sql(["messages"], """SELECT guest_id, channel AS preferred_channel, n AS n_messages FROM (
+        SELECT guest_id, channel, count(*) AS n, row_number() OVER (PARTITION BY guest_id ORDER BY count(*) DESC, channel) AS rn
+        FROM messages WHERE direction = 'inbound' GROUP BY guest_id, channel) WHERE rn = 1"""),
+    "run_summary": sql(["checked"], """SELECT count(*) AS n_cases, count(*) FILTER (WHERE n_errors = 0 AND first_name IS NOT NULL) AS n_passed,
+        count(*) FILTER (WHERE NOT (n_errors = 0 AND first_name IS NOT NULL)) AS n_failed,
+        count(*) FILTER (WHERE n_errors > 0) AS n_rejected, count(*) FILTER (WHERE n_errors = 0 AND first_name IS NULL) AS n_errors FROM checked"""),
+    "expectation_diff": sql(["proc"], f"""SELECT x.i AS case_group, x.t AS expected_query_type, p.query_type, x.a AS expected_action, p.action,
+        count(*) AS n_messages, (x.t = p.query_type AND x.a = p.action) AS matches
+        FROM proc p JOIN (SELECT * FROM (VALUES {_EXPECTED}) AS v(i, t, a)) x ON x.i = p.event_id % 24
+        GROUP BY x.i, x.t, p.query_type, x.a, p.action"""),
+    "routing_mix": sql(["ai"], "SELECT query_type, action_taken, count(*) AS n, round(avg(CAST(confidence_score AS DOUBLE)), 6) AS mean_score FROM ai GROUP BY query_type, action_taken"),
+    "conversation_history": sql(["turns"], """SELECT conv_id, turn, role, coalesce(array_to_string(h, chr(10)), '') AS history, CAST(coalesce(len(h), 0) AS INTEGER) AS n_history
+        FROM (SELECT conv_id, turn, role, list(role || ': ' || text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS h FROM turns)"""),
+    "inbox": sql(["messages"], """SELECT conversation_id, id AS message_id, direction, sent_at AS last_message_at FROM (
+        SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY sent_at DESC, id DESC) AS rn FROM messages) WHERE rn = 1
+        ORDER BY last_message_at DESC, conversation_id LIMIT 20"""),
+    "latest_messages": sql(["messages"], "SELECT id, direction, channel, sent_at FROM messages ORDER BY sent_at DESC, id LIMIT 20"),
+    "latest_decisions": sql(["ai"], "SELECT id, message_id, query_type, action_taken, created_at FROM ai ORDER BY created_at DESC, id LIMIT 20"),
+    "open_sla_queue": sql(["esc_marked"], "SELECT id, severity, status, sla_deadline FROM esc_marked WHERE NOT sla_breached ORDER BY sla_deadline, id LIMIT 20"),
+    "transcript": sql(["turns"], "SELECT conv_id, turn, direction, text FROM turns"),
+    "create_escalations": sql(["escalations"], "SELECT id, message_id, conversation_id, guest_id, property_id, reason, severity, 'open' AS status, escalated_at, sla_deadline FROM escalations"),
+    "mark_sla_breached": sql(["esc_marked"], "SELECT id, status, first_response_at, sla_deadline, sla_breached FROM esc_marked"),
+    "sla_alerts": sql(["esc_marked"], f"""SELECT id AS escalation_id, 1 AS level, 'on_call_manager' AS recipient, escalated_at AS alert_at FROM esc_marked
+        UNION ALL SELECT id, 2, 'senior_manager', sla_deadline FROM esc_marked WHERE first_response_at IS NULL AND sla_deadline < {AS_OF}"""),
+    "final_reply": sql(["ai"], """SELECT message_id, (auto_sent_at IS NOT NULL OR reviewed_at IS NOT NULL) AS sent,
+        CASE WHEN auto_sent_at IS NOT NULL OR reviewed_at IS NOT NULL THEN coalesce(agent_edited_reply, ai_drafted_reply) END AS final_reply FROM ai"""),
+    "edit_pairs": sql(["ai"], "SELECT message_id, ai_drafted_reply, agent_edited_reply, levenshtein(ai_drafted_reply, agent_edited_reply) AS edit_distance FROM ai WHERE agent_edited_reply IS NOT NULL"),
+    "maintenance_tickets": sql(["tickets"], "SELECT * FROM tickets"),
+    "pre_arrival_checklist": sql(["checklists"], "SELECT reservation_id, property_id, check_in_at, items FROM checklists"),
+    "checklist_alerts": sql(["checklists"], f"""SELECT reservation_id, property_id, check_in_at, check_in_at - INTERVAL 6 HOUR AS alert_at, 'property_manager' AS recipient
+        FROM checklists WHERE NOT checklist_confirmed AND {CHECKLIST_CLOCK} >= check_in_at - INTERVAL 6 HOUR"""),
+    "stream_rate_limit": sql(["messages"], """SELECT property_id, channel, CAST(date_trunc('day', sent_at) AS TIMESTAMP) AS window_start,
+        CAST(date_trunc('day', sent_at) AS TIMESTAMP) + INTERVAL 1 DAY AS window_end, count(*) AS n_messages, count(*) > 3 AS over_limit
+        FROM messages WHERE direction = 'inbound' GROUP BY property_id, channel, CAST(date_trunc('day', sent_at) AS TIMESTAMP)"""),
+})

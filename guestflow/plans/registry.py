@@ -275,3 +275,370 @@ QUERIES = {
     "normalize_phone": normalize_phone_q,
     "lang_rules": lang_rules,
 }
+
+
+# ===========================================================================
+# Joins, constraints, reports and follow-up jobs over the domain tables
+
+from ..operators import constraints as CON  # noqa: E402
+from ..operators import escalation as ESC  # noqa: E402
+from ..operators import identity as ID  # noqa: E402
+from ..operators import reports as R  # noqa: E402
+from . import domain as DOM  # noqa: E402
+
+TOP_N = 20
+RATE_LIMIT = 3
+
+
+def _tables(spark, sf) -> dict:
+    return {
+        "properties": fixtures.properties(spark, sf),
+        "guests": fixtures.guests(spark, sf),
+        "guest_channel_identities": fixtures.channel_identities(spark, sf),
+        "reservations": fixtures.reservations(spark, sf),
+        "conversations": DOM.conversations(spark, sf),
+        "messages": DOM.messages(spark, sf),
+        "ai_message_metadata": DOM.ai_metadata(spark, sf),
+        "escalations": DOM.escalations(spark, sf),
+    }
+
+
+def _senders(spark, sf):
+    """Inbound messages with their sender identity, for the identity jobs."""
+    return _proc(spark, sf).select("message_id", F.col("source").alias("channel"), "guest_id", "booking_ref",
+                                   "guest_name", "sent_at", "property_id")
+
+
+def _unified(spark, sf):
+    return ID.unify(_senders(spark, sf), fixtures.reservations(spark, sf), fixtures.channel_identities(spark, sf))
+
+
+# --- A4-A6 -------------------------------------------------------------------
+
+def domain_tables(spark, sf):
+    parts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
+             for name, df in _tables(spark, sf).items()]
+    from functools import reduce
+    return reduce(DataFrame.unionByName, parts)
+
+
+def write_responses(spark, sf):
+    from ..sources.sinks import scratch_path, write_responses as w
+    path = scratch_path(spark, "responses")
+    w(P.process_messages(spark, sf), path)
+    return spark.read.parquet(path)
+
+
+def write_rejects(spark, sf):
+    from ..sources.sinks import scratch_path, write_rejects as w
+    path = scratch_path(spark, "rejects")
+    w(split_valid(_checked(spark, sf))[1], path)
+    return spark.read.parquet(path)
+
+
+# --- B11-B24 -------------------------------------------------------------------
+
+def check_email(spark, sf):
+    return CON.email_violations(fixtures.guests(spark, sf))
+
+
+def check_stay_dates(spark, sf):
+    return CON.stay_date_violations(fixtures.reservations(spark, sf))
+
+
+def check_guest_count(spark, sf):
+    return CON.guest_count_violations(fixtures.reservations(spark, sf))
+
+
+def check_direction(spark, sf):
+    t = fixtures.table(spark, sf, "conversations")
+    d = (t.withColumn("direction", F.when(F.col("role") == "user", F.lit("inbound"))
+                      .when(F.col("role") == "assistant", F.lit("outbound")).otherwise(F.col("role"))))
+    return d.filter(F.col("direction").isNull() | ~F.col("direction").isin(*CON.DIRECTIONS)) \
+        .select("conv_id", "turn", "direction")
+
+
+def check_channel(spark, sf):
+    return CON.domain_violations(fixtures.inbound_events(spark, sf), "message_id", "source", rules.CHANNELS)
+
+
+def check_unique_booking_ref(spark, sf):
+    return CON.duplicates(fixtures.reservations(spark, sf), "booking_ref")
+
+
+def check_unique_identity(spark, sf):
+    return CON.duplicates(fixtures.channel_identities(spark, sf), ["channel", "channel_guest_id"])
+
+
+def check_primary_keys(spark, sf):
+    return CON.primary_key_report(_tables(spark, sf))
+
+
+def check_foreign_keys(spark, sf):
+    return CON.foreign_key_report(_tables(spark, sf))
+
+
+def check_not_null(spark, sf):
+    return CON.null_report(_tables(spark, sf))
+
+
+def apply_defaults(spark, sf):
+    g = CON.apply_defaults(fixtures.guests(spark, sf), "guests", DOM.AS_OF)
+    return g.select("id", "identity_verified", "created_at", "updated_at")
+
+
+def check_domains(spark, sf):
+    return CON.domain_report(_tables(spark, sf))
+
+
+def check_widths(spark, sf):
+    return CON.width_report(_tables(spark, sf))
+
+
+def cascade_delete(spark, sf):
+    t = _tables(spark, sf)
+    unverified = ID.verify_guests(t["guests"], t["reservations"]).filter(~F.col("identity_verified"))
+    blockers = {n: t[n] for n in ["reservations", "conversations", "messages", "escalations"]}
+    return CON.cascade_delete(unverified, t["guest_channel_identities"], blockers)
+
+
+# --- D -------------------------------------------------------------------------
+
+def overdue_escalations(spark, sf):
+    return ESC.overdue_escalations(DOM.escalations(spark, sf), fixtures.guests(spark, sf),
+                                   fixtures.properties(spark, sf), DOM.AS_OF)
+
+
+def complaint_trends(spark, sf):
+    return R.complaint_trends(DOM.messages(spark, sf), DOM.ai_metadata(spark, sf), fixtures.properties(spark, sf))
+
+
+def resolve_booking(spark, sf):
+    return ID.resolve_booking(_senders(spark, sf), fixtures.reservations(spark, sf)) \
+        .select("message_id", "booking_ref", "reservation_id", "booking_guest_id")
+
+
+def resolve_channel(spark, sf):
+    return ID.resolve_channel(_senders(spark, sf), fixtures.channel_identities(spark, sf)) \
+        .select("message_id", "channel_guest_id", "channel_guest")
+
+
+def unify_guests(spark, sf):
+    return _unified(spark, sf).select("message_id", "resolved_guest_id", "resolution")
+
+
+def provisional_guests(spark, sf):
+    return ID.provisional(_unified(spark, sf))
+
+
+def merge_candidates(spark, sf):
+    u = _unified(spark, sf)
+    return ID.merge_candidates(ID.provisional(u), u)
+
+
+def verified_guests(spark, sf):
+    return ID.verify_guests(fixtures.guests(spark, sf), fixtures.reservations(spark, sf))
+
+
+def thread_messages(spark, sf):
+    return ID.thread(_senders(spark, sf), fixtures.reservations(spark, sf)).select(
+        "thread_id", "guest_id", "channel", "property_id", "reservation_id", "n_messages",
+        "opened_at", "last_message_at")
+
+
+def unaudited_messages(spark, sf):
+    return R.unaudited(DOM.messages(spark, sf), DOM.ai_metadata(spark, sf))
+
+
+# --- E -------------------------------------------------------------------------
+
+def recurring_complaints(spark, sf):
+    return R.recurring_complaints(DOM.messages(spark, sf), DOM.ai_metadata(spark, sf), n=3, days=60)
+
+
+def last_message_at(spark, sf):
+    return R.conversation_rollup(DOM.messages(spark, sf))
+
+
+def model_quality(spark, sf):
+    return R.model_quality(DOM.ai_metadata(spark, sf))
+
+
+def processing_latency(spark, sf):
+    return R.processing_latency(DOM.ai_metadata(spark, sf))
+
+
+def sla_report(spark, sf):
+    return R.sla_report(DOM.escalations(spark, sf))
+
+
+def preferred_channel(spark, sf):
+    return R.preferred_channel(DOM.messages(spark, sf))
+
+
+def _outcomes(spark, sf):
+    ch = _checked(spark, sf)
+    status = (F.when(~is_valid(), F.lit(422)).when(F.col("first_name").isNull(), F.lit(500))
+              .otherwise(F.lit(200)))
+    return ch.select("message_id", F.lit(200).alias("expected_status"), status.alias("status"))
+
+
+def run_summary(spark, sf):
+    return R.run_summary(_outcomes(spark, sf))
+
+
+def expectation_diff(spark, sf):
+    exp_t = F.element_at(F.array(*[F.lit(t) for t, _ in fixtures.TEMPLATE_EXPECTED]),
+                         (F.col("event_id") % 24 + 1).cast("int"))
+    exp_a = F.element_at(F.array(*[F.lit(a) for _, a in fixtures.TEMPLATE_EXPECTED]),
+                         (F.col("event_id") % 24 + 1).cast("int"))
+    cases = _proc(spark, sf).select((F.col("event_id") % 24).alias("case_group"),
+                                    exp_t.alias("expected_query_type"), "query_type",
+                                    exp_a.alias("expected_action"), "action")
+    return R.expectation_diff(cases)
+
+
+def routing_mix(spark, sf):
+    return R.routing_mix(DOM.ai_metadata(spark, sf))
+
+
+# --- F, G, H -------------------------------------------------------------------
+
+def conversation_history(spark, sf):
+    return R.conversation_history(fixtures.conversation_turns(spark, sf), k=3)
+
+
+def inbox(spark, sf):
+    return R.inbox(DOM.messages(spark, sf), n=TOP_N)
+
+
+def rolling_complaints(spark, sf):
+    return R.rolling_complaints(DOM.messages(spark, sf), DOM.ai_metadata(spark, sf), days=60) \
+        .select("message_id", "property_id", "topic", "sent_at", "rolling_count")
+
+
+def trend_order(spark, sf):
+    return complaint_trends(spark, sf).limit(TOP_N)
+
+
+def latest_messages(spark, sf):
+    return R.latest(DOM.messages(spark, sf), "sent_at", TOP_N, ["id", "direction", "channel", "sent_at"])
+
+
+def latest_decisions(spark, sf):
+    return R.latest(DOM.ai_metadata(spark, sf), "created_at", TOP_N,
+                    ["id", "message_id", "query_type", "action_taken", "created_at"])
+
+
+def open_sla_queue(spark, sf):
+    return R.sla_queue(DOM.escalations(spark, sf), n=TOP_N)
+
+
+def transcript(spark, sf):
+    t = fixtures.conversation_turns(spark, sf)
+    return R.transcript(t.filter(F.col("direction") == "inbound"), t.filter(F.col("direction") == "outbound")) \
+        .select("conv_id", "turn", "direction", "text")
+
+
+# --- J, S2 ---------------------------------------------------------------------
+
+def create_escalations(spark, sf):
+    return ESC.create_escalations(_proc(spark, sf)).select(
+        "id", "message_id", "conversation_id", "guest_id", "property_id", "reason", "severity", "status",
+        "escalated_at", "sla_deadline")
+
+
+def mark_sla_breached(spark, sf):
+    return DOM.escalations(spark, sf).select("id", "status", "first_response_at", "sla_deadline", "sla_breached")
+
+
+def sla_alerts(spark, sf):
+    return ESC.sla_alerts(DOM.escalations(spark, sf), DOM.AS_OF)
+
+
+def final_reply(spark, sf):
+    return R.final_reply(DOM.ai_metadata(spark, sf))
+
+
+def edit_pairs(spark, sf):
+    return R.edit_pairs(DOM.ai_metadata(spark, sf))
+
+
+def maintenance_tickets(spark, sf):
+    return R.maintenance_tickets(DOM.messages(spark, sf), DOM.ai_metadata(spark, sf))
+
+
+def pre_arrival_checklist(spark, sf):
+    t = R.maintenance_tickets(DOM.messages(spark, sf), DOM.ai_metadata(spark, sf))
+    return R.checklists(fixtures.reservations(spark, sf), t, DOM.CHECKLIST_CLOCK) \
+        .select("reservation_id", "property_id", "check_in_at", "items")
+
+
+def checklist_alerts(spark, sf):
+    res = fixtures.reservations(spark, sf)
+    t = R.maintenance_tickets(DOM.messages(spark, sf), DOM.ai_metadata(spark, sf))
+    lists = R.checklists(res, t, DOM.CHECKLIST_CLOCK)
+    confirmations = res.filter(F.col("checklist_confirmed")).select(F.col("id").alias("reservation_id"))
+    return R.checklist_alerts(lists, confirmations, DOM.CHECKLIST_CLOCK)
+
+
+def stream_rate_limit(spark, sf):
+    m = DOM.messages(spark, sf).filter(F.col("direction") == "inbound")
+    return R.rate_counts(m, "1 day", RATE_LIMIT)
+
+
+QUERIES.update({
+    "domain_tables": domain_tables,
+    "write_responses": write_responses,
+    "write_rejects": write_rejects,
+    "check_email": check_email,
+    "check_stay_dates": check_stay_dates,
+    "check_guest_count": check_guest_count,
+    "check_direction": check_direction,
+    "check_channel": check_channel,
+    "check_unique_booking_ref": check_unique_booking_ref,
+    "check_unique_identity": check_unique_identity,
+    "check_primary_keys": check_primary_keys,
+    "check_foreign_keys": check_foreign_keys,
+    "check_not_null": check_not_null,
+    "apply_defaults": apply_defaults,
+    "check_domains": check_domains,
+    "check_widths": check_widths,
+    "cascade_delete": cascade_delete,
+    "overdue_escalations": overdue_escalations,
+    "complaint_trends": complaint_trends,
+    "resolve_booking": resolve_booking,
+    "resolve_channel": resolve_channel,
+    "unify_guests": unify_guests,
+    "provisional_guests": provisional_guests,
+    "merge_candidates": merge_candidates,
+    "verified_guests": verified_guests,
+    "thread_messages": thread_messages,
+    "unaudited_messages": unaudited_messages,
+    "recurring_complaints": recurring_complaints,
+    "last_message_at": last_message_at,
+    "model_quality": model_quality,
+    "processing_latency": processing_latency,
+    "sla_report": sla_report,
+    "preferred_channel": preferred_channel,
+    "run_summary": run_summary,
+    "expectation_diff": expectation_diff,
+    "routing_mix": routing_mix,
+    "conversation_history": conversation_history,
+    "inbox": inbox,
+    "rolling_complaints": rolling_complaints,
+    "trend_order": trend_order,
+    "latest_messages": latest_messages,
+    "latest_decisions": latest_decisions,
+    "open_sla_queue": open_sla_queue,
+    "transcript": transcript,
+    "create_escalations": create_escalations,
+    "mark_sla_breached": mark_sla_breached,
+    "sla_alerts": sla_alerts,
+    "final_reply": final_reply,
+    "edit_pairs": edit_pairs,
+    "maintenance_tickets": maintenance_tickets,
+    "pre_arrival_checklist": pre_arrival_checklist,
+    "checklist_alerts": checklist_alerts,
+    "stream_rate_limit": stream_rate_limit,
+})

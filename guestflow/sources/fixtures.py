@@ -187,3 +187,32 @@ def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("conv_id", "turn", "role",
                     F.when(F.col("role") == "user", F.lit("inbound")).otherwise(F.lit("outbound")).alias("direction"),
                     F.col("text")))
+
+# --- FIXED VALUES (our own expectations, FIXTURES.md §2): query type and action
+# each template should get, in template order.
+TEMPLATE_EXPECTED = [
+    ("pre_sales_availability", "agent_review"),
+    ("post_sales_checkin", "auto_send"),
+    ("complaint", "escalate"),
+    ("pre_sales_availability", "auto_send"),
+    ("pre_sales_availability", "agent_review"),
+    ("pre_sales_availability", "auto_send"),
+    ("pre_sales_availability", "agent_review"),
+    ("pre_sales_pricing", "auto_send"),
+    ("pre_sales_pricing", "agent_review"),
+    ("post_sales_checkin", "auto_send"),
+    ("post_sales_checkin", "agent_review"),
+    ("special_request", "agent_review"),
+    ("special_request", "escalate"),
+    ("special_request", "agent_review"),
+    ("general_enquiry", "agent_review"),
+    ("general_enquiry", "agent_review"),
+    ("general_enquiry", "agent_review"),
+    ("complaint", "escalate"),
+    ("complaint", "escalate"),
+    ("pre_sales_pricing", "auto_send"),
+    ("pre_sales_availability", "auto_send"),
+    ("general_enquiry", "agent_review"),
+    ("complaint", "escalate"),
+    ("special_request", "agent_review"),
+]
