@@ -72,20 +72,34 @@ def error_array(raw: Column | None = None) -> Column:
     return F.filter(F.array(*checks), lambda x: x.isNotNull())
 
 
+def valid_condition() -> Column:
+    """True when no rule of ``error_array`` fails; plain boolean checks, so a
+    filter on it stays cheap after Catalyst pushes it down."""
+    s, g, m, t, p = (F.col(c) for c in ["source", "guest_name", "message", "timestamp", "property_id"])
+    return (s.isNotNull() & s.isin(*CHANNELS) & g.isNotNull() & (F.length(g) >= 1)
+            & m.isNotNull() & (F.length(m) >= 1) & t.isNotNull() & parse_ts(t).isNotNull() & p.isNotNull())
+
+
 def with_validation(df: DataFrame, raw_col: str | None = "raw") -> DataFrame:
-    """Adds ``errors`` (array), ``sent_at`` (parsed timestamp) and
-    ``first_name`` (null for a blank name, B9)."""
+    """Adds ``errors`` (array of every failed rule), ``is_valid``, ``sent_at``
+    (parsed timestamp) and ``first_name`` (null for a blank name, B9).
+
+    Splits filter on ``is_valid`` (cheap booleans); the error array is only
+    computed where a branch selects it."""
     raw = F.col(raw_col) if raw_col and raw_col in df.columns else None
     errs = error_array(raw)
+    ok = valid_condition()
     if "type_errors" in df.columns:
         errs = F.concat(F.col("type_errors"), errs)
+        ok = ok & (F.size("type_errors") == 0)
     return (df.withColumn("errors", errs)
+            .withColumn("is_valid", ok)
             .withColumn("sent_at", parse_ts("timestamp"))
             .withColumn("first_name", first_name("guest_name")))
 
 
 def is_valid() -> Column:
-    return F.size("errors") == 0
+    return F.col("is_valid")
 
 
 def split_valid(checked: DataFrame):

@@ -47,8 +47,16 @@ PAYLOAD_FIELDS = ["source", "guest_name", "message", "timestamp", "booking_ref",
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A4: typed access to a given parquet table."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A4: typed access to a given parquet table, spread over the cluster."""
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over the cluster only when the input has fewer
+    splits than task slots (a small file with one row group). A large input
+    already has many splits and is left alone, so no shuffle is added there."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
 
 
 def _pick(values, index: Column) -> Column:

@@ -30,16 +30,18 @@ CASE_SCHEMA = T.StructType([T.StructField("test_cases", T.ArrayType(T.StructType
 def parse_payload(df: DataFrame, raw_col: str = "raw", check_types: bool = False) -> DataFrame:
     """A1: parse the raw JSON body into the six payload columns.
 
-    ``from_json`` is permissive (a malformed body gives null fields, which the
-    validator reports as missing). With ``check_types`` a ``type_errors``
-    column flags numbers/objects sent for string fields (B6).
+    ``json_tuple`` is a generator, so each body is parsed once and the fields
+    are plain columns; later filters never re-inline a JSON parse per field.
+    A malformed body gives null fields (reported as missing). Numbers or
+    objects sent for a string field come back as their text; with
+    ``check_types`` a ``type_errors`` column flags them (B6).
     """
-    parsed = F.from_json(F.col(raw_col), PAYLOAD_SCHEMA)
-    out = df.withColumn("_p", parsed)
+    names = [f.name for f in PAYLOAD_SCHEMA.fields]
+    out = df
     if check_types:
         out = out.withColumn("type_errors", json_type_errors(raw_col))
-    return out.select(*[c for c in out.columns if c != "_p"],
-                      *[F.col("_p")[f.name].alias(f.name) for f in PAYLOAD_SCHEMA.fields])
+    keep = [c for c in out.columns]
+    return out.select(*keep, F.json_tuple(F.col(raw_col), *names).alias(*names))
 
 
 def read_inbound(spark: SparkSession, path: str, check_types: bool = True) -> DataFrame:
