@@ -522,3 +522,8 @@ ORACLE.update({
         CAST(date_trunc('day', sent_at) AS TIMESTAMP) + INTERVAL 1 DAY AS window_end, count(*) AS n_messages, count(*) > 3 AS over_limit
         FROM messages WHERE direction = 'inbound' GROUP BY property_id, channel, CAST(date_trunc('day', sent_at) AS TIMESTAMP)"""),
 })
+
+ORACLE.update({
+    "enrich_property": sql(["ok", "properties"], """SELECT d.message_id, d.property_id, p.name AS property_name,
+        p.id IS NOT NULL AS property_known FROM ok d LEFT JOIN properties p ON d.property_id = p.id"""),
+})

@@ -642,3 +642,78 @@ QUERIES.update({
     "checklist_alerts": checklist_alerts,
     "stream_rate_limit": stream_rate_limit,
 })
+
+
+# --- A3, B6, D1, S1, S3 ---------------------------------------------------------
+
+def enrich_property(spark, sf):
+    j = _with_props(_ok(spark, sf), fixtures.properties(spark, sf))
+    return j.select("message_id", "property_id", F.col("p_name").alias("property_name"),
+                    F.col("p_id").isNotNull().alias("property_known"))
+
+
+def _typed_raw(spark, sf):
+    """Payloads where some channels send typed JSON: error events carry their
+    ``props`` object in booking_ref (a planted type violation)."""
+    inb = fixtures.inbound_events(spark, sf).join(
+        fixtures.table(spark, sf, "events").select("event_id", "event_type", "props"), "event_id")
+    ref = F.when(F.col("event_type") == "error", F.col("props")).otherwise(
+        F.concat(F.lit('"'), F.col("booking_ref"), F.lit('"')))
+    body = F.to_json(F.struct("source", "guest_name", "message", "timestamp", "property_id"))
+    raw = F.when(ref.isNull(), body).otherwise(
+        F.concat(F.expr("substring(to_json(struct(source, guest_name, message, timestamp, property_id)), 1, "
+                        "length(to_json(struct(source, guest_name, message, timestamp, property_id))) - 1)"),
+                 F.lit(',"booking_ref":'), ref, F.lit("}")))
+    return inb.select("message_id", raw.alias("raw"))
+
+
+def check_string_types(spark, sf):
+    from ..operators.validate import json_type_errors
+    t = _typed_raw(spark, sf).withColumn("te", json_type_errors("raw"))
+    return (t.select("message_id", F.explode("te").alias("e"))
+            .select("message_id", F.col("e.field").alias("field"), F.col("e.issue").alias("issue"),
+                    F.col("e.received").alias("received")))
+
+
+def fixture_cases(spark, sf):
+    """A3: the payloads as a nested case file (one JSON document), read back
+    with the multi-line reader and exploded into cases."""
+    from ..sources.inbound import read_cases
+    from ..sources.sinks import scratch_path
+    path = scratch_path(spark, "cases")
+    inb = fixtures.inbound_events(spark, sf)
+    case = F.struct(F.col("message_id").alias("id"), F.lit("event payload").alias("description"),
+                    F.when(F.col("event_id") % 2 == 0, F.lit(200)).alias("expected_status"),
+                    F.struct(*PAYLOAD).alias("payload"))
+    doc = inb.groupBy((F.col("event_id") % 8).alias("part")).agg(F.collect_list(case).alias("test_cases"))
+    doc.select("test_cases").write.mode("overwrite").json(path)
+    return read_cases(spark, path).select("case_id", "expected_status", *PAYLOAD)
+
+
+def stream_process_q(spark, sf):
+    from ..sources.sinks import scratch_path
+    from ..streaming.stream import stream_process, write_lines
+    base = scratch_path(spark, "stream")
+    inb = fixtures.inbound_events(spark, sf)
+    write_lines(inb.select(F.to_json(F.struct("message_id", *PAYLOAD)).alias("raw")), f"{base}/in", 4)
+    stream_process(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", files_per_trigger=1)
+    return spark.read.parquet(f"{base}/out/responses").select(*P.RESPONSE_COLUMNS)
+
+
+def stream_sla_timer(spark, sf):
+    from ..sources.sinks import scratch_path
+    from ..streaming.stream import run_sla_timer, sla_events
+    base = scratch_path(spark, "sla")
+    sla_events(DOM.escalations(spark, sf), None, f"{base}/in", slices=4)
+    run_sla_timer(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt")
+    return spark.read.parquet(f"{base}/out").select(
+        "escalation_id", F.col("sla_deadline").cast("timestamp_ntz").alias("sla_deadline"), "cause")
+
+
+QUERIES.update({
+    "enrich_property": enrich_property,
+    "check_string_types": check_string_types,
+    "fixture_cases": fixture_cases,
+    "stream_process": stream_process_q,
+    "stream_sla_timer": stream_sla_timer,
+})
