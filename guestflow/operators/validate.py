@@ -44,8 +44,8 @@ def parse_ts(col) -> Column:
     return F.when(c.rlike(ISO_SHAPE), F.try_to_timestamp(c)).cast("timestamp_ntz")
 
 
-def _err(cond: Column, field: str, issue: str, received: Column) -> Column:
-    return F.when(cond, F.struct(F.lit(field_path(field)).alias("field"),
+def _err(cond: Column, field: str, issue: str, received: Column, path: bool = True) -> Column:
+    return F.when(cond, F.struct(F.lit(field_path(field) if path else field).alias("field"),
                                  F.lit(issue).alias("issue"),
                                  received.cast("string").alias("received")))
 
@@ -131,7 +131,7 @@ def json_type_errors(raw) -> Column:
         bad = F.try_variant_get(v, path, "variant").isNotNull() & \
             (kind != F.lit("STRING")) & (kind != F.lit("VOID"))
         checks.append(_err(bad, name, MSG_NOT_STRING, F.to_json(F.try_variant_get(v, path, "variant"))))
-    malformed = _err(v.isNull(), "body", "JSON decode error", F.lit(None).cast("string"))
+    malformed = _err(v.isNull(), "body", "JSON decode error", F.lit(None).cast("string"), path=False)
     return F.filter(F.array(malformed, *checks), lambda x: x.isNotNull())
 
 
