@@ -53,31 +53,42 @@ def classify(text, rules=CLASS_RULES, fallback=FALLBACK_CLASS) -> Column:
     return classify_lowered(lowered(text), rules, fallback)
 
 
-def explain_match(text, rules=CLASS_RULES, fallback=FALLBACK_CLASS) -> Column:
-    """Trace of the decision.
+def keyword_hits(text, rules=CLASS_RULES) -> Column:
+    """Every matching 'class:keyword' in rule order, comma-joined ('' if none).
+
+    One codegen'd ``concat_ws`` (nulls skipped) over all keywords."""
+    low = lowered(text)
+    return F.concat_ws(",", *[F.when(low.contains(w), F.lit(f"{name}:{w}"))
+                              for name, words in rules for w in words])
+
+
+def explain_from_hits(hits, fallback=FALLBACK_CLASS) -> Column:
+    """C2 trace from a ``keyword_hits`` column.
 
     struct(query_type, matched_by 'keyword'|'fallback', keyword,
            matched_classes array<string>, matched_keywords array<'class:kw'>).
     ``keyword`` is the first keyword (rule order) of the winning class.
     """
-    low = lowered(text)
-    hits = F.filter(
-        F.array(*[F.when(low.contains(w), F.lit(f"{name}:{w}"))
-                  for name, words in rules for w in words]),
-        lambda h: h.isNotNull())
-    classes = F.filter(
-        F.array(*[F.when(any_contains(low, words), F.lit(name)) for name, words in rules]),
-        lambda c: c.isNotNull())
-    first_hit = F.try_element_at(hits, F.lit(1))
+    h = _col(hits)
+    first = F.substring_index(h, ",", 1)
+    hit_list = F.when(h == "", F.array().cast("array<string>")).otherwise(F.split(h, ","))
+    classes = F.array_distinct(F.transform(hit_list, lambda x: F.substring_index(x, ":", 1)))
     return F.struct(
-        F.coalesce(F.substring_index(first_hit, ":", 1), F.lit(fallback)).alias("query_type"),
-        F.when(F.size(hits) > 0, F.lit("keyword")).otherwise(F.lit("fallback")).alias("matched_by"),
-        F.substring_index(first_hit, ":", -1).alias("keyword"),
+        F.coalesce(F.nullif(F.substring_index(first, ":", 1), F.lit("")), F.lit(fallback)).alias("query_type"),
+        F.when(h == "", F.lit("fallback")).otherwise(F.lit("keyword")).alias("matched_by"),
+        F.nullif(F.substring_index(first, ":", -1), F.lit("")).alias("keyword"),
         classes.alias("matched_classes"),
-        hits.alias("matched_keywords"),
+        hit_list.alias("matched_keywords"),
     )
 
 
+def explain_match(text, rules=CLASS_RULES, fallback=FALLBACK_CLASS) -> Column:
+    """C2 as one column (for a DataFrame with many rows, add ``keyword_hits``
+    as its own column first and call ``explain_from_hits`` on it, so the
+    keyword scan stays in generated code)."""
+    return explain_from_hits(keyword_hits(text, rules), fallback)
+
+
 def classify_by_lang(text, lang, rules_by_lang=None, fallback=FALLBACK_CLASS) -> Column:
     """Pick the keyword table by language, then classify.
 

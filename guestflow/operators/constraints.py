@@ -155,8 +155,10 @@ def foreign_key_report(tables: dict[str, DataFrame], fks=FOREIGN_KEYS) -> DataFr
     """Orphan count per reference."""
     parts = []
     for child, col, parent, pk in fks:
-        o = orphans(tables[child].select(col), col, tables[parent], pk)
-        parts.append(o.agg(F.count(F.lit(1)).alias("n_orphans")).select(
+        # one row per distinct reference (map-side combine collapses hot keys)
+        refs = tables[child].filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
+        o = orphans(refs, col, tables[parent], pk)
+        parts.append(o.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("n_orphans")).select(
             F.lit(child).alias("child_table"), F.lit(col).alias("fk_column"),
             F.lit(parent).alias("parent_table"), F.col("n_orphans")))
     return reduce(DataFrame.unionByName, parts)

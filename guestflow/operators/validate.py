@@ -92,10 +92,8 @@ def with_validation(df: DataFrame, raw_col: str | None = "raw") -> DataFrame:
     if "type_errors" in df.columns:
         errs = F.concat(F.col("type_errors"), errs)
         ok = ok & (F.size("type_errors") == 0)
-    return (df.withColumn("errors", errs)
-            .withColumn("is_valid", ok)
-            .withColumn("sent_at", parse_ts("timestamp"))
-            .withColumn("first_name", first_name("guest_name")))
+    return df.withColumns({"errors": errs, "is_valid": ok, "sent_at": parse_ts("timestamp"),
+                           "first_name": first_name("guest_name")})
 
 
 def is_valid() -> Column:

@@ -67,3 +67,34 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumnRenamed("conversation_id", "id")
             .withColumn("reservation_id", F.lit(None).cast("string"))
             .withColumn("status", F.lit("open")))
+
+
+def materialized_tables(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> dict:
+    """The eight domain tables with the flow-derived ones computed once and
+    cut from their lineage with a reliable ``checkpoint()`` (written to the
+    shared ``spark.checkpoint.dir``), for reports that scan them many times."""
+    from ..operators import escalation as E
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    vdec = valid_decided(spark, sf_dir).checkpoint(eager=True)
+    proc = vdec.filter(F.col("first_name").isNotNull()).withColumn("draft_error", F.lit(None).cast("string"))
+    msgs = P.messages_table(vdec.withColumn(
+        "action", F.when(F.col("first_name").isNotNull(), F.col("action"))))
+    esc = E.mark_sla_breached(with_lifecycle(E.create_escalations(proc)), as_of)
+    conv = (msgs.groupBy("conversation_id")
+            .agg(F.min("guest_id").alias("guest_id"), F.min("property_id").alias("property_id"),
+                 F.min("channel").alias("channel"), F.min("sent_at").alias("opened_at"),
+                 F.max("sent_at").alias("last_message_at"))
+            .withColumnRenamed("conversation_id", "id")
+            .withColumn("reservation_id", F.lit(None).cast("string"))
+            .withColumn("status", F.lit("open")))
+    return {
+        "properties": fixtures.properties(spark, sf_dir),
+        "guests": fixtures.guests(spark, sf_dir),
+        "guest_channel_identities": fixtures.channel_identities(spark, sf_dir),
+        "reservations": fixtures.reservations(spark, sf_dir),
+        "conversations": conv,
+        "messages": msgs,
+        "ai_message_metadata": P.ai_metadata_table(proc),
+        "escalations": esc,
+    }

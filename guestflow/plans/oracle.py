@@ -527,3 +527,10 @@ ORACLE.update({
     "enrich_property": sql(["ok", "properties"], """SELECT d.message_id, d.property_id, p.name AS property_name,
         p.id IS NOT NULL AS property_known FROM ok d LEFT JOIN properties p ON d.property_id = p.id"""),
 })
+
+ORACLE.update({
+    "fixture_cases": sql(["inbound"], "SELECT message_id AS case_id, 200 AS expected_status, source, guest_name, message, timestamp, booking_ref, property_id FROM inbound"),
+    "check_string_types": sql(["inbound"], """SELECT i.message_id, 'body → booking_ref' AS field, 'Input should be a valid string' AS issue,
+        CAST(json(e.props) AS VARCHAR) AS received
+        FROM inbound i JOIN events e ON e.event_id = i.event_id WHERE e.event_type = 'error'"""),
+})

@@ -125,12 +125,13 @@ def draft_replies(df: DataFrame, props: DataFrame | None = None, drafter_factory
 
 def with_decision(df: DataFrame, text_col: str = "message") -> DataFrame:
     """C1 + C13 + C14 with the lower-cased text computed once."""
-    return (df.withColumn("_low", F.lower(F.col(text_col)))
-            .withColumn("query_type", classify_lowered(F.col("_low")))
-            .withColumn("score_cents", score_cents_lowered("query_type", F.col("_low")))
-            .withColumn("confidence_score", F.col("score_cents").cast("double") / F.lit(100.0))
-            .withColumn("action", route_action("score_cents", "query_type"))
-            .drop("_low"))
+    cols = df.columns
+    low = df.select(*cols, F.lower(F.col(text_col)).alias("_low"))
+    typed = low.select(*cols, "_low", classify_lowered(F.col("_low")).alias("query_type"))
+    scored = typed.select(*cols, "query_type", score_cents_lowered("query_type", F.col("_low")).alias("score_cents"))
+    return scored.select(*cols, "query_type", "score_cents",
+                         (F.col("score_cents").cast("double") / F.lit(100.0)).alias("confidence_score"),
+                         route_action("score_cents", "query_type").alias("action"))
 
 
 def checked_inbound(spark: SparkSession, sf_dir: str, check_types: bool = False) -> DataFrame:

@@ -123,8 +123,9 @@ def classify_q(spark, sf):
 
 
 def classify_explain(spark, sf):
-    m = explain_match("text")
-    return _docs(spark, sf).select(
+    from ..functions.classify import explain_from_hits, keyword_hits
+    m = explain_from_hits("_hits")
+    return _docs(spark, sf).withColumn("_hits", keyword_hits("text")).select(
         "doc_id", m["query_type"].alias("query_type"), m["matched_by"].alias("matched_by"),
         m["keyword"].alias("keyword"),
         F.concat_ws(",", m["matched_classes"]).alias("matched_classes"),
@@ -291,6 +292,10 @@ RATE_LIMIT = 3
 
 
 def _tables(spark, sf) -> dict:
+    return DOM.materialized_tables(spark, sf)
+
+
+def _tables_lazy(spark, sf) -> dict:
     return {
         "properties": fixtures.properties(spark, sf),
         "guests": fixtures.guests(spark, sf),
@@ -676,8 +681,8 @@ def check_string_types(spark, sf):
 
 
 def fixture_cases(spark, sf):
-    """A3: the payloads as a nested case file (one JSON document), read back
-    with the multi-line reader and exploded into cases."""
+    """A3: the payloads as nested case documents of at most 500 cases each
+    (one JSON document per line), read back and exploded into cases."""
     from ..sources.inbound import read_cases
     from ..sources.sinks import scratch_path
     path = scratch_path(spark, "cases")
@@ -685,9 +690,9 @@ def fixture_cases(spark, sf):
     case = F.struct(F.col("message_id").alias("id"), F.lit("event payload").alias("description"),
                     F.when(F.col("event_id") % 2 == 0, F.lit(200)).alias("expected_status"),
                     F.struct(*PAYLOAD).alias("payload"))
-    doc = inb.groupBy((F.col("event_id") % 8).alias("part")).agg(F.collect_list(case).alias("test_cases"))
+    doc = inb.groupBy(F.floor(F.col("event_id") / 500).alias("part")).agg(F.collect_list(case).alias("test_cases"))
     doc.select("test_cases").write.mode("overwrite").json(path)
-    return read_cases(spark, path).select("case_id", "expected_status", *PAYLOAD)
+    return read_cases(spark, path, multi_line=False).select("case_id", "expected_status", *PAYLOAD)
 
 
 def stream_process_q(spark, sf):

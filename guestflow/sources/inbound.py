@@ -52,10 +52,13 @@ def read_inbound(spark: SparkSession, path: str, check_types: bool = True) -> Da
     return parse_payload(raw, check_types=check_types)
 
 
-def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """A3: the nested test-case file; one row per case, expected_status
-    defaulting to 200, payload re-serialised as the raw body."""
-    doc = spark.read.option("multiLine", True).schema(CASE_SCHEMA).json(path)
+def read_cases(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A3: nested test-case documents; one row per case, expected_status
+    defaulting to 200, payload re-serialised as the raw body.
+
+    ``multi_line``: each file is one (pretty-printed) document; otherwise
+    each line is a document."""
+    doc = spark.read.option("multiLine", multi_line).schema(CASE_SCHEMA).json(path)
     cases = doc.select(F.explode("test_cases").alias("c")).select("c.*")
     return cases.select(
         F.col("id").alias("case_id"), "description", "expected_query_type", "expected_action",
