@@ -9,8 +9,6 @@ many tasks.
 """
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,10 +30,6 @@ def _ts(v) -> F.Column:
     return F.lit(v).cast("timestamp_ntz") if isinstance(v, str) else v
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, cols) -> F.Column:
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
-
-
 def complaint_topic(text) -> F.Column:
     """Same-type complaints: first listed topic found in the text, else 'other'."""
     low = F.lower(F.col(text) if isinstance(text, str) else text)
@@ -50,28 +44,29 @@ def complaint_topic(text) -> F.Column:
 
 def ordinal(df: DataFrame, keys, order_cols, bucket: F.Column, name: str = "_ord") -> DataFrame:
     """1-based position of each row within ``keys`` ordered by ``order_cols``
-    (which must order rows uniquely and agree with ``bucket``).
+    (which must order rows uniquely and agree with ``bucket``; keys must not
+    be null).
 
     row_number inside (keys, bucket) + number of rows in earlier buckets of
-    the key (a window over the per-bucket counts only)."""
+    the key (a window over the per-bucket counts only). The join back is an
+    equi-join on (keys, bucket), so it reuses the window's partitioning."""
     keys = list(keys)
     b = df.withColumn("_bucket", bucket)
     b = b.withColumn("_in", F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order_cols)))
     per = b.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     prev = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("_carry", F.coalesce(F.sum("_n").over(prev), F.lit(0))).drop("_n")
-    per = per.select(*[F.col(k).alias("_k_" + k) for k in keys], F.col("_bucket").alias("_kb"), "_carry")
-    on = reduce(lambda a, c: a & c, [b[k].eqNullSafe(per["_k_" + k]) for k in keys]) & (b["_bucket"] == per["_kb"])
-    return (b.join(per, on, "inner")
+    return (b.join(per, [*keys, "_bucket"], "inner")
             .withColumn(name, F.col("_carry") + F.col("_in"))
-            .drop("_carry", "_in", "_bucket", "_kb", *["_k_" + k for k in keys]))
+            .drop("_carry", "_in", "_bucket"))
 
 
 def rolling_count(df: DataFrame, keys, ts_col: str, days: int, name: str = "rolling_count") -> DataFrame:
     """Rows of the same key with ``ts`` in [t − days, t] (peers included), for
     every row — the SQL window ``RANGE BETWEEN INTERVAL days PRECEDING AND
     CURRENT ROW`` — as a sweep of +1 (at t) and −1 (just after t + days)
-    events, summed inside (key, hour) partitions plus a per-hour carry."""
+    events, summed inside (key, hour) partitions plus a per-hour carry.
+    Keys must not be null."""
     keys = list(keys)
     row = F.struct(*[F.col(c) for c in df.columns])
     ins = df.select(*keys, F.col(ts_col).alias("_t"), F.lit(0).alias("_kind"), F.lit(1).alias("_w"), row.alias("_row"))
@@ -84,11 +79,8 @@ def rolling_count(df: DataFrame, keys, ts_col: str, days: int, name: str = "roll
     per = ev.groupBy(*keys, "_bucket").agg(F.sum("_w").alias("_net"))
     prev = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("_carry", F.coalesce(F.sum("_net").over(prev), F.lit(0))).drop("_net")
-    per = per.select(*[F.col(k).alias("_k_" + k) for k in keys], F.col("_bucket").alias("_kb"), "_carry")
     msgs = ev.filter(F.col("_kind") == 0)
-    on = reduce(lambda a, c: a & c, [msgs[k].eqNullSafe(per["_k_" + k]) for k in keys]) & \
-        (msgs["_bucket"] == per["_kb"])
-    j = msgs.join(per, on, "inner")
+    j = msgs.join(per, [*keys, "_bucket"], "inner")
     return j.select("_row.*", (F.col("_carry") + F.col("_run")).cast("bigint").alias(name))
 
 
