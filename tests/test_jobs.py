@@ -100,3 +100,24 @@ def test_sla_timer_equals_batch(spark):
     stream_ids = {r.escalation_id for r in spark.read.parquet(f"{base}/out").collect()}
     batch_ids = {r.id for r in mark_sla_breached(esc, clock).filter("sla_breached").collect()}
     assert stream_ids == batch_ids and len(stream_ids) > 0
+
+
+def test_rate_counts_stream_equals_batch(spark):
+    from guestflow.operators.reports import rate_counts
+    from guestflow.streaming.stream import rate_counts_stream
+    m = DOM.messages(spark, SF001).filter(F.col("direction") == "inbound") \
+        .select("property_id", "channel", F.col("sent_at").cast("timestamp").alias("sent_at"))
+    base = scratch_path(spark, "rate-test")
+    # replay in time order, then one far-future row so the watermark closes every window
+    m.orderBy("sent_at").coalesce(1).write.mode("overwrite").json(f"{base}/in/a")
+    spark.createDataFrame([("__clock__", "direct", dt.datetime(2030, 1, 1))], "property_id string, channel string, sent_at timestamp") \
+        .coalesce(1).write.mode("overwrite").json(f"{base}/in/b")
+    src = (spark.readStream.schema("property_id string, channel string, sent_at timestamp")
+           .option("maxFilesPerTrigger", 1).json(f"{base}/in/*"))
+    q = (rate_counts_stream(src, window="1 day", limit=3, watermark="1 day").writeStream.format("parquet")
+         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt").outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = spark.read.parquet(f"{base}/out").filter("property_id <> '__clock__'")
+    want = rate_counts(m, "1 day", 3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
