@@ -6,8 +6,9 @@ Everything stays inside Catalyst/codegen; no Python runs per row.
 """
 from __future__ import annotations
 
-from functools import reduce
+from functools import reduce, wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +19,25 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def memo_per_context(fn):
+    """Reuse a rule expression built from column *names*: the Column is
+    unresolved, so one object serves every DataFrame of the same
+    SparkContext, and the hundreds of py4j calls that build it run once."""
+    cache: dict = {}
+
+    @wraps(fn)
+    def run(*args):
+        if not all(isinstance(a, (str, int, float, bool)) or a is None or isinstance(a, (list, tuple, dict))
+                   for a in args) or any(isinstance(a, Column) for a in args):
+            return fn(*args)
+        key = (id(SparkContext._active_spark_context), tuple(id(a) if isinstance(a, (list, dict)) else a
+                                                             for a in args))
+        if key not in cache:
+            cache[key] = fn(*args)
+        return cache[key]
+    return run
+
+
 def lowered(text) -> Column:
     return F.lower(_col(text))
 
@@ -30,12 +50,14 @@ def all_contain(low: Column, words) -> Column:
     return reduce(lambda a, b: a & b, [low.contains(w) for w in words])
 
 
-def classify_lowered(low: Column, rules=CLASS_RULES, fallback=FALLBACK_CLASS) -> Column:
+@memo_per_context
+def classify_lowered(low, rules=CLASS_RULES, fallback=FALLBACK_CLASS) -> Column:
     """First class with any keyword as a substring of ``low``; else ``fallback``.
 
     A trailing class equal to the fallback cannot change the answer, so it is
     not tested.
     """
+    low = _col(low)
     active = list(rules)
     while active and active[-1][0] == fallback:
         active.pop()
@@ -53,6 +75,7 @@ def classify(text, rules=CLASS_RULES, fallback=FALLBACK_CLASS) -> Column:
     return classify_lowered(lowered(text), rules, fallback)
 
 
+@memo_per_context
 def keyword_hits(text, rules=CLASS_RULES) -> Column:
     """Every matching 'class:keyword' in rule order, comma-joined ('' if none).
 

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .classify import _col, all_contain, any_contains, lowered
+from .classify import _col, all_contain, any_contains, lowered, memo_per_context
 from .rules import (AGENT_REVIEW_CENTS, AMBIGUITY_PENALTY_CENTS, AMBIGUITY_PHRASES,
                     AUTO_SEND_CENTS, BAND_BELOW, BAND_COMPLAINT, BASE_SCORE_CENTS,
                     CONFIDENCE_BANDS, DEFAULT_SCORE_CENTS, MULTI_INTENT_PAIRS,
@@ -38,10 +38,11 @@ def ambiguous(low: Column) -> Column:
     return any_contains(low, AMBIGUITY_PHRASES)
 
 
-def score_cents_lowered(query_type, low: Column) -> Column:
+@memo_per_context
+def score_cents_lowered(query_type, low) -> Column:
     """C13 in hundredths: complaint is fixed; otherwise base minus each
     penalty at most once, clamped."""
-    qt = _col(query_type)
+    qt, low = _col(query_type), _col(low)
     raw = (base_score_cents(qt)
            - F.when(multi_intent(low), F.lit(MULTI_INTENT_PENALTY_CENTS)).otherwise(F.lit(0))
            - F.when(ambiguous(low), F.lit(AMBIGUITY_PENALTY_CENTS)).otherwise(F.lit(0)))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import (CHANNELS, ERROR_HINT, ERROR_TITLE, FIELD_PATH_SEP,
                                QUERY_TYPES, ACTIONS)
+from ..functions.classify import memo_per_context
 from ..functions.text import first_name
 
 # --- FIXED VALUES: validation messages, in the wording of the payload schema
@@ -50,6 +51,11 @@ def _err(cond: Column, field: str, issue: str, received: Column, path: bool = Tr
                                  received.cast("string").alias("received")))
 
 
+@memo_per_context
+def _error_array_named(raw_name):
+    return error_array(F.col(raw_name) if raw_name else None)
+
+
 def error_array(raw: Column | None = None) -> Column:
     """All rule failures of a payload row, in field order.
 
@@ -72,6 +78,7 @@ def error_array(raw: Column | None = None) -> Column:
     return F.filter(F.array(*checks), lambda x: x.isNotNull())
 
 
+@memo_per_context
 def valid_condition() -> Column:
     """True when no rule of ``error_array`` fails; plain boolean checks, so a
     filter on it stays cheap after Catalyst pushes it down."""
@@ -86,8 +93,7 @@ def with_validation(df: DataFrame, raw_col: str | None = "raw") -> DataFrame:
 
     Splits filter on ``is_valid`` (cheap booleans); the error array is only
     computed where a branch selects it."""
-    raw = F.col(raw_col) if raw_col and raw_col in df.columns else None
-    errs = error_array(raw)
+    errs = _error_array_named(raw_col if raw_col and raw_col in df.columns else None)
     ok = valid_condition()
     if "type_errors" in df.columns:
         errs = F.concat(F.col("type_errors"), errs)

@@ -124,11 +124,19 @@ def draft_replies(df: DataFrame, props: DataFrame | None = None, drafter_factory
 # Classification, scoring, routing (one projection)
 
 def with_decision(df: DataFrame, text_col: str = "message") -> DataFrame:
-    """C1 + C13 + C14 with the lower-cased text computed once."""
+    """C1 + C13 + C14 with the lower-cased text computed once.
+
+    The class and the score come out of one-row generators (``inline``):
+    a later filter on ``query_type`` or ``action`` is pushed down only to the
+    generator output, so Catalyst never copies the keyword scan into the
+    filter (which would run it twice and overflow generated methods)."""
     cols = df.columns
-    low = df.select(*cols, F.lower(F.col(text_col)).alias("_low"))
-    typed = low.select(*cols, "_low", classify_lowered(F.col("_low")).alias("query_type"))
-    scored = typed.select(*cols, "query_type", score_cents_lowered("query_type", F.col("_low")).alias("score_cents"))
+    typed = df.select(*cols, F.inline(F.array(F.struct(
+        F.lower(F.col(text_col)).alias("_low")))))
+    typed = typed.select(*cols, "_low", F.inline(F.array(F.struct(
+        classify_lowered("_low").alias("query_type")))))
+    scored = typed.select(*cols, "query_type", F.inline(F.array(F.struct(
+        score_cents_lowered("query_type", "_low").alias("score_cents")))))
     return scored.select(*cols, "query_type", "score_cents",
                          (F.col("score_cents").cast("double") / F.lit(100.0)).alias("confidence_score"),
                          route_action("score_cents", "query_type").alias("action"))
