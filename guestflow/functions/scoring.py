@@ -55,13 +55,9 @@ def score_cents(query_type, text) -> Column:
     return score_cents_lowered(query_type, lowered(text))
 
 
-def cents_to_score(cents) -> Column:
-    return (_col(cents).cast("double") / F.lit(100.0)).alias("confidence_score")
-
-
 def confidence(query_type, text) -> Column:
     """The confidence score as a double in [0, 1]."""
-    return _col(score_cents(query_type, text)).cast("double") / F.lit(100.0)
+    return score_cents(query_type, text).cast("double") / F.lit(100.0)
 
 
 def route_action(cents, query_type) -> Column:

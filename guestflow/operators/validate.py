@@ -23,16 +23,12 @@ MSG_BAD_DATETIME = "Input should be a valid datetime"
 MSG_NOT_STRING = "Input should be a valid string"
 MSG_BAD_SOURCE = "Input should be " + ", ".join(f"'{c}'" for c in CHANNELS[:-1]) + f" or '{CHANNELS[-1]}'"
 
-REQUIRED = ["source", "guest_name", "message", "timestamp", "property_id"]
 STRING_FIELDS = ["source", "guest_name", "message", "timestamp", "booking_ref", "property_id"]
 
 # ISO 8601 date or date-time; guards the cast so '10:30' or '2026' never pass.
 ISO_SHAPE = (r"^\d{4}-\d{2}-\d{2}"
              r"([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2})?)?$")
 
-ERROR_TYPE = "array<struct<field:string,issue:string,received:string>>"
-
-
 def field_path(name: str) -> str:
     return FIELD_PATH_SEP.join(["body", name])
 
@@ -110,7 +106,7 @@ def split_valid(checked: DataFrame):
     """(ok, rejected, processing_error) from one validated parent.
 
     The three filters share one parent; persist the parent when all three are
-    written from the same job (``plans.process.run_batch`` does).
+    written from the same job (the streaming ``foreachBatch`` does).
     """
     ok = checked.filter(is_valid() & F.col("first_name").isNotNull())
     bad = checked.filter(~is_valid())

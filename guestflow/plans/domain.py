@@ -69,14 +69,26 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("status", F.lit("open")))
 
 
+def materialize(df: DataFrame, folder: str) -> DataFrame:
+    """Cut lineage: a reliable ``checkpoint()`` into the shared checkpoint
+    folder, or, where the session cannot checkpoint, a parquet table written
+    there and read back."""
+    try:
+        return df.checkpoint(eager=True)
+    except Exception:
+        import uuid
+        path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.parquet(path)
+
+
 def materialized_tables(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> dict:
     """The eight domain tables with the flow-derived ones computed once and
     cut from their lineage with a reliable ``checkpoint()`` (written to the
     shared ``spark.checkpoint.dir``), for reports that scan them many times."""
     from ..operators import escalation as E
     from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    vdec = valid_decided(spark, sf_dir).checkpoint(eager=True)
+    vdec = materialize(valid_decided(spark, sf_dir), ensure_checkpoint_dir(spark))
     proc = vdec.filter(F.col("first_name").isNotNull()).withColumn("draft_error", F.lit(None).cast("string"))
     msgs = P.messages_table(vdec.withColumn(
         "action", F.when(F.col("first_name").isNotNull(), F.col("action"))))

@@ -295,19 +295,6 @@ def _tables(spark, sf) -> dict:
     return DOM.materialized_tables(spark, sf)
 
 
-def _tables_lazy(spark, sf) -> dict:
-    return {
-        "properties": fixtures.properties(spark, sf),
-        "guests": fixtures.guests(spark, sf),
-        "guest_channel_identities": fixtures.channel_identities(spark, sf),
-        "reservations": fixtures.reservations(spark, sf),
-        "conversations": DOM.conversations(spark, sf),
-        "messages": DOM.messages(spark, sf),
-        "ai_message_metadata": DOM.ai_metadata(spark, sf),
-        "escalations": DOM.escalations(spark, sf),
-    }
-
-
 def _senders(spark, sf):
     """Inbound messages with their sender identity, for the identity jobs."""
     return _proc(spark, sf).select("message_id", F.col("source").alias("channel"), "guest_id", "booking_ref",

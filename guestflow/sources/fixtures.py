@@ -57,8 +57,12 @@ def spread(df: DataFrame) -> DataFrame:
     """Round-robin the rows over the cluster only when the input has fewer
     splits than task slots (a small file with one row group). A large input
     already has many splits and is left alone, so no shuffle is added there."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access: leave the plan as it is
+        return df
+    return df.repartition(slots) if splits < slots else df
 
 
 def _pick(values, index: Column) -> Column:

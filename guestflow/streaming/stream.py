@@ -9,7 +9,6 @@ event-time timer per escalation (``applyInPandasWithState``).
 from __future__ import annotations
 
 import datetime as dt
-import os
 from typing import Iterator
 
 import pandas as pd
@@ -155,10 +154,6 @@ def write_lines(df: DataFrame, path: str, n_files: int) -> None:
     df.select("raw").repartition(n_files).write.mode("overwrite").text(path)
 
 
-def scratch(base: str, name: str) -> str:
-    return os.path.join(base, name)
-
-
 def sla_events(esc: DataFrame, clock, path: str, slices: int = 4):
     """Replayable S3 input from an escalations table: opened and responded
     events in ``slices`` time-ordered files, then a clock tick so the
