@@ -534,3 +534,16 @@ ORACLE.update({
         CAST(json(e.props) AS VARCHAR) AS received
         FROM inbound i JOIN events e ON e.event_id = i.event_id WHERE e.event_type = 'error'"""),
 })
+
+ORACLE.update({
+    "stream_process": ORACLE["process_messages"],
+    "write_rejects": sql(["checked", "errs"], """SELECT c.message_id, c.raw, 'Request validation failed' AS error,
+        CAST(c.n_errors AS BIGINT) AS n_details,
+        (SELECT field FROM errs e WHERE e.message_id = c.message_id ORDER BY rule_ord LIMIT 1) AS first_field,
+        'Check field types, required fields, and enum values against the schema at /docs' AS hint
+        FROM checked c WHERE c.n_errors > 0"""),
+    # the stream runs to one second past the last deadline, so every
+    # escalation without a response by its deadline has breached
+    "stream_sla_timer": sql(["escalations"], """SELECT id AS escalation_id, sla_deadline FROM escalations
+        WHERE first_response_at IS NULL OR first_response_at > sla_deadline"""),
+})

@@ -325,7 +325,11 @@ def write_rejects(spark, sf):
     from ..sources.sinks import scratch_path, write_rejects as w
     path = scratch_path(spark, "rejects")
     w(split_valid(_checked(spark, sf))[1], path)
-    return spark.read.parquet(path)
+    back = spark.read.parquet(path)
+    return back.select("message_id", "raw", F.col("envelope.error").alias("error"),
+                       F.size("envelope.details").cast("bigint").alias("n_details"),
+                       F.col("envelope.details")[0]["field"].alias("first_field"),
+                       F.col("envelope.hint").alias("hint"))
 
 
 # --- B11-B24 -------------------------------------------------------------------
@@ -699,7 +703,7 @@ def stream_sla_timer(spark, sf):
     sla_events(DOM.escalations(spark, sf), None, f"{base}/in", slices=4)
     run_sla_timer(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt")
     return spark.read.parquet(f"{base}/out").select(
-        "escalation_id", F.col("sla_deadline").cast("timestamp_ntz").alias("sla_deadline"), "cause")
+        "escalation_id", F.col("sla_deadline").cast("timestamp_ntz").alias("sla_deadline"))
 
 
 QUERIES.update({
