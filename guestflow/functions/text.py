@@ -21,8 +21,9 @@ def message_id(*cols) -> Column:
 
 
 def first_name(name) -> Column:
-    """First whitespace-separated token; null when the name is blank."""
-    return F.nullif(F.regexp_extract(_col(name), r"^\s*(\S+)", 1), F.lit(""))
+    """First whitespace-separated token; null when the name is blank.
+    Unicode whitespace (e.g. no-break space) separates tokens too."""
+    return F.nullif(F.regexp_extract(_col(name), r"(?U)^\s*(\S+)", 1), F.lit(""))
 
 
 def booking_ref_label(ref) -> Column:

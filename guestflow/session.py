@@ -24,8 +24,15 @@ def build_session(master: str | None = None, app: str = "guestflow",
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.driver.memory", os.environ.get("GUESTFLOW_DRIVER_MEMORY", "8g")))
+    # Shuffle sizing: start from many partitions and let AQE coalesce them to
+    # ~128 MB each, so a big shuffle never lands in a few oversized tasks and
+    # a small one does not pay for thousands of empty ones.
+    b = b.config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    else:
+        b = b.config("spark.sql.adaptive.coalescePartitions.initialPartitionNum",
+                     os.environ.get("GUESTFLOW_SHUFFLE_PARTITIONS", "2000"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)

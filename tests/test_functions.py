@@ -74,3 +74,8 @@ def test_defaults_and_cascade(spark):
     assert out[1].blocked is False and out[1].cascaded_identities == 2
     assert out[2].blocked is True and out[2].blocking_tables == "reservations" and out[2].cascaded_identities == 0
     assert out[3].cascaded_identities == 0 and out[3].blocked is False
+
+
+def test_first_name_unicode_space(spark):
+    df = spark.createDataFrame([("\u00a0Ravi\u00a0Kumar",), ("\u00a0\u00a0",)], "n string")
+    assert [r.f for r in df.select(first_name("n").alias("f")).collect()] == ["Ravi", None]
