@@ -40,10 +40,16 @@ def build_session(master: str | None = None, app: str = "guestflow",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a scratch one only when unset
-    (local runs and tests)."""
+    """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
+
+    Only a local-mode session without one gets a scratch folder (tests, local
+    runs); on a cluster a machine-local folder would not survive a lost
+    executor, so the setting is required there."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) on a cluster")
         d = tempfile.mkdtemp(prefix="guestflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
