@@ -120,3 +120,8 @@ def normalize_phone(phone, country_code: str = "91") -> Column:
                   F.concat(F.lit("+" + country_code), F.regexp_replace(digits, "^0", "")))
             .when(F.length(digits) == 10, F.concat(F.lit("+" + country_code), digits))
             .otherwise(F.concat(F.lit("+"), digits)))
+
+
+def conversation_key() -> Column:
+    """One conversation per (guest, channel, property): 'guest|channel|property'."""
+    return F.concat_ws("|", F.col("guest_id").cast("string"), F.col("source"), F.col("property_id"))

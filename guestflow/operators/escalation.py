@@ -9,16 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import CLOSED_STATUSES
+from ..functions.text import conversation_key
 
 
 def _ts(as_of) -> F.Column:
     return F.lit(as_of).cast("timestamp_ntz") if isinstance(as_of, str) else as_of
 
 
-def conversation_key() -> F.Column:
-    return F.concat_ws("|", F.col("guest_id").cast("string"), F.col("source"), F.col("property_id"))
-
-
 def create_escalations(responses: DataFrame, critical_minutes: int = 30, medium_hours: int = 24,
                        escalate_on_draft_error: bool = False) -> DataFrame:
     """One open escalation per message routed to escalate.

@@ -17,7 +17,7 @@ from ..functions.classify import classify_lowered
 from ..functions.rules import (DEFAULT_MODEL, FALLBACK_REPLY_HEAD, FALLBACK_REPLY_TAIL,
                                MAX_REPLY_TOKENS, MODEL_VERSIONS, SYSTEM_PROMPT)
 from ..functions.scoring import route_action, score_cents_lowered
-from ..functions.text import fallback_reply, property_text, user_prompt
+from ..functions.text import conversation_key, fallback_reply, property_text, user_prompt
 from ..operators.validate import split_valid, with_validation
 from ..sources import fixtures
 from ..sources.inbound import parse_payload
@@ -169,10 +169,6 @@ def process_messages(spark: SparkSession, sf_dir: str, drafter_factory=None) ->
 # ----------------------------------------------------------------------------
 # Domain tables fed by the flow (FIXTURES.md §3)
 
-def conversation_key() -> F.Column:
-    return F.concat_ws("|", F.col("guest_id").cast("string"), F.col("source"), F.col("property_id"))
-
-
 def messages_table(proc: DataFrame) -> DataFrame:
     """``messages``: inbound rows plus an outbound row per auto-sent reply at +3 s.
 

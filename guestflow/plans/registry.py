@@ -1,7 +1,7 @@
 """Registered queries: one per operator of the inventory, each (spark, sf_dir) → DataFrame.
 
 Each reads the given tables through the adapters, so its work grows with them.
-Column names match the oracle SQL of ``oracle_queries``.
+Column names match the oracle SQL in ``plans.oracle.ORACLE``.
 """
 from __future__ import annotations
 
