@@ -141,11 +141,22 @@ def sla_timer(events: DataFrame, watermark: str = "0 seconds") -> DataFrame:
                                     GroupStateTimeout.EventTimeTimeout))
 
 
-def run_sla_timer(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str) -> None:
-    """Drive S3 over JSON event files, one file per trigger, to completion."""
+def run_sla_timer(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
+                  state_partitions: int | None = None) -> None:
+    """Drive S3 over JSON event files, one file per trigger, to completion.
+
+    The state is split into ``state_partitions`` (default: the cluster's task
+    slots); a new query fixes this number in its checkpoint, so it is set
+    for the start only and the session value is restored afterwards."""
     ev = (spark.readStream.schema(SLA_EVENT_SCHEMA).option("maxFilesPerTrigger", 1).json(in_dir))
-    q = (sla_timer(ev).writeStream.format("parquet").option("path", out_dir)
-         .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
+    parts = state_partitions or spark.sparkContext.defaultParallelism
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        q = (sla_timer(ev).writeStream.format("parquet").option("path", out_dir)
+             .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     q.awaitTermination()
 
 
@@ -167,7 +178,7 @@ def sla_events(esc: DataFrame, clock, path: str, slices: int = 4):
         F.col("id").alias("escalation_id"), F.lit("responded").alias("kind"),
         F.col("first_response_at").cast("timestamp").alias("event_time"),
         F.lit(None).cast("timestamp").alias("deadline"))
-    ev = opened.unionByName(responded)
+    ev = opened.unionByName(responded).persist()  # scanned once per slice below
     bounds = ev.agg(F.min("event_time").alias("lo"), F.max("event_time").alias("hi")).first()
     lo, hi = bounds["lo"], bounds["hi"]
     step = (hi - lo) / slices
@@ -177,6 +188,7 @@ def sla_events(esc: DataFrame, clock, path: str, slices: int = 4):
         if end is not None:
             part = part.filter(F.col("event_time") < F.lit(end))
         part.coalesce(1).write.mode("append").json(path)
+    ev.unpersist()
     if clock is None:
         last = esc.agg(F.greatest(F.max("sla_deadline"), F.max("first_response_at"),
                                   F.max("escalated_at")).alias("t")).first()["t"]
