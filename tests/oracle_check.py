@@ -99,9 +99,15 @@ def compare(spark, con, name, fn, sql, sf_dir):
 def main(argv):
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     names = argv[2:]
-    from guestflow.session import build_session
     import __spark_entry__ as E
-    spark = build_session(shuffle_partitions=8)
+    if os.environ.get("BARE"):  # a default session, as the driver may create it
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+                 .config("spark.ui.showConsoleProgress", "false").getOrCreate())
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        from guestflow.session import build_session
+        spark = build_session(shuffle_partitions=8)
     con = duck(sf_dir)
     qs, orc = E.queries(), E.oracle_sql()
     bad = 0
