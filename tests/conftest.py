@@ -21,6 +21,7 @@ def spark():
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="gf-test-ckpt-"))
+         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="gf-test-wh-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     from guestflow.session import ensure_checkpoint_dir

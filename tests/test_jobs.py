@@ -121,3 +121,19 @@ def test_rate_counts_stream_equals_batch(spark):
     got = spark.read.parquet(f"{base}/out").filter("property_id <> '__clock__'")
     want = rate_counts(m, "1 day", 3)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_bucketed_tables_join_without_shuffle(spark):
+    from guestflow.operators.reports import inbound_complaints
+    from guestflow.sources.sinks import save_bucketed
+    save_bucketed(DOM.messages(spark, SF001).withColumnRenamed("id", "message_id"), "gf_messages", "message_id", 8)
+    save_bucketed(DOM.ai_metadata(spark, SF001), "gf_ai", "message_id", 8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        m = spark.table("gf_messages").withColumnRenamed("message_id", "id")
+        j = inbound_complaints(m, spark.table("gf_ai"))
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan, plan
+        assert j.count() == inbound_complaints(DOM.messages(spark, SF001), DOM.ai_metadata(spark, SF001)).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
