@@ -186,34 +186,45 @@ def apply_defaults(df: DataFrame, table: str, as_of: str) -> DataFrame:
     return out
 
 
-def domain_report(tables: dict[str, DataFrame], domains=DOMAINS) -> DataFrame:
-    """Rows outside each comment-only domain (warnings)."""
+def _per_table_counts(tables: dict[str, DataFrame], checks: dict, value_cols) -> DataFrame:
+    """One aggregate pass per table for all of its checks, unpivoted with
+    ``stack``. ``checks`` maps table -> [(label columns..., count expression)]."""
     parts = []
-    for (name, col), allowed in domains.items():
+    for name, items in checks.items():
         df = tables[name]
-        parts.append(df.agg(F.count(F.lit(1)).alias("n_rows"),
-                            F.count_if(F.col(col).isNull() | ~F.col(col).isin(*allowed)).alias("n_outside"))
-                     .select(F.lit(name).alias("table_name"), F.lit(col).alias("column_name"),
-                             F.col("n_rows").cast("bigint"), F.col("n_outside").cast("bigint")))
+        aggs = [expr.alias(f"c{i}") for i, (*_, expr) in enumerate(items)]
+        row = df.agg(F.count(F.lit(1)).alias("n_rows"), *aggs)
+        labels = [lab for *lab, _ in items]
+        width = len(labels[0])
+        stack = ", ".join(", ".join(f"'{v}'" for v in lab) + f", c{i}" for i, lab in enumerate(labels))
+        cols = ", ".join(value_cols[:width]) + ", n"
+        parts.append(row.selectExpr("n_rows", f"stack({len(items)}, {stack}) as ({cols})")
+                     .select(F.lit(name).alias("table_name"), *value_cols[:width],
+                             F.col("n_rows").cast("bigint").alias("n_rows"), F.col("n").cast("bigint").alias("n")))
     return reduce(DataFrame.unionByName, parts)
 
 
+def domain_report(tables: dict[str, DataFrame], domains=DOMAINS) -> DataFrame:
+    """Rows outside each comment-only domain (warnings), one pass per table."""
+    checks: dict = {}
+    for (name, col), allowed in domains.items():
+        bad = F.count_if(F.col(col).isNull() | ~F.col(col).isin(*allowed))
+        checks.setdefault(name, []).append((col, bad))
+    out = _per_table_counts(tables, checks, ["column_name"])
+    return out.select("table_name", "column_name", "n_rows", F.col("n").alias("n_outside"))
+
+
 def width_report(tables: dict[str, DataFrame], widths=WIDTHS, numerics=NUMERICS) -> DataFrame:
     """Values longer than their VARCHAR width, numbers that do not fit
-    their NUMERIC(p, s)."""
-    parts = []
+    their NUMERIC(p, s); one pass per table."""
+    checks: dict = {}
     for (name, col), n in widths.items():
-        df = tables[name]
-        parts.append(df.agg(F.count_if(F.length(F.col(col)) > n).alias("n_violations"))
-                     .select(F.lit(name).alias("table_name"), F.lit(col).alias("column_name"),
-                             F.lit(f"varchar({n})").alias("rule"), F.col("n_violations").cast("bigint")))
+        checks.setdefault(name, []).append((col, f"varchar({n})", F.count_if(F.length(F.col(col)) > n)))
     for (name, col), (p, s) in numerics.items():
-        df = tables[name]
         bad = F.col(col).isNotNull() & F.expr(f"try_cast(`{col}` AS decimal({p},{s}))").isNull()
-        parts.append(df.agg(F.count_if(bad).alias("n_violations"))
-                     .select(F.lit(name).alias("table_name"), F.lit(col).alias("column_name"),
-                             F.lit(f"numeric({p},{s})").alias("rule"), F.col("n_violations").cast("bigint")))
-    return reduce(DataFrame.unionByName, parts)
+        checks.setdefault(name, []).append((col, f"numeric({p},{s})", F.count_if(bad)))
+    out = _per_table_counts(tables, checks, ["column_name", "rule"])
+    return out.select("table_name", "column_name", "rule", F.col("n").alias("n_violations"))
 
 
 def cascade_delete(guests_to_delete: DataFrame, identities: DataFrame, blockers: dict[str, DataFrame]) -> DataFrame:

@@ -70,14 +70,16 @@ def _pick(values, index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + F.lit(1)).cast("int"))
 
 
-def inbound_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def inbound_events(spark: SparkSession, sf_dir: str, keep=()) -> DataFrame:
     """Inbound payload rows derived from ``events`` (one per event).
 
     Columns: event_id, guest_id, event_value, message_id + the six payload
     fields as strings (timestamp as ISO text), exactly as a channel would
-    send them, including planted bad rows.
+    send them, including planted bad rows; plus any ``keep`` columns of
+    ``events`` passed through from the same scan.
     """
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
+    keep = list(keep)
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value", *keep)
     e = F.col("event_id")
     shifted = F.expr("timestampadd(DAY, CAST(event_id % 180 AS INT), ts)")
     return ev.select(
@@ -96,6 +98,7 @@ def inbound_events(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(F.concat(F.lit("BK-"), ((e * 7) % 20000).cast("string"))).alias("booking_ref"),
         F.when(e % 67 == 0, F.lit(None).cast("string")).when(e % 41 == 0, F.lit("villa-unknown"))
          .otherwise(F.concat(F.lit("villa-"), (F.col("user_id") % 25).cast("string"))).alias("property_id"),
+        *keep,
     )
 
 
