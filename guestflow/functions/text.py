@@ -39,14 +39,21 @@ def _txt(c, missing="Not on file") -> Column:
     return F.coalesce(_col(c).cast("string"), F.lit(missing))
 
 
-def property_text(prefix: str = "p_") -> Column:
+REDACTED_WIFI = "Shared with guests who hold a booking"
+
+
+def property_text(prefix: str = "p_", redact: Column | None = None) -> Column:
     """Thirteen property facts in a fixed ten-line layout.
 
     Expects the columns of the properties table prefixed with ``prefix``
     (after an enrichment join). Unknown property (no ``{prefix}id``) gives the
-    'unavailable' sentence.
+    'unavailable' sentence. Where ``redact`` is true the WiFi password is
+    replaced by a notice.
     """
     c = lambda n: F.col(prefix + n)
+    wifi = _txt(c("wifi_password"))
+    if redact is not None:
+        wifi = F.when(redact, F.lit(REDACTED_WIFI)).otherwise(wifi)
     lines = [
         F.concat(F.lit("Property: "), _txt(c("name"))),
         F.concat(F.lit("Bedrooms: "), _txt(c("bedrooms")), F.lit(" | Max Guests: "), _txt(c("max_guests")),
@@ -55,7 +62,7 @@ def property_text(prefix: str = "p_") -> Column:
         F.concat(F.lit("Base Rate: INR "), _txt(c("base_rate_inr")), F.lit(" per night")),
         F.concat(F.lit("Extra Guest Rate: INR "), _txt(c("extra_guest_rate_inr")),
                  F.lit(" per night per additional guest")),
-        F.concat(F.lit("WiFi Password: "), _txt(c("wifi_password"))),
+        F.concat(F.lit("WiFi Password: "), wifi),
         F.concat(F.lit("Caretaker: "), _txt(c("caretaker_hours"))),
         F.concat(F.lit("Chef on Call: "), yes_no(c("chef_available"))),
         F.concat(F.lit("Availability (April 20-24): "), _txt(c("availability_april_20_24"))),

@@ -89,13 +89,17 @@ def _drafting(factory: Callable[[], Callable[[dict], str]], model: str):
     return run
 
 
-def with_prompts(df: DataFrame, props: DataFrame) -> DataFrame:
+def with_prompts(df: DataFrame, props: DataFrame, redact_unverified: bool = False) -> DataFrame:
     """D1 + C7 + C8: left join the property facts (a miss keeps the row with
-    the 'unavailable' text) and build the user prompt."""
+    the 'unavailable' text) and build the user prompt.
+
+    ``redact_unverified`` keeps the WiFi password out of prompts for messages
+    without a booking reference (the default sends it, as the service does)."""
     p = bounded_broadcast(props.select(*[F.col(c).alias("p_" + c) for c in props.columns]))
     joined = df.join(p, df["property_id"] == p["p_id"], "left")
+    redact = F.coalesce(F.col("booking_ref"), F.lit("")) == "" if redact_unverified else None
     return joined.withColumn("prompt", user_prompt("first_name", "source", "query_type", "booking_ref",
-                                                   property_text("p_"), "message"))
+                                                   property_text("p_", redact), "message"))
 
 
 def draft_replies(df: DataFrame, props: DataFrame | None = None, drafter_factory=None,

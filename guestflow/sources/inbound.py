@@ -44,11 +44,19 @@ def parse_payload(df: DataFrame, raw_col: str = "raw", check_types: bool = False
     return out.select(*keep, F.json_tuple(F.col(raw_col), *names).alias(*names))
 
 
-def read_inbound(spark: SparkSession, path: str, check_types: bool = True) -> DataFrame:
+def read_inbound(spark: SparkSession, path: str, check_types: bool = True,
+                 drop_redeliveries: bool = False) -> DataFrame:
     """A1 over files: one JSON payload per line; ``message_id`` is the stable
-    hash of the raw body and its file position is not used."""
+    hash of the raw body and its file position is not used.
+
+    A channel that delivers a payload twice gives the same id; by default both
+    rows are kept (as the service does). ``drop_redeliveries`` keeps one per
+    id; ``dropDuplicates`` combines map-side, so a body repeated very often
+    collapses before the shuffle."""
     raw = spark.read.text(path).withColumnRenamed("value", "raw")
     raw = raw.withColumn("message_id", message_id("raw"))
+    if drop_redeliveries:
+        raw = raw.dropDuplicates(["message_id"])
     return parse_payload(raw, check_types=check_types)
 
 

@@ -79,3 +79,26 @@ def test_defaults_and_cascade(spark):
 def test_first_name_unicode_space(spark):
     df = spark.createDataFrame([("\u00a0Ravi\u00a0Kumar",), ("\u00a0\u00a0",)], "n string")
     assert [r.f for r in df.select(first_name("n").alias("f")).collect()] == ["Ravi", None]
+
+
+def test_redact_unverified_prompts(spark):
+    from guestflow.plans.process import with_decision, with_prompts
+    from guestflow.functions.text import REDACTED_WIFI
+    rows = [("m1", "Ann Lee", "whatsapp", "wifi password?", "BK-1", "villa-1"),
+            ("m2", "Bo Kim", "whatsapp", "wifi password?", None, "villa-1")]
+    df = spark.createDataFrame(rows, "message_id string, first_name string, source string, message string, "
+                                     "booking_ref string, property_id string")
+    props = fixtures.properties(spark, SF01)
+    plain = {r.message_id: r.prompt for r in with_prompts(with_decision(df), props).collect()}
+    red = {r.message_id: r.prompt for r in with_prompts(with_decision(df), props, redact_unverified=True).collect()}
+    assert "stay-1-wifi" in plain["m2"] and "stay-1-wifi" in red["m1"]
+    assert "stay-1-wifi" not in red["m2"] and REDACTED_WIFI in red["m2"]
+
+
+def test_drop_redeliveries(spark, tmp_path):
+    from guestflow.sources.inbound import read_inbound
+    body = '{"source":"direct","guest_name":"A B","message":"hi","timestamp":"2026-01-01T00:00:00Z","property_id":"villa-1"}'
+    p = tmp_path / "in.jsonl"
+    p.write_text("\n".join([body, body, body.replace("hi", "hello")]) + "\n")
+    assert read_inbound(spark, str(p)).count() == 3
+    assert read_inbound(spark, str(p), drop_redeliveries=True).count() == 2
