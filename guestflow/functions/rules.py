@@ -138,3 +138,36 @@ OTHER_TOPIC = "other"
 
 ESCALATION_STATUSES = ["open", "assigned", "in_progress", "resolved", "closed"]
 CLOSED_STATUSES = ["resolved", "closed"]
+
+# --- FIXED VALUES: layout of the user prompt, line by line; {name} is filled in.
+PROMPT_LINES = [
+    "Guest Name: {first_name}",
+    "Channel: {source}",
+    "Query Type: {query_type}",
+    "Booking Reference: {booking_ref}",
+    "",
+    "Property Details:",
+    "{property_text}",
+    "",
+    "Guest Message:",
+    "{message}",
+    "",
+    "Draft a reply to this guest message. Follow the tone guidelines",
+    "for the query type above. Address the guest as {first_name}.",
+]
+
+# --- FIXED VALUES: layout of the property facts, line by line; {name} is filled in.
+# (The rate lines carry our own unit text because our table stores numbers.)
+PROPERTY_LINES = [
+    "Property: {name}",
+    "Bedrooms: {bedrooms} | Max Guests: {max_guests} | Private Pool: {private_pool}",
+    "Check-in: {check_in_time} | Check-out: {check_out_time}",
+    "Base Rate: INR {base_rate_inr} per night",
+    "Extra Guest Rate: INR {extra_guest_rate_inr} per night per additional guest",
+    "WiFi Password: {wifi_password}",
+    "Caretaker: {caretaker_hours}",
+    "Chef on Call: {chef_available}",
+    "Availability (April 20-24): {availability_april_20_24}",
+    "Cancellation Policy: {cancellation_policy}",
+]
+MISSING_FACT = "Not on file"

@@ -1,12 +1,15 @@
 """Text-building column functions."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .classify import _col
-from .rules import (DEFAULT_MODEL, FALLBACK_REPLY_HEAD, FALLBACK_REPLY_TAIL,
-                    MAX_REPLY_TOKENS, NO_BOOKING_TEXT, NO_PROPERTY_TEXT, SYSTEM_PROMPT)
+from .rules import (DEFAULT_MODEL, FALLBACK_REPLY_HEAD, FALLBACK_REPLY_TAIL, MAX_REPLY_TOKENS,
+                    MISSING_FACT, NO_BOOKING_TEXT, NO_PROPERTY_TEXT, PROMPT_LINES, PROPERTY_LINES,
+                    SYSTEM_PROMPT)
 
 
 def message_id(*cols) -> Column:
@@ -35,60 +38,54 @@ def yes_no(flag) -> Column:
     return F.when(_col(flag), F.lit("Yes")).otherwise(F.lit("No"))
 
 
-def _txt(c, missing="Not on file") -> Column:
+def _txt(c, missing=MISSING_FACT) -> Column:
     return F.coalesce(_col(c).cast("string"), F.lit(missing))
 
 
 REDACTED_WIFI = "Shared with guests who hold a booking"
 
+_FIELD = re.compile(r"\{(\w+)\}")
+
+
+def render(template: str, values: dict) -> Column:
+    """A fixed line template with ``{name}`` slots filled by columns."""
+    parts, pos = [], 0
+    for m in _FIELD.finditer(template):
+        if m.start() > pos:
+            parts.append(F.lit(template[pos:m.start()]))
+        parts.append(values[m.group(1)])
+        pos = m.end()
+    if pos < len(template) or not parts:
+        parts.append(F.lit(template[pos:]))
+    return parts[0] if len(parts) == 1 else F.concat(*parts)
+
 
 def property_text(prefix: str = "p_", redact: Column | None = None) -> Column:
-    """Thirteen property facts in a fixed ten-line layout.
+    """Thirteen property facts in the fixed ten-line layout.
 
     Expects the columns of the properties table prefixed with ``prefix``
     (after an enrichment join). Unknown property (no ``{prefix}id``) gives the
     'unavailable' sentence. Where ``redact`` is true the WiFi password is
-    replaced by a notice.
+    replaced by a notice. Booleans print as Yes/No, missing facts as
+    'Not on file'.
     """
-    c = lambda n: F.col(prefix + n)
-    wifi = _txt(c("wifi_password"))
+    values = {}
+    for line in PROPERTY_LINES:
+        for name in _FIELD.findall(line):
+            col = F.col(prefix + name)
+            values[name] = yes_no(col) if name in ("private_pool", "chef_available") else _txt(col)
     if redact is not None:
-        wifi = F.when(redact, F.lit(REDACTED_WIFI)).otherwise(wifi)
-    lines = [
-        F.concat(F.lit("Property: "), _txt(c("name"))),
-        F.concat(F.lit("Bedrooms: "), _txt(c("bedrooms")), F.lit(" | Max Guests: "), _txt(c("max_guests")),
-                 F.lit(" | Private Pool: "), yes_no(c("private_pool"))),
-        F.concat(F.lit("Check-in: "), _txt(c("check_in_time")), F.lit(" | Check-out: "), _txt(c("check_out_time"))),
-        F.concat(F.lit("Base Rate: INR "), _txt(c("base_rate_inr")), F.lit(" per night")),
-        F.concat(F.lit("Extra Guest Rate: INR "), _txt(c("extra_guest_rate_inr")),
-                 F.lit(" per night per additional guest")),
-        F.concat(F.lit("WiFi Password: "), wifi),
-        F.concat(F.lit("Caretaker: "), _txt(c("caretaker_hours"))),
-        F.concat(F.lit("Chef on Call: "), yes_no(c("chef_available"))),
-        F.concat(F.lit("Availability (April 20-24): "), _txt(c("availability_april_20_24"))),
-        F.concat(F.lit("Cancellation Policy: "), _txt(c("cancellation_policy"))),
-    ]
-    return F.when(c("id").isNull(), F.lit(NO_PROPERTY_TEXT)).otherwise(F.concat_ws("\n", *lines))
+        values["wifi_password"] = F.when(redact, F.lit(REDACTED_WIFI)).otherwise(values["wifi_password"])
+    lines = [render(line, values) for line in PROPERTY_LINES]
+    return F.when(F.col(prefix + "id").isNull(), F.lit(NO_PROPERTY_TEXT)).otherwise(F.concat_ws("\n", *lines))
 
 
 def user_prompt(first, source, query_type, booking_ref, prop_text, message) -> Column:
-    """The user turn of the drafting request."""
-    return F.concat_ws(
-        "\n",
-        F.concat(F.lit("Guest Name: "), _col(first)),
-        F.concat(F.lit("Channel: "), _col(source)),
-        F.concat(F.lit("Query Type: "), _col(query_type)),
-        F.concat(F.lit("Booking Reference: "), booking_ref_label(booking_ref)),
-        F.lit(""),
-        F.lit("Property Details:"),
-        _col(prop_text),
-        F.lit(""),
-        F.lit("Guest Message:"),
-        _col(message),
-        F.lit(""),
-        F.lit("Draft a reply to this guest message. Follow the tone guidelines"),
-        F.concat(F.lit("for the query type above. Address the guest as "), _col(first), F.lit(".")),
-    )
+    """The user turn of the drafting request, in the fixed layout."""
+    values = {"first_name": _col(first), "source": _col(source), "query_type": _col(query_type),
+              "booking_ref": booking_ref_label(booking_ref), "property_text": _col(prop_text),
+              "message": _col(message)}
+    return F.concat_ws("\n", *[render(line, values) for line in PROMPT_LINES])
 
 
 def prompt_request(prompt, model: str = DEFAULT_MODEL, max_tokens: int = MAX_REPLY_TOKENS) -> Column:

@@ -7,12 +7,15 @@ fixed rule tables, so the rules are stated once.
 """
 from __future__ import annotations
 
+import re
+
 from ..functions.rules import (AMBIGUITY_PHRASES, BASE_SCORE_CENTS, CHANNELS, CLASS_RULES,
                                COMPLAINT_TOPICS, CONFIDENCE_BANDS, DEFAULT_MODEL, DEFAULT_SCORE_CENTS,
                                FALLBACK_CLASS, FALLBACK_REPLY_HEAD, FALLBACK_REPLY_TAIL,
                                MAX_REPLY_TOKENS, MODEL_VERSIONS, MULTI_INTENT_PAIRS,
                                NO_BOOKING_TEXT, NO_PROPERTY_TEXT, SYSTEM_PROMPT, BAND_BELOW,
-                               BAND_COMPLAINT, OTHER_TOPIC)
+                               BAND_COMPLAINT, OTHER_TOPIC, MISSING_FACT, PROMPT_LINES,
+                               PROPERTY_LINES)
 from ..operators.validate import (ISO_SHAPE, MSG_BAD_DATETIME, MSG_BAD_SOURCE, MSG_MISSING,
                                   MSG_TOO_SHORT, field_path)
 from ..sources.fixtures import MESSAGE_TEMPLATES
@@ -231,39 +234,38 @@ def sql(needs: list[str], body: str) -> str:
 
 
 def _txt(c: str) -> str:
-    return f"coalesce(CAST({c} AS VARCHAR), 'Not on file')"
+    return f"coalesce(CAST({c} AS VARCHAR), {q(MISSING_FACT)})"
 
 
 def _yn(c: str) -> str:
     return f"(CASE WHEN {c} THEN 'Yes' ELSE 'No' END)"
 
 
+def render_sql(template: str, values: dict) -> str:
+    """SQL for a fixed line template with ``{name}`` slots."""
+    parts, pos = [], 0
+    for m in re.finditer(r"\{(\w+)\}", template):
+        if m.start() > pos:
+            parts.append(q(template[pos:m.start()]))
+        parts.append(values[m.group(1)])
+        pos = m.end()
+    if pos < len(template) or not parts:
+        parts.append(q(template[pos:]))
+    return " || ".join(parts)
+
+
 def property_text_sql(p: str = "p") -> str:
-    lines = [
-        f"'Property: ' || {_txt(p + '.name')}",
-        f"'Bedrooms: ' || {_txt(p + '.bedrooms')} || ' | Max Guests: ' || {_txt(p + '.max_guests')}"
-        f" || ' | Private Pool: ' || {_yn(p + '.private_pool')}",
-        f"'Check-in: ' || {_txt(p + '.check_in_time')} || ' | Check-out: ' || {_txt(p + '.check_out_time')}",
-        f"'Base Rate: INR ' || {_txt(p + '.base_rate_inr')} || ' per night'",
-        f"'Extra Guest Rate: INR ' || {_txt(p + '.extra_guest_rate_inr')} || ' per night per additional guest'",
-        f"'WiFi Password: ' || {_txt(p + '.wifi_password')}",
-        f"'Caretaker: ' || {_txt(p + '.caretaker_hours')}",
-        f"'Chef on Call: ' || {_yn(p + '.chef_available')}",
-        f"'Availability (April 20-24): ' || {_txt(p + '.availability_april_20_24')}",
-        f"'Cancellation Policy: ' || {_txt(p + '.cancellation_policy')}",
-    ]
+    values = {n: (_yn(f"{p}.{n}") if n in ("private_pool", "chef_available") else _txt(f"{p}.{n}"))
+              for line in PROPERTY_LINES for n in re.findall(r"\{(\w+)\}", line)}
+    lines = [render_sql(line, values) for line in PROPERTY_LINES]
     return f"(CASE WHEN {p}.id IS NULL THEN {q(NO_PROPERTY_TEXT)} ELSE concat_ws(chr(10), {', '.join(lines)}) END)"
 
 
 def prompt_sql(p: str = "p") -> str:
-    parts = [
-        "'Guest Name: ' || d.first_name", "'Channel: ' || d.source", "'Query Type: ' || d.query_type",
-        f"'Booking Reference: ' || coalesce(nullif(d.booking_ref, ''), {q(NO_BOOKING_TEXT)})",
-        "''", "'Property Details:'", property_text_sql(p), "''", "'Guest Message:'", "d.message", "''",
-        q("Draft a reply to this guest message. Follow the tone guidelines"),
-        "'for the query type above. Address the guest as ' || d.first_name || '.'",
-    ]
-    return f"concat_ws(chr(10), {', '.join(parts)})"
+    values = {"first_name": "d.first_name", "source": "d.source", "query_type": "d.query_type",
+              "booking_ref": f"coalesce(nullif(d.booking_ref, ''), {q(NO_BOOKING_TEXT)})",
+              "property_text": property_text_sql(p), "message": "d.message"}
+    return f"concat_ws(chr(10), {', '.join(render_sql(line, values) for line in PROMPT_LINES)})"
 
 
 _EXPLAIN_HITS = ", ".join(f"CASE WHEN contains(lower(text), {q(w)}) THEN {q(name + ':' + w)} END"
