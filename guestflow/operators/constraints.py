@@ -152,16 +152,34 @@ def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
 
 
 def foreign_key_report(tables: dict[str, DataFrame], fks=FOREIGN_KEYS) -> DataFrame:
-    """Orphan count per reference."""
-    parts = []
-    for child, col, parent, pk in fks:
-        # one row per distinct reference (map-side combine collapses hot keys)
-        refs = tables[child].filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-        o = orphans(refs, col, tables[parent], pk)
-        parts.append(o.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("n_orphans")).select(
-            F.lit(child).alias("child_table"), F.lit(col).alias("fk_column"),
-            F.lit(parent).alias("parent_table"), F.col("n_orphans")))
-    return reduce(DataFrame.unionByName, parts)
+    """Orphan count per reference, all references in one job.
+
+    Each child table is scanned once, emitting (reference, key) for every
+    non-null foreign key it holds; the pairs are counted map-side (a hot key
+    collapses to one row) and anti-joined once against the distinct parent
+    keys of every reference."""
+    by_child: dict = {}
+    by_parent: dict = {}
+    for i, (child, col, parent, pk) in enumerate(fks):
+        by_child.setdefault(child, []).append((i, col))
+        by_parent.setdefault((parent, pk), []).append(i)
+    refs = reduce(DataFrame.unionByName, [
+        tables[child].select(F.explode(F.array(*[
+            F.struct(F.lit(i).alias("fk"), F.col(col).cast("string").alias("k")) for i, col in cols])).alias("r"))
+        .select("r.fk", "r.k")
+        for child, cols in by_child.items()]).filter(F.col("k").isNotNull())
+    counted = refs.groupBy("fk", "k").agg(F.count(F.lit(1)).alias("n"))
+    parents = reduce(DataFrame.unionByName, [
+        tables[parent].select(F.col(pk).cast("string").alias("k")).distinct()
+        .select(F.explode(F.array(*[F.lit(i) for i in ids])).alias("fk"), "k")
+        for (parent, pk), ids in by_parent.items()])
+    orphan_counts = counted.join(parents, ["fk", "k"], "left_anti").groupBy("fk").agg(F.sum("n").alias("n"))
+    listing = counted.sparkSession.createDataFrame(
+        [(i, c, col, p) for i, (c, col, p, _) in enumerate(fks)],
+        "fk int, child_table string, fk_column string, parent_table string")
+    return (listing.join(orphan_counts, "fk", "left")
+            .select("child_table", "fk_column", "parent_table",
+                    F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n_orphans")))
 
 
 def null_report(tables: dict[str, DataFrame], not_null=NOT_NULL) -> DataFrame:
