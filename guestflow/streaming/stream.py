@@ -143,12 +143,14 @@ def sla_timer(events: DataFrame, watermark: str = "0 seconds") -> DataFrame:
 
 def run_sla_timer(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
                   state_partitions: int | None = None) -> None:
-    """Drive S3 over JSON event files, one file per trigger, to completion.
+    """One incremental S3 run: every event file not yet seen by the
+    checkpoint is read as one micro-batch, then the query stops
+    (``availableNow``); the state and watermark carry over to the next run.
 
     The state is split into ``state_partitions`` (default: the cluster's task
     slots); a new query fixes this number in its checkpoint, so it is set
     for the start only and the session value is restored afterwards."""
-    ev = (spark.readStream.schema(SLA_EVENT_SCHEMA).option("maxFilesPerTrigger", 1).json(in_dir))
+    ev = spark.readStream.schema(SLA_EVENT_SCHEMA).json(in_dir)
     parts = state_partitions or spark.sparkContext.defaultParallelism
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
@@ -160,17 +162,28 @@ def run_sla_timer(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: st
     q.awaitTermination()
 
 
-def write_lines(df: DataFrame, path: str, n_files: int) -> None:
-    """Write a DataFrame's ``raw`` column as ``n_files`` text files (a replayable source)."""
-    df.select("raw").repartition(n_files).write.mode("overwrite").text(path)
-
-
-def sla_events(esc: DataFrame, clock, path: str, slices: int = 4):
-    """Replayable S3 input from an escalations table: opened and responded
-    events in ``slices`` time-ordered files, then a clock tick so the
-    watermark reaches ``clock`` (None: one second after the last deadline or
-    event, i.e. the end of the data). Files are written one after another, so
-    the file source reads them in time order. Returns the clock used."""
+def write_lines(df: DataFrame, path: str, min_files: int) -> int:
+    """Write a DataFrame's ``raw`` column as text files (a replayable source):
+    one file per input split, at least ``min_files``. Returns the file count."""
+    n = max(min_files, df.rdd.getNumPartitions())
+    df.select("raw").repartition(n).write.mode("overwrite").text(path)
+    return n
+
+
+def replay_sla_timer(esc: DataFrame, base: str, slices: int = 4, clock=None,
+                     state_partitions: int | None = None):
+    """S3 over an escalations table replayed as a stream.
+
+    Opened and responded events are cut into ``slices`` consecutive time
+    ranges. Each range is written by all tasks in parallel and then consumed
+    by one ``run_sla_timer`` run on the same checkpoint, so a range is exactly
+    one micro-batch and event time only moves forward between batches. A
+    final clock tick moves the watermark to ``clock`` (None: one second after
+    the last deadline or event, i.e. the end of the data) and fires the
+    remaining timers; it rides with the last range. Breaches land in
+    ``{base}/out``; returns the clock used."""
+    spark = esc.sparkSession
+    in_dir, out_dir, ckpt = f"{base}/in", f"{base}/out", f"{base}/ckpt"
     opened = esc.select(F.col("id").alias("escalation_id"), F.lit("opened").alias("kind"),
                         F.col("escalated_at").cast("timestamp").alias("event_time"),
                         F.col("sla_deadline").cast("timestamp").alias("deadline"))
@@ -179,22 +192,27 @@ def sla_events(esc: DataFrame, clock, path: str, slices: int = 4):
         F.col("first_response_at").cast("timestamp").alias("event_time"),
         F.lit(None).cast("timestamp").alias("deadline"))
     ev = opened.unionByName(responded).persist()  # scanned once per slice below
-    bounds = ev.agg(F.min("event_time").alias("lo"), F.max("event_time").alias("hi")).first()
-    lo, hi = bounds["lo"], bounds["hi"]
-    step = (hi - lo) / slices
-    for i in range(slices):
-        start, end = lo + step * i, (lo + step * (i + 1) if i < slices - 1 else None)
-        part = ev.filter(F.col("event_time") >= F.lit(start))
-        if end is not None:
-            part = part.filter(F.col("event_time") < F.lit(end))
-        part.coalesce(1).write.mode("append").json(path)
-    ev.unpersist()
-    if clock is None:
-        last = esc.agg(F.greatest(F.max("sla_deadline"), F.max("first_response_at"),
-                                  F.max("escalated_at")).alias("t")).first()["t"]
-        clock = (last + dt.timedelta(seconds=1)).strftime("%Y-%m-%d %H:%M:%S")
-    tick = esc.sparkSession.range(1).select(F.lit("__clock__").alias("escalation_id"), F.lit("tick").alias("kind"),
-                                            F.lit(clock).cast("timestamp").alias("event_time"),
-                                            F.lit(None).cast("timestamp").alias("deadline"))
-    tick.coalesce(1).write.mode("append").json(path)
+    try:
+        b = ev.agg(F.min("event_time").alias("lo"), F.max("event_time").alias("hi")).first()
+        lo, hi = b["lo"], b["hi"]
+        if clock is None:
+            last = esc.agg(F.greatest(F.max("sla_deadline"), F.max("first_response_at"),
+                                      F.max("escalated_at")).alias("t")).first()["t"]
+            clock = (last + dt.timedelta(seconds=1)).strftime("%Y-%m-%d %H:%M:%S")
+        step = (hi - lo) / slices
+        tick = spark.range(1).select(F.lit("__clock__").alias("escalation_id"), F.lit("tick").alias("kind"),
+                                     F.lit(clock).cast("timestamp").alias("event_time"),
+                                     F.lit(None).cast("timestamp").alias("deadline"))
+        for i in range(slices):
+            part = ev.filter(F.col("event_time") >= F.lit(lo + step * i))
+            if i < slices - 1:
+                part = part.filter(F.col("event_time") < F.lit(lo + step * (i + 1)))
+            else:
+                # the tick rides with the last range: the watermark moves only
+                # after a batch, so nothing in that batch counts as late
+                part = part.unionByName(tick)
+            part.write.mode("append").json(in_dir)
+            run_sla_timer(spark, in_dir, out_dir, ckpt, state_partitions)
+    finally:
+        ev.unpersist()
     return clock

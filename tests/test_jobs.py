@@ -14,7 +14,7 @@ from guestflow.plans import domain as DOM
 from guestflow.plans import process as P
 from guestflow.sources import fixtures
 from guestflow.sources.sinks import scratch_path
-from guestflow.streaming.stream import run_sla_timer, sla_events
+from guestflow.streaming.stream import replay_sla_timer
 
 
 def test_every_row_lands_once(spark):
@@ -95,8 +95,7 @@ def test_stream_process_equals_batch(spark):
 def test_sla_timer_equals_batch(spark):
     esc = DOM.escalations(spark, SF001)
     base = scratch_path(spark, "sla-test")
-    clock = sla_events(esc, None, f"{base}/in", slices=3)
-    run_sla_timer(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt")
+    clock = replay_sla_timer(esc, base, slices=3)
     stream_ids = {r.escalation_id for r in spark.read.parquet(f"{base}/out").collect()}
     batch_ids = {r.id for r in mark_sla_breached(esc, clock).filter("sla_breached").collect()}
     assert stream_ids == batch_ids and len(stream_ids) > 0
