@@ -70,22 +70,21 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def materialize(df: DataFrame, folder: str) -> DataFrame:
-    """Cut lineage: a reliable ``checkpoint()`` into the shared checkpoint
-    folder, or, where the session cannot checkpoint, a parquet table written
-    there and read back."""
-    try:
-        return df.checkpoint(eager=True)
-    except Exception:
-        import uuid
-        path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
-        df.write.mode("overwrite").parquet(path)
-        return df.sparkSession.read.parquet(path)
+    """Cut lineage: write a parquet table into the shared checkpoint folder
+    and read it back. Unlike an eager ``checkpoint()`` (which computes the
+    plan once to count and again to save unless cached), the flow runs
+    once; later scans get column pruning and filter pushdown, and a lost
+    executor costs a re-read, not a re-run of the flow."""
+    import uuid
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def materialized_tables(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> dict:
     """The eight domain tables with the flow-derived ones computed once and
-    cut from their lineage with a reliable ``checkpoint()`` (written to the
-    shared ``spark.checkpoint.dir``), for reports that scan them many times."""
+    cut from their lineage as a parquet table in the shared
+    ``spark.checkpoint.dir``, for reports that scan them many times."""
     from ..operators import escalation as E
     from ..session import ensure_checkpoint_dir
     vdec = materialize(valid_decided(spark, sf_dir), ensure_checkpoint_dir(spark))
