@@ -69,10 +69,13 @@ def rolling_count(df: DataFrame, keys, ts_col: str, days: int, name: str = "roll
     Keys must not be null."""
     keys = list(keys)
     row = F.struct(*[F.col(c) for c in df.columns])
-    ins = df.select(*keys, F.col(ts_col).alias("_t"), F.lit(0).alias("_kind"), F.lit(1).alias("_w"), row.alias("_row"))
-    outs = df.select(*keys, F.expr(f"timestampadd(DAY, {days}, `{ts_col}`)").alias("_t"), F.lit(1).alias("_kind"),
-                     F.lit(-1).alias("_w"), F.lit(None).cast(ins.schema["_row"].dataType).alias("_row"))
-    ev = ins.unionByName(outs).withColumn("_bucket", F.date_trunc("hour", F.col("_t")))
+    # both events of a row from one pass over the input (no union of two scans)
+    pair = F.array(
+        F.struct(F.col(ts_col).alias("_t"), F.lit(0).alias("_kind"), F.lit(1).alias("_w"), row.alias("_row")),
+        F.struct(F.expr(f"timestampadd(DAY, {days}, `{ts_col}`)").alias("_t"), F.lit(1).alias("_kind"),
+                 F.lit(-1).alias("_w"), F.when(F.lit(False), row).alias("_row")))
+    ev = (df.select(*keys, F.explode(pair).alias("_e")).select(*keys, "_e.*")
+          .withColumn("_bucket", F.date_trunc("hour", F.col("_t"))))
     # running sum within (key, hour): default RANGE frame over (_t, _kind) includes peers
     w_in = Window.partitionBy(*keys, "_bucket").orderBy("_t", "_kind")
     ev = ev.withColumn("_run", F.sum("_w").over(w_in))
