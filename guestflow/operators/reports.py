@@ -220,18 +220,21 @@ def conversation_history(turns: DataFrame, k: int = 3, block: int = 64) -> DataF
     """for every kept turn, the k previous turns of its conversation as
     'role: text' lines, oldest first.
 
-    Positions come from ``ordinal``; each turn is then sent to the k turns
-    after it (bounded fan-out), grouped by (conversation, position)."""
+    Positions come from ``ordinal``; each turn is then sent to itself and to
+    the k turns after it (bounded fan-out) and grouped by (conversation,
+    position): a group holds the turn and its history, at most k + 1 rows,
+    so no join back is needed."""
     o = ordinal(turns, ["conv_id"], ["turn"], F.floor(F.col("turn") / block))
     line = F.concat(F.col("role"), F.lit(": "), F.col("text"))
-    fan = (o.select("conv_id", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("_j"), "_ord", line.alias("_line"))
-           .select("conv_id", (F.col("_ord") + F.col("_j")).alias("_target"), F.struct(F.col("_ord"), F.col("_line")).alias("_h")))
-    hist = (fan.groupBy(F.col("conv_id").alias("_hc"), "_target")
-            .agg(F.sort_array(F.collect_list("_h")).alias("_hs")))
-    out = o.join(hist, (o["conv_id"] == hist["_hc"]) & (o["_ord"] == hist["_target"]), "left")
-    return out.select("conv_id", "turn", "role",
-                      F.coalesce(F.concat_ws("\n", F.col("_hs._line")), F.lit("")).alias("history"),
-                      F.when(F.col("_hs").isNull(), F.lit(0)).otherwise(F.size("_hs")).cast("int").alias("n_history"))
+    fan = o.select("conv_id", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("_j"), "_ord", "turn", "role",
+                   line.alias("_line"))
+    g = (fan.groupBy("conv_id", (F.col("_ord") + F.col("_j")).alias("_target"))
+         .agg(F.max(F.when(F.col("_j") == 0, F.struct("turn", "role"))).alias("_self"),
+              F.sort_array(F.collect_list(F.when(F.col("_j") > 0, F.struct(F.col("_ord"), F.col("_line")))))
+              .alias("_hs")))
+    return g.filter(F.col("_self").isNotNull()).select(
+        "conv_id", F.col("_self.turn").alias("turn"), F.col("_self.role").alias("role"),
+        F.concat_ws("\n", F.col("_hs._line")).alias("history"), F.size("_hs").cast("int").alias("n_history"))
 
 
 def inbox(msgs: DataFrame, n: int = 50) -> DataFrame:
