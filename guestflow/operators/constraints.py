@@ -173,7 +173,13 @@ def foreign_key_report(tables: dict[str, DataFrame], fks=FOREIGN_KEYS) -> DataFr
         tables[parent].select(F.col(pk).cast("string").alias("k")).distinct()
         .select(F.explode(F.array(*[F.lit(i) for i in ids])).alias("fk"), "k")
         for (parent, pk), ids in by_parent.items()])
-    orphan_counts = counted.join(parents, ["fk", "k"], "left_anti").groupBy("fk").agg(F.sum("n").alias("n"))
+    # ``n > 0`` always holds; it names the aggregate's output so Catalyst
+    # keeps the anti-join above the count instead of pushing it into every
+    # child scan (raw rows again, and the parent keys rebuilt per child)
+    p = parents.select(F.col("fk").alias("_pfk"), F.col("k").alias("_pk"))
+    orphan_counts = (counted.join(p, (counted["fk"] == p["_pfk"]) & (counted["k"] == p["_pk"]) & (counted["n"] > 0),
+                                  "left_anti")
+                     .groupBy("fk").agg(F.sum("n").alias("n")))
     listing = counted.sparkSession.createDataFrame(
         [(i, c, col, p) for i, (c, col, p, _) in enumerate(fks)],
         "fk int, child_table string, fk_column string, parent_table string")

@@ -87,11 +87,15 @@ def materialized_tables(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) ->
     ``spark.checkpoint.dir``, for reports that scan them many times."""
     from ..operators import escalation as E
     from ..session import ensure_checkpoint_dir
-    vdec = materialize(valid_decided(spark, sf_dir), ensure_checkpoint_dir(spark))
+    folder = ensure_checkpoint_dir(spark)
+    vdec = materialize(valid_decided(spark, sf_dir), folder)
     proc = vdec.filter(F.col("first_name").isNotNull()).withColumn("draft_error", F.lit(None).cast("string"))
-    msgs = P.messages_table(vdec.withColumn(
-        "action", F.when(F.col("first_name").isNotNull(), F.col("action"))))
-    esc = E.mark_sla_breached(with_lifecycle(E.create_escalations(proc)), as_of)
+    # messages resolve guests through joins and feed conversations and the
+    # reports several times over: stored once each, like the tables they stand for
+    msgs = materialize(P.messages_table(vdec.withColumn(
+        "action", F.when(F.col("first_name").isNotNull(), F.col("action")))), folder)
+    esc = materialize(E.mark_sla_breached(with_lifecycle(E.create_escalations(proc)), as_of), folder)
+    ai = materialize(P.ai_metadata_table(proc), folder)
     conv = (msgs.groupBy("conversation_id")
             .agg(F.min("guest_id").alias("guest_id"), F.min("property_id").alias("property_id"),
                  F.min("channel").alias("channel"), F.min("sent_at").alias("opened_at"),
@@ -106,6 +110,6 @@ def materialized_tables(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) ->
         "reservations": fixtures.reservations(spark, sf_dir),
         "conversations": conv,
         "messages": msgs,
-        "ai_message_metadata": P.ai_metadata_table(proc),
+        "ai_message_metadata": ai,
         "escalations": esc,
     }

@@ -51,3 +51,12 @@ def test_materialized_tables_read_pruned_parquet(spark):
     read = re.search(r"FileScan parquet \[([^\]]*)\]", plan).group(1).split(",")
     stored = spark.read.parquet(re.search(r"InMemoryFileIndex\(1 paths\)\[([^\]]*)\]", plan).group(1)).columns
     assert len(read) < len(stored), (read, stored)
+
+
+def test_foreign_key_antijoin_stays_above_the_count(spark):
+    # pushed below the map-side count, the anti-join would be copied into
+    # every child branch with the whole parent-key union (six copies here)
+    plan = executed(E.queries()["check_foreign_keys"](spark, SF001))
+    paths = re.findall(r"Location: InMemoryFileIndex\(1 paths\)\[([^\]]*)\]", plan)
+    assert paths and max(paths.count(p) for p in set(paths)) <= 4, paths
+    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
