@@ -56,7 +56,7 @@ def test_materialized_tables_read_pruned_parquet(spark):
 def test_foreign_key_antijoin_stays_above_the_count(spark):
     # pushed below the map-side count, the anti-join would be copied into
     # every child branch with the whole parent-key union (six copies here)
+    # (properties come from nation and are only ever a parent)
     plan = executed(E.queries()["check_foreign_keys"](spark, SF001))
-    paths = re.findall(r"Location: InMemoryFileIndex\(1 paths\)\[([^\]]*)\]", plan)
-    assert paths and max(paths.count(p) for p in set(paths)) <= 4, paths
+    assert 1 <= len(re.findall(r"nation\.parquet", plan)) <= 2, plan
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
