@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from guestflow.llm.common import read
 from guestflow.llm.decontaminate import report
+from guestflow.llm.langid import identify
 from guestflow.llm.packing import pack
 from guestflow.llm.simhash import simhash_components
 from guestflow.llm.substring import substring_dedup
@@ -33,7 +34,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_substring_dedup, op5_decontamination, op9_simhash)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_substring_dedup, op5_decontamination, op9_simhash, op10_language_id)}
 
 _WORDS4 = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _WORDS5 = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
