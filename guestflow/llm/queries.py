@@ -11,8 +11,14 @@ from guestflow.llm.common import read
 from guestflow.llm.decontaminate import report
 from guestflow.llm.langid import identify
 from guestflow.llm.packing import pack
+from guestflow.llm.quality import quality
 from guestflow.llm.simhash import simhash_components
 from guestflow.llm.substring import substring_dedup
+from guestflow.llm.toxicity import toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +35,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.drop("hits", "items")
 
 
+def op6_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = simhash_components(read(spark, sf_dir, "documents"), shingle=3, radius=3)
     return d.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -38,7 +48,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_substring_dedup, op5_decontamination, op9_simhash, op10_language_id)}
+QUERIES = {f.__name__: f for f in (
+    op1_toxicity, op2_best_fit_packing, op4_substring_dedup, op5_decontamination, op6_quality_rank, op9_simhash,
+    op10_language_id)}
 
 _WORDS4 = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _WORDS5 = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
