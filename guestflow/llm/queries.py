@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from guestflow.llm.common import read
 from guestflow.llm.decontaminate import report
+from guestflow.llm.html import extract
 from guestflow.llm.langid import identify
+from guestflow.llm.merkle import changed_sections, likeness, with_next
 from guestflow.llm.packing import pack
 from guestflow.llm.quality import quality
 from guestflow.llm.simhash import simhash_components
@@ -25,6 +27,14 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), capacity=2048, end_id=0)
 
 
+def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = with_next(read(spark, sf_dir, "documents"))
+    fp, edited = F.col("fingerprint"), F.col("edited_fingerprint")
+    return d.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+                    likeness(fp, edited).alias("near_edited"), likeness(fp, F.col("next_fingerprint")).alias("near_next"),
+                    F.size(changed_sections(fp, edited)).alias("n_changed_sections"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = substring_dedup(read(spark, sf_dir, "documents"), window=20)
     return d.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -39,6 +49,11 @@ def op6_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = extract(read(spark, sf_dir, "pages"))
+    return d.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = simhash_components(read(spark, sf_dir, "documents"), shingle=3, radius=3)
     return d.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -49,7 +64,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity, op2_best_fit_packing, op4_substring_dedup, op5_decontamination, op6_quality_rank, op9_simhash,
+    op1_toxicity, op2_best_fit_packing, op3_merkle, op4_substring_dedup, op5_decontamination, op6_quality_rank,
+    op8_html_extraction, op9_simhash,
     op10_language_id)}
 
 _WORDS4 = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
