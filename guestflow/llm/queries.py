@@ -11,6 +11,7 @@ from guestflow.llm.common import read
 from guestflow.llm.decontaminate import report
 from guestflow.llm.html import extract
 from guestflow.llm.langid import identify
+from guestflow.llm.lines import line_dedup
 from guestflow.llm.merkle import changed_sections, likeness, with_next
 from guestflow.llm.packing import pack
 from guestflow.llm.quality import quality
@@ -49,6 +50,13 @@ def op6_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = line_dedup(read(spark, sf_dir, "documents"), edits=2, min_chars=20)
+    return d.select("doc_id", "n_lines", "n_removed", "n_links",
+                    F.array_join(F.transform("first_docs", lambda x: x.cast("string")), ",").alias("first_docs"),
+                    F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = extract(read(spark, sf_dir, "pages"))
     return d.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
@@ -65,14 +73,44 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_best_fit_packing, op3_merkle, op4_substring_dedup, op5_decontamination, op6_quality_rank,
-    op8_html_extraction, op9_simhash,
+    op7_line_dedup, op8_html_extraction, op9_simhash,
     op10_language_id)}
 
 _WORDS4 = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _WORDS5 = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
            r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
 
+# DuckDB's levenshtein counts bytes: the corpus's letters beyond ASCII become one byte each.
+_FOREIGN = "éèçêóñüäößíÉÈÑÇÊÓÜÖÄÍ"
+_BYTES = "".join(chr(c) for c in (*range(1, 9), *range(14, 14 + len(_FOREIGN) - 8)))
+_COUNTS = ", ".join(f"length(line) - length(replace(line, '{c}', '')) AS c{c}" for c in "entahirosd")
+_NEAR = " AND ".join(f"abs(x.c{c} - y.c{c}) <= 2" for c in "entahirosd")
+
 ORACLE = {
+    "op7_line_dedup": f"""
+WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                            unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents),
+nb AS (SELECT * FROM l WHERE trim(line, ' ') <> ''),
+u AS (SELECT line, translate(line, '{_FOREIGN}', '{_BYTES}') AS t, length(line) AS n, {_COUNTS}
+      FROM (SELECT DISTINCT line FROM nb WHERE length(line) >= 20)),
+links AS (SELECT x.line AS a, y.line AS b FROM u x JOIN u y ON y.n BETWEEN x.n AND x.n + 2 AND (x.n < y.n OR x.line < y.line)
+          AND {_NEAR} WHERE levenshtein(x.t, y.t) <= 2),
+sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(x, y) AS (SELECT a, b FROM sym UNION SELECT r.x, s.b FROM reach r JOIN sym s ON r.y = s.a),
+root AS (SELECT x AS line, least(min(y), x) AS c FROM reach GROUP BY x),
+deg AS (SELECT a AS line, count(*) AS d FROM sym GROUP BY a),
+occ AS (SELECT doc_id, line_no, coalesce(root.c, nb.line) AS c, coalesce(d, 0) AS d,
+               row_number() OVER (PARTITION BY coalesce(root.c, nb.line) ORDER BY doc_id, line_no) AS k,
+               first_value(doc_id) OVER (PARTITION BY coalesce(root.c, nb.line) ORDER BY doc_id, line_no) AS f
+        FROM nb LEFT JOIN root ON root.line = nb.line LEFT JOIN deg ON deg.line = nb.line),
+doc AS (SELECT doc_id, count(*) AS n, sum(CASE WHEN k > 1 THEN 1 ELSE 0 END) AS gone, sum(d) AS links FROM occ GROUP BY doc_id),
+firsts AS (SELECT doc_id, string_agg(f, ',' ORDER BY f) AS f
+           FROM (SELECT DISTINCT doc_id, f FROM occ WHERE k > 1) GROUP BY doc_id),
+kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.line_no) AS t
+         FROM l ANTI JOIN (SELECT * FROM occ WHERE k > 1) o ON o.doc_id = l.doc_id AND o.line_no = l.line_no GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(doc.n, 0)::BIGINT AS n_lines, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(links, 0)::BIGINT AS n_links,
+       coalesce(firsts.f, '') AS first_docs, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM documents d LEFT JOIN doc USING (doc_id) LEFT JOIN firsts USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op4_substring_dedup": f"""
 WITH d AS (SELECT doc_id, {_WORDS4} AS w FROM documents),
 s AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
