@@ -33,7 +33,7 @@ class WindowIndex:
     def add(self, item: str, words: list[bytes]) -> None:
         ids = tuple(self.vocab.setdefault(w, len(self.vocab) + 1) for w in words)
         k = min(self.n, len(ids))
-        for i in range(len(ids) - k + 1):
+        for i in range(len(ids) - k + 1 if ids else 0):
             self.windows.setdefault(k, {}).setdefault(ids[i:i + k], set()).add(item)
 
     def freeze(self) -> "WindowIndex":
