@@ -17,56 +17,61 @@ from guestflow.llm.common import stored, text_slices
 
 #: Pieces packed together by one task.
 GROUP_ROWS = 20_000
-#: Entries of a worker's tables of encoded words; a full table is started anew.
-CACHE_CHUNKS, CACHE_PIECES = 250_000, 700_000
-_SIMPLE = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž0-9!-&(-/:-@\[-`{-~]+")
+#: Entries of the younger generation of a worker's tables of encoded words.
+CACHE_CHUNKS, CACHE_PIECES = 300_000, 600_000
+_SIMPLE = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž0-9!-&(-/:-@\[-`{-~ \n]+")
 _PIECES = re.compile(r"[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
 
 
+class Recent(dict):
+    """A bounded table: when it is full its entries become the elder generation,
+    from which those still in use come back; the rest go with the next change."""
+
+    def __init__(self, size: int, make):
+        self.size, self.make, self.elder = size, make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        v = self.elder.get(key)
+        if v is None:
+            v = self.make(key)
+        if len(self) >= self.size:
+            self.elder = dict(self)
+            self.clear()
+        self[key] = v
+        return v
+
+
 class WordEncoder:
     """Token ids of whole texts from ids of their words, exactly as the tokenizer's.
 
     The vocabulary's pre-tokenizer drops white space and never joins across it,
-    so a text's ids are those of its space-separated chunks in turn. Chunks of
-    plain Latin letters, digits and marks (already in composed form) are split
-    further at the pre-tokenizer's own borders; any other chunk goes to the
-    tokenizer whole. Both tables are bounded."""
+    so a text's ids are those of its space-separated chunks in turn. Texts of
+    plain Latin letters, digits and marks (already in composed form, without an
+    apostrophe or a special token) are lower-cased as a whole and their chunks
+    split further at the pre-tokenizer's own borders; the chunks of any other
+    text go to the tokenizer as they are. All tables are bounded."""
 
     def __init__(self, path: str | None):
         from tokenizers import Tokenizer
         if path is None:
             import public_tokenizers
             path = public_tokenizers.path("word_bpe_49k.json")
-        self.tokenizer, self.chunks, self.pieces = Tokenizer.from_file(path), {"": b""}, {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.pieces = Recent(CACHE_PIECES, self._ids)
+        self.plain = Recent(CACHE_CHUNKS, self._join)
+        self.other = Recent(CACHE_CHUNKS // 4, self._ids)
 
-    def _encode(self, s: str) -> bytes:
+    def _ids(self, s: str) -> bytes:
         return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _chunk(self, c: str) -> bytes:
-        if _SIMPLE.fullmatch(c) and "<|" not in c:
-            out = []
-            for p in _PIECES.findall(c.lower()):
-                if (v := self.pieces.get(p)) is None:
-                    if len(self.pieces) >= CACHE_PIECES:
-                        self.pieces.clear()
-                    v = self.pieces[p] = self._encode(p)
-                out.append(v)
-            v = b"".join(out)
-        else:
-            v = self._encode(c)
-        if len(self.chunks) >= CACHE_CHUNKS:
-            self.chunks.clear()
-            self.chunks[""] = b""
-        self.chunks[c] = v
-        return v
+    def _join(self, chunk: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(chunk)))
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of the text."""
-        words = text.replace("\n", " ").split(" ")
-        found = list(map(self.chunks.get, words))
-        if None in found:
-            found = [v if v is not None else self._chunk(w) for v, w in zip(found, words)]
-        return b"".join(found)
+        if _SIMPLE.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self.plain.__getitem__, text.lower().replace("\n", " ").split(" ")))
+        return b"".join(map(self.other.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _ENCODERS: dict = {}
