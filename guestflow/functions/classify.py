@@ -19,21 +19,35 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _frozen(a):
+    """A hashable copy of an argument by content; raises TypeError for others."""
+    if isinstance(a, (list, tuple)):
+        return tuple(map(_frozen, a))
+    if isinstance(a, dict):
+        return tuple((_frozen(k), _frozen(v)) for k, v in a.items())
+    if a is None or isinstance(a, (str, int, float, bool)):
+        return a
+    raise TypeError("not a plain value")
+
+
 def memo_per_context(fn):
-    """Reuse a rule expression built from column *names*: the Column is
-    unresolved, so one object serves every DataFrame of the same
-    SparkContext, and the hundreds of py4j calls that build it run once."""
+    """Reuse a rule expression built from column *names* and rule tables: the
+    Column is unresolved, so one object serves every DataFrame of the same
+    application, and the hundreds of py4j calls that build it run once.
+
+    The key holds the tables' contents, not their identity: equal tables share
+    an expression, and a table changed in place or a new list that happens to
+    take an old one's address gets its own. Calls with Columns are not kept."""
     cache: dict = {}
 
     @wraps(fn)
-    def run(*args):
-        if not all(isinstance(a, (str, int, float, bool)) or a is None or isinstance(a, (list, tuple, dict))
-                   for a in args) or any(isinstance(a, Column) for a in args):
-            return fn(*args)
-        key = (id(SparkContext._active_spark_context), tuple(id(a) if isinstance(a, (list, dict)) else a
-                                                             for a in args))
+    def run(*args, **kwargs):
+        try:
+            key = (SparkContext._active_spark_context.applicationId, _frozen(args), _frozen(kwargs))
+        except (TypeError, AttributeError):
+            return fn(*args, **kwargs)
         if key not in cache:
-            cache[key] = fn(*args)
+            cache[key] = fn(*args, **kwargs)
         return cache[key]
     return run
 

@@ -21,10 +21,17 @@ def inbound(msgs: DataFrame) -> DataFrame:
 
 
 def resolve_booking(msgs: DataFrame, res: DataFrame, booking_col: str = "booking_ref") -> DataFrame:
-    """booking_ref → reservation → guest (left join; empty ref = none)."""
+    """booking_ref → reservation → guest (left join; empty ref = none).
+
+    Rows without a reference are often a third of all; as one null join key
+    they would meet in one task, so such a row gets a key of its own that no
+    reservation has."""
     r = res.select(F.col("booking_ref").alias("_ref"), F.col("id").alias("reservation_id"),
                    F.col("guest_id").alias("booking_guest_id"))
-    return msgs.join(r, F.nullif(msgs[booking_col], F.lit("")) == r["_ref"], "left").drop("_ref")
+    none = F.coalesce(msgs[booking_col], F.lit("")) == ""
+    spread = F.concat(F.lit("\u0000"), F.xxhash64(*msgs.columns).cast("string"))
+    return (msgs.withColumn("_key", F.when(none, spread).otherwise(msgs[booking_col]))
+            .join(r, F.col("_key") == r["_ref"], "left").drop("_ref", "_key"))
 
 
 def resolve_channel(msgs: DataFrame, ident: DataFrame) -> DataFrame:
@@ -80,7 +87,7 @@ def thread_key_cols():
 def thread_id() -> F.Column:
     """Deterministic thread id from the null-safe thread key (no join needed)."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in thread_key_cols()]
-    return F.sha2(F.concat_ws("\u0001", *parts), 256).substr(1, 16)
+    return F.sha2(F.concat_ws("\u0001", *parts), 256)
 
 
 def thread(msgs: DataFrame, res: DataFrame) -> DataFrame:

@@ -152,18 +152,25 @@ def model_quality(ai: DataFrame) -> DataFrame:
         F.round(F.count_if(F.col("action_taken") == "escalate") / n, 6).alias("share_escalated"))
 
 
-def processing_latency(ai: DataFrame, accuracy: int = 10000) -> DataFrame:
-    """Per day and model: mean, p50, p95 and max pipeline time.
+def processing_latency(ai: DataFrame, shares=(("p50_ms", 50), ("p95_ms", 95))) -> DataFrame:
+    """Per day and model: mean, exact percentiles and max pipeline time.
 
-    Percentiles use the bounded-memory sketch (exact while a group holds fewer
-    than ``accuracy`` rows), never a full per-group buffer."""
+    Times are whole milliseconds, so each group is first counted per distinct
+    time (map-side); the p-th percentile is the least time whose running count
+    reaches p per cent of the group's rows. Windows see one row per distinct
+    time, however many rows a group has."""
     ms = F.col("processing_time_ms")
-    return ai.groupBy(F.to_date("created_at").alias("day"), "model_version").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.avg(ms.cast("double")), 6).alias("mean_ms"),
-        F.percentile_approx(ms, 0.5, accuracy).alias("p50_ms"),
-        F.percentile_approx(ms, 0.95, accuracy).alias("p95_ms"),
-        F.max(ms).alias("max_ms"))
+    hist = (ai.groupBy(F.to_date("created_at").alias("day"), "model_version", ms.alias("ms")).agg(F.count(F.lit(1)).alias("c")))
+    timed = F.col("ms").isNotNull()
+    key = Window.partitionBy("day", "model_version")
+    run = key.orderBy("ms").rowsBetween(Window.unboundedPreceding, 0)
+    known = F.when(timed, F.col("c")).otherwise(0)
+    hist = hist.withColumn("upto", F.sum(known).over(run)).withColumn("all", F.sum(known).over(key))
+    return hist.groupBy("day", "model_version").agg(
+        F.sum("c").alias("n"),
+        (F.sum(F.col("ms") * F.col("c")) / F.sum(known)).alias("mean_ms"),
+        *[F.min(F.when(timed & (F.col("upto") * 100 >= p * F.col("all")), F.col("ms"))).alias(name) for name, p in shares],
+        F.max("ms").alias("max_ms"))
 
 
 def sla_report(esc: DataFrame) -> DataFrame:

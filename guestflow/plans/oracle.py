@@ -469,7 +469,7 @@ ORACLE.update({
         GROUP BY p.id, u.booking_guest_id"""),
     "verified_guests": sql(["guests", "reservations"], """SELECT g.id, EXISTS (SELECT 1 FROM reservations r WHERE r.guest_id = g.id AND r.status = 'confirmed') AS identity_verified FROM guests g"""),
     "thread_messages": sql(["unified"], """
-        SELECT substr(sha256(concat_ws(chr(1), coalesce(CAST(guest_id AS VARCHAR), ''), coalesce(channel, ''), coalesce(property_id, ''), coalesce(reservation_id, ''))), 1, 16) AS thread_id,
+        SELECT sha256(concat_ws(chr(1), coalesce(CAST(guest_id AS VARCHAR), ''), coalesce(channel, ''), coalesce(property_id, ''), coalesce(reservation_id, ''))) AS thread_id,
           guest_id, channel, property_id, reservation_id, count(*) AS n_messages, min(sent_at) AS opened_at, max(sent_at) AS last_message_at
         FROM unified GROUP BY guest_id, channel, property_id, reservation_id"""),
     "unaudited_messages": sql(["messages", "ai"], """SELECT m.id AS message_id, m.guest_id, m.property_id, m.sent_at FROM messages m
@@ -483,7 +483,7 @@ ORACLE.update({
         round(count(*) FILTER (WHERE agent_edited_reply IS NOT NULL) / count(*), 6) AS share_edited,
         round(count(*) FILTER (WHERE action_taken = 'escalate') / count(*), 6) AS share_escalated FROM ai GROUP BY model_version"""),
     "processing_latency": sql(["ai"], f"""SELECT CAST(created_at AS DATE) AS day, model_version, count(*) AS n,
-        round(avg(CAST(processing_time_ms AS DOUBLE)), 6) AS mean_ms, {_pct(0.5)} AS p50_ms, {_pct(0.95)} AS p95_ms,
+        sum(processing_time_ms) / count(processing_time_ms) AS mean_ms, {_pct(0.5)} AS p50_ms, {_pct(0.95)} AS p95_ms,
         max(processing_time_ms) AS max_ms FROM ai GROUP BY CAST(created_at AS DATE), model_version"""),
     "sla_report": sql(["esc_marked"], """SELECT property_id, severity, count(*) AS n_escalations, count(*) FILTER (WHERE sla_breached) AS n_breached,
         round(count(*) FILTER (WHERE sla_breached) / count(*), 6) AS breach_rate,

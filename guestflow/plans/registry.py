@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.classify import classify, classify_by_lang, explain_match
+from ..functions.classify import classify, classify_by_lang
 from ..functions.scoring import (ambiguous, base_score_cents, confidence_band, context_penalty_cents,
                                  multi_intent, route_action)
 from ..functions.text import (booking_ref_label, fallback_reply, message_id, normalize_phone,
@@ -47,7 +47,7 @@ def _docs(spark, sf):
 
 
 def _with_props(df: DataFrame, props: DataFrame) -> DataFrame:
-    p = P.bounded_broadcast(props.select(*[F.col(c).alias("p_" + c) for c in props.columns]))
+    p = props.select(*[F.col(c).alias("p_" + c) for c in props.columns])
     return df.join(p, df["property_id"] == p["p_id"], "left")
 
 

@@ -43,17 +43,14 @@ def build_session(master: str | None = None, app: str = "guestflow",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Only a local-mode session without one gets a scratch folder (tests, local
-    runs); on a cluster a machine-local folder would not survive a lost
-    executor, so the setting is required there."""
+    Where the session names none, a folder in its warehouse, which executors
+    share as well. The same on every master."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        master = spark.sparkContext.master or ""
-        if not master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) on a cluster")
-        d = tempfile.mkdtemp(prefix="guestflow-ckpt-")
+        d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(d)
     return d
 
 
@@ -61,7 +58,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return ensure_checkpoint_dir(spark)
 
 
-_SHIPPED: set = set()
+_SHIPPED: set = set()  # application ids
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -69,7 +66,7 @@ def ship_package(spark: SparkSession) -> None:
     timer and custom drafters run there): zip the package once and add it
     with ``addPyFile``, which serves it to every executor."""
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     import zipfile
     pkg = os.path.dirname(os.path.abspath(__file__))
@@ -81,4 +78,4 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     sc.addPyFile(out)
-    _SHIPPED.add(id(sc))
+    _SHIPPED.add(sc.applicationId)

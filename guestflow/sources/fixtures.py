@@ -46,23 +46,20 @@ ORDER_STATUS = {"F": "completed", "O": "confirmed", "P": "cancelled"}
 PAYLOAD_FIELDS = ["source", "guest_name", "message", "timestamp", "booking_ref", "property_id"]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread_input: bool = True) -> DataFrame:
-    """A4: typed access to a given parquet table; fact tables are spread over
-    the cluster when they arrive in fewer splits than task slots."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if spread_input else df
+#: Session setting with which a caller deals the rows of fact tables to so many
+#: partitions. Unset, as on any large input, the input's own splits are used.
+INPUT_PARTITIONS = "guestflow.inputPartitions"
+
 
+def table(spark: SparkSession, sf_dir: str, name: str, dimension: bool = False) -> DataFrame:
+    """A4: typed access to a given parquet table.
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the cluster only when the input has fewer
-    splits than task slots (a small file with one row group). A large input
-    already has many splits and is left alone, so no shuffle is added there."""
-    try:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # sessions without RDD access: leave the plan as it is
-        return df
-    return df.repartition(slots) if splits < slots else df
+    Splits follow ``spark.sql.files.maxPartitionBytes``. Files of one row group
+    cannot be split, so a caller with small test files may ask for
+    INPUT_PARTITIONS; dimensions are never dealt anew."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    n = spark.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(n)) if n and not dimension else df
 
 
 def _pick(values, index: Column) -> Column:
@@ -114,8 +111,8 @@ def inbound_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2: property facts keyed by id, from nation ⋈ region (25 rows)."""
-    n = table(spark, sf_dir, "nation", spread_input=False)
-    r = table(spark, sf_dir, "region", spread_input=False)
+    n = table(spark, sf_dir, "nation", dimension=True)
+    r = table(spark, sf_dir, "region", dimension=True)
     k = F.col("n_nationkey")
     bedrooms = (F.lit(1) + k % 5).cast("int")
     return (n.join(r, n.n_regionkey == r.r_regionkey, "left")

@@ -6,7 +6,6 @@ from conftest import SF01
 from guestflow.functions.classify import classify, explain_from_hits, keyword_hits
 from guestflow.functions.text import first_name, message_id, normalize_phone, property_text
 from guestflow.operators import constraints as CON
-from guestflow.plans.process import bounded_broadcast
 from guestflow.sources import fixtures
 
 
@@ -54,16 +53,6 @@ def test_property_text_layout(spark):
     assert unknown == "Property details unavailable."
 
 
-def test_bounded_broadcast(spark):
-    small = spark.range(10)
-    big = spark.range(50)
-    j_small = spark.range(100).join(bounded_broadcast(small, max_rows=20), "id")
-    j_big = spark.range(100).join(bounded_broadcast(big, max_rows=20), "id")
-    assert "ResolvedHint" in j_small._jdf.queryExecution().analyzed().toString() or \
-        "broadcast" in j_small._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in j_big._jdf.queryExecution().logical().toString().lower()
-
-
 def test_defaults_and_cascade(spark):
     g = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "id bigint, full_name string")
     d = CON.apply_defaults(g, "guests", "2024-04-01 00:00:00").orderBy("id").collect()

@@ -153,3 +153,11 @@ def test_stream_branches_and_restart(spark):
     assert responses.select("message_id").distinct().count() == 891
     env = rejects.filter(F.col("message_id") == "m-0").select("envelope.error", F.size("envelope.details").alias("n")).first()
     assert env.error == "Request validation failed" and env.n >= 2
+
+
+def test_latency_percentiles_exact_in_a_large_group(spark):
+    from guestflow.operators.reports import processing_latency
+    ai = spark.range(200_000).select(F.lit("2024-04-01 00:00:00").cast("timestamp_ntz").alias("created_at"),
+                                     F.lit("m").alias("model_version"), F.col("id").cast("int").alias("processing_time_ms"))
+    r = processing_latency(ai).first()
+    assert (r.n, r.p50_ms, r.p95_ms, r.max_ms, r.mean_ms) == (200_000, 99_999, 189_999, 199_999, 99_999.5)

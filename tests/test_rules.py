@@ -81,3 +81,17 @@ def test_classify_matches_python_rules(spark, texts):
         if qt == "complaint":
             assert score == pytest.approx(0.40) and action == "escalate"
         assert 0.0 <= score <= 1.0
+
+
+def test_rule_tables_are_never_mixed_up(spark):
+    """Fresh tables, tables changed in place and keyword arguments all get their own expression."""
+    from guestflow.functions.classify import classify_lowered, keyword_hits
+    df = spark.createDataFrame([("word1 word2",)], "text string")
+    for i in range(60):
+        rules = [[f"c{i}", [f"word{i % 3}"]]]
+        hits = df.select(keyword_hits("text", rules).alias("h")).first().h
+        assert hits == (f"c{i}:word{i % 3}" if i % 3 else "")
+    rules = [["a", ["word1"]]]
+    assert df.select(classify_lowered("text", rules=rules, fallback="z").alias("c")).first().c == "a"
+    rules[0][1][0] = "nothing"
+    assert df.select(classify_lowered("text", rules=rules, fallback="z").alias("c")).first().c == "z"
