@@ -4,12 +4,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from guestflow.llm.common import stored
+
 #: Words of a span (the leaves below a paragraph), the first words of the shorter
 #: spans that open a paragraph, and the share of paragraphs whose content ends a
 #: section (one in SECTION).
 SPAN, OPENING, SECTION = 16, (1, 2, 5, 9), 4
 #: Ids per bucket and buckets per group when neighbours are found.
-BUCKET, GROUP = 256, 4096
+BUCKET, GROUP = 1024, 4096
 
 
 def fingerprint(text: Column) -> Column:
@@ -81,43 +83,47 @@ def changed_sections(a: Column, b: Column) -> Column:
                              lambda x: ~F.array_contains(have, x["s"])), lambda x: x["k"]))
 
 
-def successors(ids: DataFrame) -> DataFrame:
-    """(k, next_k) for distinct ``ids(k)``: the next smaller k, after the smallest the largest.
+def bucket_heads(ids: DataFrame) -> DataFrame:
+    """(k, to): the largest id of every bucket and the next higher bucket that has
+    ids (after the highest the lowest): there it is the next document of the
+    smallest id.
 
-    Neighbours are found inside buckets of ids, then between the buckets of a
-    group, then between groups, so no window holds more than BUCKET ids, GROUP
-    buckets, or one row per group."""
-    b = ids.withColumn("b", F.floor(F.col("k") / BUCKET))
-    inside = b.withColumn("after", F.lead("k").over(Window.partitionBy("b").orderBy(F.desc("k"))))
-    heads = b.groupBy("b").agg(F.max("k").alias("head")).withColumn("g", F.floor(F.col("b") / GROUP))
-    groups = heads.groupBy("g").agg(F.max("head").alias("head"))
-    over = Window.orderBy(F.desc("g"))
-    groups = groups.select("g", F.coalesce(F.lead("head").over(over), F.max("head").over(Window.partitionBy())).alias("from_group"))
-    heads = (heads.withColumn("after_b", F.lead("head").over(Window.partitionBy("g").orderBy(F.desc("b"))))
-             .join(groups, "g").select("b", F.coalesce("after_b", "from_group").alias("after_b")))
-    return inside.join(heads, "b").select("k", F.coalesce("after", "after_b").alias("next_k"))
+    Order is found inside groups of buckets, then between groups, so no window
+    holds more than GROUP buckets, or one row per group."""
+    heads = (ids.groupBy(F.floor(F.col("k") / BUCKET).alias("b")).agg(F.max("k").alias("k"))
+             .withColumn("g", F.floor(F.col("b") / GROUP)))
+    groups = heads.groupBy("g").agg(F.min("b").alias("low"))
+    groups = groups.select("g", F.coalesce(F.lead("low").over(Window.orderBy("g")), F.min("low").over(Window.partitionBy())).alias("after_g"))
+    return (heads.withColumn("after", F.lead("b").over(Window.partitionBy("g").orderBy("b")))
+            .join(groups, "g").select("k", F.coalesce("after", "after_g").alias("to")))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, n_chars, fingerprint, edited, next_fingerprint) of every row.
+    """(doc_id, text, n_chars, fingerprint, edited, edited_fingerprint, next_fingerprint) of every row.
 
     The next document has the next smaller doc_id, after the smallest the
     largest. ``edited`` is the text with its last floor(n_chars / 3) code points
     replaced by the first as many (or all) of the next text. Null text counts as
     empty. Rows that repeat a doc_id share the next distinct one; if that has
-    several texts, the least is taken. Null doc_ids count as the smallest id. A
-    single document is its own next; an empty table gives no rows."""
-    text = F.coalesce("text", F.lit(""))
-    base = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 62))).alias("k"), text.alias("text"))
-    wants = base.groupBy("k").agg(F.max(F.floor(F.length("text") / 3)).cast("int").alias("want"))
-    asks = successors(wants.select("k")).join(wants, "k").select(F.col("k").alias("for_k"), F.col("next_k").alias("k"), "want")
-    given = (base.select("k", "text").join(asks, "k")
-             .select("for_k", F.struct(F.expr("substring(text, 1, want)").alias("head"), fingerprint(F.col("text")).alias("fp")).alias("n"))
-             .groupBy("for_k").agg(F.min("n").alias("n")))
-    cut = F.floor(F.col("n_chars") / 3).cast("int")
-    return (base.join(given, base["k"] == given["for_k"]).withColumn("n_chars", F.length("text").cast("bigint"))
-            .withColumn("cut", cut)
-            .withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars as int) - cut), substring(n.head, 1, cut))"))
-            .select("doc_id", "text", "n_chars", "edited", F.col("n.fp").alias("next_fingerprint"))
-            .withColumn("fingerprint", fingerprint(F.col("text")))
+    several texts, the greatest is taken. Null doc_ids count as the smallest id. A
+    single document is its own next; an empty table gives no rows.
+
+    Texts move once, to their bucket of ids; the head of a bucket is also copied
+    to the next higher one. The table of heads (one id in BUCKET) is joined as
+    its stored size suggests to Spark."""
+    base = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 62))).alias("k"),
+                       F.coalesce("text", F.lit("")).alias("text"))
+    heads = stored(bucket_heads(base.select("k")), "heads")
+    b = F.floor(F.col("k") / BUCKET)
+    places = F.array(F.struct(b.alias("b"), (F.col("k") - b * BUCKET).alias("place")),
+                     F.when(F.col("to").isNotNull(), F.struct(F.col("to").alias("b"), F.lit(-1).cast("bigint").alias("place"))))
+    dealt = (base.join(heads, "k", "left").withColumn("fingerprint", fingerprint(F.col("text")))
+             .select("doc_id", "text", "fingerprint", F.explode(F.filter(places, lambda p: p.isNotNull())).alias("p"))
+             .select("doc_id", "text", "fingerprint", "p.b", "p.place"))
+    below = Window.partitionBy("b").orderBy("place").rangeBetween(Window.unboundedPreceding, -1)
+    cut = F.floor(F.length("text") / 3).cast("int")
+    return (dealt.withColumn("n", F.max(F.struct("place", "text", "fingerprint")).over(below)).where("place >= 0")
+            .withColumn("n_chars", F.length("text").cast("bigint")).withColumn("cut", cut)
+            .withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars as int) - cut), substring(n.text, 1, cut))"))
+            .select("doc_id", "text", "n_chars", "edited", "fingerprint", F.col("n.fingerprint").alias("next_fingerprint"))
             .withColumn("edited_fingerprint", fingerprint(F.col("edited"))))
