@@ -690,9 +690,8 @@ def stream_process_q(spark, sf):
     from ..streaming.stream import stream_process, write_lines
     base = scratch_path(spark, "stream")
     inb = fixtures.inbound_events(spark, sf)
-    n = write_lines(inb.select(F.to_json(F.struct("message_id", *PAYLOAD)).alias("raw")), f"{base}/in", 4)
-    # about four micro-batches whatever the input size
-    stream_process(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", files_per_trigger=max(1, n // 4))
+    write_lines(inb.select(F.to_json(F.struct("message_id", *PAYLOAD)).alias("raw")), f"{base}/in")
+    stream_process(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt")
     return spark.read.parquet(f"{base}/out/responses").select(*P.RESPONSE_COLUMNS)
 
 
@@ -700,7 +699,7 @@ def stream_sla_timer(spark, sf):
     from ..sources.sinks import scratch_path
     from ..streaming.stream import replay_sla_timer
     base = scratch_path(spark, "sla")
-    replay_sla_timer(DOM.escalations(spark, sf), base, slices=4)
+    replay_sla_timer(DOM.escalations(spark, sf), base)
     return spark.read.parquet(f"{base}/out").select(
         "escalation_id", F.col("sla_deadline").cast("timestamp_ntz").alias("sla_deadline"))
 

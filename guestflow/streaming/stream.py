@@ -3,19 +3,16 @@
 S1 runs the batch flow on each micro-batch of a file source and writes the
 three branches from one persisted parent; each batch writes to its own
 ``batch_id`` folder with overwrite, so a retried batch replaces its output
-instead of duplicating it. S2 is a watermarked tumbling-window count. S3 is an
-event-time timer per escalation (``applyInPandasWithState``).
+instead of duplicating it. S2 is a watermarked tumbling-window count. S3 is a
+stream-stream outer join that emits escalations unanswered by their deadline.
 """
 from __future__ import annotations
 
 import datetime as dt
-from typing import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import message_id
 from ..operators.validate import error_envelope, split_valid, with_validation
@@ -41,13 +38,12 @@ def _process_batch(out_dir: str, drafter_factory=None, props: DataFrame | None =
 
 
 def stream_process(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
-                   drafter_factory=None, props: DataFrame | None = None, files_per_trigger: int | None = None):
+                   drafter_factory=None, props: DataFrame | None = None, batch_bytes: int = 64 << 30):
     """JSON-lines payload files → message flow → responses / rejects /
     errors parquet under ``out_dir``; runs until the input present now is
-    processed (``availableNow``) and returns the finished query."""
-    reader = spark.readStream.format("text")
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    processed (``availableNow``) and returns the finished query. A micro-batch
+    takes files of about ``batch_bytes``, however much is waiting."""
+    reader = spark.readStream.format("text").option("maxBytesPerTrigger", batch_bytes)
     raw = reader.load(in_dir).withColumnRenamed("value", "raw")
     delivery_id = F.coalesce(F.get_json_object("raw", "$.message_id"), message_id("raw"))
     parsed = parse_payload(raw.withColumn("message_id", delivery_id))
@@ -73,146 +69,98 @@ def rate_counts_stream(events: DataFrame, window: str = "1 minute", limit: int =
 # ---------------------------------------------------------------------------
 # S3: SLA timer
 
-SLA_EVENT_SCHEMA = T.StructType([
-    T.StructField("escalation_id", T.StringType()),
-    T.StructField("kind", T.StringType()),          # opened | responded | tick
-    T.StructField("event_time", T.TimestampType()),
-    T.StructField("deadline", T.TimestampType()),
-])
-BREACH_SCHEMA = T.StructType([
-    T.StructField("escalation_id", T.StringType()),
-    T.StructField("sla_deadline", T.TimestampType()),
-    T.StructField("cause", T.StringType()),          # no_response | late_response
-])
-STATE_SCHEMA = T.StructType([
-    T.StructField("deadline_ms", T.LongType()),
-    T.StructField("responded", T.BooleanType()),
-    T.StructField("emitted", T.BooleanType()),
-])
-
-
-def _sla_timer(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    esc_id = key[0]
-    if state.hasTimedOut:
-        deadline_ms, responded, emitted = state.get
-        state.remove()
-        if not responded and not emitted:
-            yield pd.DataFrame({"escalation_id": [esc_id],
-                                "sla_deadline": [pd.Timestamp(deadline_ms, unit="ms")],
-                                "cause": ["no_response"]})
-        return
-    deadline_ms, responded, emitted = state.get if state.exists else (None, False, False)
-    out = []
-    parts = [b for b in batches if len(b)]
-    if not parts:
-        return
-    rows = pd.concat(parts).sort_values("event_time")
-    for kind, at, dl in zip(rows["kind"], rows["event_time"], rows["deadline"]):
-        if kind == "tick":
-            continue
-        if kind == "opened":
-            deadline_ms = int(pd.Timestamp(dl).value // 1_000_000)
-        elif kind == "responded" and not responded:
-            responded = True
-            at_ms = int(pd.Timestamp(at).value // 1_000_000)
-            if deadline_ms is not None and at_ms > deadline_ms and not emitted:
-                out.append((esc_id, pd.Timestamp(deadline_ms, unit="ms"), "late_response"))
-                emitted = True
-    watermark = state.getCurrentWatermarkMs()
-    if not responded and not emitted and deadline_ms is not None and deadline_ms < watermark:
-        out.append((esc_id, pd.Timestamp(deadline_ms, unit="ms"), "no_response"))  # deadline already passed
-        emitted = True
-    if responded or emitted or deadline_ms is None:
-        if state.exists:
-            state.remove()
-    else:
-        state.update((deadline_ms, responded, emitted))
-        state.setTimeoutTimestamp(deadline_ms)
-    if out:
-        yield pd.DataFrame(out, columns=["escalation_id", "sla_deadline", "cause"])
-
-
-def sla_timer(events: DataFrame, watermark: str = "0 seconds") -> DataFrame:
-    """S3: emit one breach per escalation — at its deadline when no first
-    response has come (event-time timeout), or on a late first response."""
-    return (events.withWatermark("event_time", watermark)
-            .groupBy("escalation_id")
-            .applyInPandasWithState(_sla_timer, BREACH_SCHEMA, STATE_SCHEMA, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+OPENED_SCHEMA = T.StructType([T.StructField("escalation_id", T.StringType()), T.StructField("deadline", T.TimestampType())])
+RESPONDED_SCHEMA = T.StructType([T.StructField("escalation_id", T.StringType()), T.StructField("event_time", T.TimestampType())])
+#: Row of both streams that only moves their watermarks.
+CLOCK = "__clock__"
+
+
+def sla_timer(opened: DataFrame, responded: DataFrame, watermark: str = "0 seconds", longest: str = "2 days") -> DataFrame:
+    """S3: one breach per escalation that got no response by its deadline.
+
+    A left outer join of the opened escalations (watermark on the deadline) with
+    the responses up to it. Spark emits an escalation without a match once the
+    watermark of both streams has passed its deadline, and that is the breach,
+    whether no response ever came, a late one came, or the response reached the
+    stream before the opening. ``longest`` is the longest time from opening to
+    deadline; it bounds how long a response waits in state for its opening. All
+    state is kept by the join; no Python runs."""
+    o = opened.withWatermark("deadline", watermark).select("escalation_id", "deadline")
+    r = responded.withWatermark("event_time", watermark).select(F.col("escalation_id").alias("_responded"), "event_time")
+    in_time = ((F.col("escalation_id") == F.col("_responded")) & (F.col("event_time") <= F.col("deadline"))
+               & (F.col("event_time") >= F.col("deadline") - F.expr(f"INTERVAL {longest}")))
+    # clock rows answer one another; a filter on their id would be pushed below the watermark
+    return (o.join(r, in_time, "leftOuter").filter(F.col("_responded").isNull())
+            .select("escalation_id", F.col("deadline").alias("sla_deadline")))
 
 
 def run_sla_timer(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
                   state_partitions: int | None = None) -> None:
-    """One incremental S3 run: every event file not yet seen by the
-    checkpoint is read as one micro-batch, then the query stops
-    (``availableNow``); the state and watermark carry over to the next run.
+    """One incremental S3 run: every file not yet seen by the checkpoint is read
+    as one micro-batch, then the query stops (``availableNow``); the state and
+    watermark carry over to the next run. Openings are read from
+    ``in_dir/opened``, responses from ``in_dir/responded``.
 
     The state is split into ``state_partitions`` (default: the cluster's task
     slots); a new query fixes this number in its checkpoint, so it is set
     for the start only and the session value is restored afterwards."""
-    ev = spark.readStream.schema(SLA_EVENT_SCHEMA).json(in_dir)
+    opened = spark.readStream.schema(OPENED_SCHEMA).json(f"{in_dir}/opened")
+    responded = spark.readStream.schema(RESPONDED_SCHEMA).json(f"{in_dir}/responded")
     parts = state_partitions or spark.sparkContext.defaultParallelism
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     try:
-        q = (sla_timer(ev).writeStream.format("parquet").option("path", out_dir)
+        q = (sla_timer(opened, responded).writeStream.format("parquet").option("path", out_dir)
              .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     q.awaitTermination()
 
 
-def write_lines(df: DataFrame, path: str, min_files: int) -> int:
-    """Write a DataFrame's ``raw`` column as text files (a replayable source):
-    one file per input split, at least ``min_files``. Returns the file count."""
-    n = max(min_files, df.rdd.getNumPartitions())
-    df.select("raw").repartition(n).write.mode("overwrite").text(path)
-    return n
+def write_lines(df: DataFrame, path: str) -> None:
+    """Write a DataFrame's ``raw`` column as text files (a replayable source),
+    one file per input split."""
+    df.select("raw").write.mode("overwrite").text(path)
 
 
-def replay_sla_timer(esc: DataFrame, base: str, slices: int = 4, clock=None,
+def replay_sla_timer(esc: DataFrame, base: str, every_days: int = 60, clock=None,
                      state_partitions: int | None = None):
-    """S3 over an escalations table replayed as a stream.
-
-    Opened and responded events are cut into ``slices`` consecutive time
-    ranges. Each range is written by all tasks in parallel and then consumed
-    by one ``run_sla_timer`` run on the same checkpoint, so a range is exactly
-    one micro-batch and event time only moves forward between batches. A
-    final clock tick moves the watermark to ``clock`` (None: one second after
-    the last deadline or event, i.e. the end of the data) and fires the
-    remaining timers; it rides with the last range. Breaches land in
-    ``{base}/out``; returns the clock used."""
+    """S3 over an escalations table replayed as two streams.
+
+    Openings (by the time of opening) and responses are cut into ranges of
+    ``every_days``, so what a run reads and keeps in state does not depend on how
+    long the history is. A range is written by all tasks in parallel and then
+    consumed by one ``run_sla_timer`` run on the same checkpoint: it is exactly
+    one micro-batch, and event time only moves forward between batches. A final
+    clock row in both streams moves the watermark to ``clock`` (None: one second
+    after the last deadline or event, i.e. the end of the data). Breaches land
+    in ``{base}/out``; returns the clock used."""
     spark = esc.sparkSession
     in_dir, out_dir, ckpt = f"{base}/in", f"{base}/out", f"{base}/ckpt"
-    opened = esc.select(F.col("id").alias("escalation_id"), F.lit("opened").alias("kind"),
-                        F.col("escalated_at").cast("timestamp").alias("event_time"),
-                        F.col("sla_deadline").cast("timestamp").alias("deadline"))
-    responded = esc.filter(F.col("first_response_at").isNotNull()).select(
-        F.col("id").alias("escalation_id"), F.lit("responded").alias("kind"),
-        F.col("first_response_at").cast("timestamp").alias("event_time"),
-        F.lit(None).cast("timestamp").alias("deadline"))
-    ev = opened.unionByName(responded).persist()  # scanned once per slice below
-    try:
-        b = ev.agg(F.min("event_time").alias("lo"), F.max("event_time").alias("hi")).first()
-        lo, hi = b["lo"], b["hi"]
-        if clock is None:
-            last = esc.agg(F.greatest(F.max("sla_deadline"), F.max("first_response_at"),
-                                      F.max("escalated_at")).alias("t")).first()["t"]
-            clock = (last + dt.timedelta(seconds=1)).strftime("%Y-%m-%d %H:%M:%S")
-        step = (hi - lo) / slices
-        tick = spark.range(1).select(F.lit("__clock__").alias("escalation_id"), F.lit("tick").alias("kind"),
-                                     F.lit(clock).cast("timestamp").alias("event_time"),
-                                     F.lit(None).cast("timestamp").alias("deadline"))
-        for i in range(slices):
-            part = ev.filter(F.col("event_time") >= F.lit(lo + step * i))
-            if i < slices - 1:
-                part = part.filter(F.col("event_time") < F.lit(lo + step * (i + 1)))
-            else:
-                # the tick rides with the last range: the watermark moves only
-                # after a batch, so nothing in that batch counts as late
-                part = part.unionByName(tick)
-            part.write.mode("append").json(in_dir)
-            run_sla_timer(spark, in_dir, out_dir, ckpt, state_partitions)
-    finally:
-        ev.unpersist()
-    return clock
+    slim = esc.select(F.col("id").alias("escalation_id"), F.col("escalated_at").cast("timestamp").alias("at"),
+                      F.col("sla_deadline").cast("timestamp").alias("deadline"),
+                      F.col("first_response_at").cast("timestamp").alias("event_time"))
+    slim.write.mode("overwrite").parquet(f"{base}/escalations")  # the flow runs once, each range reads its rows
+    slim = spark.read.parquet(f"{base}/escalations")
+    b = slim.agg(F.min("at").alias("lo"), F.greatest(F.max("at"), F.max("event_time")).alias("hi"),
+                 F.greatest(F.max("deadline"), F.max("event_time"), F.max("at")).alias("last")).first()
+    if clock is None:
+        clock = ((b["last"] or dt.datetime(1970, 1, 1)) + dt.timedelta(seconds=1)).strftime("%Y-%m-%d %H:%M:%S")
+    at, step, end = b["lo"], dt.timedelta(days=every_days), b["hi"]
+    tick = lambda name: spark.range(1).select(F.lit(CLOCK).alias("escalation_id"), F.lit(clock).cast("timestamp").alias(name))
+    last = at is None
+    while True:
+        last = last or at + step > end
+        opened, responded = slim.select("escalation_id", "deadline", "at"), slim.select("escalation_id", "event_time")
+        if at is not None:
+            opened = opened.filter((F.col("at") >= F.lit(at)) & (F.lit(last) | (F.col("at") < F.lit(at + step))))
+            responded = responded.filter((F.col("event_time") >= F.lit(at)) & (F.lit(last) | (F.col("event_time") < F.lit(at + step))))
+        opened = opened.drop("at")
+        if last:  # the watermark moves only after a batch, so nothing in this one counts as late
+            opened, responded = opened.unionByName(tick("deadline")), responded.unionByName(tick("event_time"))
+        opened.write.mode("append").json(f"{in_dir}/opened")
+        responded.write.mode("append").json(f"{in_dir}/responded")
+        run_sla_timer(spark, in_dir, out_dir, ckpt, state_partitions)
+        if last:
+            return clock
+        at += step

@@ -95,12 +95,28 @@ def test_stream_process_equals_batch(spark):
 def test_sla_timer_equals_batch(spark):
     esc = DOM.escalations(spark, SF001)
     base = scratch_path(spark, "sla-test")
-    clock = replay_sla_timer(esc, base, slices=3)
+    clock = replay_sla_timer(esc, base, every_days=45)
     stream_ids = {r.escalation_id for r in spark.read.parquet(f"{base}/out").collect()}
     batch_ids = {r.id for r in mark_sla_breached(esc, clock).filter("sla_breached").collect()}
     assert stream_ids == batch_ids and len(stream_ids) > 0
 
 
+def test_sla_timer_is_order_proof(spark):
+    """A response that reaches the stream before the opening, a deadline already past, a late and a repeated response."""
+    from guestflow.streaming.stream import run_sla_timer
+    t = lambda h, m=0: dt.datetime(2024, 4, 1, h, m)
+    base = scratch_path(spark, "sla-order")
+    batches = [([("past", t(9))], [("early", t(10, 10)), ("mark", t(10))]),
+               ([("early", t(10, 30)), ("none", t(10, 40)), ("late", t(11)), ("twice", t(11))], [("late", t(11, 5)), ("twice", t(10, 50)), ("twice", t(11, 30))]),
+               ([("__clock__", t(20))], [("__clock__", t(20))])]
+    for opened, responded in batches:
+        spark.createDataFrame(opened, "escalation_id string, deadline timestamp").coalesce(1).write.mode("append").json(f"{base}/in/opened")
+        spark.createDataFrame(responded, "escalation_id string, event_time timestamp").coalesce(1).write.mode("append").json(f"{base}/in/responded")
+        run_sla_timer(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", 2)
+    got = sorted(r.escalation_id for r in spark.read.parquet(f"{base}/out").collect())
+    assert got == ["late", "none", "past"]
+
+
 def test_rate_counts_stream_equals_batch(spark):
     from guestflow.operators.reports import rate_counts
     from guestflow.streaming.stream import rate_counts_stream
@@ -143,9 +159,9 @@ def test_stream_branches_and_restart(spark):
     inb = fixtures.inbound_events(spark, SF001)
     base = scratch_path(spark, "s1-test")
     payload = ["source", "guest_name", "message", "timestamp", "booking_ref", "property_id"]
-    write_lines(inb.select(F.to_json(F.struct("message_id", *payload)).alias("raw")), f"{base}/in", 3)
+    write_lines(inb.repartition(3).select(F.to_json(F.struct("message_id", *payload)).alias("raw")), f"{base}/in")
     for _ in range(2):  # a restart on the same checkpoint finds nothing new and writes nothing twice
-        stream_process(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", files_per_trigger=1)
+        stream_process(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", batch_bytes=1)
     responses = spark.read.parquet(f"{base}/out/responses")
     rejects = spark.read.parquet(f"{base}/out/rejects")
     errors = spark.read.parquet(f"{base}/out/errors")
