@@ -131,8 +131,8 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 def local_search(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = 60) -> list[list[int]]:
     """Empty the emptiest underfull bins by moves and exchanges with the others.
 
-    Each step takes pieces of the emptiest bin and puts them into a fuller one:
-    a move, one for one, or two for one. A step is taken only if the fuller bin
+    Each step takes pieces of the emptiest bin (then of the next, when it is
+    stuck) and puts them into a fuller one: a move, one for one, or two for one. A step is taken only if the fuller bin
     gains, which raises the sum of squared fills, so the search ends: at the
     least possible number of bins, or when no bin can be emptied. ``rounds``
     bounds how many bins are attacked."""
@@ -148,7 +148,7 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, round
         if source is None:
             break
         others = [b for b in open_ if b != source]
-        gained = True
+        gained, moved = True, False
         while bins[source] and gained:
             gained = False
             others.sort(key=lambda b: fill[b] - capacity)
@@ -169,8 +169,10 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, round
                     bins[source] += back
                     fill[dst] += delta
                     fill[source] -= delta
-                    gained = True
+                    gained = moved = True
                     break
+        if moved:
+            stuck.clear()  # spaces have changed: emptier bins may go on
         if bins[source]:
             stuck.add(source)
     return [b for b in bins if b]
