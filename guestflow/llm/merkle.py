@@ -77,10 +77,12 @@ def likeness(a: Column, b: Column) -> Column:
 
 def changed_sections(a: Column, b: Column) -> Column:
     """Numbers (from 0) of b's section branches that a does not have: where b was edited."""
-    have = F.split(F.substring(a, 66, 1 << 30), ";")
-    return F.when(root(a) == root(b), F.array().cast("array<int>")).otherwise(
-        F.transform(F.filter(F.transform(F.split(F.substring(b, 66, 1 << 30), ";"), lambda s, k: F.struct(s.alias("s"), k.alias("k"))),
-                             lambda x: ~F.array_contains(have, x["s"])), lambda x: x["k"]))
+    def changed(s: Column) -> Column:
+        numbered = F.transform(s["b"], lambda x, k: F.struct(x.alias("x"), k.alias("k")))
+        return F.transform(F.filter(numbered, lambda x: ~F.array_contains(s["a"], x["x"])), lambda x: x["k"])
+
+    branches = [F.split(F.substring(fp, 66, 1 << 30), ";").alias(name) for name, fp in (("a", a), ("b", b))]
+    return F.when(root(a) == root(b), F.array().cast("array<int>")).otherwise(F.transform(F.array(F.struct(*branches)), changed)[0])
 
 
 def bucket_heads(ids: DataFrame) -> DataFrame:
