@@ -139,7 +139,7 @@ class KneserNey:
         counts = [self._orders(gram[lang == k], n[lang == k]) for k in range(len(langs))]
         self.seen, self.logp, self.down, self.weight = {}, {}, {}, {}
         for k in range(1, ORDER + 1):
-            keys = np.unique(np.concatenate([c[k][0] for c in counts]))
+            keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(c[k][0] for c in counts)]))
             arr = HashArray(keys)
             keys = keys[np.argsort(_hash(keys))]
             ctx = np.unique(keys >> np.uint64(16))
