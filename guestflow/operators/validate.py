@@ -21,6 +21,8 @@ MSG_MISSING = "Field required"
 MSG_TOO_SHORT = "String should have at least 1 character"
 MSG_BAD_DATETIME = "Input should be a valid datetime"
 MSG_NOT_STRING = "Input should be a valid string"
+MSG_NOT_JSON = "JSON decode error"
+MSG_NOT_OBJECT = "Input should be a valid dictionary or object to extract fields from"
 MSG_BAD_SOURCE = "Input should be " + ", ".join(f"'{c}'" for c in CHANNELS[:-1]) + f" or '{CHANNELS[-1]}'"
 
 STRING_FIELDS = ["source", "guest_name", "message", "timestamp", "booking_ref", "property_id"]
@@ -47,40 +49,68 @@ def _err(cond: Column, field: str, issue: str, received: Column, path: bool = Tr
                                  received.cast("string").alias("received")))
 
 
+def kind_col(name: str) -> str:
+    """Column that says what JSON a payload field came as: null (absent), VOID
+    (an explicit null), STRING, or another type's name."""
+    return f"_kind_{name}"
+
+
 @memo_per_context
-def _error_array_named(raw_name):
-    return error_array(F.col(raw_name) if raw_name else None)
+def _error_array_named(raw_name, typed):
+    return error_array(F.col(raw_name) if raw_name else None, typed)
+
+
+def _absent(name: str, typed: bool) -> Column:
+    return F.col(kind_col(name) if typed else name).isNull()
 
 
-def error_array(raw: Column | None = None) -> Column:
-    """All rule failures of a payload row, in field order.
+def _not_string(name: str, typed: bool) -> Column:
+    """Present, but not a JSON string (an explicit null included)."""
+    return F.col(kind_col(name)) != "STRING" if typed else F.lit(False)
+
+
+def error_array(raw: Column | None = None, typed: bool = False) -> Column:
+    """The failed rules of a payload row in field order, one per field.
 
     ``raw`` is the received body, reported for missing fields (as the schema
-    library does); without it the row's fields are rendered as JSON.
+    library does); without it the row's fields are rendered as JSON. With
+    ``typed`` (rows of ``parse_payload(check_types=True)``) absent, null and
+    wrongly typed fields are told apart, and a body that is no JSON object is
+    one error of its own.
     """
     body = raw if raw is not None else F.to_json(F.struct(*[F.col(c) for c in STRING_FIELDS]))
-    s, g, m, t, p = (F.col(c) for c in ["source", "guest_name", "message", "timestamp", "property_id"])
-    checks = [
-        _err(s.isNull(), "source", MSG_MISSING, body),
-        _err(s.isNotNull() & ~s.isin(*CHANNELS), "source", MSG_BAD_SOURCE, s),
-        _err(g.isNull(), "guest_name", MSG_MISSING, body),
-        _err(F.length(g) < 1, "guest_name", MSG_TOO_SHORT, g),
-        _err(m.isNull(), "message", MSG_MISSING, body),
-        _err(F.length(m) < 1, "message", MSG_TOO_SHORT, m),
-        _err(t.isNull(), "timestamp", MSG_MISSING, body),
-        _err(t.isNotNull() & parse_ts(t).isNull(), "timestamp", MSG_BAD_DATETIME, t),
-        _err(p.isNull(), "property_id", MSG_MISSING, body),
-    ]
-    return F.filter(F.array(*checks), lambda x: x.isNotNull())
+    fields = []
+    for name, wrong, rule in (
+            ("source", MSG_BAD_SOURCE, (~F.col("source").isin(*CHANNELS), MSG_BAD_SOURCE)),
+            ("guest_name", MSG_NOT_STRING, (F.length("guest_name") < 1, MSG_TOO_SHORT)),
+            ("message", MSG_NOT_STRING, (F.length("message") < 1, MSG_TOO_SHORT)),
+            ("timestamp", MSG_BAD_DATETIME, (parse_ts("timestamp").isNull(), MSG_BAD_DATETIME)),
+            ("property_id", MSG_NOT_STRING, None)):
+        c = _err(_absent(name, typed), name, MSG_MISSING, body)
+        if typed:
+            c = F.coalesce(c, _err(_not_string(name, typed), name, wrong, F.col(name)))
+        if rule:
+            c = F.coalesce(c, _err(rule[0], name, rule[1], F.col(name)))
+        fields.append(c)
+    if typed:
+        ref = F.col(kind_col("booking_ref"))
+        fields.insert(4, _err(~ref.isin("STRING", "VOID"), "booking_ref", MSG_NOT_STRING, F.col("booking_ref")))
+    errors = F.filter(F.array(*fields), lambda x: x.isNotNull())
+    if not typed:
+        return errors
+    whole = F.when(F.col("_body") == "JSON", F.lit(None)).otherwise(F.col("_body"))
+    alone = _err(whole.isNotNull(), "body", "", F.when(whole == MSG_NOT_OBJECT, body), path=False)
+    return F.when(F.col("_body") == "JSON", errors).otherwise(F.array(alone.withField("issue", F.col("_body"))))
 
 
 @memo_per_context
-def valid_condition() -> Column:
+def valid_condition(typed: bool = False) -> Column:
     """True when no rule of ``error_array`` fails; plain boolean checks, so a
     filter on it stays cheap after Catalyst pushes it down."""
     s, g, m, t, p = (F.col(c) for c in ["source", "guest_name", "message", "timestamp", "property_id"])
-    return (s.isNotNull() & s.isin(*CHANNELS) & g.isNotNull() & (F.length(g) >= 1)
-            & m.isNotNull() & (F.length(m) >= 1) & t.isNotNull() & parse_ts(t).isNotNull() & p.isNotNull())
+    ok = (s.isNotNull() & s.isin(*CHANNELS) & g.isNotNull() & (F.length(g) >= 1)
+          & m.isNotNull() & (F.length(m) >= 1) & t.isNotNull() & parse_ts(t).isNotNull() & p.isNotNull())
+    return ok & F.col("_strings") if typed else ok
 
 
 def with_validation(df: DataFrame, raw_col: str | None = "raw") -> DataFrame:
@@ -89,12 +119,9 @@ def with_validation(df: DataFrame, raw_col: str | None = "raw") -> DataFrame:
 
     Splits filter on ``is_valid`` (cheap booleans); the error array is only
     computed where a branch selects it."""
-    errs = _error_array_named(raw_col if raw_col and raw_col in df.columns else None)
-    ok = valid_condition()
-    if "type_errors" in df.columns:
-        errs = F.concat(F.col("type_errors"), errs)
-        ok = ok & (F.size("type_errors") == 0)
-    return df.withColumns({"errors": errs, "is_valid": ok, "sent_at": parse_ts("timestamp"),
+    typed = "_body" in df.columns
+    errs = _error_array_named(raw_col if raw_col and raw_col in df.columns else None, typed)
+    return df.withColumns({"errors": errs, "is_valid": valid_condition(typed), "sent_at": parse_ts("timestamp"),
                            "first_name": first_name("guest_name")})
 
 
@@ -120,19 +147,27 @@ def error_envelope(errors) -> Column:
     return F.struct(F.lit(ERROR_TITLE).alias("error"), e.alias("details"), F.lit(ERROR_HINT).alias("hint"))
 
 
-def json_type_errors(raw) -> Column:
-    """A JSON number, boolean, object or array in a string field is an
-    error (not coerced). Reads the raw text through Variant."""
-    v = F.try_parse_json(F.col(raw) if isinstance(raw, str) else raw)
-    checks = []
-    for name in STRING_FIELDS:
-        path = "$." + name
-        kind = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
-        bad = F.try_variant_get(v, path, "variant").isNotNull() & \
-            (kind != F.lit("STRING")) & (kind != F.lit("VOID"))
-        checks.append(_err(bad, name, MSG_NOT_STRING, F.to_json(F.try_variant_get(v, path, "variant"))))
-    malformed = _err(v.isNull(), "body", "JSON decode error", F.lit(None).cast("string"), path=False)
-    return F.filter(F.array(malformed, *checks), lambda x: x.isNotNull())
+def typed_fields(df: DataFrame, raw: str) -> DataFrame:
+    """The payload fields of a raw JSON body, parsed once, with what they came as.
+
+    Adds the six fields (text; other JSON as its JSON text), ``_kind_<field>``,
+    ``_body`` (JSON, or why the body as a whole is unusable) and ``_strings``
+    (all fields usable strings). The parse and what is read from it come out of
+    one-row generators, so no later filter copies them."""
+    keep = df.columns
+    parsed = df.select(*keep, F.inline(F.array(F.struct(F.try_parse_json(F.col(raw)).alias("_v")))))
+    part = lambda c: F.try_variant_get("_v", "$." + c, "variant")
+    parsed = parsed.select(*keep, "_v", F.inline(F.array(F.struct(
+        F.when(F.col("_v").isNull(), MSG_NOT_JSON).when(F.schema_of_variant("_v").startswith("OBJECT"), "JSON").otherwise(MSG_NOT_OBJECT).alias("_body"),
+        *[F.schema_of_variant(part(c)).alias(kind_col(c)) for c in STRING_FIELDS]))))
+    kinds = {c: F.col(kind_col(c)) for c in STRING_FIELDS}
+    usable = F.lit(True)
+    for c in STRING_FIELDS:
+        usable = usable & (F.coalesce(kinds[c], F.lit("VOID")).isin("STRING", "VOID") if c == "booking_ref" else F.coalesce(kinds[c] == "STRING", F.lit(False)))
+    text = [F.when(kinds[c] == "STRING", F.try_variant_get("_v", "$." + c, "string"))
+            .when(kinds[c] != "VOID", F.to_json(part(c))).alias(c) for c in STRING_FIELDS]
+    return parsed.select(*keep, "_body", *[kind_col(c) for c in STRING_FIELDS],
+                         F.inline(F.array(F.struct(*text, usable.alias("_strings")))))
 
 
 def response_violations() -> Column:

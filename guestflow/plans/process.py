@@ -135,7 +135,7 @@ def with_decision(df: DataFrame, text_col: str = "message") -> DataFrame:
                          route_action("score_cents", "query_type").alias("action"))
 
 
-def checked_inbound(spark: SparkSession, sf_dir: str, check_types: bool = False) -> DataFrame:
+def checked_inbound(spark: SparkSession, sf_dir: str, check_types: bool = True) -> DataFrame:
     """Inbound payloads derived from ``events``, parsed from JSON and validated."""
     return with_validation(parse_payload(fixtures.inbound_raw(spark, sf_dir), check_types=check_types))
 

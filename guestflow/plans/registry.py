@@ -14,8 +14,8 @@ from ..functions.scoring import (ambiguous, base_score_cents, confidence_band, c
                                  multi_intent, route_action)
 from ..functions.text import (booking_ref_label, fallback_reply, message_id, normalize_phone,
                               property_text, reply_preview, user_prompt)
-from ..operators.validate import (MSG_BAD_SOURCE, MSG_MISSING, MSG_TOO_SHORT, error_envelope,
-                                  is_valid, response_violations, split_valid)
+from ..operators.validate import (MSG_BAD_SOURCE, MSG_MISSING, MSG_NOT_STRING, MSG_TOO_SHORT, error_envelope,
+                                  is_valid, response_violations, split_valid, with_validation)
 from ..sources import fixtures
 from ..sources.inbound import parse_payload
 from . import process as P
@@ -655,17 +655,16 @@ def _typed_raw(spark, sf):
     ref = F.when(F.col("event_type") == "error", F.col("props")).otherwise(
         F.concat(F.lit('"'), F.col("booking_ref"), F.lit('"')))
     body = F.to_json(F.struct("source", "guest_name", "message", "timestamp", "property_id"))
-    raw = F.when(ref.isNull(), body).otherwise(
-        F.concat(F.expr("substring(to_json(struct(source, guest_name, message, timestamp, property_id)), 1, "
-                        "length(to_json(struct(source, guest_name, message, timestamp, property_id))) - 1)"),
-                 F.lit(',"booking_ref":'), ref, F.lit("}")))
+    bare = inb.select("message_id", F.inline(F.array(F.struct(body.alias("_body_text"), ref.alias("_ref")))))  # rendered once
+    raw = F.when(F.col("_ref").isNull(), F.col("_body_text")).otherwise(
+        F.concat(F.expr("substring(_body_text, 1, length(_body_text) - 1)"), F.lit(',"booking_ref":'), F.col("_ref"), F.lit("}")))
+    inb = bare
     return inb.select("message_id", raw.alias("raw"))
 
 
 def check_string_types(spark, sf):
-    from ..operators.validate import json_type_errors
-    t = _typed_raw(spark, sf).withColumn("te", json_type_errors("raw"))
-    return (t.select("message_id", F.explode("te").alias("e"))
+    bad = split_valid(with_validation(parse_payload(_typed_raw(spark, sf), check_types=True)))[1]
+    return (bad.select("message_id", F.explode(F.filter("errors", lambda e: e["issue"] == MSG_NOT_STRING)).alias("e"))
             .select("message_id", F.col("e.field").alias("field"), F.col("e.issue").alias("issue"),
                     F.col("e.received").alias("received")))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import message_id
-from ..operators.validate import json_type_errors
+from ..operators.validate import typed_fields
 
 PAYLOAD_SCHEMA = T.StructType([
     T.StructField(name, T.StringType(), True)
@@ -30,18 +30,17 @@ CASE_SCHEMA = T.StructType([T.StructField("test_cases", T.ArrayType(T.StructType
 def parse_payload(df: DataFrame, raw_col: str = "raw", check_types: bool = False) -> DataFrame:
     """A1: parse the raw JSON body into the six payload columns.
 
-    ``json_tuple`` is a generator, so each body is parsed once and the fields
-    are plain columns; later filters never re-inline a JSON parse per field.
-    A malformed body gives null fields (reported as missing). Numbers or
-    objects sent for a string field come back as their text; with
-    ``check_types`` a ``type_errors`` column flags them (B6).
+    With ``check_types`` the body is parsed as a variant and every field is
+    told apart as absent, null, string or another type (``typed_fields``): wrong
+    types and malformed bodies are errors, as the service has it. Without, as
+    for rows known to hold strings, ``json_tuple`` reads the fields' text; a
+    malformed body gives null fields. Both are generators, so each body is
+    parsed once and later filters never re-inline a JSON parse per field.
     """
-    names = [f.name for f in PAYLOAD_SCHEMA.fields]
-    out = df
     if check_types:
-        out = out.withColumn("type_errors", json_type_errors(raw_col))
-    keep = [c for c in out.columns]
-    return out.select(*keep, F.json_tuple(F.col(raw_col), *names).alias(*names))
+        return typed_fields(df, raw_col)
+    names = [f.name for f in PAYLOAD_SCHEMA.fields]
+    return df.select(*df.columns, F.json_tuple(F.col(raw_col), *names).alias(*names))
 
 
 def read_inbound(spark: SparkSession, path: str, check_types: bool = True,

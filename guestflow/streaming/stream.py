@@ -46,7 +46,7 @@ def stream_process(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: s
     reader = spark.readStream.format("text").option("maxBytesPerTrigger", batch_bytes)
     raw = reader.load(in_dir).withColumnRenamed("value", "raw")
     delivery_id = F.coalesce(F.get_json_object("raw", "$.message_id"), message_id("raw"))
-    parsed = parse_payload(raw.withColumn("message_id", delivery_id))
+    parsed = parse_payload(raw.withColumn("message_id", delivery_id), check_types=True)
     q = (parsed.writeStream.foreachBatch(_process_batch(out_dir, drafter_factory, props))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()

@@ -26,7 +26,9 @@ def test_keyword_scan_not_copied_into_filters(spark):
 
 def test_json_parsed_once(spark):
     plan = optimized(E.queries()["process_messages"](spark, SF001))
-    assert plan.count("json_tuple(") == 1 and "from_json(" not in plan
+    assert plan.count("parseJson") == 1 and "json_tuple(" not in plan and "from_json(" not in plan
+    plan = optimized(E.queries()["check_string_types"](spark, SF001))
+    assert plan.count("parseJson") == 1
 
 
 def test_flagship_needs_no_shuffle(spark):

@@ -81,3 +81,22 @@ def test_case_file(spark):
                                                     "C-04": "Lena", "C-05": "Kiran"}[r.case_id] + ",")
     statuses = cases.select("case_id", "expected_status").collect()
     assert {r.case_id: r.expected_status for r in statuses}["C-01"] == 200
+
+
+def test_missing_null_wrong_type_and_malformed_are_told_apart(spark):
+    good = json.dumps(GOOD)
+    source = "Input should be 'whatsapp', 'booking_com', 'airbnb', 'instagram' or 'direct'"
+    cases = [(good, []),
+             ({**GOOD, "booking_ref": None}, []),
+             ({**GOOD, "booking_ref": 5}, [("body → booking_ref", "Input should be a valid string", "5")]),
+             ({**GOOD, "guest_name": None}, [("body → guest_name", "Input should be a valid string", None)]),
+             ({**GOOD, "source": 5}, [("body → source", source, "5")]),
+             ({**GOOD, "source": None}, [("body → source", source, None)]),
+             ({**GOOD, "message": {"a": 1}}, [("body → message", "Input should be a valid string", '{"a":1}')]),
+             ({**GOOD, "timestamp": None}, [("body → timestamp", "Input should be a valid datetime", None)]),
+             ("{oops", [("body", "JSON decode error", None)]),
+             ("[1,2]", [("body", "Input should be a valid dictionary or object to extract fields from", "[1,2]")])]
+    df = payloads(spark, [b for b, _ in cases])
+    got = {r.message_id: [(e.field, e.issue, e.received) for e in r.errors] for r in df.collect()}
+    assert got == {f"t{i}": want for i, (_, want) in enumerate(cases)}
+    assert {r.message_id for r in df.filter("is_valid").collect()} == {"t0", "t1"}
