@@ -13,12 +13,11 @@ from guestflow.llm.common import stored, text_slices
 ORDER = 4
 SPACE, START = 32, 2
 #: Model cells (character sequences times languages) that may be broadcast.
-MAX_CELLS = 16_000_000
+MAX_CELLS = 8_000_000
 #: A prediction is rejected beyond SLACK times the QUANTILE of the excess
-#: cross-entropy that the learning documents themselves show. New text of a
-#: known language exceeds learned text, most so in small corpora; other
-#: languages and gibberish exceed it many times over.
-QUANTILE, SLACK = 0.999, 3.0
+#: cross-entropy that learning documents show under a model of the other half of
+#: them. Other languages and gibberish exceed it many times over.
+QUANTILE, SLACK = 0.999, 2.0
 
 
 def _letters() -> np.ndarray:
@@ -78,27 +77,34 @@ def learning(lang: str = "lang", doc_id: str = "doc_id") -> Column:
     return (F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3, F.lit(0)) != 1) & F.col(lang).isNotNull()
 
 
+def half() -> Column:
+    """The half (0 or 1) of the learning rows that a document belongs to."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half")
+
+
 def gram_counts(docs: DataFrame) -> DataFrame:
-    """(lang, gram, n) over every learning document: counts of ORDER symbols."""
+    """(lang, gram, n0, n1) over every learning document: counts of ORDER symbols
+    in each half."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols = Symbols()
         for b in text_slices(batches):
-            langs = b.column("lang").to_pylist()
+            langs, halves = b.column("lang").to_pylist(), b.column("half").to_numpy()
             names = sorted(set(langs))
-            code = np.array([names.index(x) for x in langs])
+            code = np.array([names.index(x) for x in langs]) * 2 + halves
             sym, row = symbols(b.column("text").to_pylist())
             if len(sym) < ORDER:
                 continue
             grams, row = _grams(sym, ORDER), row[ORDER - 1:]
             ok = sym[ORDER - 1:] != START
-            for k, name in enumerate(names):
+            for k in range(2 * len(names)):
                 g, n = np.unique(grams[ok & (code[row] == k)], return_counts=True)
                 if len(g):
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(g)), pa.array(g.view(np.int64)), pa.array(n)],
-                                                     ["lang", "gram", "n"])
+                    n = [pa.array(n * (k % 2 == h)) for h in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([pa.array([names[k // 2]] * len(g)), pa.array(g.view(np.int64)), *n],
+                                                     ["lang", "gram", "n0", "n1"])
 
-    counted = docs.where(learning()).select("lang", "text").mapInArrow(run, "lang string, gram bigint, n bigint")
-    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = docs.where(learning()).select("lang", "text", half()).mapInArrow(run, "lang string, gram bigint, n0 bigint, n1 bigint")
+    return counted.groupBy("lang", "gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 class HashArray:
@@ -200,10 +206,12 @@ class KneserNey:
         return out
 
 
-def fit(docs: DataFrame) -> KneserNey:
-    """The model from all learning documents. Its size is bounded: beyond MAX_CELLS
-    cells the rarest sequences are pruned by the smallest count that fits."""
-    counts = stored(gram_counts(docs), "grams")
+def fit(docs: DataFrame) -> list[KneserNey]:
+    """The model from all learning documents, and those from each half of them.
+
+    A model's size is bounded: beyond MAX_CELLS cells the rarest sequences are
+    pruned by the smallest count that fits."""
+    counts = stored(gram_counts(docs), "grams").withColumn("n", F.col("n0") + F.col("n1"))
     langs = [r["lang"] for r in counts.select("lang").distinct().orderBy("lang").collect()]
     room, least = MAX_CELLS // max(1, len(langs)), 1
     if counts.count() > room:
@@ -215,46 +223,62 @@ def fit(docs: DataFrame) -> KneserNey:
             least = r["n"]
     pdf = counts.where(F.col("n") >= least).toPandas()
     code = pdf["lang"].map({x: k for k, x in enumerate(langs)}).to_numpy(np.int64)
-    return KneserNey(langs, code, pdf["gram"].to_numpy(np.int64).view(np.uint64), pdf["n"].to_numpy(np.int64))
-
-
-def cross_entropies(docs: DataFrame, model: KneserNey) -> DataFrame:
-    """(doc_id, lang, best, bits, margin, letters, symbols): the nearest language of every
-    whole text, its cross-entropy per symbol and the posterior among the languages."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    gram = pdf["gram"].to_numpy(np.int64).view(np.uint64)
+    models = []
+    for c in ("n", "n0", "n1"):
+        n = pdf[c].to_numpy(np.int64)
+        models.append(KneserNey(langs, code[n > 0], gram[n > 0], n[n > 0]))
+    return models
+
+
+def _entropy(kn: KneserNey, sym: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cross-entropy of every row under every language, and its number of symbols."""
+    sums, n = np.zeros((rows, len(kn.langs))), np.zeros(rows, np.int64)
+    if len(sym) >= ORDER and kn.langs:
+        real = sym[ORDER - 1:] != START
+        grams, row = _grams(sym, ORDER)[real], row[ORDER - 1:][real]
+        for lo in range(0, len(grams), 1 << 19):
+            g, r = grams[lo:lo + (1 << 19)], row[lo:lo + (1 << 19)]
+            cut = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+            sums[r[cut]] += np.add.reduceat(kn.score(g, ORDER), cut, axis=0, dtype=np.float64)
+            n[r[cut]] += np.diff(np.append(cut, len(r)))
+    return -sums / np.maximum(n, 1)[:, None], n
+
+
+def cross_entropies(docs: DataFrame, models: list[KneserNey]) -> DataFrame:
+    """(doc_id, lang, best, entropy, fresh, sure, symbols): the nearest language of every
+    whole text, its cross-entropy per symbol, for learning rows that of their own
+    language under the other half's model, and the posterior among the languages."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kn, symbols = shared.value, Symbols()
+        (kn, *halves), symbols = shared.value, Symbols()
+        place = {x: k for k, x in enumerate(kn.langs)}
         for b in text_slices(batches):
+            rows = b.num_rows
             sym, row = symbols(b.column("text").to_pylist())
-            sums, n, letters = np.zeros((b.num_rows, len(kn.langs))), np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
-            real = sym != START
-            letters += np.bincount(row[real & (sym != SPACE)], minlength=b.num_rows)
-            if len(sym) >= ORDER and kn.langs:
-                grams, row, real = _grams(sym, ORDER), row[ORDER - 1:], real[ORDER - 1:]
-                for lo in range(0, len(grams), 1 << 19):
-                    part = slice(lo, lo + (1 << 19))
-                    g, r = grams[part][real[part]], row[part][real[part]]
-                    if len(g):
-                        cut = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-                        sums[r[cut]] += np.add.reduceat(kn.score(g, ORDER), cut, axis=0, dtype=np.float64)
-                        n[r[cut]] += np.diff(np.append(cut, len(r)))
-            ce = -sums / np.maximum(n, 1)[:, None]
+            letters = np.bincount(row[(sym != START) & (sym != SPACE)], minlength=rows)
+            ce, n = _entropy(kn, sym, row, rows)
             usable = (letters > 0) & bool(kn.langs)
+            best, low, sure, fresh = np.zeros(rows, int), np.zeros(rows), np.zeros(rows), np.full(rows, np.nan)
             if kn.langs:
                 best = ce.argmin(axis=1)
-                low = ce[np.arange(len(ce)), best]
-                sure = 1 / np.exp(-(ce - low[:, None]) * np.minimum(n, 40)[:, None]).sum(axis=1)
-            else:
-                best, low, sure = np.zeros(len(ce), int), np.zeros(len(ce)), np.zeros(len(ce))
+                low = ce[np.arange(rows), best]
+                sure = np.where(usable, 1 / np.exp(-(ce - low[:, None]) * np.minimum(n, 40)[:, None]).sum(axis=1), 0)
+                own = np.array([place.get(x, -1) for x in b.column("lang").to_pylist()])
+                learned = b.column("learned").to_numpy(zero_copy_only=False).astype(bool) & (own >= 0) & usable
+                for h in (0, 1):
+                    mine = learned & (b.column("half").to_numpy() != h)
+                    keep = mine[row]
+                    fresh[mine] = _entropy(halves[h], sym[keep], row[keep], rows)[0][mine, own[mine]]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("lang"), pa.array([kn.langs[k] if ok else None for k, ok in zip(best, usable)], pa.string()),
-                 pa.array(low), pa.array(np.where(usable, sure, 0.0)), pa.array(n.astype(np.int64))],
-                ["doc_id", "lang", "best", "entropy", "sure", "symbols"])
+                 pa.array(low), pa.array(fresh, from_pandas=True), pa.array(sure), pa.array(n)],
+                ["doc_id", "lang", "best", "entropy", "fresh", "sure", "symbols"])
 
-    return docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").mapInArrow(
-        run, f"doc_id {kind}, lang string, best string, entropy double, sure double, symbols bigint")
+    return docs.select("doc_id", F.col("lang").cast("string").alias("lang"), learning().alias("learned"), half(), "text").mapInArrow(
+        run, f"doc_id {kind}, lang string, best string, entropy double, fresh double, sure double, symbols bigint")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -265,16 +289,17 @@ def identify(docs: DataFrame) -> DataFrame:
     learned). score is the posterior over the learned languages for at most 40
     symbols. rejected marks ``und`` and texts unlike every language: their excess
     over the mean cross-entropy, which shrinks as one over the root of the
-    length, lies beyond SLACK times the QUANTILE seen on all learning rows that
-    have the predicted language. Rows with a null lang are predicted, not
+    length, lies beyond SLACK times the QUANTILE of fresh text of the predicted
+    language. Fresh text is every learning row, scored by a model of the half of
+    the learning rows that it is not in. Rows with a null lang are predicted, not
     learned from; null doc_ids count as learning rows. Repeated rows give a row
     each, an empty table none; other columns are not read."""
     scored = stored(cross_entropies(docs, fit(docs)), "entropy")
     reach = F.sqrt(F.least("symbols", F.lit(400)))
-    own = scored.where(learning() & F.col("best").isNotNull() & (F.col("best") == F.col("lang")))
-    mean = own.groupBy("best").agg((F.sum(F.col("entropy") * F.col("symbols")) / F.sum("symbols")).alias("mean"))
+    own = scored.where(F.col("fresh").isNotNull() & (F.col("best") == F.col("lang")))
+    mean = own.groupBy("best").agg((F.sum(F.col("fresh") * F.col("symbols")) / F.sum("symbols")).alias("mean"))
     # exact quantile: counts per thousandth of the excess, summed up per language
-    cell = F.ceil((F.col("entropy") - F.col("mean")) * reach * 1000)
+    cell = F.ceil((F.col("fresh") - F.col("mean")) * reach * 1000)
     cells = own.join(F.broadcast(mean), "best").groupBy("best", cell.alias("cell")).agg(F.count("*").alias("n"))
     whole, upto = Window.partitionBy("best"), Window.partitionBy("best").orderBy("cell")
     limit = (cells.withColumn("all", F.sum("n").over(whole)).withColumn("upto", F.sum("n").over(upto))
