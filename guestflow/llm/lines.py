@@ -9,8 +9,8 @@ from guestflow.llm.components import connected_components
 
 #: Edits that still link two lines, and the length from which lines link by edits.
 MAX_EDITS, MIN_CHARS = 2, 20
-#: Letters whose counts are compared before the distance is worked out.
-LETTERS = "entahirosd"
+#: Characters whose counts are compared before the distance is worked out.
+LETTERS = "entahirosdlucgbwmf.,"
 #: Bits of the map of candidate lines that is broadcast (fixed size).
 MAP_BITS = 1 << 22
 
@@ -61,17 +61,17 @@ def probe_keys(line: Column, n: Column, edits: int) -> Column:
 
 def letter_counts(line: Column) -> Column:
     """Three bits per letter: its count modulo eight."""
-    out = F.lit(0)
+    out = F.lit(0).cast("bigint")
     for k, c in enumerate(LETTERS):
-        count = F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
-        out = out.bitwiseOR(F.shiftleft(count.bitwiseAND(7), 3 * k))
+        count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
+        out = out.bitwiseOR(F.shiftleft(count.cast("bigint").bitwiseAND(7), 3 * k))
     return out
 
 
 def counts_agree(a: Column, b: Column, edits: int) -> Column:
     """False only for lines more than ``edits`` (3 at most) apart: each edit adds one
     letter at most and takes one away at most."""
-    more, less = F.lit(0), F.lit(0)
+    more, less = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
     for k in range(len(LETTERS)):
         d = (F.shiftright(a, 3 * k).bitwiseAND(7) - F.shiftright(b, 3 * k).bitwiseAND(7)).bitwiseAND(7)
         more += F.when(d <= 4, d).otherwise(0)
@@ -134,7 +134,9 @@ def line_links(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHA
     spark = docs.sparkSession
     line, n = F.col("line"), F.length("line")
     long_lines = lines_of(docs).where(n >= min_chars).select("line")
-    known = long_lines.distinct().select("line", n.alias("n"), F.xxhash64("line").alias("id"), letter_counts(line).alias("counts"))
+    # the counts ride along as part of the key, so that they are worked out before the shuffle both sides read
+    known = (long_lines.select("line", letter_counts(line).alias("counts")).distinct()
+             .select("line", n.alias("n"), F.xxhash64("line").alias("id"), "counts"))
     index = known.select(F.explode(index_keys(line, F.col("n"), edits)).alias("key"), F.col("id").alias("i"), F.col("counts").alias("ic"))
     probe = known.select(F.explode(probe_keys(line, F.col("n"), edits)).alias("key"), F.col("id").alias("p"), F.col("counts").alias("pc"))
     near = probe.join(index, (probe["key"] == index["key"]) & (F.col("p") != F.col("i")) & counts_agree(F.col("pc"), F.col("ic"), edits))
