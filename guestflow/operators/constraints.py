@@ -16,6 +16,8 @@ EMAIL_PATTERN = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
 
 DIRECTIONS = ["inbound", "outbound"]
 
+# --- FIXED VALUES, to the end of DEFAULTS: the schema's value domains, foreign
+# keys, not-null columns, widths, numeric ranges and defaults.
 # Comment-only value domains (reported as warnings).
 DOMAINS = {
     ("reservations", "status"): ["confirmed", "cancelled", "completed", "no_show"],

@@ -61,11 +61,13 @@ class OfflineDrafter:
 
 
 def _drafting(factory: Callable[[], Callable[[dict], str]], model: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Arrow function of (first name, prompt): only these two columns go to Python."""
+    @F.pandas_udf(T.StructType([T.StructField("drafted_reply", T.StringType()), T.StructField("draft_error", T.StringType())]))
+    def draft(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         drafter = factory()  # one client per partition, as the service keeps one per process
-        for pdf in batches:
+        for firsts, prompts in batches:
             replies, errors = [], []
-            for first, prompt in zip(pdf["first_name"], pdf["prompt"]):
+            for first, prompt in zip(firsts, prompts):
                 req = {"model": model, "max_tokens": MAX_REPLY_TOKENS, "system": SYSTEM_PROMPT,
                        "prompt": prompt, "first_name": first}
                 try:
@@ -74,8 +76,8 @@ def _drafting(factory: Callable[[], Callable[[dict], str]], model: str):
                 except Exception as exc:  # every failure class becomes the holding reply
                     replies.append(FALLBACK_REPLY_HEAD + first + FALLBACK_REPLY_TAIL)
                     errors.append(failure_reason(exc))
-            yield pdf.assign(drafted_reply=replies, draft_error=errors)
-    return run
+            yield pd.DataFrame({"drafted_reply": replies, "draft_error": errors})
+    return draft
 
 
 def with_prompts(df: DataFrame, props: DataFrame, redact_unverified: bool = False) -> DataFrame:
@@ -96,7 +98,7 @@ def draft_replies(df: DataFrame, props: DataFrame | None = None, drafter_factory
     """Add ``drafted_reply`` and ``draft_error``.
 
     Without a drafter the holding reply is a column expression (no Python).
-    With one, prompts go through ``mapInPandas`` in Arrow batches; each failure
+    With one, names and prompts go to an Arrow function in batches; each failure
     becomes the holding reply and its reason is kept in ``draft_error``.
     """
     if drafter_factory is None:
@@ -108,9 +110,8 @@ def draft_replies(df: DataFrame, props: DataFrame | None = None, drafter_factory
     prompted = prompted.select(*df.columns, "prompt")
     if partitions:
         prompted = prompted.repartition(partitions)  # latency-bound calls: spread them
-    out_schema = T.StructType(prompted.schema.fields + [
-        T.StructField("drafted_reply", T.StringType()), T.StructField("draft_error", T.StringType())])
-    return prompted.mapInPandas(_drafting(drafter_factory, model), out_schema).drop("prompt")
+    drafted = prompted.withColumn("_draft", _drafting(drafter_factory, model)("first_name", "prompt"))
+    return drafted.select(*df.columns, "_draft.drafted_reply", "_draft.draft_error")
 
 
 # ----------------------------------------------------------------------------

@@ -358,12 +358,21 @@ def check_channel(spark, sf):
     return CON.domain_violations(fixtures.inbound_events(spark, sf), "message_id", "source", rules.CHANNELS)
 
 
+def _with_reimport(df: DataFrame, again) -> DataFrame:
+    """A table with some rows imported a second time under a new id (planted
+    violations of its unique keys), from one scan."""
+    copies = F.when(again, F.array(F.lit(""), F.lit("-again"))).otherwise(F.array(F.lit("")))
+    return df.withColumn("_copy", F.explode(copies)).withColumn("id", F.concat("id", "_copy")).drop("_copy")
+
+
 def check_unique_booking_ref(spark, sf):
-    return CON.duplicates(fixtures.reservations(spark, sf), "booking_ref")
+    res = fixtures.reservations(spark, sf)
+    return CON.duplicates(_with_reimport(res, F.substring("id", 5, 20).cast("bigint") % 500 == 0), "booking_ref")
 
 
 def check_unique_identity(spark, sf):
-    return CON.duplicates(fixtures.channel_identities(spark, sf), ["channel", "channel_guest_id"])
+    ident = fixtures.channel_identities(spark, sf)
+    return CON.duplicates(_with_reimport(ident, F.col("guest_id") % 100 == 0), ["channel", "channel_guest_id"])
 
 
 def check_primary_keys(spark, sf):
