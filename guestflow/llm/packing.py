@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -17,10 +18,19 @@ from guestflow.llm.common import stored, text_slices
 
 #: Pieces packed together by one task.
 GROUP_ROWS = 20_000
-#: Entries of the younger generation of a worker's tables of encoded words.
-CACHE_CHUNKS, CACHE_PIECES = 300_000, 600_000
+#: Entries of the younger generation of a worker's table of encoded words.
+CACHE = 600_000
 _SIMPLE = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž0-9!-&(-/:-@\[-`{-~ \n]+")
 _PIECES = re.compile(r"[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def byte_symbols() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others
+    for the characters from 256 on, in order."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class Recent(dict):
@@ -47,25 +57,36 @@ class WordEncoder:
     The vocabulary's pre-tokenizer drops white space and never joins across it,
     so a text's ids are those of its space-separated chunks in turn. Texts of
     plain Latin letters, digits and marks (already in composed form, without an
-    apostrophe or a special token) are lower-cased as a whole and their chunks
-    split further at the pre-tokenizer's own borders; the chunks of any other
-    text go to the tokenizer as they are. All tables are bounded."""
+    apostrophe or a special token) are lower-cased as a whole; their chunks are
+    cut at the pre-tokenizer's own borders and the pieces merged by the
+    tokenizer's model. The chunks of any other text go to the tokenizer as they
+    are. All tables are bounded."""
 
     def __init__(self, path: str | None):
         from tokenizers import Tokenizer
         if path is None:
             import public_tokenizers
             path = public_tokenizers.path("word_bpe_49k.json")
-        self.tokenizer = Tokenizer.from_file(path)
-        self.pieces = Recent(CACHE_PIECES, self._ids)
-        self.plain = Recent(CACHE_CHUNKS, self._join)
-        self.other = Recent(CACHE_CHUNKS // 4, self._ids)
+        self.tokenizer, self.symbols = Tokenizer.from_file(path), byte_symbols()
+        self.merge = self.tokenizer.model.tokenize
+        self.plain = Recent(CACHE, self._chunk)
+        self.other = Recent(CACHE // 8, self._whole)
 
-    def _ids(self, s: str) -> bytes:
+    def _whole(self, s: str) -> bytes:
         return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _join(self, chunk: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(chunk)))
+    def _piece(self, p: str) -> bytes:
+        if not p.isascii():
+            p = p.encode().decode("latin-1").translate(self.symbols)
+        return array("I", [t.id for t in self.merge(p)]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        word = chunk.rstrip(_MARKS)
+        if word and len(word) < len(chunk):
+            return self.plain[word] + self.plain[chunk[len(word):]]
+        if word.isalpha() or not word:
+            return self._piece(chunk) if chunk else b""
+        return b"".join(map(self.plain.__getitem__, pieces)) if len(pieces := _PIECES.findall(chunk)) > 1 else self._piece(chunk)
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of the text."""
