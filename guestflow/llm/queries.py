@@ -113,8 +113,9 @@ SELECT d.doc_id, coalesce(doc.n, 0)::BIGINT AS n_lines, coalesce(gone, 0)::BIGIN
 FROM documents d LEFT JOIN doc USING (doc_id) LEFT JOIN firsts USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op4_substring_dedup": f"""
 WITH d AS (SELECT doc_id, {_WORDS4} AS w FROM documents),
-s AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
-g AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS k FROM s),
+s AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 18), lambda i: {{'i': i, 'g': array_to_string(w[i:i + 19], ' ')}})) AS s
+      FROM d WHERE len(w) >= 20),
+g AS (SELECT doc_id, s.i AS i, row_number() OVER (PARTITION BY s.g ORDER BY doc_id, s.i) AS k FROM s),
 gone AS (SELECT DISTINCT doc_id, i + unnest(range(20)) AS i FROM g WHERE k > 1),
 w AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
 kept AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.i) AS t, count(*) AS n
@@ -128,9 +129,9 @@ bw AS (SELECT DISTINCT item, least(len(w), 13) AS k, array_to_string(w[i:i + lea
        FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
 d AS (SELECT doc_id, {_WORDS5} AS w FROM documents),
 ks AS (SELECT DISTINCT k FROM bw),
-s AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks WHERE len(w) >= k),
-h AS (SELECT doc_id, i, s.k, item FROM (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM s) s
-      JOIN bw ON bw.g = s.g AND bw.k = s.k),
+s AS (SELECT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: {{'i': i, 'g': array_to_string(w[i:i + k - 1], ' ')}})) AS s
+      FROM d, ks WHERE len(w) >= k),
+h AS (SELECT doc_id, s.s.i AS i, s.k AS k, item FROM s JOIN bw ON bw.g = s.s.g AND bw.k = s.k),
 hits AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, i + unnest(range(k)) AS p FROM h) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS t
           FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
