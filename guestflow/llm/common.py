@@ -26,14 +26,14 @@ def fold(col: str, k: int) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % k
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about BATCH_CHARS characters (one row at least)."""
+def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``chars`` characters (one row at least)."""
     for b in batches:
         n, lo, size = b.num_rows, 0, 0
         lengths = pc.binary_length(b.column(text)).to_pylist() if n else []
         for i, k in enumerate(lengths):
             size += k or 0
-            if size >= BATCH_CHARS:
+            if size >= chars:
                 yield b.slice(lo, i + 1 - lo)
                 lo, size = i + 1, 0
         if lo < n:

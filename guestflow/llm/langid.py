@@ -12,6 +12,8 @@ from guestflow.llm.common import stored, text_slices
 
 ORDER = 4
 SPACE, START = 32, 2
+#: Characters scored at once: each takes some dozens of bytes while it is.
+SLICE_CHARS = 1_000_000
 #: Model cells (character sequences times languages) that may be broadcast.
 MAX_CELLS = 8_000_000
 #: A prediction is rejected beyond SLACK times the QUANTILE of the excess
@@ -87,7 +89,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     in each half."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols = Symbols()
-        for b in text_slices(batches):
+        for b in text_slices(batches, chars=SLICE_CHARS):
             langs, halves = b.column("lang").to_pylist(), b.column("half").to_numpy()
             names = sorted(set(langs))
             code = np.array([names.index(x) for x in langs]) * 2 + halves
@@ -237,8 +239,8 @@ def _entropy(kn: KneserNey, sym: np.ndarray, row: np.ndarray, rows: int) -> tupl
     if len(sym) >= ORDER and kn.langs:
         real = sym[ORDER - 1:] != START
         grams, row = _grams(sym, ORDER)[real], row[ORDER - 1:][real]
-        for lo in range(0, len(grams), 1 << 19):
-            g, r = grams[lo:lo + (1 << 19)], row[lo:lo + (1 << 19)]
+        for lo in range(0, len(grams), 1 << 18):
+            g, r = grams[lo:lo + (1 << 18)], row[lo:lo + (1 << 18)]
             cut = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
             sums[r[cut]] += np.add.reduceat(kn.score(g, ORDER), cut, axis=0, dtype=np.float64)
             n[r[cut]] += np.diff(np.append(cut, len(r)))
@@ -255,7 +257,7 @@ def cross_entropies(docs: DataFrame, models: list[KneserNey]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (kn, *halves), symbols = shared.value, Symbols()
         place = {x: k for k, x in enumerate(kn.langs)}
-        for b in text_slices(batches):
+        for b in text_slices(batches, chars=SLICE_CHARS):
             rows = b.num_rows
             sym, row = symbols(b.column("text").to_pylist())
             letters = np.bincount(row[(sym != START) & (sym != SPACE)], minlength=rows)

@@ -7,6 +7,7 @@ from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,8 +19,8 @@ from guestflow.llm.common import stored, text_slices
 
 #: Pieces packed together by one task.
 GROUP_ROWS = 20_000
-#: Entries of the younger generation of a worker's table of encoded words.
-CACHE = 600_000
+#: Entries of the younger generation of a task's table of encoded words.
+CACHE = 300_000
 _SIMPLE = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž0-9!-&(-/:-@\[-`{-~ \n]+")
 _PIECES = re.compile(r"[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -63,11 +64,7 @@ class WordEncoder:
     are. All tables are bounded."""
 
     def __init__(self, path: str | None):
-        from tokenizers import Tokenizer
-        if path is None:
-            import public_tokenizers
-            path = public_tokenizers.path("word_bpe_49k.json")
-        self.tokenizer, self.symbols = Tokenizer.from_file(path), byte_symbols()
+        self.tokenizer, self.symbols = _tokenizer(path), byte_symbols()
         self.merge = self.tokenizer.model.tokenize
         self.plain = Recent(CACHE, self._chunk)
         self.other = Recent(CACHE // 8, self._whole)
@@ -88,6 +85,12 @@ class WordEncoder:
             return self._piece(chunk) if chunk else b""
         return b"".join(map(self.plain.__getitem__, pieces)) if len(pieces := _PIECES.findall(chunk)) > 1 else self._piece(chunk)
 
+    def close(self) -> None:
+        """Empty the tables (they and the encoder refer to each other)."""
+        for t in (self.plain, self.other):
+            t.clear()
+            t.elder = {}
+
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of the text."""
         if _SIMPLE.fullmatch(text) and "<|" not in text:
@@ -95,7 +98,15 @@ class WordEncoder:
         return b"".join(map(self.other.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-_ENCODERS: dict = {}
+@lru_cache(maxsize=1)
+def _tokenizer(path: str | None):
+    """The tokenizer, read once per worker; the word tables live as long as a task,
+    so that idle workers hold no memory that other stages need."""
+    from tokenizers import Tokenizer
+    if path is None:
+        import public_tokenizers
+        path = public_tokenizers.path("word_bpe_49k.json")
+    return Tokenizer.from_file(path)
 
 
 def pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, tokenizer_path: str | None = None) -> DataFrame:
@@ -103,7 +114,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, tokenizer_pat
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _ENCODERS.get(tokenizer_path) or _ENCODERS.setdefault(tokenizer_path, WordEncoder(tokenizer_path))
+        enc = WordEncoder(tokenizer_path)
         end, step = int(end_id).to_bytes(4, "little"), 4 * capacity
         for b in text_slices(batches):
             row, piece, start, length, crc = [], [], [], [], []
@@ -119,6 +130,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, tokenizer_pat
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                  pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        enc.close()
 
     return docs.select("doc_id", "text").mapInArrow(
         run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
