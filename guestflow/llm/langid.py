@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,11 @@ ORDER = 4
 SPACE, START = 32, 2
 #: Characters scored at once: each takes some dozens of bytes while it is.
 SLICE_CHARS = 1_000_000
-#: Model cells (character sequences times languages) that may be broadcast.
+#: Model cells (character sequences times languages) that may be broadcast at
+#: once. Larger models are made by Spark and broadcast in parts, with equal scores.
 MAX_CELLS = 8_000_000
+#: Counts of the model of all learning documents and of those of each half.
+MODELS = ("n", "n0", "n1")
 #: A prediction is rejected beyond SLACK times the QUANTILE of the excess
 #: cross-entropy that learning documents show under a model of the other half of
 #: them. Other languages and gibberish exceed it many times over.
@@ -208,26 +212,13 @@ class KneserNey:
         return out
 
 
-def fit(docs: DataFrame) -> list[KneserNey]:
-    """The model from all learning documents, and those from each half of them.
-
-    A model's size is bounded: beyond MAX_CELLS cells the rarest sequences are
-    pruned by the smallest count that fits."""
-    counts = stored(gram_counts(docs), "grams").withColumn("n", F.col("n0") + F.col("n1"))
-    langs = [r["lang"] for r in counts.select("lang").distinct().orderBy("lang").collect()]
-    room, least = MAX_CELLS // max(1, len(langs)), 1
-    if counts.count() > room:
-        kept = 0
-        for r in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
-            kept += r["count"]
-            if kept > room:
-                break
-            least = r["n"]
-    pdf = counts.where(F.col("n") >= least).toPandas()
+def fit(counts: DataFrame, langs: list[str]) -> list[KneserNey]:
+    """The model from all learning documents, and those from each half of them."""
+    pdf = counts.toPandas()
     code = pdf["lang"].map({x: k for k, x in enumerate(langs)}).to_numpy(np.int64)
     gram = pdf["gram"].to_numpy(np.int64).view(np.uint64)
     models = []
-    for c in ("n", "n0", "n1"):
+    for c in MODELS:
         n = pdf[c].to_numpy(np.int64)
         models.append(KneserNey(langs, code[n > 0], gram[n > 0], n[n > 0]))
     return models
@@ -283,6 +274,157 @@ def cross_entropies(docs: DataFrame, models: list[KneserNey]) -> DataFrame:
         run, f"doc_id {kind}, lang string, best string, entropy double, fresh double, sure double, symbols bigint")
 
 
+def _terms(counts: DataFrame, langs: list[str]) -> tuple[DataFrame, list[float]]:
+    """(j, kind, key, n, n0, n1): the models as terms that add up, made by Spark,
+    and what a symbol costs at the floor of each model.
+
+    The score of a symbol is that of its longest seen sequence, plus the weights
+    of the longer contexts. So with each seen context of order k giving its
+    weight (kind 2k - 1) and each seen sequence what its own score lies above its
+    context's weight and its suffix's score (kind 2k - 2), the terms found for a
+    symbol, and the floor, add up to its score, in whatever parts they are looked
+    up. n, n0 and n1 are the terms in the model of that name, 0 if not seen there."""
+    spark = counts.sparkSession
+    place = spark.createDataFrame(list(enumerate(langs)), "j int, lang string")
+    table = counts.join(F.broadcast(place), "lang").select("j", F.col("gram").alias("key"), *MODELS)
+    orders = {ORDER: table}
+    for k in range(ORDER - 1, 0, -1):
+        tail = F.col("key").bitwiseAND(F.lit((1 << (16 * k)) - 1)).alias("key")
+        seen = [F.sum((F.col(c) > 0).cast("long")).alias(c) for c in MODELS]
+        orders[k] = stored(orders[k + 1].groupBy("j", tail).agg(*seen), f"order{k}")
+    sizes = orders[1].agg(*(F.count_distinct(F.when(F.col(c) > 0, F.col("key"))).alias(c) for c in MODELS)).first()
+    out, lower = [], None
+    for k in range(1, ORDER + 1):
+        table = orders[k].withColumn("ctx", F.shiftrightunsigned("key", 16))
+        rare = table.groupBy("j").agg(*(F.sum((F.col(c) == i).cast("long")).alias(f"{c}_{i}") for c in MODELS for i in (1, 2)))
+        d = {c: F.when(F.col(f"{c}_1") + F.col(f"{c}_2") > 0, F.least(F.lit(0.95), F.greatest(
+            F.lit(0.1), F.col(f"{c}_1") / (F.col(f"{c}_1") + 2 * F.col(f"{c}_2"))))).otherwise(0.5) for c in MODELS}
+        rare = F.broadcast(rare.select("j", *(d[c].alias(f"d_{c}") for c in MODELS)))
+        ctx = table.groupBy("j", "ctx").agg(*(F.sum(c).alias(f"all_{c}") for c in MODELS),
+                                            *(F.sum((F.col(c) > 0).cast("long")).alias(f"kinds_{c}") for c in MODELS))
+        ctx = ctx.join(rare, "j")
+        for c in MODELS:
+            ctx = ctx.withColumn(f"w_{c}", F.when(F.col(f"all_{c}") > 0, F.log(F.col(f"d_{c}") * F.col(f"kinds_{c}") / F.col(f"all_{c}"))))
+        ctx = stored(ctx, f"contexts{k}")
+        table = table.join(ctx, ["j", "ctx"])
+        if k == 1:
+            table = table.select("*", *(F.lit(-float(np.log(sizes[c] + 1))).alias(f"low_{c}") for c in MODELS))
+        else:
+            tail = F.col("key").bitwiseAND(F.lit((1 << (16 * (k - 1))) - 1))
+            table = table.withColumn("tail", tail).join(lower, ["j", "tail"])
+        for c in MODELS:
+            p = F.greatest(F.col(c) - F.col(f"d_{c}"), F.lit(0)) / F.col(f"all_{c}") + F.exp(F.col(f"w_{c}") + F.col(f"low_{c}"))
+            table = table.withColumn(f"p_{c}", F.when(F.col(c) > 0, F.log(F.greatest(p, F.lit(1e-12)))))
+        table = stored(table.select("j", "key", *(F.col(f"p_{c}") for c in MODELS),
+                                    *((F.col(f"p_{c}") - F.col(f"w_{c}") - F.col(f"low_{c}")).alias(c) for c in MODELS)), f"scores{k}")
+        lower = table.select("j", F.col("key").alias("tail"), *(F.col(f"p_{c}").alias(f"low_{c}") for c in MODELS))
+        out.append(table.select("j", F.lit(2 * k - 2).alias("kind"), "key", *MODELS))
+        out.append(ctx.select("j", F.lit(2 * k - 1).alias("kind"), F.col("ctx").alias("key"), *(F.col(f"w_{c}").alias(c) for c in MODELS)))
+    terms = reduce(DataFrame.unionByName, out)
+    return terms.select("j", "kind", "key", *(F.coalesce(F.col(c), F.lit(0.0)).cast("float").alias(c) for c in MODELS)), [
+        float(np.log(sizes[c] + 1)) for c in MODELS]
+
+
+class Terms:
+    """Some of the terms of some languages, by language and kind in hash arrays."""
+
+    def __init__(self, j: np.ndarray, kind: np.ndarray, key: np.ndarray, values: np.ndarray, langs: list[int]):
+        self.langs, self.tables = langs, {}
+        group = j.astype(np.int64) * (2 * ORDER) + kind
+        order = np.lexsort((_hash(key), group))
+        start, n = np.unique(group[order], return_index=True)[1], len(group)
+        for lo, hi in zip(start, np.append(start[1:], n)):
+            at = order[lo:hi]
+            self.tables[divmod(int(group[at[0]]), 2 * ORDER)] = HashArray(key[at]), values[at]
+
+    def sums(self, grams: np.ndarray, lang: int) -> np.ndarray:
+        """What the terms of a language give each packed sequence in each model."""
+        out = np.zeros((len(grams), len(MODELS)))
+        for kind in range(2 * ORDER):
+            table = self.tables.get((lang, kind))
+            if table:
+                key = grams & np.uint64((1 << (16 * (kind // 2 + 1))) - 1)
+                at = table[0].find(key >> np.uint64(16) if kind % 2 else key)
+                seen = at >= 0
+                out[seen] += table[1][at[seen]]
+        return out
+
+
+def _term_sums(docs: DataFrame, shared, langs: list[str]) -> DataFrame:
+    """(row, j, s, f, symbols, letters): the sum of a part's terms over every text for each
+    of the part's languages, and for learning rows that of the other half's model."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, symbols = shared.value, Symbols()
+        place = {x: k for k, x in enumerate(langs)}
+        for b in text_slices(batches, chars=SLICE_CHARS):
+            rows = b.num_rows
+            sym, row = symbols(b.column("text").to_pylist())
+            letters = np.bincount(row[(sym != START) & (sym != SPACE)], minlength=rows)
+            real = sym[ORDER - 1:] != START
+            grams, row = _grams(sym, ORDER)[real], row[ORDER - 1:][real]
+            n = np.bincount(row, minlength=rows)
+            kinds, inv = np.unique(grams, return_inverse=True)
+            own = np.array([place.get(x, -1) for x in b.column("lang").to_pylist()])
+            learned = b.column("learned").to_numpy(zero_copy_only=False).astype(bool) & (letters > 0)
+            other = 2 - b.column("half").to_numpy()
+            for j in terms.langs:
+                value = terms.sums(kinds, j)
+                s = np.stack([np.bincount(row, value[inv, m], rows) for m in range(len(MODELS))], axis=1)
+                f = np.where(learned & (own == j), s[np.arange(rows), other], np.nan)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("row"), pa.array(np.full(rows, j, np.int32)), pa.array(s[:, 0]), pa.array(f, from_pandas=True),
+                     pa.array(n), pa.array(letters)], ["row", "j", "s", "f", "symbols", "letters"])
+
+    return docs.mapInArrow(run, "row bigint, j int, s double, f double, symbols bigint, letters bigint")
+
+
+def cross_entropies_in_parts(docs: DataFrame, counts: DataFrame, langs: list[str]) -> DataFrame:
+    """What ``cross_entropies`` gives, with models of any size: their terms are
+    broadcast one part (whole languages, or a hash range of one) at a time, and
+    each text's sums added up."""
+    spark = docs.sparkSession
+    docs = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("lang").cast("string").alias("lang"),
+                              learning().alias("learned"), half(), "text"), "rows")
+    terms, floors = _terms(counts, langs)
+    terms, room = stored(terms, "terms"), max(1, MAX_CELLS // 4)
+    plan, parts, left = [], [], 0
+    for j, rows in sorted((r["j"], r["count"]) for r in terms.groupBy("j").count().collect()):
+        if rows <= left:
+            parts[-1].append(j)
+            plan.append((j, len(parts) - 1, 1))
+            left -= rows
+        else:
+            ranges = -(-rows // room)
+            plan.append((j, len(parts), ranges))
+            parts += [[j] for _ in range(ranges)]
+            left = room - rows if ranges == 1 else 0
+    plan = spark.createDataFrame(plan, "j int, first int, ranges int")
+    part = F.col("first") + F.pmod(F.xxhash64("key"), F.col("ranges"))
+    terms = stored(terms.join(F.broadcast(plan), "j").withColumn("part", part.cast("int")).drop("first", "ranges")
+                   .repartitionByRange("part").sortWithinPartitions("part"), "parts")
+    sums = []
+    for k, members in enumerate(parts):
+        pdf = terms.where(F.col("part") == k).drop("part").toPandas()
+        shared = spark.sparkContext.broadcast(Terms(
+            pdf["j"].to_numpy(), pdf["kind"].to_numpy(), pdf["key"].to_numpy(np.int64).view(np.uint64), pdf[list(MODELS)].to_numpy(np.float32), members))
+        del pdf
+        sums.append(stored(_term_sums(docs.select("row", "lang", "learned", "half", "text"), shared, langs), "sums"))
+        shared.destroy()
+    each = reduce(DataFrame.unionByName, sums).groupBy("row", "j").agg(
+        F.sum("s").alias("s"), F.sum("f").alias("f"), F.max("symbols").alias("symbols"), F.max("letters").alias("letters"))
+    per, names = F.greatest("symbols", F.lit(1)), F.array(*map(F.lit, langs))
+    each = each.select("row", "symbols", "letters", "j", ((F.col("symbols") * floors[0] - F.col("s")) / per).alias("ce"), "f")
+    best = each.groupBy("row").agg(F.max("symbols").alias("symbols"), F.max("letters").alias("letters"), F.max("f").alias("f"),
+                                   F.collect_list("ce").alias("ces"), F.min(F.struct("ce", "j")).alias("least"))
+    floor = F.when(F.col("half") == 0, floors[2]).otherwise(floors[1])
+    ok, reach = F.col("letters") > 0, F.least("symbols", F.lit(40))
+    weight = F.aggregate("ces", F.lit(0.0), lambda acc, x: acc + F.exp((F.col("least.ce") - x) * reach))
+    return docs.drop("text").join(best, "row").select(
+        "doc_id", "lang", F.when(ok, F.get(names, F.col("least.j"))).alias("best"), F.col("least.ce").alias("entropy"),
+        ((F.col("symbols") * floor - F.col("f")) / F.greatest("symbols", F.lit(1))).alias("fresh"),
+        F.when(ok, 1 / weight).otherwise(0.0).alias("sure"), "symbols")
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) of every row.
 
@@ -296,7 +438,12 @@ def identify(docs: DataFrame) -> DataFrame:
     the learning rows that it is not in. Rows with a null lang are predicted, not
     learned from; null doc_ids count as learning rows. Repeated rows give a row
     each, an empty table none; other columns are not read."""
-    scored = stored(cross_entropies(docs, fit(docs)), "entropy")
+    counts = stored(gram_counts(docs), "grams").withColumn("n", F.col("n0") + F.col("n1"))
+    langs = [r["lang"] for r in counts.select("lang").distinct().orderBy("lang").collect()]
+    if counts.count() * len(langs) <= MAX_CELLS:
+        scored = stored(cross_entropies(docs, fit(counts, langs)), "entropy")
+    else:
+        scored = stored(cross_entropies_in_parts(docs, counts, langs), "entropy")
     reach = F.sqrt(F.least("symbols", F.lit(400)))
     own = scored.where(F.col("fresh").isNotNull() & (F.col("best") == F.col("lang")))
     mean = own.groupBy("best").agg((F.sum(F.col("fresh") * F.col("symbols")) / F.sum("symbols")).alias("mean"))

@@ -71,6 +71,27 @@ def test_languages_reject_strangers_awkward_and_empty(spark, awkward, empty):
     assert langid.identified(awkward).columns == awkward.columns
 
 
+@pytest.mark.parametrize("cells", [100_000, 40_000])
+def test_languages_beyond_the_broadcast_bound(spark, awkward, monkeypatch, cells):
+    """A rare language beside larger ones, with whole languages and with hash ranges of one as parts."""
+    docs = table(spark, "documents").select("doc_id", "text", "lang")
+    rare = [(20_000_000 + i, f"vaka moana {w} te whenua o {w} me nga tangata katoa ki {w}", "mi")
+            for i, w in enumerate(["aroha", "kumara", "tikanga", "whare", "rangi", "marae", "iwi", "awa", "maunga", "kai", "wai", "hau"])]
+    docs = docs.unionByName(spark.createDataFrame(rare, docs.schema)).unionByName(awkward.select("doc_id", "text", "lang"))
+    def answers():
+        rows = [(r["doc_id"] or 0, r["lang_pred"], r["rejected"], round(r["score"], 4)) for r in langid.identify(docs).collect()]
+        return sorted(rows)
+    want = answers()
+    assert sum(r[1] == "mi" and not r[2] for r in want) >= len(rare)
+    monkeypatch.setattr(langid, "MAX_CELLS", cells)
+    counted = []
+    monkeypatch.setattr(langid, "cross_entropies_in_parts", lambda *a, whole=langid.cross_entropies_in_parts: counted.append(1) or whole(*a))
+    got = answers()
+    assert counted == [1]
+    for a, b in zip(want, got, strict=True):
+        assert a[:3] == b[:3] and abs(a[3] - b[3]) < 0.01
+
+
 def held_accuracy(rows, labels, col):
     y = {r["doc_id"]: r[col] for r in labels.collect()}
     held = [(r["predicted"], y[r["doc_id"]]) for r in rows if r["held_out"] and y.get(r["doc_id"]) is not None]
