@@ -14,6 +14,8 @@ from guestflow.llm.common import text_slices
 #: Words of the prefix that groups suffixes, and bytes kept of a window's hash
 #: beside the 64-bit hash of its group's prefix.
 PREFIX, KEPT = 8, 5
+#: Windows of a group; larger groups are split by further bits of the windows' hashes.
+GROUP_WINDOWS = 200_000
 _M = 0xFF51AFD7ED558CCD
 
 
@@ -93,46 +95,92 @@ def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
     into one group, neighbouring windows mostly share one, and a run of
     neighbours ships one prefix and KEPT bytes per window. Inside a task the
     repeats of a slice are settled before the shuffle, so a passage copied into
-    a third of all documents sends one row per slice, not one per copy."""
+    a third of all documents sends one row per slice, not one per copy. A short
+    phrase with different words around it has different windows in one group:
+    groups are counted first, and those beyond GROUP_WINDOWS split by the windows'
+    own hashes, which keeps equal windows together."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sliced = (docs.where("doc_id is not null").select("doc_id", "text")
-              .mapInArrow(_slice_paths(window), f"kind int, prefix bigint, doc_id {kind}, start int, n int, paths binary"))
-    dealt = sliced.repartition("prefix").sortWithinPartitions("prefix", "doc_id", "start")
+    dealt = dealt_windows(docs, window).repartition("prefix").sortWithinPartitions("prefix", "doc_id", "start")
     return dealt.mapInArrow(_subtree, f"doc_id {kind}, start int, n int")
 
 
-def _slice_paths(window: int):
+def dealt_windows(docs: DataFrame, window: int = 20) -> DataFrame:
+    """(kind, prefix, doc_id, start, n, paths): runs of windows under their group's prefix."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.where("doc_id is not null").select("doc_id", "text")
+    counted = docs.mapInArrow(_slice_counts(window), "key int, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    large = counted.where(F.col("n") > GROUP_WINDOWS).toPandas().sort_values("key")
+    split = large["key"].to_numpy(np.int32), -(-large["n"].to_numpy(np.int64) // GROUP_WINDOWS)
+    shared = docs.sparkSession.sparkContext.broadcast(split)
+    return docs.mapInArrow(_slice_paths(window, shared), f"kind int, prefix bigint, doc_id {kind}, start int, n int, paths binary")
+
+
+def _key(low: np.ndarray) -> np.ndarray:
+    """The bits of a prefix under which its windows are counted."""
+    return (low & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+
+
+def _split(low: np.ndarray, paths: np.ndarray, keys: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Prefixes, with those of large groups made longer by bits of the window's hash
+    that are not kept beside it."""
+    if not len(keys):
+        return low
+    key = _key(low)
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    large = np.flatnonzero(keys[at] == key)
+    out = low.copy()
+    with np.errstate(over="ignore"):
+        sub = (paths[large] >> np.uint64(8 * KEPT)) % parts[at[large]].astype(np.uint64)
+        out[large] = _mix(low[large] + sub * np.uint64(_M))
+    return out
+
+
+def _slice_counts(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordHash()
-        for b in text_slices(batches):
-            b = b.take(pc.sort_indices(b.column("doc_id")))
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            words, sizes = [], []
-            for t in b.column("text").to_pylist():
-                ws = words_of(t)
-                if len(ws) >= window:
-                    words += map(table.__getitem__, ws)
-                sizes.append(len(ws) if len(ws) >= window else 0)
-            sizes = np.array(sizes)
-            if not sizes.sum():
-                continue
-            with np.errstate(over="ignore"):
-                w = np.array(words, np.uint64)
-                paths = _mix(path_hashes(w, window))
-                low = _sliding_min(_mix(path_hashes(w, PREFIX)), window - PREFIX + 1)
-            ends = np.cumsum(sizes)
-            row = np.repeat(np.arange(len(sizes)), sizes)[:len(paths)]
-            at = (np.arange(len(paths)) - (ends - sizes)[row]).astype(np.int32)
-            inside = at <= sizes[row] - window
-            paths, low, row, at = paths[inside], low[inside], row[inside], at[inside]
-            doc = ids[row]
-            lead, own = _first([paths], doc, at)
+        for _, _, low, _, _, once in _slices(batches, window):
+            key, n = np.unique(_key(low[once]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["key", "n"])
+    return run
+
+
+def _slice_paths(window: int, shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc, at, low, paths, own, once in _slices(batches, window):
             yield from _emit(1, np.zeros(0, np.uint64), doc, at, ~own, None)
-            once = own & (lead == np.arange(len(lead)))
-            yield from _emit(0, low, doc, at, once, paths)
+            yield from _emit(0, _split(low, paths, *shared.value), doc, at, once, paths)
     return run
 
 
+def _slices(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Windows of each slice: place, prefix, path, whether it is its path's first
+    place, and whether it is to be dealt."""
+    table = WordHash()
+    for b in text_slices(batches):
+        b = b.take(pc.sort_indices(b.column("doc_id")))
+        ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+        words, sizes = [], []
+        for t in b.column("text").to_pylist():
+            ws = words_of(t)
+            if len(ws) >= window:
+                words += map(table.__getitem__, ws)
+            sizes.append(len(ws) if len(ws) >= window else 0)
+        sizes = np.array(sizes)
+        if not sizes.sum():
+            continue
+        with np.errstate(over="ignore"):
+            w = np.array(words, np.uint64)
+            paths = _mix(path_hashes(w, window))
+            low = _sliding_min(_mix(path_hashes(w, PREFIX)), window - PREFIX + 1)
+        ends = np.cumsum(sizes)
+        row = np.repeat(np.arange(len(sizes)), sizes)[:len(paths)]
+        at = (np.arange(len(paths)) - (ends - sizes)[row]).astype(np.int32)
+        inside = at <= sizes[row] - window
+        paths, low, row, at = paths[inside], low[inside], row[inside], at[inside]
+        doc = ids[row]
+        lead, own = _first([paths], doc, at)
+        yield doc, at, low, paths, own, own & (lead == np.arange(len(lead)))
+
+
 def _emit(kind: int, low, doc, at, keep, paths) -> Iterator[pa.RecordBatch]:
     idx = np.flatnonzero(keep)
     if not len(idx):

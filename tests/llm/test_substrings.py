@@ -47,6 +47,21 @@ def test_subtree_holds_a_prefix_over_batches(spark):
     assert got == brute.substring_dedup(docs)
 
 
+def test_groups_of_a_short_common_phrase_are_split(spark, monkeypatch):
+    """A phrase of 12 words in every document, the words around it its own, some copied."""
+    rnd = random.Random(8)
+    phrase = " ".join(f"p{i}" for i in range(12))
+    docs = {d: " ".join([*(f"a{rnd.randrange(10 ** 6)}" for _ in range(25)), phrase, *(f"b{rnd.randrange(10 ** 6)}" for _ in range(25))])
+            for d in range(300)}
+    docs |= {d + 1000: docs[d] for d in range(0, 300, 7)}
+    monkeypatch.setattr(substring, "GROUP_WINDOWS", 100, raising=False)
+    table = frame(spark, list(docs.items()))
+    dealt = substring.dealt_windows(table).where("kind = 0").groupBy("prefix").sum("n").collect()
+    assert max(r[1] for r in dealt) <= 200
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substring.substring_dedup(table).collect()}
+    assert got == brute.substring_dedup(docs)
+
+
 def test_substring_awkward_and_empty(spark, awkward, empty):
     rows = substring.substring_dedup(awkward).collect()
     assert len(rows) == len(AWKWARD)
