@@ -5,9 +5,10 @@ import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -161,78 +162,106 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = 60) -> list[list[int]]:
-    """Empty the emptiest underfull bins by moves and exchanges with the others.
-
-    Each step takes pieces of the emptiest bin (then of the next, when it is
-    stuck) and puts them into a fuller one: a move, one for one, or two for one. A step is taken only if the fuller bin
-    gains, which raises the sum of squared fills, so the search ends: at the
-    least possible number of bins, or when no bin can be emptied. ``rounds``
-    bounds how many bins are attacked."""
-    size = lengths.__getitem__
-    fill = [sum(map(size, b)) for b in bins]
-    stuck: set[int] = set()
-    least = -(-sum(fill) // capacity)
-    for _ in range(rounds):
-        if sum(map(bool, bins)) <= least:
-            break
-        open_ = [b for b in range(len(bins)) if bins[b] and fill[b] < capacity]
-        source = min((b for b in open_ if b not in stuck), key=fill.__getitem__, default=None)
-        if source is None:
-            break
-        others = [b for b in open_ if b != source]
-        gained, moved = True, False
-        while bins[source] and gained:
-            gained = False
-            others.sort(key=lambda b: fill[b] - capacity)
-            mine = sorted(bins[source], key=size, reverse=True)
-            for dst in others:
-                space = capacity - fill[dst]
-                if not space or fill[dst] < fill[source]:
-                    continue
-                step = _step(mine, bins[dst], size, space)
-                if step:
-                    out, back = step
-                    delta = sum(map(size, out)) - sum(map(size, back))
-                    for x in out:
-                        bins[source].remove(x)
-                    for x in back:
-                        bins[dst].remove(x)
-                    bins[dst] += out
-                    bins[source] += back
-                    fill[dst] += delta
-                    fill[source] -= delta
-                    gained = moved = True
-                    break
-        if moved:
-            stuck.clear()  # spaces have changed: emptier bins may go on
-        if bins[source]:
-            stuck.add(source)
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Empty underfull bins by moves and exchanges with fuller ones.
+
+    Each pass attacks every underfull bin, emptiest first: one or two of its
+    pieces go into a fuller bin, for none or for one of that bin's, by the step
+    of largest gain, until no step is left. The fuller bin always gains, which
+    raises the sum of squared fills, so the search ends: at the least possible
+    number of bins, or when a whole pass finds every bin stuck. Bins are indexed
+    by the sizes they hold, each with its largest space, so that a step looks at
+    sizes, not at bins."""
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    left, least = sum(map(bool, bins)), -(-sum(fill) // capacity)
+    moved = True
+    while moved and left > least:
+        moved = False
+        spaces = _Spaces(bins, lengths, fill, capacity)
+        queue = [(fill[b], b) for b in range(len(bins)) if bins[b] and fill[b] < capacity]
+        heapify(queue)
+        while queue and left > least:
+            f, source = heappop(queue)
+            if f != fill[source]:
+                if fill[source] < capacity:
+                    heappush(queue, (fill[source], source))
+                continue
+            spaces.drop(source)
+            while bins[source] and (step := _step({lengths[i] for i in bins[source]}, bins[source], lengths, spaces.most)):
+                out, s = step
+                dst = spaces.bin(s)
+                back = [next(i for i in bins[dst] if lengths[i] == s)] if s else []
+                out = [_take(bins[source], lengths, n) for n in out]
+                for i in back:
+                    bins[dst].remove(i)
+                spaces.drop(dst, back)
+                gain = sum(lengths[i] for i in out) - s
+                bins[dst] += out
+                bins[source] += back
+                fill[dst] += gain
+                fill[source] -= gain
+                spaces.add(dst)
+                moved = True
+            left -= not bins[source]
     return [b for b in bins if b]
 
 
-def _step(mine: list[int], theirs: list[int], size, space: int) -> tuple[list[int], list[int]] | None:
-    """The largest gain within ``space``: a move, a one-for-one or a two-for-one exchange."""
-    best, step = 0, None
-    for x in mine:
-        if best < size(x) <= space:
-            best, step = size(x), ([x], [])
-    for y in theirs:
-        for x in mine:
-            gain = size(x) - size(y)
-            if best < gain <= space:
-                best, step = gain, ([x], [y])
-    if best < space and len(mine) <= 64:
-        sizes = sorted((size(x), x) for x in mine)
-        keys = [s for s, _ in sizes]
-        for y in theirs:
-            room = space + size(y)
-            for k, (s, x) in enumerate(sizes):
-                j = bisect_left(keys, room - s + 1) - 1
-                j = j - 1 if j == k else j
-                if j >= 0 and best < (gain := s + keys[j] - size(y)) <= space:
-                    best, step = gain, ([x, sizes[j][1]], [y])
-    return step
+def _take(members: list[int], lengths: list[int], n: int) -> int:
+    return members.pop(next(k for k, i in enumerate(members) if lengths[i] == n))
+
+
+class _Spaces:
+    """For every size (0 for none) the largest space of the open bins that hold it."""
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], fill: list[int], capacity: int):
+        self.bins, self.lengths, self.fill, self.capacity = bins, lengths, fill, capacity
+        self.heaps: dict[int, list] = defaultdict(list)
+        self.stamp = [0] * len(bins)
+        self.most = np.zeros(capacity + 1, np.int64)
+        for b in range(len(bins)):
+            if bins[b]:
+                self.add(b)
+
+    def add(self, b: int) -> None:
+        space = self.capacity - self.fill[b]
+        if space > 0:
+            for s in {0, *(self.lengths[i] for i in self.bins[b])}:
+                heappush(self.heaps[s], (-space, b, self.stamp[b]))
+                self.most[s] = max(self.most[s], space)
+
+    def drop(self, b: int, also: list[int] = ()) -> None:
+        """Take a bin out (``also``: pieces it held until now)."""
+        self.stamp[b] += 1
+        for s in {0, *(self.lengths[i] for i in self.bins[b]), *(self.lengths[i] for i in also)}:
+            heap = self.heaps[s]
+            while heap and heap[0][2] != self.stamp[heap[0][1]]:
+                heappop(heap)
+            self.most[s] = -heap[0][0] if heap else 0
+
+    def bin(self, s: int) -> int:
+        return self.heaps[s][0][1]
+
+
+def _step(sizes: set[int], mine: list[int], lengths: list[int], most: np.ndarray) -> tuple[tuple[int, ...], int] | None:
+    """The sizes to give and the size to get (0 for none) of the largest gain."""
+    u = np.array(sorted(sizes))
+    twice = {n for n, k in Counter(lengths[i] for i in mine).items() if k > 1}
+    first, second = np.triu_indices(len(u))
+    ok = (first != second) | np.isin(u[first], list(twice))
+    sums = np.concatenate([u, u[first[ok]] + u[second[ok]]])
+    order = np.argsort(sums, kind="stable")
+    ranked = sums[order]
+    got = np.flatnonzero(most)
+    at = np.searchsorted(ranked, got + most[got], "right") - 1
+    gain = np.where(at >= 0, ranked[at] - got, 0)
+    if not len(gain) or gain.max() <= 0:
+        return None
+    k = int(gain.argmax())
+    pick = int(order[at[k]])
+    if pick < len(u):
+        return (int(u[pick]),), int(got[k])
+    pair = np.flatnonzero(ok)[pick - len(u)]
+    return (int(u[first[pair]]), int(u[second[pair]])), int(got[k])
 
 
 def _pack_group(capacity: int, level: int):
@@ -257,7 +286,9 @@ def _packed(df: DataFrame, rows: int, capacity: int, level: int) -> DataFrame:
     kind = df.schema["doc_id"].dataType.simpleString()
     schema = (f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, "
               "sequence_id bigint, offset bigint, fill bigint")
-    return (df.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    # the row's number spreads equal rows
+    row = F.monotonically_increasing_id()
+    return (df.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", row), F.lit(groups)))
             .groupBy("g").applyInPandas(_pack_group(capacity, level), schema))
 
 

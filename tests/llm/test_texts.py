@@ -74,6 +74,28 @@ def test_local_search_empties_bins_best_fit_leaves():
         assert all(sum(sizes[i] for i in b) <= 100 for b in out)
 
 
+def test_local_search_goes_on_until_every_bin_is_stuck():
+    # 150 times the case above, whose optimum is two bins each: 150 bins to empty
+    sizes, start = [], []
+    for k in range(150):
+        start += [[6 * k, 6 * k + 2], [6 * k + 1, 6 * k + 3, 6 * k + 4], [6 * k + 5]]
+        sizes += [6, 5, 3, 2, 2, 2]
+    # sixty emptied bins would leave 390
+    assert len(packing.local_search(start, sizes, 10)) <= 310
+
+
+def test_two_go_for_one_however_many_pieces_a_bin_holds():
+    most = np.zeros(206, np.int64)
+    most[5] = 1
+    assert packing._step({3}, list(range(65)), [3] * 65, most) == ((3, 3), 5)
+
+
+def test_equal_rows_are_spread_over_packing_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ROWS", 50)
+    rows = packing.pack(frame(spark, [(None, "one two three")] * 400), capacity=8).collect()
+    assert len(rows) == 400 and len({r["sequence_id"] >> 25 for r in rows}) > 4
+
+
 def test_packing_awkward_and_empty(awkward, empty):
     rows = packing.pack(awkward).collect()
     assert len({(r["doc_id"], r["piece"]) for r in rows if r["doc_id"] is not None}) >= len(AWKWARD) - 3
