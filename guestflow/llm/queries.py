@@ -4,20 +4,26 @@ Each query is thin: it runs its operator over the whole intended table with the
 production parameters and derives the digest columns of its result."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guestflow.llm.common import read
+from guestflow.llm.codes import compress
+from guestflow.llm.common import fold, read
 from guestflow.llm.decontaminate import report
 from guestflow.llm.html import extract
 from guestflow.llm.langid import identify
 from guestflow.llm.lines import line_dedup
+from guestflow.llm.manifest import build, verified
 from guestflow.llm.merkle import changed_sections, likeness, with_next
 from guestflow.llm.packing import pack
 from guestflow.llm.quality import quality
 from guestflow.llm.simhash import simhash_components
 from guestflow.llm.substring import substring_dedup
 from guestflow.llm.toxicity import toxicity
+from guestflow.llm.warc import archived
+from guestflow.session import checkpoint_dir
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,10 +77,27 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    found = F.when(fold("doc_id", 3) == 0, lower).otherwise(F.col("text"))
+    return verified(build(read(spark, sf_dir, "documents"), found)).withColumnRenamed("proof", "proof_sha256")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = compress(read(spark, sf_dir, "embeddings"), "embedding", parts=16, entries=64, rounds=2)
+    return d.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    d = archived(read(spark, sf_dir, "pages"), path, min_bytes=0)
+    return d.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "state")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_best_fit_packing, op3_merkle, op4_substring_dedup, op5_decontamination, op6_quality_rank,
     op7_line_dedup, op8_html_extraction, op9_simhash,
-    op10_language_id)}
+    op10_language_id, op11_manifest, op12_vector_codes, op13_warc)}
 
 _WORDS4 = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _WORDS5 = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
@@ -86,7 +109,80 @@ _BYTES = "".join(chr(c) for c in (*range(1, 9), *range(14, 14 + len(_FOREIGN) -
 _COUNTS = ", ".join(f"length(line) - length(replace(line, '{c}', '')) AS c{c}" for c in "entahirosd")
 _NEAR = " AND ".join(f"abs(x.c{c} - y.c{c}) <= 2" for c in "entahirosd")
 
+# crc32 of the digits: per byte one step that takes it in and eight shifts.
+_CRC = ("xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), "
+        "lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), "
+        "lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x) WHEN acc % 2 = 1 THEN xor(acc // 2, 3988292384) ELSE acc // 2 END), 4294967295)")
+
+
+def _field(x: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({x} AS VARCHAR)) AS VARCHAR) || ':' || CAST({x} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(_field(x) for x in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """CTEs: all nodes of the trees over (tree, pos, h, n), and per node the sides of its siblings."""
+    return f"""
+{name}(tree, level, pos, h, n) AS (
+  SELECT tree, 0, pos, h, n FROM {leaves}
+  UNION ALL SELECT tree, level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 7) // 8
+  FROM {name} WHERE n > 1 GROUP BY tree, level, pos // 8),
+{name}_sides AS (
+  SELECT tree, level, pos, n, h,
+         coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {name} WINDOW w AS (PARTITION BY tree, level, pos // 8 ORDER BY pos))"""
+
+
+_NEAREST = """
+a{k} AS (SELECT vec_id, p, min(list_sum(list_transform(list_zip(q.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 64 + e) AS k
+         FROM q JOIN b{k} b USING (p) GROUP BY vec_id, p)"""
+_MEAN = """
+m{k} AS (SELECT p, e, list(floor(s / c)::BIGINT ORDER BY i) AS x FROM (
+           SELECT a.p, a.k % 64 AS e, i, sum(q.x[i])::DOUBLE AS s, count(*) AS c
+           FROM a{k} a JOIN q USING (vec_id, p), range(1, 65) r(i) WHERE i <= len(q.x) GROUP BY a.p, a.k % 64, i) GROUP BY p, e),
+b{n} AS (SELECT p, e, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN m{k} m USING (p, e))"""
+
 ORACLE = {
+    "op11_manifest": f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, {_leaf('text')} AS h, CASE WHEN {_CRC} % 3 = 0
+         THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_leaf('text')} END AS f FROM documents),
+leaves AS (SELECT coalesce('=' || lang, '-') AS tree, doc_id, h, f, row_number() OVER (PARTITION BY lang ORDER BY doc_id, h) - 1 AS pos,
+                  count(*) OVER (PARTITION BY lang) AS n FROM d),{_tree('t', 'leaves')},
+subs AS (SELECT tree, h AS subroot FROM t WHERE n = 1),
+tops AS (SELECT 0 AS tree, tree AS of, subroot AS h, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM subs),{_tree('u', 'tops')},
+steps AS (SELECT l.tree, l.pos, s.level, s.l, s.r FROM leaves l JOIN t_sides s ON s.tree = l.tree AND s.n > 1 AND s.pos = l.pos // (8 ** s.level)::BIGINT
+          UNION ALL SELECT l.tree, l.pos, 100 + s.level, s.l, s.r FROM leaves l JOIN tops ON tops.of = l.tree
+          JOIN u_sides s ON s.n > 1 AND s.pos = tops.pos // (8 ** s.level)::BIGINT),
+proofs AS (SELECT tree, pos, list(struct_pack(l := l, r := r) ORDER BY level) AS p FROM steps GROUP BY tree, pos),
+folds(tree, pos, k, acc, p) AS (
+  SELECT l.tree, l.pos, 1, l.f, coalesce(p, []) FROM leaves l LEFT JOIN proofs USING (tree, pos)
+  UNION ALL SELECT tree, pos, k + 1, sha256(p[k].l || acc || p[k].r), p FROM folds WHERE k <= len(p)),
+root AS (SELECT h AS root FROM u WHERE n = 1)
+SELECT doc_id, l.h AS leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(p, lambda s: s.l || s.r), ''), '')) AS proof_sha256,
+       acc AS folded_root, acc = root AS verified
+FROM folds JOIN leaves l USING (tree, pos) JOIN subs USING (tree), root WHERE k > len(p)""",
+    "op12_vector_codes": f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT vec_id, p, x[p * (len(x) // 16) + 1:(p + 1) * (len(x) // 16)] AS x FROM kept, range(16) r(p)),
+seeds AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 64),
+b0 AS (SELECT p, e, x FROM seeds JOIN q USING (vec_id)),{_NEAREST.format(k=0)},{_MEAN.format(k=0, n=1)},{_NEAREST.format(k=1)},{_MEAN.format(k=1, n=2)},{_NEAREST.format(k=2)},
+codes AS (SELECT vec_id, string_agg(lpad(to_hex(k::BIGINT % 64), 2, '0'), '' ORDER BY p) AS code, sum(k // 64)::BIGINT AS error FROM a2 GROUP BY vec_id),
+books AS (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda v: CAST(v AS VARCHAR)), ','), ',' ORDER BY p, e)) AS s FROM b2)
+SELECT vec_id, lower(code) AS code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, s AS codebooks_sha256
+FROM codes JOIN kept USING (vec_id), books""",
+    "op13_warc": """
+WITH h AS (SELECT page_id, coalesce(html, '') AS html, upper(sha1(coalesce(html, ''))) AS x FROM pages)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform([32768, 1024, 32, 1], lambda d:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (CAST('0x' || substr(x, (5 * g + 1)::INT, 5) AS BIGINT) // d % 32 + 1)::INT, 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id = min(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = min(page_id) OVER w THEN NULL ELSE min(page_id) OVER w END AS refers_to, 'ok' AS state
+FROM h WINDOW w AS (PARTITION BY html)""",
     "op7_line_dedup": f"""
 WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
                             unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents),
