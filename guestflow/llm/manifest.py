@@ -132,9 +132,10 @@ def proofs(forest: Forest, above: DataFrame, emit, carried: tuple[str, ...] = ()
         level = subtrees(forest.kept[j], forest.arity, forest.every, carried if last else ())
         level = level.join(higher.withColumnRenamed("pos", "g"), ["tree", "g"])
         path = lambda m: F.concat(steps(forest, (m["pos"] % forest.arity ** forest.every).cast("int")), F.col("proof"))
+        paths = F.transform("members", lambda m: F.struct(m.alias("m"), path(m).alias("path")))  # made once, however often emit reads it
         if last:
-            return level.select("tree", *extra, F.inline(F.transform("members", lambda m: emit(m, path(m)))))
-        higher = level.select("tree", *extra, F.inline(F.transform("members", lambda m: F.struct(m["pos"].alias("pos"), path(m).alias("proof")))))
+            return level.select("tree", *extra, F.inline(F.transform(paths, lambda x: emit(x["m"], x["path"]))))
+        higher = level.select("tree", *extra, F.inline(F.transform(paths, lambda x: F.struct(x["m"]["pos"].alias("pos"), x["path"].alias("proof")))))
     raise AssertionError
 
 
