@@ -196,13 +196,19 @@ def preferred_channel(msgs: DataFrame) -> DataFrame:
 
 
 def run_summary(outcomes: DataFrame) -> DataFrame:
-    """Passed / failed over cases by status match; ``outcomes`` has
-    expected_status and status."""
+    """Passed / failed over cases. A case passes if its status is the expected
+    one. ``outcomes`` has expected_status and status, expected_query_type,
+    expected_action (null: nothing expected) and query_type, action."""
     ok = F.col("status") == F.col("expected_status")
+    answered = F.col("status") == 200
+    met = lambda c: F.count_if(answered & (F.col(f"expected_{c}") == F.col(c)))
     return outcomes.agg(F.count(F.lit(1)).alias("n_cases"), F.count_if(ok).alias("n_passed"),
                         F.count_if(~ok).alias("n_failed"),
                         F.count_if(F.col("status") == 422).alias("n_rejected"),
-                        F.count_if(F.col("status") == 500).alias("n_errors"))
+                        F.count_if(F.col("status") == 500).alias("n_errors"),
+                        F.count_if(F.col("expected_status") == 422).alias("n_rejects_expected"),
+                        F.count_if(answered & F.col("expected_query_type").isNotNull()).alias("n_answers_expected"),
+                        met("query_type").alias("n_types_met"), met("action").alias("n_actions_met"))
 
 
 def expectation_diff(cases: DataFrame) -> DataFrame:

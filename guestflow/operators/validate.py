@@ -147,15 +147,17 @@ def error_envelope(errors) -> Column:
     return F.struct(F.lit(ERROR_TITLE).alias("error"), e.alias("details"), F.lit(ERROR_HINT).alias("hint"))
 
 
-def typed_fields(df: DataFrame, raw: str) -> DataFrame:
+def typed_fields(df: DataFrame, raw: str, parsed: str | None = None) -> DataFrame:
     """The payload fields of a raw JSON body, parsed once, with what they came as.
 
     Adds the six fields (text; other JSON as its JSON text), ``_kind_<field>``,
     ``_body`` (JSON, or why the body as a whole is unusable) and ``_strings``
     (all fields usable strings). The parse and what is read from it come out of
-    one-row generators, so no later filter copies them."""
-    keep = df.columns
-    parsed = df.select(*keep, F.inline(F.array(F.struct(F.try_parse_json(F.col(raw)).alias("_v")))))
+    one-row generators, so no later filter copies them. ``parsed`` names a
+    variant column that holds the body already; it is taken out of the result."""
+    keep = [c for c in df.columns if c != parsed]
+    body = F.col(parsed) if parsed else F.try_parse_json(F.col(raw))
+    parsed = df.select(*keep, F.inline(F.array(F.struct(body.alias("_v")))))
     part = lambda c: F.try_variant_get("_v", "$." + c, "variant")
     parsed = parsed.select(*keep, "_v", F.inline(F.array(F.struct(
         F.when(F.col("_v").isNull(), MSG_NOT_JSON).when(F.schema_of_variant("_v").startswith("OBJECT"), "JSON").otherwise(MSG_NOT_OBJECT).alias("_body"),

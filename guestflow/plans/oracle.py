@@ -346,6 +346,30 @@ from ..operators.reports import BASE_CHECKLIST, TOPIC_CHECK  # noqa: E402
 from ..sources.fixtures import TEMPLATE_EXPECTED  # noqa: E402
 
 CTES.update({
+    # test cases: payload texts with the planted wrong types, and what each case expects
+    "cases": (["inbound"], f"""
+        SELECT event_id, message_id AS case_id, source, timestamp,
+          CASE WHEN event_id % 71 = 0 THEN '5' ELSE message END AS message,
+          CASE WHEN event_id % 73 = 0 THEN '{{"ref":"BK-1"}}' ELSE booking_ref END AS booking_ref,
+          CASE WHEN event_id % 79 = 0 THEN NULL ELSE guest_name END AS guest_name,
+          CASE WHEN event_id % 83 = 0 THEN 'true' ELSE property_id END AS property_id,
+          CASE WHEN 0 IN (event_id % 43, event_id % 47, event_id % 53, event_id % 59, event_id % 67, event_id % 71, event_id % 73,
+                          event_id % 79, event_id % 83, event_id % 89) THEN 422 ELSE 200 END AS expected_status,
+          CASE WHEN event_id % 3 <> 0 THEN {lst(t for t, _ in TEMPLATE_EXPECTED)}[event_id % 24 + 1] END AS expected_query_type,
+          CASE WHEN event_id % 3 <> 0 THEN {lst(a for _, a in TEMPLATE_EXPECTED)}[event_id % 24 + 1] END AS expected_action
+        FROM inbound"""),
+    "case_checked": (["cases"], f"""
+        SELECT *, CASE WHEN n_errors > 0 THEN 422 WHEN NOT regexp_matches(guest_name, '\\S') THEN 500 ELSE 200 END AS status
+        FROM (SELECT *, (CASE WHEN source NOT IN ({', '.join(q(c) for c in CHANNELS)}) THEN 1 ELSE 0 END)
+          + (CASE WHEN event_id % 79 = 0 OR guest_name = '' THEN 1 ELSE 0 END)
+          + (CASE WHEN event_id % 71 = 0 OR message = '' THEN 1 ELSE 0 END)
+          + (CASE WHEN timestamp = 'not-a-timestamp' THEN 1 ELSE 0 END)
+          + (CASE WHEN event_id % 73 = 0 THEN 1 ELSE 0 END)
+          + (CASE WHEN event_id % 83 = 0 OR property_id IS NULL THEN 1 ELSE 0 END) AS n_errors FROM cases)"""),
+    "case_answers": (["case_checked"], f"""
+        SELECT * EXCLUDE (query_type), CASE WHEN status = 200 THEN query_type END AS query_type,
+          CASE WHEN status = 200 THEN {action_sql(cents_sql('query_type', 'lower(message)'), 'query_type')} END AS action
+        FROM (SELECT *, {classify_sql('lower(message)')} AS query_type FROM case_checked)"""),
     "tbl_properties": (["properties"], "SELECT * FROM properties"),
     "senders": (["proc"], """SELECT message_id, source AS channel, guest_id, booking_ref, guest_name, sent_at, property_id,
         source || ':' || CAST(guest_id AS VARCHAR) AS channel_guest_id FROM proc"""),
@@ -494,9 +518,12 @@ ORACLE.update({
     "preferred_channel": sql(["messages"], """SELECT guest_id, channel AS preferred_channel, n AS n_messages FROM (
         SELECT guest_id, channel, count(*) AS n, row_number() OVER (PARTITION BY guest_id ORDER BY count(*) DESC, channel) AS rn
         FROM messages WHERE direction = 'inbound' GROUP BY guest_id, channel) WHERE rn = 1"""),
-    "run_summary": sql(["checked"], """SELECT count(*) AS n_cases, count(*) FILTER (WHERE n_errors = 0 AND first_name IS NOT NULL) AS n_passed,
-        count(*) FILTER (WHERE NOT (n_errors = 0 AND first_name IS NOT NULL)) AS n_failed,
-        count(*) FILTER (WHERE n_errors > 0) AS n_rejected, count(*) FILTER (WHERE n_errors = 0 AND first_name IS NULL) AS n_errors FROM checked"""),
+    "run_summary": sql(["case_answers"], """SELECT count(*) AS n_cases, count(*) FILTER (WHERE status = expected_status) AS n_passed,
+        count(*) FILTER (WHERE status <> expected_status) AS n_failed, count(*) FILTER (WHERE status = 422) AS n_rejected,
+        count(*) FILTER (WHERE status = 500) AS n_errors, count(*) FILTER (WHERE expected_status = 422) AS n_rejects_expected,
+        count(*) FILTER (WHERE status = 200 AND expected_query_type IS NOT NULL) AS n_answers_expected,
+        count(*) FILTER (WHERE status = 200 AND expected_query_type = query_type) AS n_types_met,
+        count(*) FILTER (WHERE status = 200 AND expected_action = action) AS n_actions_met FROM case_answers"""),
     "expectation_diff": sql(["proc"], f"""SELECT x.i AS case_group, x.t AS expected_query_type, p.query_type, x.a AS expected_action, p.action,
         count(*) AS n_messages, (x.t = p.query_type AND x.a = p.action) AS matches
         FROM proc p JOIN (SELECT * FROM (VALUES {_EXPECTED}) AS v(i, t, a)) x ON x.i = p.event_id % 24
@@ -533,7 +560,10 @@ ORACLE.update({
 })
 
 ORACLE.update({
-    "fixture_cases": sql(["inbound"], "SELECT message_id AS case_id, 200 AS expected_status, source, guest_name, message, timestamp, booking_ref, property_id FROM inbound"),
+    "fixture_cases": sql(["cases"], """SELECT case_id, expected_status, expected_query_type, expected_action, source, guest_name, message,
+        timestamp, booking_ref, property_id FROM cases"""),
+    "case_outcomes": sql(["case_answers"], """SELECT case_id, expected_status, status, CAST(n_errors AS BIGINT) AS n_errors, query_type, action
+        FROM case_answers"""),
     "check_string_types": sql(["inbound"], """SELECT i.message_id, 'body → booking_ref' AS field, 'Input should be a valid string' AS issue,
         CAST(json(e.props) AS VARCHAR) AS received
         FROM inbound i JOIN events e ON e.event_id = i.event_id WHERE e.event_type = 'error'"""),

@@ -155,6 +155,20 @@ def processed(spark: SparkSession, sf_dir: str, drafter_factory=None, props: Dat
     return out
 
 
+def case_outcomes(cases: DataFrame) -> DataFrame:
+    """What the flow answers to each test case (rows of ``read_cases``): status 422
+    (rejected), 500 (processing failed) or 200 with class and action, beside what
+    the case expects."""
+    checked = with_validation(cases)
+    status = F.when(~F.col("is_valid"), F.lit(422)).when(F.col("first_name").isNull(), F.lit(500)).otherwise(F.lit(200))
+    decided = with_decision(checked.select("case_id", "expected_status", "expected_query_type", "expected_action",
+                                           "errors", "message", status.alias("status")))
+    answer = F.col("status") == 200
+    return decided.select("case_id", "expected_status", "status", F.size("errors").cast("bigint").alias("n_errors"),
+                          "expected_query_type", F.when(answer, F.col("query_type")).alias("query_type"),
+                          "expected_action", F.when(answer, F.col("action")).alias("action"))
+
+
 def process_messages(spark: SparkSession, sf_dir: str, drafter_factory=None) -> DataFrame:
     """C17, the flagship: five response fields per valid inbound message."""
     return processed(spark, sf_dir, drafter_factory).select(*RESPONSE_COLUMNS)

@@ -481,15 +481,17 @@ def preferred_channel(spark, sf):
     return R.preferred_channel(DOM.messages(spark, sf))
 
 
-def _outcomes(spark, sf):
-    ch = _checked(spark, sf)
-    status = (F.when(~is_valid(), F.lit(422)).when(F.col("first_name").isNull(), F.lit(500))
-              .otherwise(F.lit(200)))
-    return ch.select("message_id", F.lit(200).alias("expected_status"), status.alias("status"))
+def _cases(spark, sf) -> DataFrame:
+    """The payloads as test-case documents, written one per line and read back."""
+    from ..sources.inbound import read_cases
+    from ..sources.sinks import scratch_path
+    path = scratch_path(spark, "cases")
+    fixtures.case_documents(spark, sf).write.text(path)
+    return read_cases(spark, path, multi_line=False)
 
 
 def run_summary(spark, sf):
-    return R.run_summary(_outcomes(spark, sf))
+    return R.run_summary(P.case_outcomes(_cases(spark, sf)))
 
 
 def expectation_diff(spark, sf):
@@ -679,18 +681,13 @@ def check_string_types(spark, sf):
 
 
 def fixture_cases(spark, sf):
-    """A3: the payloads as nested case documents of at most 500 cases each
-    (one JSON document per line), read back and exploded into cases."""
-    from ..sources.inbound import read_cases
-    from ..sources.sinks import scratch_path
-    path = scratch_path(spark, "cases")
-    inb = fixtures.inbound_events(spark, sf)
-    case = F.struct(F.col("message_id").alias("id"), F.lit("event payload").alias("description"),
-                    F.when(F.col("event_id") % 2 == 0, F.lit(200)).alias("expected_status"),
-                    F.struct(*PAYLOAD).alias("payload"))
-    doc = inb.groupBy(F.floor(F.col("event_id") / 500).alias("part")).agg(F.collect_list(case).alias("test_cases"))
-    doc.select("test_cases").write.mode("overwrite").json(path)
-    return read_cases(spark, path, multi_line=False).select("case_id", "expected_status", *PAYLOAD)
+    """A3: every case of the case documents, its payload as it came."""
+    return _cases(spark, sf).select("case_id", "expected_status", "expected_query_type", "expected_action", *PAYLOAD)
+
+
+def case_outcomes(spark, sf):
+    """The status each case gets, beside the expected one."""
+    return P.case_outcomes(_cases(spark, sf)).select("case_id", "expected_status", "status", "n_errors", "query_type", "action")
 
 
 def stream_process_q(spark, sf):
@@ -716,6 +713,7 @@ QUERIES.update({
     "enrich_property": enrich_property,
     "check_string_types": check_string_types,
     "fixture_cases": fixture_cases,
+    "case_outcomes": case_outcomes,
     "stream_process": stream_process_q,
     "stream_sla_timer": stream_sla_timer,
 })

@@ -109,6 +109,32 @@ def inbound_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.to_json(F.struct(*PAYLOAD_FIELDS)).alias("raw"))
 
 
+def _json(value: Column) -> Column:
+    """A string as a JSON value."""
+    text = F.to_json(F.array(value))
+    return F.substring(text, F.lit(2), F.length(text) - 2)
+
+
+def case_documents(spark: SparkSession, sf_dir: str, size: int = 500) -> DataFrame:
+    """Test-case documents (one JSON text per row, ``size`` cases at most) from the
+    payloads of ``events``, with planted wrong types and expectations (FIXTURES.md §3)."""
+    inb = inbound_events(spark, sf_dir)
+    e = F.col("event_id")
+    typed = {"message": F.when(e % 71 == 0, F.lit("5")), "booking_ref": F.when(e % 73 == 0, F.lit('{"ref":"BK-1"}')),
+             "guest_name": F.when(e % 79 == 0, F.lit("null")), "property_id": F.when(e % 83 == 0, F.lit("true"))}
+    value = {n: F.coalesce(typed.get(n, F.lit(None)), F.when(F.col(n).isNotNull(), _json(F.col(n)))) for n in PAYLOAD_FIELDS}
+    fields = [F.concat(F.lit(f'"{n}":'), v) for n, v in value.items()]  # null: left out
+    status = F.when((e % 43 == 0) | (e % 47 == 0) | (e % 53 == 0) | (e % 59 == 0) | (e % 67 == 0) | (e % 71 == 0) | (e % 73 == 0)
+                    | (e % 79 == 0) | (e % 83 == 0) | (e % 89 == 0), F.lit(422)).when(e % 2 == 0, F.lit(200))
+    expected = F.when(e % 3 != 0, F.concat(F.lit(',"expected_query_type":"'), _pick([t for t, _ in TEMPLATE_EXPECTED], e % 24),
+                                           F.lit('","expected_action":"'), _pick([a for _, a in TEMPLATE_EXPECTED], e % 24), F.lit('"')))
+    case = F.concat(F.lit('{"id":"'), F.col("message_id"), F.lit('","description":"event payload"'), F.coalesce(expected, F.lit("")),
+                    F.coalesce(F.concat(F.lit(',"expected_status":'), status.cast("string")), F.lit("")),
+                    F.lit(',"payload":{'), F.concat_ws(",", *fields), F.lit("}}"))
+    return (inb.groupBy(F.floor(e / size).alias("part")).agg(F.concat_ws(",", F.collect_list(case)).alias("cases"))
+            .select(F.concat(F.lit('{"test_cases":['), F.col("cases"), F.lit("]}")).alias("raw")))
+
+
 def properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2: property facts keyed by id, from nation ⋈ region (25 rows)."""
     n = table(spark, sf_dir, "nation", dimension=True)

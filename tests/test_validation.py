@@ -100,3 +100,29 @@ def test_missing_null_wrong_type_and_malformed_are_told_apart(spark):
     got = {r.message_id: [(e.field, e.issue, e.received) for e in r.errors] for r in df.collect()}
     assert got == {f"t{i}": want for i, (_, want) in enumerate(cases)}
     assert {r.message_id for r in df.filter("is_valid").collect()} == {"t0", "t1"}
+
+
+def test_cases_keep_what_they_send(spark, tmp_path):
+    """Wrong types, explicit nulls and absent fields reach the validator as such."""
+    from guestflow.operators.reports import run_summary
+    from guestflow.plans.process import case_outcomes
+    cases = [("ok", GOOD, 200), ("null ref", {**GOOD, "booking_ref": None}, 200), ("number", {**GOOD, "guest_name": 5}, 422),
+             ("object", {**GOOD, "message": {"a": 1}}, 422), ("null", {**GOOD, "property_id": None}, 422),
+             ("absent", {k: v for k, v in GOOD.items() if k != "timestamp"}, 422), ("list", [GOOD], 422), ("text", json.dumps(GOOD), 422),
+             ("no payload", None, 422), ("source", {**GOOD, "source": "telegram"}, 422), ("blank", {**GOOD, "guest_name": " "}, 500)]
+    doc = {"test_cases": [{"id": i, "payload": p, "expected_query_type": "pre_sales_availability", "expected_action": "escalate"}
+                          | ({"expected_status": s} if s != 200 else {}) for i, p, s in cases] + [{"id": "empty", "expected_status": 422}]}
+    (tmp_path / "cases.json").write_text(json.dumps(doc, indent=1))
+    read = read_cases(spark, str(tmp_path / "cases.json"))
+    out = case_outcomes(read).collect()
+    assert {r.case_id: r.status for r in out} == {i: s for i, _, s in cases} | {"empty": 422}
+    assert {r.case_id: (r.query_type, r.action) for r in out if r.status == 200} == dict.fromkeys(["ok", "null ref"], ("pre_sales_availability", "auto_send"))
+    errors = {r.case_id: [(e.field, e.issue, e.received) for e in r.errors] for r in with_validation(read).collect()}
+    assert errors["number"] == [("body → guest_name", "Input should be a valid string", "5")]
+    assert errors["object"] == [("body → message", "Input should be a valid string", '{"a":1}')]
+    assert errors["null"] == [("body → property_id", "Input should be a valid string", None)]
+    assert [e[:2] for e in errors["absent"]] == [("body → timestamp", "Field required")]
+    assert errors["list"][0][:2] == errors["text"][0][:2] == ("body", "Input should be a valid dictionary or object to extract fields from")
+    s = run_summary(case_outcomes(read)).first().asDict()
+    assert s == {"n_cases": 12, "n_passed": 12, "n_failed": 0, "n_rejected": 9, "n_errors": 1, "n_rejects_expected": 9, "n_answers_expected": 2,
+                 "n_types_met": 2, "n_actions_met": 0}
