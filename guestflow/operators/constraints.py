@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rules import DEFAULT_MODEL
+
 # --- FIXED VALUES: the guests.email CHECK pattern (case-insensitive).
 EMAIL_PATTERN = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
 
@@ -48,6 +50,9 @@ FOREIGN_KEYS = [
     ("escalations", "property_id", "properties", "id"),
 ]
 
+# The references of them that delete with their parent; the others block its delete.
+CASCADES = {("guest_channel_identities", "guest_id"), ("ai_message_metadata", "message_id")}
+
 # NOT NULL columns per table (as far as our tables carry them).
 NOT_NULL = {
     "properties": ["id", "name", "bedrooms", "max_guests"],
@@ -68,16 +73,17 @@ NOT_NULL = {
 WIDTHS = {
     ("properties", "id"): 50, ("properties", "name"): 255, ("properties", "location"): 255,
     ("properties", "wifi_password"): 100, ("properties", "caretaker_hours"): 100,
-    ("guests", "full_name"): 255, ("guests", "email"): 255, ("guests", "phone"): 50,
+    ("guests", "full_name"): 255, ("guests", "email"): 255, ("guests", "phone"): 50, ("guests", "preferred_channel"): 50,
     ("guest_channel_identities", "channel"): 50, ("guest_channel_identities", "channel_guest_id"): 255,
     ("guest_channel_identities", "channel_display_name"): 255,
     ("reservations", "booking_ref"): 100, ("reservations", "property_id"): 50,
     ("reservations", "channel"): 50, ("reservations", "status"): 50,
+    ("conversations", "property_id"): 50, ("conversations", "channel"): 50, ("conversations", "status"): 50, ("conversations", "subject"): 255,
     ("messages", "property_id"): 50, ("messages", "direction"): 10, ("messages", "channel"): 50,
     ("messages", "delivery_status"): 50,
     ("ai_message_metadata", "query_type"): 50, ("ai_message_metadata", "action_taken"): 50,
     ("ai_message_metadata", "model_version"): 100,
-    ("escalations", "reason"): 100, ("escalations", "severity"): 20, ("escalations", "status"): 50,
+    ("escalations", "property_id"): 50, ("escalations", "assigned_to"): 255, ("escalations", "reason"): 100, ("escalations", "severity"): 20, ("escalations", "status"): 50,
 }
 
 # NUMERIC(p, s) columns.
@@ -97,7 +103,7 @@ DEFAULTS = {
     "conversations": {"status": "open", "opened_at": "NOW", "last_message_at": "NOW",
                       "created_at": "NOW", "updated_at": "NOW"},
     "messages": {"delivery_status": "received", "created_at": "NOW"},
-    "ai_message_metadata": {"created_at": "NOW"},
+    "ai_message_metadata": {"model_version": DEFAULT_MODEL, "created_at": "NOW"},  # the model label is our own
     "escalations": {"severity": "medium", "status": "open", "escalated_at": "NOW",
                     "sla_breached": False, "created_at": "NOW", "updated_at": "NOW"},
 }
@@ -131,19 +137,22 @@ def duplicates(df: DataFrame, keys) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > 1)
 
 
-def primary_key_report(tables: dict[str, DataFrame], key: str = "id") -> DataFrame:
-    """Per table: rows, null ids, ids held by more than one row."""
-    parts = []
-    for name, df in tables.items():
-        per_key = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-        stats = per_key.agg(
-            F.sum("n").alias("n_rows"),
-            F.sum(F.when(F.col(key).isNull(), F.col("n")).otherwise(0)).alias("n_null_ids"),
-            F.sum(F.when(F.col(key).isNotNull() & (F.col("n") > 1), F.lit(1)).otherwise(0)).alias("n_duplicate_ids"))
-        parts.append(stats.select(F.lit(name).alias("table_name"),
-                                  *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
-                                    for c in ["n_rows", "n_null_ids", "n_duplicate_ids"]]))
-    return reduce(DataFrame.unionByName, parts)
+def duplicate_keys(tables: dict[str, DataFrame], key: str = "id") -> DataFrame:
+    """(table_name, n_duplicate_ids): keys held by more than one row, all tables in one
+    pass over their key columns; counted map-side, so a repeated key is one row."""
+    keys = reduce(DataFrame.unionByName, [df.where(F.col(key).isNotNull()).select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("k"))
+                                          for name, df in tables.items()])
+    twice = keys.groupBy("table_name", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return twice.groupBy("table_name").agg(F.count(F.lit(1)).alias("n_duplicate_ids"))
+
+
+def primary_key_report(tables: dict[str, DataFrame], counts: dict[str, dict[str, int]], key: str = "id") -> DataFrame:
+    """Per table: rows and null ids (observed by the load, ``counts``), and ids held
+    by more than one row."""
+    spark = next(iter(tables.values())).sparkSession
+    seen = spark.createDataFrame([(t, c["rows"], c[f"null {key}"]) for t, c in counts.items()], "table_name string, n_rows bigint, n_null_ids bigint")
+    return (seen.join(F.broadcast(duplicate_keys(tables, key)), "table_name", "left")  # one row per table
+            .select("table_name", "n_rows", "n_null_ids", F.coalesce("n_duplicate_ids", F.lit(0)).cast("bigint").alias("n_duplicate_ids")))
 
 
 def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
@@ -190,85 +199,64 @@ def foreign_key_report(tables: dict[str, DataFrame], fks=FOREIGN_KEYS) -> DataFr
                     F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n_orphans")))
 
 
-def null_report(tables: dict[str, DataFrame], not_null=NOT_NULL) -> DataFrame:
-    """Null count for every NOT NULL column (one pass per table)."""
-    parts = []
-    for name, cols in not_null.items():
-        df = tables[name]
-        present = [c for c in cols if c in df.columns]
-        counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in present])
-        stack = ", ".join(f"'{c}', `{c}`" for c in present)
-        parts.append(counts.selectExpr(f"stack({len(present)}, {stack}) as (column_name, n_nulls)")
-                     .select(F.lit(name).alias("table_name"), "column_name", F.col("n_nulls").cast("bigint")))
-    return reduce(DataFrame.unionByName, parts)
+def default_values(table: str, as_of: str) -> dict[str, Column]:
+    """The table's DEFAULT per column; NOW() = as_of."""
+    return {c: F.lit(as_of).cast("timestamp_ntz") if v == "NOW" else F.lit(v) for c, v in DEFAULTS[table].items()}
 
 
 def apply_defaults(df: DataFrame, table: str, as_of: str) -> DataFrame:
     """Fill DEFAULT values into absent or null columns; NOW() = as_of."""
-    out = df
+    return df.withColumns({c: F.coalesce(F.col(c), v) if c in df.columns else v for c, v in default_values(table, as_of).items()})
+
+
+def defaulted(df: DataFrame, table: str, as_of: str, key: str = "id") -> DataFrame:
+    """(table_name, id, column_name, value) of every cell that its default fills."""
+    cells = []
     for col, val in DEFAULTS[table].items():
-        lit = F.lit(as_of).cast("timestamp_ntz") if val == "NOW" else F.lit(val)
-        out = out.withColumn(col, F.coalesce(F.col(col), lit) if col in df.columns else lit)
+        text = as_of if val == "NOW" else str(val).lower() if isinstance(val, bool) else str(val)
+        absent = F.col(col).isNull() if col in df.columns else F.lit(True)
+        cells.append(F.when(absent, F.struct(F.lit(col).alias("column_name"), F.lit(text).alias("value"))))
+    return df.select(F.lit(table).alias("table_name"), F.col(key).cast("string").alias("id"),
+                     F.inline(F.filter(F.array(*cells), lambda c: c.isNotNull())))
+
+
+# ---------------------------------------------------------------------------
+# Row constraints as counts that a write or a micro-batch observes
+
+def row_counts(df: DataFrame, table: str) -> list[Column]:
+    """Aggregates for ``observe``: rows, nulls per NOT NULL column, values outside each
+    value domain, texts beyond their width, numbers beyond their precision. Checks of
+    columns the rows do not have are left out."""
+    have = set(df.columns)
+    out = [F.count(F.lit(1)).alias("rows")]
+    out += [F.count_if(F.col(c).isNull()).alias(f"null {c}") for c in NOT_NULL[table] if c in have]
+    for (t, c), allowed in DOMAINS.items():
+        if t == table and c in have:
+            out.append(F.count_if(F.col(c).isNull() | ~F.col(c).isin(*allowed)).alias(f"outside {c}"))
+    for (t, c), n in WIDTHS.items():
+        if t == table and c in have:
+            out.append(F.count_if(F.length(F.col(c)) > n).alias(f"wide {c}"))
+    for (t, c), (p, s) in NUMERICS.items():
+        if t == table and c in have:
+            out.append(F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(f"decimal({p},{s})").isNull()).alias(f"wide {c}"))
     return out
 
 
-def _per_table_counts(tables: dict[str, DataFrame], checks: dict, value_cols) -> DataFrame:
-    """One aggregate pass per table for all of its checks, unpivoted with
-    ``stack``. ``checks`` maps table -> [(label columns..., count expression)]."""
-    parts = []
-    for name, items in checks.items():
-        df = tables[name]
-        aggs = [expr.alias(f"c{i}") for i, (*_, expr) in enumerate(items)]
-        row = df.agg(F.count(F.lit(1)).alias("n_rows"), *aggs)
-        labels = [lab for *lab, _ in items]
-        width = len(labels[0])
-        stack = ", ".join(", ".join(f"'{v}'" for v in lab) + f", c{i}" for i, lab in enumerate(labels))
-        cols = ", ".join(value_cols[:width]) + ", n"
-        parts.append(row.selectExpr("n_rows", f"stack({len(items)}, {stack}) as ({cols})")
-                     .select(F.lit(name).alias("table_name"), *value_cols[:width],
-                             F.col("n_rows").cast("bigint").alias("n_rows"), F.col("n").cast("bigint").alias("n")))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def domain_report(tables: dict[str, DataFrame], domains=DOMAINS) -> DataFrame:
-    """Rows outside each comment-only domain (warnings), one pass per table."""
-    checks: dict = {}
-    for (name, col), allowed in domains.items():
-        bad = F.count_if(F.col(col).isNull() | ~F.col(col).isin(*allowed))
-        checks.setdefault(name, []).append((col, bad))
-    out = _per_table_counts(tables, checks, ["column_name"])
-    return out.select("table_name", "column_name", "n_rows", F.col("n").alias("n_outside"))
-
-
-def width_report(tables: dict[str, DataFrame], widths=WIDTHS, numerics=NUMERICS) -> DataFrame:
-    """Values longer than their VARCHAR width, numbers that do not fit
-    their NUMERIC(p, s); one pass per table."""
-    checks: dict = {}
-    for (name, col), n in widths.items():
-        checks.setdefault(name, []).append((col, f"varchar({n})", F.count_if(F.length(F.col(col)) > n)))
-    for (name, col), (p, s) in numerics.items():
-        bad = F.col(col).isNotNull() & F.expr(f"try_cast(`{col}` AS decimal({p},{s}))").isNull()
-        checks.setdefault(name, []).append((col, f"numeric({p},{s})", F.count_if(bad)))
-    out = _per_table_counts(tables, checks, ["column_name", "rule"])
-    return out.select("table_name", "column_name", "rule", F.col("n").alias("n_violations"))
-
-
-def cascade_delete(guests_to_delete: DataFrame, identities: DataFrame, blockers: dict[str, DataFrame]) -> DataFrame:
-    """Deleting guests drops their channel identities (ON DELETE CASCADE);
-    a guest still referenced elsewhere blocks the delete.
-
-    ``blockers`` maps a table name to its guest-id column values (``guest_id``).
-    Returns per guest: blocked flag, blocking tables, identities removed.
-    """
-    g = guests_to_delete.select(F.col("id").alias("guest_id")).distinct()
-    ids = identities.groupBy("guest_id").agg(F.count(F.lit(1)).alias("n"))
-    out = g.join(ids, "guest_id", "left").withColumn("cascaded_identities", F.coalesce("n", F.lit(0)).cast("bigint")).drop("n")
-    flags = []
-    for name, df in blockers.items():
-        refs = df.select(F.col("guest_id").alias("_g")).distinct().withColumn("_hit_" + name, F.lit(name))
-        out = out.join(refs, out["guest_id"] == refs["_g"], "left").drop("_g")
-        flags.append(F.col("_hit_" + name))
-    blocking = F.concat_ws(",", *flags)
-    return out.select("guest_id", (F.length(blocking) > 0).alias("blocked"), blocking.alias("blocking_tables"),
-                      F.when(F.length(blocking) > 0, F.lit(0).cast("bigint"))
-                      .otherwise(F.col("cascaded_identities")).alias("cascaded_identities"))
+def null_report(spark: SparkSession, counts: dict[str, dict[str, int]]) -> DataFrame:
+    """Null count of every NOT NULL column, as observed."""
+    rows = [(t, c, counts[t][f"null {c}"]) for t, cols in NOT_NULL.items() for c in cols]
+    return spark.createDataFrame(rows, "table_name string, column_name string, n_nulls bigint")
+
+
+def domain_report(spark: SparkSession, counts: dict[str, dict[str, int]]) -> DataFrame:
+    """Rows outside each comment-only domain (warnings), as observed."""
+    rows = [(t, c, counts[t]["rows"], counts[t][f"outside {c}"]) for t, c in DOMAINS]
+    return spark.createDataFrame(rows, "table_name string, column_name string, n_rows bigint, n_outside bigint")
+
+
+def width_report(spark: SparkSession, counts: dict[str, dict[str, int]]) -> DataFrame:
+    """Values longer than their VARCHAR width and numbers that do not fit their
+    NUMERIC(p, s), as observed."""
+    rules = {**{k: f"varchar({n})" for k, n in WIDTHS.items()}, **{k: f"numeric({p},{s})" for k, (p, s) in NUMERICS.items()}}
+    rows = [(t, c, rule, counts[t][f"wide {c}"]) for (t, c), rule in rules.items()]
+    return spark.createDataFrame(rows, "table_name string, column_name string, rule string, n_violations bigint")

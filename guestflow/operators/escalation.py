@@ -65,13 +65,14 @@ def overdue_escalations(esc: DataFrame, guests: DataFrame, props: DataFrame, as_
                     F.timestamp_diff("SECOND", F.col("sla_deadline"), now).alias("overdue_seconds")))
 
 
+ALERTS = {1: "on_call_manager", 2: "senior_manager"}
+
+
 def sla_alerts(esc: DataFrame, as_of) -> DataFrame:
     """Level 1 to the on-call manager when the escalation opens; level 2
-    to the senior manager at the deadline when it passed with no response."""
-    now = _ts(as_of)
-    l1 = esc.select(F.col("id").alias("escalation_id"), F.lit(1).alias("level"),
-                    F.lit("on_call_manager").alias("recipient"), F.col("escalated_at").alias("alert_at"))
-    l2 = (esc.filter(F.col("first_response_at").isNull() & (F.col("sla_deadline") < now))
-          .select(F.col("id").alias("escalation_id"), F.lit(2).alias("level"),
-                  F.lit("senior_manager").alias("recipient"), F.col("sla_deadline").alias("alert_at")))
-    return l1.unionByName(l2)
+    to the senior manager at the deadline when it passed with no response. Both
+    levels come from one pass over the escalations."""
+    due = F.col("first_response_at").isNull() & (F.col("sla_deadline") < _ts(as_of))
+    alert = lambda level, at: F.struct(F.lit(level).alias("level"), F.lit(ALERTS[level]).alias("recipient"), F.col(at).alias("alert_at"))
+    alerts = F.filter(F.array(alert(1, "escalated_at"), F.when(due, alert(2, "sla_deadline"))), lambda a: a.isNotNull())
+    return esc.select(F.col("id").alias("escalation_id"), F.inline(alerts))

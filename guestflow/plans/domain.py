@@ -52,60 +52,53 @@ def with_lifecycle(esc: DataFrame) -> DataFrame:
     return esc.withColumn("status", status).withColumn("first_response_at", resp)
 
 
+def lifecycle_escalations(proc: DataFrame, as_of: str = AS_OF) -> DataFrame:
+    return ESC.mark_sla_breached(with_lifecycle(ESC.create_escalations(proc)), as_of)
+
+
 def escalations(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
-    esc = ESC.create_escalations(P.processed(spark, sf_dir))
-    return ESC.mark_sla_breached(with_lifecycle(esc), as_of)
+    return lifecycle_escalations(P.processed(spark, sf_dir), as_of)
+
+
+# Status of a conversation by the furthest action of its messages.
+CONVERSATION_STATUS = ["open", "waiting_guest", "waiting_team", "escalated"]
+ACTION_RANK = {"auto_send": 1, "agent_review": 2, "escalate": 3}
+
+
+def conversations_of(msgs: DataFrame) -> DataFrame:
+    """``conversations``: one per (guest, channel, property), with its time span, the
+    reservation its messages name and its status. Whole-number aggregates, so hash
+    aggregation runs map-side. Guests 7, 57, 107, ... have a status outside the
+    domain (planted)."""
+    rank = F.lit(0)
+    for action, k in ACTION_RANK.items():
+        rank = F.when(F.col("action") == action, k).otherwise(rank)
+    booking = F.expr("try_cast(substring(booking_ref, 4) AS BIGINT)")
+    g = (msgs.groupBy("conversation_id", "guest_id", "property_id", "channel")
+         .agg(F.min("sent_at").alias("opened_at"), F.max("sent_at").alias("last_message_at"), F.max(rank).alias("_rank"), F.min(booking).alias("_res")))
+    status = F.element_at(F.array(*[F.lit(x) for x in CONVERSATION_STATUS]), F.col("_rank") + 1)
+    return g.select(F.col("conversation_id").alias("id"), "guest_id", "property_id", "channel", "opened_at", "last_message_at",
+                    F.concat(F.lit("res-"), F.col("_res").cast("string")).alias("reservation_id"),
+                    F.when(F.col("guest_id") % 50 == 7, F.lit("parked")).otherwise(status).alias("status"))
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``conversations``: one per (guest, channel, property), with its time span."""
-    m = messages(spark, sf_dir)
-    return (m.groupBy("conversation_id")
-            .agg(F.min("guest_id").alias("guest_id"), F.min("property_id").alias("property_id"),
-                 F.min("channel").alias("channel"), F.min("sent_at").alias("opened_at"),
-                 F.max("sent_at").alias("last_message_at"))
-            .withColumnRenamed("conversation_id", "id")
-            .withColumn("reservation_id", F.lit(None).cast("string"))
-            .withColumn("status", F.lit("open")))
+    return conversations_of(messages(spark, sf_dir))
+
+
+def source_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The four domain tables that do not come from the flow."""
+    return {"properties": fixtures.properties(spark, sf_dir), "guests": fixtures.guests(spark, sf_dir),
+            "guest_channel_identities": fixtures.channel_identities(spark, sf_dir), "reservations": fixtures.reservations(spark, sf_dir)}
 
 
 def materialize(df: DataFrame, folder: str) -> DataFrame:
-    """Cut lineage: write a parquet table into the shared checkpoint folder
-    and read it back. Unlike an eager ``checkpoint()`` (which computes the
-    plan once to count and again to save unless cached), the flow runs
-    once; later scans get column pruning and filter pushdown, and a lost
-    executor costs a re-read, not a re-run of the flow."""
+    """Cut lineage: write a parquet table into a shared folder and read it back.
+
+    Unlike an eager ``checkpoint()`` (which computes the plan once to count and again
+    to save unless cached), the plan runs once; later scans get column pruning and
+    filter pushdown, and a lost executor costs a re-read."""
     import uuid
     path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def materialized_tables(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> dict:
-    """The eight domain tables with the flow-derived ones computed once and
-    cut from their lineage as a parquet table in the shared
-    ``spark.checkpoint.dir``, for reports that scan them many times."""
-    from ..operators import escalation as E
-    from ..session import ensure_checkpoint_dir
-    vdec = materialize(valid_decided(spark, sf_dir), ensure_checkpoint_dir(spark))
-    proc = vdec.filter(F.col("first_name").isNotNull()).withColumn("draft_error", F.lit(None).cast("string"))
-    msgs = P.messages_table(vdec.withColumn(
-        "action", F.when(F.col("first_name").isNotNull(), F.col("action"))))
-    esc = E.mark_sla_breached(with_lifecycle(E.create_escalations(proc)), as_of)
-    conv = (msgs.groupBy("conversation_id")
-            .agg(F.min("guest_id").alias("guest_id"), F.min("property_id").alias("property_id"),
-                 F.min("channel").alias("channel"), F.min("sent_at").alias("opened_at"),
-                 F.max("sent_at").alias("last_message_at"))
-            .withColumnRenamed("conversation_id", "id")
-            .withColumn("reservation_id", F.lit(None).cast("string"))
-            .withColumn("status", F.lit("open")))
-    return {
-        "properties": fixtures.properties(spark, sf_dir),
-        "guests": fixtures.guests(spark, sf_dir),
-        "guest_channel_identities": fixtures.channel_identities(spark, sf_dir),
-        "reservations": fixtures.reservations(spark, sf_dir),
-        "conversations": conv,
-        "messages": msgs,
-        "ai_message_metadata": P.ai_metadata_table(proc),
-        "escalations": esc,
-    }

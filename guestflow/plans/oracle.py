@@ -20,7 +20,8 @@ from ..operators.validate import (ISO_SHAPE, MSG_BAD_DATETIME, MSG_BAD_SOURCE, M
                                   MSG_TOO_SHORT, field_path)
 from ..sources.fixtures import MESSAGE_TEMPLATES
 
-AS_OF = "TIMESTAMP '2024-04-01 00:00:00'"
+AS_OF_TEXT = "2024-04-01 00:00:00"
+AS_OF = f"TIMESTAMP '{AS_OF_TEXT}'"
 CHECKLIST_CLOCK = "TIMESTAMP '2024-04-01 08:00:00'"
 
 
@@ -146,7 +147,7 @@ CTES: dict[str, tuple[list[str], str]] = {
           CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 10 = 7 THEN c_name || '@example.org'
                ELSE replace(c_name, '#', '') || '@example.org' END AS email,
           CASE WHEN c_custkey % 2 = 0 THEN '+91 98' ELSE '098' END || lpad(CAST(c_custkey // 2 AS VARCHAR), 8, '0') AS phone,
-          c_nationkey AS nationkey
+          c_nationkey AS nationkey, CAST(NULL AS VARCHAR) AS preferred_channel
         FROM customer"""),
     "identities": ([], f"""
         SELECT 'gci-' || ch.channel || '-' || CAST(c.c_custkey AS VARCHAR) AS id, c.c_custkey AS guest_id, ch.channel,
@@ -172,21 +173,25 @@ CTES: dict[str, tuple[list[str], str]] = {
     "messages": (["vdec"], """
         SELECT message_id AS id, CAST(guest_id AS VARCHAR) || '|' || source || '|' || property_id AS conversation_id,
           guest_id, property_id, 'inbound' AS direction, source AS channel, message AS raw_content, sent_at,
-          'received' AS delivery_status, event_id
+          'received' AS delivery_status, event_id, booking_ref, CASE WHEN first_name IS NOT NULL THEN action END AS action
         FROM vdec
         UNION ALL
         SELECT message_id || '-r', CAST(guest_id AS VARCHAR) || '|' || source || '|' || property_id,
-          guest_id, property_id, 'outbound', source, drafted_reply, sent_at + INTERVAL 3 SECOND, 'sent', event_id
+          guest_id, property_id, 'outbound', source, drafted_reply, sent_at + INTERVAL 3 SECOND, 'sent', event_id, booking_ref, action
         FROM vdec WHERE action = 'auto_send' AND first_name IS NOT NULL"""),
     "conversations": (["messages"], """
         SELECT conversation_id AS id, min(guest_id) AS guest_id, min(property_id) AS property_id, min(channel) AS channel,
-          min(sent_at) AS opened_at, max(sent_at) AS last_message_at, CAST(NULL AS VARCHAR) AS reservation_id, 'open' AS status
+          min(sent_at) AS opened_at, max(sent_at) AS last_message_at, CAST(NULL AS VARCHAR) AS subject,
+          'res-' || CAST(min(try_cast(substr(booking_ref, 4) AS BIGINT)) AS VARCHAR) AS reservation_id,
+          CASE WHEN min(guest_id) % 50 = 7 THEN 'parked' WHEN bool_or(action = 'escalate') THEN 'escalated' WHEN bool_or(action = 'agent_review') THEN 'waiting_team'
+               WHEN bool_or(action = 'auto_send') THEN 'waiting_guest' ELSE 'open' END AS status
         FROM messages GROUP BY conversation_id"""),
     "ai": (["proc"], f"""
         SELECT 'ai-' || CAST(event_id AS VARCHAR) AS id, message_id, query_type, drafted_reply AS ai_drafted_reply,
           CAST(confidence_score AS DECIMAL(4,3)) AS confidence_score, action AS action_taken,
           CASE WHEN action = 'agent_review' AND event_id % 5 = 0 THEN drafted_reply || ' We look forward to hosting you.' END AS agent_edited_reply,
-          CAST(NULL AS VARCHAR) AS final_reply_sent, CAST(NULL AS BIGINT) AS reviewed_by_agent,
+          CAST(NULL AS VARCHAR) AS final_reply_sent, 
+          CASE WHEN action = 'agent_review' AND event_id % 3 <> 0 THEN CASE WHEN event_id % 30 = 1 THEN -1 ELSE event_id % 2000 + 1 END END AS reviewed_by_agent,
           CASE WHEN action = 'agent_review' AND event_id % 3 <> 0 THEN sent_at + INTERVAL 10 MINUTE END AS reviewed_at,
           CASE WHEN action = 'escalate' THEN sent_at END AS escalated_at,
           CASE WHEN action = 'auto_send' THEN sent_at + INTERVAL 3 SECOND END AS auto_sent_at,
@@ -203,7 +208,7 @@ CTES: dict[str, tuple[list[str], str]] = {
           CASE WHEN event_id % 7 IN (0, 1, 2) THEN NULL
                ELSE sent_at + to_seconds(CAST(floor(event_value * 60) AS BIGINT)) END AS first_response_at,
           CASE WHEN query_type = 'complaint' THEN sent_at + INTERVAL 30 MINUTE ELSE sent_at + INTERVAL 24 HOUR END AS sla_deadline,
-          event_id, query_type, message
+          event_id, query_type, message, CAST(NULL AS VARCHAR) AS assigned_to
         FROM proc WHERE action = 'escalate'"""),
     "esc_marked": (["escalations"], f"""
         SELECT *, (first_response_at IS NOT NULL AND first_response_at > sla_deadline)
@@ -291,7 +296,9 @@ ORACLE: dict[str, str] = {
     "ingest_messages": sql(["parsed"], "SELECT message_id, raw, source, guest_name, message, timestamp, booking_ref, property_id FROM parsed"),
     "property_dim": sql(["properties"], "SELECT * FROM properties"),
     "ai_audit_records": sql(["proc"], f"""SELECT message_id, query_type, drafted_reply AS ai_drafted_reply, confidence_score,
-        action AS action_taken, {q(DEFAULT_MODEL)} AS model_version, sent_at AS created_at FROM proc"""),
+        action AS action_taken, {q(DEFAULT_MODEL)} AS model_version, CAST(floor(event_value * 10) AS INTEGER) AS processing_time_ms,
+        CASE WHEN action = 'escalate' THEN sent_at END AS escalated_at, CASE WHEN action = 'auto_send' THEN sent_at + INTERVAL 3 SECOND END AS auto_sent_at,
+        sent_at AS created_at FROM proc"""),
     "check_required": sql(["errs"], f"SELECT * FROM ({_ERR_ROWS}) WHERE issue = {q(MSG_MISSING)}"),
     "check_source_enum": sql(["errs"], f"SELECT * FROM ({_ERR_ROWS}) WHERE issue = {q(MSG_BAD_SOURCE)}"),
     "check_min_length": sql(["errs"], f"SELECT * FROM ({_ERR_ROWS}) WHERE issue = {q(MSG_TOO_SHORT)}"),
@@ -343,7 +350,8 @@ ORACLE: dict[str, str] = {
 from ..operators.constraints import (DOMAINS, EMAIL_PATTERN, FOREIGN_KEYS, NOT_NULL, NUMERICS,  # noqa: E402
                                      WIDTHS, DEFAULTS)
 from ..operators.reports import BASE_CHECKLIST, TOPIC_CHECK  # noqa: E402
-from ..sources.fixtures import TEMPLATE_EXPECTED  # noqa: E402
+from ..sources.fixtures import LEFT_EMPTY, TEMPLATE_EXPECTED, WRONG_VALUES  # noqa: E402
+from ..sources.typed import SCHEMAS  # noqa: E402
 
 CTES.update({
     # test cases: payload texts with the planted wrong types, and what each case expects
@@ -444,10 +452,42 @@ _WID = " UNION ALL ".join(
      for (t, c), n in WIDTHS.items()] +
     [f"SELECT '{t}' AS table_name, '{c}' AS column_name, 'numeric({p},{sc})' AS rule, CAST(count(*) FILTER (WHERE {c} IS NOT NULL AND try_cast({c} AS DECIMAL({p},{sc})) IS NULL) AS BIGINT) AS n_violations FROM {_tbl(t)}"
      for (t, c), (p, sc) in NUMERICS.items()])
-_COUNTS = " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {c}" for n, c in _TABLE_CTE.items())
-_BLOCKERS = ["reservations", "conversations", "messages", "escalations"]
+_BLOCKERS = {"ai_message_metadata": "reviewed_by_agent", "conversations": "guest_id", "escalations": "guest_id", "messages": "guest_id", "reservations": "guest_id"}
 _BLOCKING = "concat_ws(',', " + ", ".join(
-    f"CASE WHEN EXISTS (SELECT 1 FROM {_tbl(b)} x WHERE x.guest_id = g.id) THEN '{b}' END" for b in _BLOCKERS) + ")"
+    f"CASE WHEN EXISTS (SELECT 1 FROM {_tbl(b)} x WHERE x.{c} = g.id) THEN '{b}' END" for b, c in _BLOCKERS.items()) + ")"
+
+# the columns that each CTE has of its table's schema, and the planted cells
+_ABSENT = {"properties": ["created_at", "updated_at"], "guests": ["identity_verified", "notes", "created_at", "updated_at"],
+           "guest_channel_identities": ["created_at"], "reservations": ["special_requests", "internal_notes", "created_at", "updated_at"],
+           "conversations": ["subject", "resolved_at", "created_at", "updated_at"], "messages": ["created_at"], "ai_message_metadata": [],
+           "escalations": ["assigned_to", "resolved_at", "resolution_notes", "created_at", "updated_at"]}
+_SQL_TYPES = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
+
+
+def _unfit(t: str) -> str:
+    return " OR ".join(f"({key}) % {mod} = 0" for _, key, mod, _ in WRONG_VALUES[t])
+
+
+def _typed_sql(t: str) -> str:
+    cols = ", ".join(f"CAST({'NULL' if f.name in _ABSENT[t] else f.name} AS {_SQL_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString())}) AS {f.name}"
+                     for f in SCHEMAS[t].fields)
+    return f"SELECT {cols} FROM {_tbl(t)} WHERE NOT ({_unfit(t)})"
+
+
+_LOADED = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows, count(*) FILTER (WHERE NOT ({_unfit(t)})) AS n_typed, "
+                             f"count(*) FILTER (WHERE {_unfit(t)}) AS n_quarantined FROM {_tbl(t)}" for t in SCHEMAS)
+_SET_ASIDE = " UNION ALL ".join(f"SELECT '{t}' AS table_name, CAST(id AS VARCHAR) AS id, '{c}' AS column_name, '{text}' AS value, 'type' AS fault "
+                                f"FROM {_tbl(t)} WHERE ({key}) % {mod} = 0" for t, rules in WRONG_VALUES.items() for c, key, mod, text in rules)
+
+
+def _default_sql(t: str, col: str, value) -> str:
+    text = AS_OF_TEXT if value == "NOW" else str(value).lower() if isinstance(value, bool) else str(value)
+    empty = " OR ".join([f"{col} IS NULL", *(f"({key}) % {mod} = 0" for c, key, mod in LEFT_EMPTY[t] if c == col)])
+    return (f"SELECT '{t}' AS table_name, CAST(id AS VARCHAR) AS id, '{col}' AS column_name, '{text}' AS value FROM {_tbl(t)}"
+            + ("" if col in _ABSENT[t] else f" WHERE {empty}"))
+
+
+_DEFAULTED = " UNION ALL ".join(_default_sql(t, c, v) for t, cols in DEFAULTS.items() for c, v in cols.items())
 _EXPECTED = ", ".join(f"({i}, {q(t)}, {q(a)})" for i, (t, a) in enumerate(TEMPLATE_EXPECTED))
 
 
@@ -456,7 +496,9 @@ def _pct(p: float) -> str:
 
 
 ORACLE.update({
-    "domain_tables": sql(_ALL_TABLES, _COUNTS),
+    "domain_tables": sql(_ALL_TABLES, _LOADED),
+    "quarantined_rows": sql(_ALL_TABLES, _SET_ASIDE),
+    **{f"table_{t}": sql([c], _typed_sql(t)) for t, c in _TABLE_CTE.items()},
     "write_responses": sql(["proc"], "SELECT message_id, query_type, drafted_reply, confidence_score, action FROM proc"),
     "check_email": sql(["guests"], f"SELECT id, email FROM guests WHERE email IS NOT NULL AND NOT regexp_matches(email, {q(EMAIL_PATTERN)}, 'i')"),
     "check_stay_dates": sql(["reservations"], "SELECT id, check_in_date, check_out_date FROM reservations WHERE NOT (check_out_date > check_in_date)"),
@@ -472,12 +514,19 @@ ORACLE.update({
     "check_primary_keys": sql(_ALL_TABLES, _PK),
     "check_foreign_keys": sql(_ALL_TABLES, _FK),
     "check_not_null": sql(_ALL_TABLES, _NN),
-    "apply_defaults": sql(["guests"], f"SELECT id, FALSE AS identity_verified, {AS_OF} AS created_at, {AS_OF} AS updated_at FROM guests"),
+    "apply_defaults": sql(_ALL_TABLES, _DEFAULTED),
     "check_domains": sql(_ALL_TABLES, _DOM),
     "check_widths": sql(_ALL_TABLES, _WID),
     "cascade_delete": sql(_ALL_TABLES, f"""SELECT g.id AS guest_id, length({_BLOCKING}) > 0 AS blocked, {_BLOCKING} AS blocking_tables,
         CAST(CASE WHEN length({_BLOCKING}) > 0 THEN 0 ELSE (SELECT count(*) FROM identities i WHERE i.guest_id = g.id) END AS BIGINT) AS cascaded_identities
         FROM guests g WHERE NOT EXISTS (SELECT 1 FROM reservations r WHERE r.guest_id = g.id AND r.status = 'confirmed')"""),
+    "cascade_delete_messages": sql(["messages", "ai", "escalations"], """
+        SELECT 'messages' AS table_name, m.id, TRUE AS requested, CASE WHEN e.message_id IS NULL THEN 'deleted' ELSE 'blocked' END AS outcome,
+          CASE WHEN e.message_id IS NULL THEN '' ELSE 'escalations.message_id' END AS blocking
+        FROM messages m LEFT JOIN (SELECT DISTINCT message_id FROM escalations) e ON e.message_id = m.id WHERE m.sent_at < TIMESTAMP '2024-02-01'
+        UNION ALL SELECT 'ai_message_metadata', a.id, FALSE, CASE WHEN e.message_id IS NULL THEN 'deleted' ELSE 'spared' END, ''
+        FROM ai a JOIN messages m ON m.id = a.message_id LEFT JOIN (SELECT DISTINCT message_id FROM escalations) e ON e.message_id = m.id
+        WHERE m.sent_at < TIMESTAMP '2024-02-01'"""),
     "overdue_escalations": sql(["esc_marked", "guests", "properties"], f"""
         SELECT e.id, e.reason, e.severity, e.sla_deadline, e.escalated_at, g.full_name AS guest_name, p.name AS property_name,
           date_diff('second', e.sla_deadline, {AS_OF}) AS overdue_seconds
@@ -505,15 +554,15 @@ ORACLE.update({
         GROUP BY property_id, topic, CAST(date_trunc('week', sent_at) AS TIMESTAMP)"""),
     "rolling_complaints": sql(["rolling"], "SELECT * FROM rolling"),
     "last_message_at": sql(["messages"], "SELECT conversation_id, max(sent_at) AS last_message_at, count(*) AS n_messages FROM messages GROUP BY conversation_id"),
-    "model_quality": sql(["ai"], """SELECT model_version, count(*) AS n_decisions, round(avg(CAST(confidence_score AS DOUBLE)), 6) AS mean_score,
-        round(count(*) FILTER (WHERE agent_edited_reply IS NOT NULL) / count(*), 6) AS share_edited,
-        round(count(*) FILTER (WHERE action_taken = 'escalate') / count(*), 6) AS share_escalated FROM ai GROUP BY model_version"""),
+    "model_quality": sql(["ai"], """SELECT model_version, count(*) AS n_decisions, sum(CAST(confidence_score * 1000 AS BIGINT)) / (count(confidence_score) * 1000) AS mean_score,
+        count(*) FILTER (WHERE agent_edited_reply IS NOT NULL) / count(*) AS share_edited,
+        count(*) FILTER (WHERE action_taken = 'escalate') / count(*) AS share_escalated FROM ai GROUP BY model_version"""),
     "processing_latency": sql(["ai"], f"""SELECT CAST(created_at AS DATE) AS day, model_version, count(*) AS n,
         sum(processing_time_ms) / count(processing_time_ms) AS mean_ms, {_pct(0.5)} AS p50_ms, {_pct(0.95)} AS p95_ms,
         max(processing_time_ms) AS max_ms FROM ai GROUP BY CAST(created_at AS DATE), model_version"""),
     "sla_report": sql(["esc_marked"], """SELECT property_id, severity, count(*) AS n_escalations, count(*) FILTER (WHERE sla_breached) AS n_breached,
-        round(count(*) FILTER (WHERE sla_breached) / count(*), 6) AS breach_rate,
-        round(avg(date_diff('second', escalated_at, first_response_at) / 60.0), 6) AS mean_minutes_to_first_response
+        count(*) FILTER (WHERE sla_breached) / count(*) AS breach_rate,
+        sum(date_diff('second', escalated_at, first_response_at)) / (count(first_response_at) * 60) AS mean_minutes_to_first_response
         FROM esc_marked GROUP BY property_id, severity"""),
     "preferred_channel": sql(["messages"], """SELECT guest_id, channel AS preferred_channel, n AS n_messages FROM (
         SELECT guest_id, channel, count(*) AS n, row_number() OVER (PARTITION BY guest_id ORDER BY count(*) DESC, channel) AS rn
@@ -528,7 +577,7 @@ ORACLE.update({
         count(*) AS n_messages, (x.t = p.query_type AND x.a = p.action) AS matches
         FROM proc p JOIN (SELECT * FROM (VALUES {_EXPECTED}) AS v(i, t, a)) x ON x.i = p.event_id % 24
         GROUP BY x.i, x.t, p.query_type, x.a, p.action"""),
-    "routing_mix": sql(["ai"], "SELECT query_type, action_taken, count(*) AS n, round(avg(CAST(confidence_score AS DOUBLE)), 6) AS mean_score FROM ai GROUP BY query_type, action_taken"),
+    "routing_mix": sql(["ai"], "SELECT query_type, action_taken, count(*) AS n, sum(CAST(confidence_score * 1000 AS BIGINT)) / (count(confidence_score) * 1000) AS mean_score FROM ai GROUP BY query_type, action_taken"),
     "conversation_history": sql(["turns"], """SELECT conv_id, turn, role, coalesce(array_to_string(h, chr(10)), '') AS history, CAST(coalesce(len(h), 0) AS INTEGER) AS n_history
         FROM (SELECT conv_id, turn, role, list(role || ': ' || text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS h FROM turns)"""),
     "inbox": sql(["messages"], """SELECT conversation_id, id AS message_id, direction, sent_at AS last_message_at FROM (

@@ -181,7 +181,8 @@ def messages_table(proc: DataFrame) -> DataFrame:
     """``messages``: inbound rows plus an outbound row per auto-sent reply at +3 s.
 
     Both directions come from one scan of ``proc`` through ``explode`` of a
-    1- or 2-element array, so the outbound rows cost no second pass."""
+    1- or 2-element array, so the outbound rows cost no second pass. booking_ref and
+    action ride along for the conversations."""
     inbound = F.struct(F.col("message_id").alias("id"), F.lit("inbound").alias("direction"),
                        F.col("message").alias("raw_content"), F.col("sent_at").alias("sent_at"),
                        F.lit("received").alias("delivery_status"))
@@ -190,12 +191,12 @@ def messages_table(proc: DataFrame) -> DataFrame:
                         F.expr("timestampadd(SECOND, 3, sent_at)").alias("sent_at"),
                         F.lit("sent").alias("delivery_status"))
     rows = F.when(F.col("action") == "auto_send", F.array(inbound, outbound)).otherwise(F.array(inbound))
-    return (proc.select("event_id", "guest_id", "source", "property_id", F.explode(rows).alias("m"))
+    return (proc.select("event_id", "guest_id", "source", "property_id", "booking_ref", "action", F.explode(rows).alias("m"))
             .select(F.col("m.id").alias("id"), conversation_key().alias("conversation_id"),
                     "guest_id", "property_id", F.col("m.direction").alias("direction"),
                     F.col("source").alias("channel"), F.col("m.raw_content").alias("raw_content"),
                     F.col("m.sent_at").alias("sent_at"), F.col("m.delivery_status").alias("delivery_status"),
-                    "event_id"))
+                    "event_id", "booking_ref", "action"))
 
 
 def ai_metadata_table(proc: DataFrame, model_versions=MODEL_VERSIONS) -> DataFrame:
@@ -212,7 +213,7 @@ def ai_metadata_table(proc: DataFrame, model_versions=MODEL_VERSIONS) -> DataFra
         act.alias("action_taken"),
         edited.alias("agent_edited_reply"),
         F.lit(None).cast("string").alias("final_reply_sent"),
-        F.lit(None).cast("bigint").alias("reviewed_by_agent"),
+        F.when((act == "agent_review") & (e % 3 != 0), F.when(e % 30 == 1, F.lit(-1)).otherwise(e % 2000 + 1)).cast("bigint").alias("reviewed_by_agent"),
         F.when((act == "agent_review") & (e % 3 != 0), F.expr("timestampadd(MINUTE, 10, sent_at)"))
          .alias("reviewed_at"),
         F.when(act == "escalate", F.col("sent_at")).alias("escalated_at"),
@@ -225,13 +226,19 @@ def ai_metadata_table(proc: DataFrame, model_versions=MODEL_VERSIONS) -> DataFra
     )
 
 
-def audit_records(proc: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
-    """A7 as an operator: the audit row of each response, for one model label."""
+def audit_records(proc: DataFrame, model: str = DEFAULT_MODEL, elapsed: str = "event_value") -> DataFrame:
+    """A7 as an operator: the audit row of each response, for one model label, with
+    its timings: when it was escalated or sent by itself (null if neither) and how long
+    the pipeline took (column ``elapsed``, in units of ten milliseconds)."""
+    act = F.col("action")
     return proc.select(
         "message_id", "query_type",
         F.col("drafted_reply").alias("ai_drafted_reply"),
         F.col("confidence_score"),
-        F.col("action").alias("action_taken"),
+        act.alias("action_taken"),
         F.lit(model).alias("model_version"),
+        F.floor(F.col(elapsed) * 10).cast("int").alias("processing_time_ms"),
+        F.when(act == "escalate", F.col("sent_at")).alias("escalated_at"),
+        F.when(act == "auto_send", F.expr("timestampadd(SECOND, 3, sent_at)")).alias("auto_sent_at"),
         F.col("sent_at").alias("created_at"),
     )

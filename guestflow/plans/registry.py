@@ -64,7 +64,7 @@ def property_dim(spark, sf):
 def ai_audit_records(spark, sf):
     return P.audit_records(_proc(spark, sf)).select(
         "message_id", "query_type", "ai_drafted_reply", "confidence_score", "action_taken",
-        "model_version", "created_at")
+        "model_version", "processing_time_ms", "escalated_at", "auto_sent_at", "created_at")
 
 
 # --- B: validation ----------------------------------------------------------
@@ -281,18 +281,57 @@ QUERIES = {
 # ===========================================================================
 # Joins, constraints, reports and follow-up jobs over the domain tables
 
+from functools import reduce  # noqa: E402
+
+from ..operators import cascade as CAS  # noqa: E402
 from ..operators import constraints as CON  # noqa: E402
 from ..operators import escalation as ESC  # noqa: E402
 from ..operators import identity as ID  # noqa: E402
 from ..operators import reports as R  # noqa: E402
+from ..sources import typed  # noqa: E402
 from . import domain as DOM  # noqa: E402
 
 TOP_N = 20
+DELETE_BEFORE = "2024-02-01 00:00:00"
 RATE_LIMIT = 3
 
 
+def _flow(spark, sf, *tables, **kw):
+    """The flow, run once and stored with what ``tables`` are made from; the folder
+    goes with the application."""
+    from ..sources.sinks import scratch_path
+    from .store import store_flow
+    return store_flow(spark, sf, scratch_path(spark, "flow"), tables, **kw)
+
+
+def _scratch(spark, name):
+    from ..sources.sinks import scratch_path
+    return scratch_path(spark, name)
+
+
+_COMPLAINTS = ("messages", "ai_message_metadata")
+
+
+def _loaded(spark, sf):
+    """The eight typed tables, stored, with the counts their writes observed."""
+    from ..sources.sinks import scratch_path
+    from .store import load_domain
+    return load_domain(spark, sf, scratch_path(spark, "tables"))
+
+
 def _tables(spark, sf) -> dict:
-    return DOM.materialized_tables(spark, sf)
+    return _flow(spark, sf, "messages", "ai_message_metadata", "escalations").tables(sf)
+
+
+def _lazy_tables(spark, sf) -> dict:
+    """The eight tables as plans, nothing stored."""
+    return {**DOM.source_tables(spark, sf), "conversations": DOM.conversations(spark, sf), "messages": DOM.messages(spark, sf),
+            "ai_message_metadata": DOM.ai_metadata(spark, sf), "escalations": DOM.escalations(spark, sf)}
+
+
+def _exports(spark, sf) -> dict:
+    """The eight tables as text exports with planted values that do not fit."""
+    return {name: fixtures.text_export(df, name, typed.SCHEMAS[name].fieldNames()) for name, df in _lazy_tables(spark, sf).items()}
 
 
 def _senders(spark, sf):
@@ -308,9 +347,25 @@ def _unified(spark, sf):
 # --- A4-A6 -------------------------------------------------------------------
 
 def domain_tables(spark, sf):
-    parts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
-             for name, df in _tables(spark, sf).items()]
-    from functools import reduce
+    """A4: the exports loaded into typed tables: rows and rows set aside per table,
+    as the load observed them."""
+    from ..sources.sinks import scratch_path
+    from .store import load_tables
+    counts = load_tables(_exports(spark, sf), scratch_path(spark, "tables")).counts
+    return spark.createDataFrame([(t, c["rows"], c["rows"] - c["quarantined"], c["quarantined"]) for t, c in counts.items()],
+                                 "table_name string, n_rows bigint, n_typed bigint, n_quarantined bigint")
+
+
+def _typed_table(name):
+    def run(spark, sf):
+        return typed.accepted(typed.enforce(_exports(spark, sf)[name], name), name)
+    run.__name__, run.__doc__ = f"table_{name}", f"A4: the rows of {name} that fit its schema, typed."
+    return run
+
+
+def quarantined_rows(spark, sf):
+    """A4: every value set aside, with its table, row and text."""
+    parts = [typed.faults(typed.enforce(df, name)).select(F.lit(name).alias("table_name"), "*") for name, df in _exports(spark, sf).items()]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -376,7 +431,8 @@ def check_unique_identity(spark, sf):
 
 
 def check_primary_keys(spark, sf):
-    return CON.primary_key_report(_tables(spark, sf))
+    t = _loaded(spark, sf)
+    return CON.primary_key_report(t.rows(), t.counts)
 
 
 def check_foreign_keys(spark, sf):
@@ -384,27 +440,46 @@ def check_foreign_keys(spark, sf):
 
 
 def check_not_null(spark, sf):
-    return CON.null_report(_tables(spark, sf))
+    return CON.null_report(spark, _loaded(spark, sf).counts)
 
 
 def apply_defaults(spark, sf):
-    g = CON.apply_defaults(fixtures.guests(spark, sf), "guests", DOM.AS_OF)
-    return g.select("id", "identity_verified", "created_at", "updated_at")
+    """Every cell of the eight tables that a default fills."""
+    parts = [CON.defaulted(fixtures.with_empty_cells(df, name), name, DOM.AS_OF) for name, df in _lazy_tables(spark, sf).items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def check_domains(spark, sf):
-    return CON.domain_report(_tables(spark, sf))
+    return CON.domain_report(spark, _loaded(spark, sf).counts)
 
 
 def check_widths(spark, sf):
-    return CON.width_report(_tables(spark, sf))
+    return CON.width_report(spark, _loaded(spark, sf).counts)
+
+
+def _references(spark, tables):
+    """(edges of all references, a function that stores a frame), for the deletes."""
+    from ..sources.sinks import scratch_path
+    folder = scratch_path(spark, "deletes")
+    store = lambda df: DOM.materialize(df, folder)
+    return store(CAS.edges(tables)), store
 
 
 def cascade_delete(spark, sf):
+    """B24 for the guests without a confirmed reservation."""
     t = _tables(spark, sf)
+    refs, store = _references(spark, t)
     unverified = ID.verify_guests(t["guests"], t["reservations"]).filter(~F.col("identity_verified"))
-    blockers = {n: t[n] for n in ["reservations", "conversations", "messages", "escalations"]}
-    return CON.cascade_delete(unverified, t["guest_channel_identities"], blockers)
+    return CAS.guest_deletes(unverified.select(F.col("id").alias("guest_id")), refs, store)
+
+
+def cascade_delete_messages(spark, sf):
+    """B24 for the messages sent before DELETE_BEFORE: what goes, with its audit rows,
+    and what a reference holds back."""
+    t = _tables(spark, sf)
+    refs, store = _references(spark, t)
+    old = t["messages"].filter(F.col("sent_at") < F.lit(DELETE_BEFORE).cast("timestamp_ntz"))
+    return CAS.cascade(old.select(F.lit("messages").alias("table_name"), "id"), refs, store)
 
 
 # --- D -------------------------------------------------------------------------
@@ -415,7 +490,8 @@ def overdue_escalations(spark, sf):
 
 
 def complaint_trends(spark, sf):
-    return R.complaint_trends(DOM.messages(spark, sf), DOM.ai_metadata(spark, sf), fixtures.properties(spark, sf))
+    f = _flow(spark, sf, *_COMPLAINTS)
+    return R.complaint_trends(f.messages(), f.ai_metadata(), fixtures.properties(spark, sf))
 
 
 def resolve_booking(spark, sf):
@@ -437,7 +513,8 @@ def provisional_guests(spark, sf):
 
 
 def merge_candidates(spark, sf):
-    u = _unified(spark, sf)
+    u = DOM.materialize(_unified(spark, sf).select("message_id", "channel", "channel_guest_id", "guest_name", "sent_at", "resolution",
+                                                   "booking_guest_id"), _scratch(spark, "unified"))
     return ID.merge_candidates(ID.provisional(u), u)
 
 
@@ -452,13 +529,15 @@ def thread_messages(spark, sf):
 
 
 def unaudited_messages(spark, sf):
-    return R.unaudited(DOM.messages(spark, sf), DOM.ai_metadata(spark, sf))
+    f = _flow(spark, sf, *_COMPLAINTS)
+    return R.unaudited(f.messages(), f.ai_metadata())
 
 
 # --- E -------------------------------------------------------------------------
 
 def recurring_complaints(spark, sf):
-    return R.recurring_complaints(DOM.messages(spark, sf), DOM.ai_metadata(spark, sf), n=3, days=60)
+    f = _flow(spark, sf, *_COMPLAINTS)
+    return R.recurring_complaints(f.messages(), f.ai_metadata(), n=3, days=60)
 
 
 def last_message_at(spark, sf):
@@ -520,7 +599,8 @@ def inbox(spark, sf):
 
 
 def rolling_complaints(spark, sf):
-    return R.rolling_complaints(DOM.messages(spark, sf), DOM.ai_metadata(spark, sf), days=60) \
+    f = _flow(spark, sf, *_COMPLAINTS)
+    return R.rolling_complaints(f.messages(), f.ai_metadata(), days=60) \
         .select("message_id", "property_id", "topic", "sent_at", "rolling_count")
 
 
@@ -542,9 +622,7 @@ def open_sla_queue(spark, sf):
 
 
 def transcript(spark, sf):
-    t = fixtures.conversation_turns(spark, sf)
-    return R.transcript(t.filter(F.col("direction") == "inbound"), t.filter(F.col("direction") == "outbound")) \
-        .select("conv_id", "turn", "direction", "text")
+    return R.transcript(fixtures.conversation_turns(spark, sf)).select("conv_id", "turn", "direction", "text")
 
 
 # --- J, S2 ---------------------------------------------------------------------
@@ -572,19 +650,18 @@ def edit_pairs(spark, sf):
 
 
 def maintenance_tickets(spark, sf):
-    return R.maintenance_tickets(DOM.messages(spark, sf), DOM.ai_metadata(spark, sf))
+    f = _flow(spark, sf, *_COMPLAINTS)
+    return R.maintenance_tickets(f.messages(), f.ai_metadata())
 
 
 def pre_arrival_checklist(spark, sf):
-    t = R.maintenance_tickets(DOM.messages(spark, sf), DOM.ai_metadata(spark, sf))
-    return R.checklists(fixtures.reservations(spark, sf), t, DOM.CHECKLIST_CLOCK) \
+    return R.checklists(fixtures.reservations(spark, sf), maintenance_tickets(spark, sf), DOM.CHECKLIST_CLOCK) \
         .select("reservation_id", "property_id", "check_in_at", "items")
 
 
 def checklist_alerts(spark, sf):
     res = fixtures.reservations(spark, sf)
-    t = R.maintenance_tickets(DOM.messages(spark, sf), DOM.ai_metadata(spark, sf))
-    lists = R.checklists(res, t, DOM.CHECKLIST_CLOCK)
+    lists = R.checklists(res, maintenance_tickets(spark, sf), DOM.CHECKLIST_CLOCK)
     confirmations = res.filter(F.col("checklist_confirmed")).select(F.col("id").alias("reservation_id"))
     return R.checklist_alerts(lists, confirmations, DOM.CHECKLIST_CLOCK)
 
@@ -612,6 +689,9 @@ QUERIES.update({
     "check_domains": check_domains,
     "check_widths": check_widths,
     "cascade_delete": cascade_delete,
+    "cascade_delete_messages": cascade_delete_messages,
+    "quarantined_rows": quarantined_rows,
+    **{f"table_{name}": _typed_table(name) for name in typed.SCHEMAS},
     "overdue_escalations": overdue_escalations,
     "complaint_trends": complaint_trends,
     "resolve_booking": resolve_booking,

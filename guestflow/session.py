@@ -44,9 +44,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
     Where the session names none, a folder in its warehouse, which executors
-    share as well. The same on every master."""
+    share as well. A cluster must name one or the other: the default warehouse is a
+    folder of the driver's machine."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        if not local and "spark.sql.warehouse.dir" not in dict(spark.sparkContext.getConf().getAll()):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -58,12 +62,38 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return ensure_checkpoint_dir(spark)
 
 
+_SCRATCH: dict = {}  # application id -> folder
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """The application's own folder in the shared checkpoint folder. It is made on
+    first use and goes, with all that is in it, when the application ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _SCRATCH:
+        folder = f"{checkpoint_dir(spark).rstrip('/')}/guestflow-{app}"
+        fs, path = _file_system(spark, folder)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _SCRATCH[app] = folder
+    return _SCRATCH[app]
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    fs, path = _file_system(spark, folder)
+    fs.delete(path, True)
+
+
+def _file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 _SHIPPED: set = set()  # application ids
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``guestflow`` importable in the Python workers (the stateful SLA
-    timer and custom drafters run there): zip the package once and add it
+    """Make ``guestflow`` importable in the Python workers (the
+    stateful alerts and custom drafters run there): zip the package once and add it
     with ``addPyFile``, which serves it to every executor."""
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:

@@ -228,6 +228,47 @@ def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(F.col("role") == "user", F.lit("inbound")).otherwise(F.lit("outbound")).alias("direction"),
                     F.col("text")))
 
+
+
+#: Values that do not fit, planted in the text exports of the domain tables: per
+#: table (column, key expression, modulus of the keys hit, text). FIXTURES.md §3.
+WRONG_VALUES = {
+    "properties": [("bedrooms", "CAST(substr(id, 7) AS BIGINT) + 1", 11, "many")],
+    "guests": [("identity_verified", "id", 89, "perhaps")],
+    "guest_channel_identities": [("guest_id", "guest_id", 97, "unknown")],
+    "reservations": [("num_guests", "CAST(substr(id, 5) AS BIGINT)", 101, "two"), ("check_in_date", "CAST(substr(id, 5) AS BIGINT)", 103, "soon"),
+                     ("total_amount_inr", "CAST(substr(id, 5) AS BIGINT)", 107, "1e12")],
+    "conversations": [("opened_at", "guest_id", 53, "yesterday")],
+    "messages": [("sent_at", "event_id", 109, "later")],
+    "ai_message_metadata": [("confidence_score", "event_id", 113, "high"), ("processing_time_ms", "event_id", 127, "fast")],
+    "escalations": [("sla_breached", "event_id", 131, "soon")],
+}
+#: Columns left empty in the exports that defaults are filled into: per table
+#: (column, key expression, modulus).
+LEFT_EMPTY = {
+    "properties": [("bedrooms", "CAST(substr(id, 7) AS BIGINT)", 4)], "guests": [], "guest_channel_identities": [],
+    "reservations": [("status", "CAST(substr(id, 5) AS BIGINT)", 19), ("num_guests", "CAST(substr(id, 5) AS BIGINT)", 23)],
+    "conversations": [("status", "guest_id", 3)], "messages": [("delivery_status", "event_id", 29)],
+    "ai_message_metadata": [("model_version", "event_id", 31)], "escalations": [("severity", "event_id", 37), ("status", "event_id", 41)],
+}
+
+
+def text_export(df: DataFrame, table: str, columns) -> DataFrame:
+    """A domain table as an export of texts (those of ``columns`` it has), with its
+    WRONG_VALUES."""
+    wrong = {}
+    for col, key, mod, text in WRONG_VALUES[table]:
+        wrong[col] = F.when(F.expr(f"({key}) % {mod} = 0"), F.lit(text))
+    cells = {c: F.coalesce(wrong[c], F.col(c).cast("string") if c in df.columns else F.lit(None)) if c in wrong else F.col(c).cast("string")
+             for c in columns if c in df.columns or c in wrong}
+    return df.select(*[v.alias(c) for c, v in cells.items()])
+
+
+def with_empty_cells(df: DataFrame, table: str) -> DataFrame:
+    """A domain table with its LEFT_EMPTY cells null."""
+    return df.withColumns({c: F.when(F.expr(f"({key}) % {mod} = 0"), F.lit(None)).otherwise(F.col(c)) for c, key, mod in LEFT_EMPTY[table]})
+
+
 # --- FIXED VALUES (our own expectations, FIXTURES.md §2): query type and action
 # each template should get, in template order.
 TEMPLATE_EXPECTED = [

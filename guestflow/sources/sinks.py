@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.validate import error_envelope
-from ..session import checkpoint_dir
+from ..session import scratch_folder
 
 RESPONSE_COLUMNS = ["message_id", "query_type", "drafted_reply", "confidence_score", "action"]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint directory."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder in the application's own one, which goes when it ends."""
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def write_responses(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -53,16 +53,10 @@ def test_property_text_layout(spark):
     assert unknown == "Property details unavailable."
 
 
-def test_defaults_and_cascade(spark):
+def test_defaults(spark):
     g = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "id bigint, full_name string")
     d = CON.apply_defaults(g, "guests", "2024-04-01 00:00:00").orderBy("id").collect()
     assert all(r.identity_verified is False for r in d) and str(d[0].created_at) == "2024-04-01 00:00:00"
-    ident = spark.createDataFrame([(1,), (1,), (2,)], "guest_id bigint")
-    res = spark.createDataFrame([(2,)], "guest_id bigint")
-    out = {r.guest_id: r for r in CON.cascade_delete(g, ident, {"reservations": res}).collect()}
-    assert out[1].blocked is False and out[1].cascaded_identities == 2
-    assert out[2].blocked is True and out[2].blocking_tables == "reservations" and out[2].cascaded_identities == 0
-    assert out[3].cascaded_identities == 0 and out[3].blocked is False
 
 
 def test_first_name_unicode_space(spark):

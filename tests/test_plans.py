@@ -17,11 +17,19 @@ def executed(df):
 
 
 def test_keyword_scan_not_copied_into_filters(spark):
-    for name in ["process_messages", "overdue_escalations", "complaint_trends"]:
+    for name in ["process_messages", "overdue_escalations"]:
         plan = optimized(E.queries()[name](spark, SF001))
-        # messages and audit rows are two derivations in the report plans
-        copies = 1 if name == "process_messages" else 2
-        assert plan.count("Contains(") <= copies * N_RULE_CONTAINS + 10, name
+        assert plan.count("Contains(") <= N_RULE_CONTAINS + 10, name
+
+
+def test_reports_that_read_the_flow_twice_read_it_stored(spark):
+    """One JSON parse per report: in the write of the flow, none in the report's plan."""
+    for name in ["complaint_trends", "unaudited_messages", "recurring_complaints", "rolling_complaints", "maintenance_tickets",
+                 "pre_arrival_checklist", "check_foreign_keys"]:
+        plan = optimized(E.queries()[name](spark, SF001))
+        assert "parseJson" not in plan and plan.count("Contains(") < N_RULE_CONTAINS, name  # topics only
+    for name in ["sla_alerts", "create_escalations"]:
+        assert optimized(E.queries()[name](spark, SF001)).count("parseJson") == 1, name
 
 
 def test_json_parsed_once(spark):
@@ -45,15 +53,15 @@ def test_rolling_sweep_reads_each_input_once_per_branch(spark):
     assert plan.count("FileScan parquet") <= 4, plan
 
 
-def test_materialized_tables_read_pruned_parquet(spark):
-    from guestflow.plans.domain import materialized_tables
-    msgs = materialized_tables(spark, SF001)["messages"].select("id", "sent_at")
-    plan = executed(msgs)
-    # a parquet relation (not a checkpointed RDD of whole rows), read with column pruning
-    assert "FileScan parquet" in plan and "ExistingRDD" not in plan
-    read = re.search(r"FileScan parquet \[([^\]]*)\]", plan).group(1).split(",")
-    stored = spark.read.parquet(os.path.dirname(msgs.inputFiles()[0])).columns
-    assert len(read) < len(stored), (read, stored)
+def test_stored_flow_is_read_pruned_by_branch_and_column(spark):
+    from guestflow.plans.store import store_flow
+    from guestflow.sources.sinks import scratch_path
+    with store_flow(spark, SF001, scratch_path(spark, "flow-test")) as flow:
+        plan = executed(flow.ai_metadata().select("id", "created_at"))
+        read = re.search(r"FileScan parquet \[([^\]]*)\]", plan).group(1)
+        assert [c.split("#")[0] for c in read.split(",")] == ["event_id", "sent_at", "branch"], plan
+        assert "PartitionFilters: [isnotnull(branch" in plan or "branch#" in plan.split("PartitionFilters: [")[1].split("]")[0], plan
+        assert "ExistingRDD" not in plan
 
 
 def test_foreign_key_antijoin_stays_above_the_count(spark):
