@@ -54,9 +54,13 @@ def unify(msgs: DataFrame, res: DataFrame, ident: DataFrame) -> DataFrame:
 
 
 def provisional(unified: DataFrame) -> DataFrame:
-    """One provisional, unverified guest per unresolved sender."""
-    return (unified.filter(F.col("resolution") == "unresolved")
-            .groupBy("channel", "channel_guest_id")
+    """One provisional, unverified guest per unresolved sender.
+
+    Times are hash-aggregated per sender and name first; names are compared only
+    among a sender's distinct ones."""
+    named = (unified.filter(F.col("resolution") == "unresolved")
+             .groupBy("channel", "channel_guest_id", "guest_name").agg(F.min("sent_at").alias("sent_at")))
+    return (named.groupBy("channel", "channel_guest_id")
             .agg(F.min("sent_at").alias("first_seen_at"), F.min("guest_name").alias("full_name"))
             .select(F.concat(F.lit("prov-"), F.col("channel_guest_id")).alias("id"), "full_name", "channel",
                     "channel_guest_id", F.lit(False).alias("identity_verified"), "first_seen_at"))

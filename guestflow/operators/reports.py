@@ -239,31 +239,45 @@ def conversation_history(turns: DataFrame, k: int = 3, block: int = 64) -> DataF
     """for every kept turn, the k previous turns of its conversation as
     'role: text' lines, oldest first.
 
-    Positions come from ``ordinal``; each turn is then sent to itself and to
-    the k turns after it (bounded fan-out) and grouped by (conversation,
-    position): a group holds the turn and its history, at most k + 1 rows,
-    so no join back is needed."""
-    o = ordinal(turns, ["conv_id"], ["turn"], F.floor(F.col("turn") / block))
-    line = F.concat(F.col("role"), F.lit(": "), F.col("text"))
-    fan = o.select("conv_id", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("_j"), "_ord", "turn", "role",
-                   line.alias("_line"))
-    g = (fan.groupBy("conv_id", (F.col("_ord") + F.col("_j")).alias("_target"))
-         .agg(F.max(F.when(F.col("_j") == 0, F.struct("turn", "role"))).alias("_self"),
-              F.sort_array(F.collect_list(F.when(F.col("_j") > 0, F.struct(F.col("_ord"), F.col("_line")))))
-              .alias("_hs")))
-    return g.filter(F.col("_self").isNotNull()).select(
-        "conv_id", F.col("_self.turn").alias("turn"), F.col("_self.role").alias("role"),
-        F.concat_ws("\n", F.col("_hs._line")).alias("history"), F.size("_hs").cast("int").alias("n_history"))
+    Turns lie in blocks of ``block`` turn numbers; inside a block a window collects the
+    lines. The first k turns of a block also need the end of the blocks before it: the
+    last k turns of each block are sent on to the blocks that need them (which ones
+    follows from the numbers of turns per block) and joined to the block they belong
+    to. So a text is shuffled once with its block, and k in ``block`` of them once more; no
+    task holds more than a block of a conversation. (conv_id, turn) is unique."""
+    rows = turns.select("conv_id", F.floor(F.col("turn") / block).alias("block"), "turn", "role",
+                        F.concat(F.col("role"), F.lit(": "), F.col("text")).alias("line"))
+    here = Window.partitionBy("conv_id", "block")
+    placed = rows.withColumn("prev", F.collect_list("line").over(here.orderBy("turn").rowsBetween(-k, -1)))
+    # a row_number filter, so that Spark picks the last k of each block before the shuffle (WindowGroupLimit): only ends move
+    ends = rows.withColumn("from_end", F.row_number().over(here.orderBy(F.col("turn").desc()))).where(F.col("from_end") <= k)
+    counts = turns.groupBy("conv_id", F.floor(F.col("turn") / block).alias("block")).agg(F.count(F.lit(1)).alias("n"))
+    later = Window.partitionBy("conv_id").orderBy("block").rowsBetween(1, k)
+    after = counts.withColumn("after", F.collect_list(F.struct("block", "n")).over(later))
+    # a block i blocks on needs this one's end while the blocks between hold fewer than k turns
+    between = lambda i: F.aggregate(F.slice("after", 1, i), F.lit(0).cast("bigint"), lambda acc, b: acc + b["n"])
+    needing = F.filter("after", lambda b, i: between(i) < k)
+    after = after.select("conv_id", "block", F.transform(needing, lambda b: b["block"]).alias("to"))
+    sent = ends.join(after, ["conv_id", "block"], "left").select("conv_id", F.explode("to").alias("block"), F.struct("turn", "role", "line").alias("t"))
+    halo = sent.groupBy("conv_id", "block").agg(F.transform(F.sort_array(F.collect_list("t")), lambda t: t["line"]).alias("halo"))  # at most k * k lines
+    lines = F.concat(F.coalesce("halo", F.array().cast("array<string>")), F.col("prev"))
+    last = F.slice(lines, F.greatest(F.size(lines) - k + 1, F.lit(1)), F.lit(k))
+    return placed.join(halo, ["conv_id", "block"], "left").select(
+        "conv_id", "turn", "role", F.concat_ws("\n", last).alias("history"), F.size(last).cast("int").alias("n_history"))
 
 
 def inbox(msgs: DataFrame, n: int = 50) -> DataFrame:
     """the latest message of each conversation, newest conversation first.
-    One aggregate (max_by) instead of a window over each conversation."""
-    last = msgs.groupBy("conversation_id").agg(
-        F.max_by(F.struct("id", "direction", "sent_at"), F.struct("sent_at", "id")).alias("m"))
-    return (last.select("conversation_id", F.col("m.id").alias("message_id"), F.col("m.direction").alias("direction"),
-                        F.col("m.sent_at").alias("last_message_at"))
-            .orderBy(F.col("last_message_at").desc(), F.col("conversation_id")).limit(n))
+
+    Latest times per conversation are hash-aggregated; only the n newest conversations
+    meet the messages again (n rows broadcast), where ties of time go to the greater id."""
+    newest = (msgs.groupBy("conversation_id").agg(F.max("sent_at").alias("last_message_at"))
+              .orderBy(F.col("last_message_at").desc(), F.col("conversation_id")).limit(n)
+              .select(F.col("conversation_id").alias("_c"), "last_message_at"))
+    found = msgs.join(F.broadcast(newest), (F.col("conversation_id") == F.col("_c")) & (F.col("sent_at") == F.col("last_message_at")))
+    last = found.groupBy("conversation_id", "last_message_at").agg(F.max(F.struct("id", "direction")).alias("m"))
+    return (last.select("conversation_id", F.col("m.id").alias("message_id"), F.col("m.direction").alias("direction"), "last_message_at")
+            .orderBy(F.col("last_message_at").desc(), F.col("conversation_id")))
 
 
 def latest(df: DataFrame, ts_col: str, n: int, cols, id_col: str = "id") -> DataFrame:

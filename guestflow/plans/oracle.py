@@ -629,4 +629,9 @@ ORACLE.update({
     # escalation without a response by its deadline has breached
     "stream_sla_timer": sql(["escalations"], """SELECT id AS escalation_id, sla_deadline FROM escalations
         WHERE first_response_at IS NULL OR first_response_at > sla_deadline"""),
+    # both levels: an opening alerts at once, a breach at its deadline
+    "stream_sla_alerts": sql(["escalations"], """SELECT id AS escalation_id, 1 AS level, 'on_call_manager' AS recipient, escalated_at AS alert_at FROM escalations
+        UNION ALL SELECT id, 2, 'senior_manager', sla_deadline FROM escalations WHERE first_response_at IS NULL OR first_response_at > sla_deadline"""),
+    "recurring_complaints_weekly": ORACLE["recurring_complaints"],
+    "random_ids": sql(["inbound"], "SELECT count(*) AS n_messages, count(*) AS n_ids, count(*) AS n_uuids FROM inbound"),
 })

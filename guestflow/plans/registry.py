@@ -667,8 +667,12 @@ def checklist_alerts(spark, sf):
 
 
 def stream_rate_limit(spark, sf):
-    m = DOM.messages(spark, sf).filter(F.col("direction") == "inbound")
-    return R.rate_counts(m, "1 day", RATE_LIMIT)
+    """The inbound messages replayed as a stream, to its end."""
+    from ..streaming.stream import replay_rate_counts
+    base = _scratch(spark, "rates")
+    m = DOM.messages(spark, sf).filter(F.col("direction") == "inbound").withColumnRenamed("id", "message_id")
+    replay_rate_counts(m, base, "1 day", RATE_LIMIT)
+    return spark.read.parquet(f"{base}/out")
 
 
 QUERIES.update({
@@ -731,7 +735,7 @@ QUERIES.update({
 })
 
 
-# --- A3, B6, D1, S1, S3 ---------------------------------------------------------
+# --- A3, B6, C4, D1, E1, S1, S3 ---------------------------------------------------------
 
 def enrich_property(spark, sf):
     j = _with_props(_ok(spark, sf), fixtures.properties(spark, sf))
@@ -771,22 +775,55 @@ def case_outcomes(spark, sf):
 
 
 def stream_process_q(spark, sf):
-    from ..sources.sinks import scratch_path
-    from ..streaming.stream import stream_process, write_lines
-    base = scratch_path(spark, "stream")
+    """S1 over the payloads as keyed deliveries."""
+    from ..streaming.stream import stream_process, write_deliveries
+    base = _scratch(spark, "stream")
     inb = fixtures.inbound_events(spark, sf)
-    write_lines(inb.select(F.to_json(F.struct("message_id", *PAYLOAD)).alias("raw")), f"{base}/in")
+    write_deliveries(inb.select(F.col("message_id").alias("key"), F.to_json(F.struct(*PAYLOAD)).alias("value")), f"{base}/in")
     stream_process(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt")
     return spark.read.parquet(f"{base}/out/responses").select(*P.RESPONSE_COLUMNS)
 
 
 def stream_sla_timer(spark, sf):
-    from ..sources.sinks import scratch_path
-    from ..streaming.stream import replay_sla_timer
-    base = scratch_path(spark, "sla")
-    replay_sla_timer(DOM.escalations(spark, sf), base)
-    return spark.read.parquet(f"{base}/out").select(
-        "escalation_id", F.col("sla_deadline").cast("timestamp_ntz").alias("sla_deadline"))
+    """S3: the breaches (level 2 of the alerts) of the whole history, in one run."""
+    from ..streaming.alerts import event_log, replay_alerts
+    base = _scratch(spark, "sla")
+    replay_alerts(event_log(DOM.escalations(spark, sf)), base)
+    out = spark.read.parquet(f"{base}/out").where("level = 2")
+    return out.select("escalation_id", F.col("alert_at").cast("timestamp_ntz").alias("sla_deadline"))
+
+
+def stream_sla_alerts(spark, sf):
+    """Both alert levels, in two runs; every 13th opening reaches the log three
+    days late, most of them after their deadline."""
+    from ..streaming.alerts import event_log, replay_alerts
+    base = _scratch(spark, "alerts")
+    late = F.when(F.col("event_id") % 13 == 0, F.expr("timestampadd(DAY, 3, escalated_at)")).otherwise(F.col("escalated_at"))
+    replay_alerts(event_log(DOM.escalations(spark, sf), late), base, cuts=["2024-03-15 00:00:00"])
+    return spark.read.parquet(f"{base}/out").select("escalation_id", "level", "recipient", F.col("alert_at").cast("timestamp_ntz").alias("alert_at"))
+
+
+def recurring_complaints_weekly(spark, sf):
+    """E1 as two runs of the weekly job: the weeks before 2024-04-01, then the rest."""
+    from .weekly import monday, patterns, run_weeks
+    import datetime as dt
+    f = _flow(spark, sf, *_COMPLAINTS)
+    m, ai, folder = f.messages(), f.ai_metadata(), _scratch(spark, "weekly")
+    span = m.agg(F.min("sent_at"), F.max("sent_at")).first()
+    if span[0] is not None:
+        cuts = sorted({monday(span[0].date()), dt.date(2024, 4, 1), monday(span[1].date()) + dt.timedelta(days=7)})
+        for first, end in zip(cuts, cuts[1:]):
+            run_weeks(m, ai, folder, first, end)
+    return patterns(spark, folder)
+
+
+def random_ids(spark, sf):
+    """C4, random form: how many deliveries and different ids, and how many have a UUID's shape."""
+    from ..sources.inbound import pinned_ids
+    ids = pinned_ids(fixtures.inbound_raw(spark, sf).select("raw"), _scratch(spark, "ids"))
+    uuid4 = F.col("message_id").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")
+    per_id = ids.groupBy("message_id").agg(F.count(F.lit(1)).alias("n"))
+    return per_id.agg(F.sum("n").alias("n_messages"), F.count(F.lit(1)).alias("n_ids"), F.count_if(uuid4).alias("n_uuids"))
 
 
 QUERIES.update({
@@ -796,4 +833,7 @@ QUERIES.update({
     "case_outcomes": case_outcomes,
     "stream_process": stream_process_q,
     "stream_sla_timer": stream_sla_timer,
+    "stream_sla_alerts": stream_sla_alerts,
+    "recurring_complaints_weekly": recurring_complaints_weekly,
+    "random_ids": random_ids,
 })

@@ -83,6 +83,11 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     fs.delete(path, True)
 
 
+def folder_has(spark: SparkSession, folder: str, name: str) -> bool:
+    fs, path = _file_system(spark, f"{folder}/{name}")
+    return fs.exists(path)
+
+
 def _file_system(spark: SparkSession, folder: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import message_id
+from ..session import folder_has
 from ..operators.validate import typed_fields
 
 PAYLOAD_SCHEMA = T.StructType([
@@ -43,17 +44,32 @@ def parse_payload(df: DataFrame, raw_col: str = "raw", check_types: bool = False
     return df.select(*df.columns, F.json_tuple(F.col(raw_col), *names).alias(*names))
 
 
+def pinned_ids(df: DataFrame, store: str, name: str = "message_id") -> DataFrame:
+    """C4, random form: ``df`` with a random UUID per row, pinned by a stored table.
+
+    A random value is made anew whenever a task runs again, so branches and retries
+    would see different ids. Here the ids are drawn in one write: a failed or repeated
+    task attempt leaves nothing behind (the write commits one attempt per task), and all
+    readers take the stored rows. A complete store is used as it is, so a job started
+    again after a failure goes on with the same ids; an unfinished one is replaced."""
+    spark = df.sparkSession
+    if not folder_has(spark, store, "_SUCCESS"):
+        df.withColumn(name, F.uuid()).write.mode("overwrite").parquet(store)
+    return spark.read.schema(df.withColumn(name, F.lit("")).schema).parquet(store)
+
+
 def read_inbound(spark: SparkSession, path: str, check_types: bool = True,
-                 drop_redeliveries: bool = False) -> DataFrame:
+                 drop_redeliveries: bool = False, id_store: str | None = None) -> DataFrame:
     """A1 over files: one JSON payload per line; ``message_id`` is the stable
     hash of the raw body and its file position is not used.
 
     A channel that delivers a payload twice gives the same id; by default both
     rows are kept (as the service does). ``drop_redeliveries`` keeps one per
     id; ``dropDuplicates`` combines map-side, so a body repeated very often
-    collapses before the shuffle."""
+    collapses before the shuffle. ``id_store`` names a folder for random ids
+    (``pinned_ids``) in place of the hash; every delivery then has its own."""
     raw = spark.read.text(path).withColumnRenamed("value", "raw")
-    raw = raw.withColumn("message_id", message_id("raw"))
+    raw = pinned_ids(raw, id_store) if id_store else raw.withColumn("message_id", message_id("raw"))
     if drop_redeliveries:
         raw = raw.dropDuplicates(["message_id"])
     return parse_payload(raw, check_types=check_types)

@@ -1,16 +1,15 @@
-"""Structured Streaming forms of the flow.
+"""Structured Streaming forms of the flow.
 
-S1 runs the batch flow on each micro-batch of a file source and writes the
-three branches from one persisted parent; each batch writes to its own
-``batch_id`` folder with overwrite, so a retried batch replaces its output
-instead of duplicating it. S2 is a watermarked tumbling-window count. S3 is a
-stream-stream outer join that emits escalations unanswered by their deadline.
+S1 runs the batch flow on each micro-batch of a file source and writes the three
+branches from one persisted parent; each batch writes to its own ``batch_id`` folder
+with overwrite, so a retried batch replaces its output instead of duplicating it. S2 is
+a watermarked tumbling-window count in two stages. S3 is in ``alerts``.
 """
 from __future__ import annotations
 
-import datetime as dt
+import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,20 +17,36 @@ from ..functions.text import message_id
 from ..operators.validate import error_envelope, split_valid, with_validation
 from ..plans.process import RESPONSE_COLUMNS, draft_replies, with_decision
 from ..sources.inbound import parse_payload
+from .runs import dropped_rows, run_to_end
+
+#: A delivery: the channel's own id of it (null: none) and the body as it came.
+DELIVERY_SCHEMA = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])
 
 
 def _process_batch(out_dir: str, drafter_factory=None, props: DataFrame | None = None):
     def run(batch: DataFrame, batch_id: int) -> None:
-        checked = with_validation(batch).persist()
+        spark = batch.sparkSession
+        seen = Observation()
+        checked = with_validation(batch)
+        ok = F.col("is_valid") & F.col("first_name").isNotNull()
+        # counted as the rows are first made; the branches read them from the cache
+        checked = checked.observe(seen, F.count(F.lit(1)).alias("deliveries"), F.count_if(ok).alias("responses"),
+                                  F.count_if(~F.col("is_valid")).alias("rejects"),
+                                  F.count_if(F.col("is_valid") & F.col("first_name").isNull()).alias("errors"),
+                                  F.count_if(F.col("_body") != "JSON").alias("unusable_bodies"),
+                                  F.max("sent_at").alias("last_sent_at")).persist()
         try:
-            ok, bad, failed = split_valid(checked)
-            replies = draft_replies(with_decision(ok), props, drafter_factory)
+            good, bad, failed = split_valid(checked)
+            replies = draft_replies(with_decision(good), props, drafter_factory)
             replies.select(*RESPONSE_COLUMNS).write.mode("overwrite").parquet(
                 f"{out_dir}/responses/batch_id={batch_id}")
             bad.select("message_id", "raw", error_envelope("errors").alias("envelope")).write.mode(
                 "overwrite").parquet(f"{out_dir}/rejects/batch_id={batch_id}")
             failed.select("message_id", F.lit("blank_guest_name").alias("processing_error")).write.mode(
                 "overwrite").parquet(f"{out_dir}/errors/batch_id={batch_id}")
+            counts = {k: v if v is None or isinstance(v, int) else str(v) for k, v in seen.get.items()}
+            spark.createDataFrame([(json.dumps(counts),)], "value string").coalesce(1).write.mode("overwrite").text(
+                f"{out_dir}/counts/batch_id={batch_id}")
         finally:
             checked.unpersist()
     return run
@@ -39,128 +54,73 @@ def _process_batch(out_dir: str, drafter_factory=None, props: DataFrame | None =
 
 def stream_process(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
                    drafter_factory=None, props: DataFrame | None = None, batch_bytes: int = 64 << 30):
-    """JSON-lines payload files → message flow → responses / rejects /
-    errors parquet under ``out_dir``; runs until the input present now is
+    """Delivery files (JSON lines of DELIVERY_SCHEMA) → message flow → responses /
+    rejects / errors parquet under ``out_dir``; runs until the input present now is
     processed (``availableNow``) and returns the finished query. A micro-batch
-    takes files of about ``batch_bytes``, however much is waiting."""
-    reader = spark.readStream.format("text").option("maxBytesPerTrigger", batch_bytes)
-    raw = reader.load(in_dir).withColumnRenamed("value", "raw")
-    delivery_id = F.coalesce(F.get_json_object("raw", "$.message_id"), message_id("raw"))
-    parsed = parse_payload(raw.withColumn("message_id", delivery_id), check_types=True)
+    takes files of about ``batch_bytes``, however much is waiting.
+
+    The message id is the channel's delivery key; without one it is the hash of the
+    body and its file. The body is parsed once and nothing in it can set the id. ``out_dir/counts`` has per batch what was observed while its
+    rows were made (``batch_counts`` reads them)."""
+    raw = spark.readStream.schema(DELIVERY_SCHEMA).option("maxBytesPerTrigger", batch_bytes).json(in_dir)
+    delivery_id = F.coalesce("key", message_id("value", F.col("_metadata.file_path")))
+    parsed = parse_payload(raw.select(delivery_id.alias("message_id"), F.col("value").alias("raw")), check_types=True)
     q = (parsed.writeStream.foreachBatch(_process_batch(out_dir, drafter_factory, props))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return q
 
 
+def batch_counts(spark: SparkSession, out_dir: str) -> DataFrame:
+    """(batch_id, deliveries, responses, rejects, errors, unusable_bodies, last_sent_at)."""
+    schema = "deliveries bigint, responses bigint, rejects bigint, errors bigint, unusable_bodies bigint, last_sent_at timestamp_ntz"
+    return spark.read.schema(schema).json(f"{out_dir}/counts")
+
+
+def write_deliveries(df: DataFrame, path: str) -> None:
+    """Write (key, value) rows as delivery files (a replayable source)."""
+    df.select("key", "value").write.mode("append").json(path)
+
+
 def rate_counts_stream(events: DataFrame, window: str = "1 minute", limit: int = 30,
-                       watermark: str = "10 minutes", ts_col: str = "sent_at") -> DataFrame:
-    """Messages per property, channel and tumbling window on a stream,
-    flagged above ``limit``; late rows beyond the watermark are dropped by
-    Spark's state cleanup."""
-    return (events.withWatermark(ts_col, watermark)
-            .groupBy("property_id", "channel", F.window(ts_col, window).alias("w"))
-            .agg(F.count(F.lit(1)).alias("n_messages"))
+                       watermark: str = "10 minutes", ts_col: str = "sent_at", salts: int = 8) -> DataFrame:
+    """Messages per property, channel and tumbling window on a stream, flagged
+    above ``limit``.
+
+    Two stateful stages: counts per (window, property, channel, salt), then their sums
+    per window, so the state of a property that gets a third of all messages lies in
+    ``salts`` partitions and the second stage sees one row per salt. A window comes out
+    once, when the watermark has passed it; later rows for it are dropped and counted
+    by the first stage (``dropped_rows`` of the query: rows after its map-side count)."""
+    salt = F.pmod(F.xxhash64(*[c for c in events.columns]), F.lit(salts))
+    first = (events.withWatermark(ts_col, watermark).withColumn("_salt", salt)
+             .groupBy("property_id", "channel", "_salt", F.window(ts_col, window).alias("w")).agg(F.count(F.lit(1)).alias("n")))
+    return (first.groupBy("property_id", "channel", F.window(F.window_time("w"), window).alias("w"))
+            .agg(F.sum("n").alias("n_messages"))
             .select("property_id", "channel", F.col("w.start").cast("timestamp_ntz").alias("window_start"),
                     F.col("w.end").cast("timestamp_ntz").alias("window_end"), "n_messages",
                     (F.col("n_messages") > limit).alias("over_limit")))
 
 
-# ---------------------------------------------------------------------------
-# S3: SLA timer
-
-OPENED_SCHEMA = T.StructType([T.StructField("escalation_id", T.StringType()), T.StructField("deadline", T.TimestampType())])
-RESPONDED_SCHEMA = T.StructType([T.StructField("escalation_id", T.StringType()), T.StructField("event_time", T.TimestampType())])
-#: Row of both streams that only moves their watermarks.
-CLOCK = "__clock__"
-
-
-def sla_timer(opened: DataFrame, responded: DataFrame, watermark: str = "0 seconds", longest: str = "2 days") -> DataFrame:
-    """S3: one breach per escalation that got no response by its deadline.
-
-    A left outer join of the opened escalations (watermark on the deadline) with
-    the responses up to it. Spark emits an escalation without a match once the
-    watermark of both streams has passed its deadline, and that is the breach,
-    whether no response ever came, a late one came, or the response reached the
-    stream before the opening. ``longest`` is the longest time from opening to
-    deadline; it bounds how long a response waits in state for its opening. All
-    state is kept by the join; no Python runs."""
-    o = opened.withWatermark("deadline", watermark).select("escalation_id", "deadline")
-    r = responded.withWatermark("event_time", watermark).select(F.col("escalation_id").alias("_responded"), "event_time")
-    in_time = ((F.col("escalation_id") == F.col("_responded")) & (F.col("event_time") <= F.col("deadline"))
-               & (F.col("event_time") >= F.col("deadline") - F.expr(f"INTERVAL {longest}")))
-    # clock rows answer one another; a filter on their id would be pushed below the watermark
-    return (o.join(r, in_time, "leftOuter").filter(F.col("_responded").isNull())
-            .select("escalation_id", F.col("deadline").alias("sla_deadline")))
-
-
-def run_sla_timer(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
-                  state_partitions: int | None = None) -> None:
-    """One incremental S3 run: every file not yet seen by the checkpoint is read
-    as one micro-batch, then the query stops (``availableNow``); the state and
-    watermark carry over to the next run. Openings are read from
-    ``in_dir/opened``, responses from ``in_dir/responded``.
-
-    The state is split into ``state_partitions`` (default: the cluster's task
-    slots); a new query fixes this number in its checkpoint, so it is set
-    for the start only and the session value is restored afterwards."""
-    opened = spark.readStream.schema(OPENED_SCHEMA).json(f"{in_dir}/opened")
-    responded = spark.readStream.schema(RESPONDED_SCHEMA).json(f"{in_dir}/responded")
-    parts = state_partitions or spark.sparkContext.defaultParallelism
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
-    try:
-        q = (sla_timer(opened, responded).writeStream.format("parquet").option("path", out_dir)
-             .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-    q.awaitTermination()
+RATE_SCHEMA = T.StructType([T.StructField("property_id", T.StringType()), T.StructField("channel", T.StringType()),
+                            T.StructField("sent_at", T.TimestampType()), T.StructField("message_id", T.StringType())])
+
+
+def run_rate_counts(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, state_partitions: int | None = None, **kw) -> int:
+    """Count every message file the checkpoint has not seen and stop; open windows stay
+    in state for the next run. Returns how many counts came too late."""
+    events = spark.readStream.schema(RATE_SCHEMA).json(in_dir)
+    return dropped_rows(run_to_end(rate_counts_stream(events, **kw), out_dir, checkpoint, state_partitions))
 
 
-def write_lines(df: DataFrame, path: str) -> None:
-    """Write a DataFrame's ``raw`` column as text files (a replayable source),
-    one file per input split."""
-    df.select("raw").write.mode("overwrite").text(path)
-
-
-def replay_sla_timer(esc: DataFrame, base: str, every_days: int = 60, clock=None,
-                     state_partitions: int | None = None):
-    """S3 over an escalations table replayed as two streams.
-
-    Openings (by the time of opening) and responses are cut into ranges of
-    ``every_days``, so what a run reads and keeps in state does not depend on how
-    long the history is. A range is written by all tasks in parallel and then
-    consumed by one ``run_sla_timer`` run on the same checkpoint: it is exactly
-    one micro-batch, and event time only moves forward between batches. A final
-    clock row in both streams moves the watermark to ``clock`` (None: one second
-    after the last deadline or event, i.e. the end of the data). Breaches land
-    in ``{base}/out``; returns the clock used."""
-    spark = esc.sparkSession
-    in_dir, out_dir, ckpt = f"{base}/in", f"{base}/out", f"{base}/ckpt"
-    slim = esc.select(F.col("id").alias("escalation_id"), F.col("escalated_at").cast("timestamp").alias("at"),
-                      F.col("sla_deadline").cast("timestamp").alias("deadline"),
-                      F.col("first_response_at").cast("timestamp").alias("event_time"))
-    slim.write.mode("overwrite").parquet(f"{base}/escalations")  # the flow runs once, each range reads its rows
-    slim = spark.read.parquet(f"{base}/escalations")
-    b = slim.agg(F.min("at").alias("lo"), F.greatest(F.max("at"), F.max("event_time")).alias("hi"),
-                 F.greatest(F.max("deadline"), F.max("event_time"), F.max("at")).alias("last")).first()
-    if clock is None:
-        clock = ((b["last"] or dt.datetime(1970, 1, 1)) + dt.timedelta(seconds=1)).strftime("%Y-%m-%d %H:%M:%S")
-    at, step, end = b["lo"], dt.timedelta(days=every_days), b["hi"]
-    tick = lambda name: spark.range(1).select(F.lit(CLOCK).alias("escalation_id"), F.lit(clock).cast("timestamp").alias(name))
-    last = at is None
-    while True:
-        last = last or at + step > end
-        opened, responded = slim.select("escalation_id", "deadline", "at"), slim.select("escalation_id", "event_time")
-        if at is not None:
-            opened = opened.filter((F.col("at") >= F.lit(at)) & (F.lit(last) | (F.col("at") < F.lit(at + step))))
-            responded = responded.filter((F.col("event_time") >= F.lit(at)) & (F.lit(last) | (F.col("event_time") < F.lit(at + step))))
-        opened = opened.drop("at")
-        if last:  # the watermark moves only after a batch, so nothing in this one counts as late
-            opened, responded = opened.unionByName(tick("deadline")), responded.unionByName(tick("event_time"))
-        opened.write.mode("append").json(f"{in_dir}/opened")
-        responded.write.mode("append").json(f"{in_dir}/responded")
-        run_sla_timer(spark, in_dir, out_dir, ckpt, state_partitions)
-        if last:
-            return clock
-        at += step
+def replay_rate_counts(msgs: DataFrame, base: str, window: str, limit: int, **kw) -> int:
+    """S2 over a message table (property_id, channel, sent_at, message_id) replayed as a
+    stream: one run takes in all rows, a second one a row far ahead that closes every
+    window (its own is left open). Windows land in ``{base}/out``."""
+    spark = msgs.sparkSession
+    msgs.select("property_id", "channel", F.col("sent_at").cast("timestamp").alias("sent_at"), "message_id").write.json(f"{base}/in")
+    late = run_rate_counts(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", window=window, limit=limit, **kw)
+    ahead = spark.range(1).select(F.lit(None).cast("string").alias("property_id"), F.lit("clock").alias("channel"),
+                                  F.lit("2999-01-01 00:00:00").cast("timestamp").alias("sent_at"), F.lit(None).cast("string").alias("message_id"))
+    ahead.write.mode("append").json(f"{base}/in")
+    return late + run_rate_counts(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", window=window, limit=limit, **kw)

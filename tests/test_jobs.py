@@ -1,6 +1,8 @@
 """Flow invariants, constraint counts, scale helpers vs brute force,
 drafting failures and streaming = batch."""
 import datetime as dt
+import os
+import re
 
 import pandas as pd
 import pytest
@@ -8,13 +10,10 @@ from pyspark.sql import functions as F
 
 from conftest import SF001
 from guestflow.operators import constraints as CON
-from guestflow.operators.escalation import mark_sla_breached
 from guestflow.operators.reports import ordinal, rolling_count
 from guestflow.plans import domain as DOM
 from guestflow.plans import process as P
 from guestflow.sources import fixtures
-from guestflow.sources.sinks import scratch_path
-from guestflow.streaming.stream import replay_sla_timer
 
 
 def test_every_row_lands_once(spark):
@@ -38,7 +37,7 @@ def test_planted_duplicates_and_orphans(spark):
     parent = spark.createDataFrame([(1,), (2,)], "id int")
     assert [r.id for r in CON.duplicates(df, "id").collect()] == ["a"]
     assert [r.p for r in CON.orphans(df, "p", parent, "id").collect()] == [3]
-    rep = CON.primary_key_report({"t": df}).collect()[0]
+    rep = CON.primary_key_report({"t": df}, {"t": {"rows": 4, "null id": 1}}).collect()[0]
     assert (rep.n_rows, rep.n_null_ids, rep.n_duplicate_ids) == (4, 1, 1)
 
 
@@ -92,52 +91,6 @@ def test_stream_process_equals_batch(spark):
     assert sorted(map(tuple, s.collect())) == sorted(map(tuple, b.collect()))
 
 
-def test_sla_timer_equals_batch(spark):
-    esc = DOM.escalations(spark, SF001)
-    base = scratch_path(spark, "sla-test")
-    clock = replay_sla_timer(esc, base, every_days=45)
-    stream_ids = {r.escalation_id for r in spark.read.parquet(f"{base}/out").collect()}
-    batch_ids = {r.id for r in mark_sla_breached(esc, clock).filter("sla_breached").collect()}
-    assert stream_ids == batch_ids and len(stream_ids) > 0
-
-
-def test_sla_timer_is_order_proof(spark):
-    """A response that reaches the stream before the opening, a deadline already past, a late and a repeated response."""
-    from guestflow.streaming.stream import run_sla_timer
-    t = lambda h, m=0: dt.datetime(2024, 4, 1, h, m)
-    base = scratch_path(spark, "sla-order")
-    batches = [([("past", t(9))], [("early", t(10, 10)), ("mark", t(10))]),
-               ([("early", t(10, 30)), ("none", t(10, 40)), ("late", t(11)), ("twice", t(11))], [("late", t(11, 5)), ("twice", t(10, 50)), ("twice", t(11, 30))]),
-               ([("__clock__", t(20))], [("__clock__", t(20))])]
-    for opened, responded in batches:
-        spark.createDataFrame(opened, "escalation_id string, deadline timestamp").coalesce(1).write.mode("append").json(f"{base}/in/opened")
-        spark.createDataFrame(responded, "escalation_id string, event_time timestamp").coalesce(1).write.mode("append").json(f"{base}/in/responded")
-        run_sla_timer(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", 2)
-    got = sorted(r.escalation_id for r in spark.read.parquet(f"{base}/out").collect())
-    assert got == ["late", "none", "past"]
-
-
-def test_rate_counts_stream_equals_batch(spark):
-    from guestflow.operators.reports import rate_counts
-    from guestflow.streaming.stream import rate_counts_stream
-    m = DOM.messages(spark, SF001).filter(F.col("direction") == "inbound") \
-        .select("property_id", "channel", F.col("sent_at").cast("timestamp").alias("sent_at"))
-    base = scratch_path(spark, "rate-test")
-    # replay in time order, then one far-future row so the watermark closes every window
-    m.orderBy("sent_at").coalesce(1).write.mode("overwrite").json(f"{base}/in/a")
-    spark.createDataFrame([("__clock__", "direct", dt.datetime(2030, 1, 1))], "property_id string, channel string, sent_at timestamp") \
-        .coalesce(1).write.mode("overwrite").json(f"{base}/in/b")
-    src = (spark.readStream.schema("property_id string, channel string, sent_at timestamp")
-           .option("maxFilesPerTrigger", 1).json(f"{base}/in/*"))
-    q = (rate_counts_stream(src, window="1 day", limit=3, watermark="1 day").writeStream.format("parquet")
-         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt").outputMode("append")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    got = spark.read.parquet(f"{base}/out").filter("property_id <> '__clock__'")
-    want = rate_counts(m, "1 day", 3)
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-
-
 def test_bucketed_tables_join_without_shuffle(spark):
     from guestflow.operators.reports import inbound_complaints
     from guestflow.sources.sinks import save_bucketed
@@ -154,26 +107,146 @@ def test_bucketed_tables_join_without_shuffle(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_stream_branches_and_restart(spark):
-    from guestflow.streaming.stream import stream_process, write_lines
-    inb = fixtures.inbound_events(spark, SF001)
-    base = scratch_path(spark, "s1-test")
-    payload = ["source", "guest_name", "message", "timestamp", "booking_ref", "property_id"]
-    write_lines(inb.repartition(3).select(F.to_json(F.struct("message_id", *payload)).alias("raw")), f"{base}/in")
-    for _ in range(2):  # a restart on the same checkpoint finds nothing new and writes nothing twice
-        stream_process(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", batch_bytes=1)
-    responses = spark.read.parquet(f"{base}/out/responses")
-    rejects = spark.read.parquet(f"{base}/out/rejects")
-    errors = spark.read.parquet(f"{base}/out/errors")
-    assert (responses.count(), rejects.count(), errors.count()) == (891, 93, 16)
-    assert responses.select("message_id").distinct().count() == 891
-    env = rejects.filter(F.col("message_id") == "m-0").select("envelope.error", F.size("envelope.details").alias("n")).first()
-    assert env.error == "Request validation failed" and env.n >= 2
-
-
 def test_latency_percentiles_exact_in_a_large_group(spark):
     from guestflow.operators.reports import processing_latency
     ai = spark.range(200_000).select(F.lit("2024-04-01 00:00:00").cast("timestamp_ntz").alias("created_at"),
                                      F.lit("m").alias("model_version"), F.col("id").cast("int").alias("processing_time_ms"))
     r = processing_latency(ai).first()
     assert (r.n, r.p50_ms, r.p95_ms, r.max_ms, r.mean_ms) == (200_000, 99_999, 189_999, 199_999, 99_999.5)
+
+
+def brute_history(rows, k):
+    out = {}
+    for conv in {r[0] for r in rows}:
+        mine = sorted(r[1:] for r in rows if r[0] == conv)
+        for i, (turn, _, _) in enumerate(mine):
+            out[conv, turn] = "\n".join(f"{role}: {text}" for _, role, text in mine[max(0, i - k):i])
+    return out
+
+
+@pytest.mark.parametrize("k,block", [(3, 4), (1, 4), (5, 2), (3, 64)])
+def test_conversation_history_equals_brute_force(spark, k, block):
+    """Dense and sparse turns: blocks with fewer turns than k, gaps of whole blocks, one turn, a long conversation."""
+    import random
+    from guestflow.operators.reports import conversation_history
+    rnd = random.Random(k)
+    rows = [(c, t, rnd.choice(["user", "assistant"]), f"text {c}.{t}") for c, turns in
+            enumerate([range(40), [0], [5, 6, 7, 8, 9, 100, 101, 400], rnd.sample(range(300), 60), [3, 7, 11, 15, 19, 23, 27], []]) for t in turns]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(3)
+    got = conversation_history(df, k, block).collect()
+    want = brute_history(rows, k)
+    assert {(r.conv_id, r.turn): r.history for r in got} == want and len(got) == len(want)
+    assert all(r.n_history == (r.history.count("\n") + 1 if r.history else 0) for r in got)
+
+
+def test_conversation_history_sends_on_only_the_ends_of_blocks(spark):
+    from guestflow.operators.reports import conversation_history
+    path = spark.conf.get("spark.checkpoint.dir").removeprefix("file:") + "/turns"
+    spark.range(20_000).selectExpr("id % 2 AS conv_id", "id AS turn", "'user' AS role", "repeat('x', 50) AS text").write.mode("overwrite").parquet(path)
+    plan = conversation_history(spark.read.parquet(path), 3)._jdf.queryExecution().executedPlan().toString()
+    # below the exchange of the ends, Spark has already picked the last turns of each block
+    assert re.search(r"Exchange hashpartitioning\(conv_id(?:(?!Exchange).)*?WindowGroupLimit[^\n]*Partial", plan, re.S), plan
+
+
+def test_inbox_equals_brute_force(spark):
+    from guestflow.operators.reports import inbox
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    rows = [(f"c{i % 7}", f"m{i:03d}", "inbound" if i % 2 else "outbound", at(i % 5)) for i in range(70)]
+    df = spark.createDataFrame(rows, "conversation_id string, id string, direction string, sent_at timestamp_ntz")
+    last = {}
+    for c, i, d, t in rows:
+        last[c] = max(last.get(c, (at(0), "", "")), (t, i, d))
+    want = sorted(((c, i, d, t) for c, (t, i, d) in last.items()), key=lambda r: (-r[3].timestamp(), r[0]))
+    assert [tuple(r) for r in inbox(df, 4).collect()] == want[:4] and [tuple(r) for r in inbox(df, 50).collect()] == want
+
+
+def test_ordered_reports_come_in_order(spark):
+    import __spark_entry__ as E
+    q = E.queries()
+    rows = q["complaint_trends"](spark, SF001).collect()
+    assert rows == sorted(rows, key=lambda r: (-r.month.timestamp(), -r.complaint_count, r.property_id)) and len({r.month for r in rows}) > 2
+    assert q["trend_order"](spark, SF001).collect() == rows[:20]
+    turns = [(r.conv_id, r.turn) for r in q["transcript"](spark, SF001).collect()]
+    assert turns == sorted(turns) and len(turns) > 20
+    for name, key, down in (("latest_messages", "sent_at", True), ("latest_decisions", "created_at", True), ("open_sla_queue", "sla_deadline", False)):
+        rows = [(r[key], r.id) for r in q[name](spark, SF001).collect()]
+        assert rows == sorted(rows, key=lambda x: (-x[0].timestamp() if down else x[0].timestamp(), x[1])), name
+
+
+# --- the weekly pattern job ------------------------------------------------------
+
+def test_weekly_runs_equal_one_full_run(spark, tmp_path):
+    from guestflow.operators.reports import recurring_complaints
+    from guestflow.plans.weekly import monday, patterns, run_weeks
+    m, ai = DOM.messages(spark, SF001).cache(), DOM.ai_metadata(spark, SF001).cache()
+    low, high = m.agg(F.min("sent_at"), F.max("sent_at")).first()
+    first, end = monday(low.date()), monday(high.date()) + dt.timedelta(days=7)
+    want = sorted(map(tuple, recurring_complaints(m, ai).select("property_id", "topic", "week", "n_flagged", "max_in_window").collect()))
+    weeks = [first + dt.timedelta(days=7 * i) for i in range((end - first).days // 7 + 1)]
+    cut = weeks[len(weeks) // 2]
+    folder = str(tmp_path / "weekly")
+    for a, b in ((first, cut), (cut, cut + dt.timedelta(days=7)), (cut, cut + dt.timedelta(days=7)), (cut + dt.timedelta(days=7), end)):
+        run_weeks(m, ai, folder, a, b)  # one week is run twice: it replaces itself
+    assert sorted(map(tuple, patterns(spark, folder).collect())) == want and len(want) > 10
+    with pytest.raises(ValueError):
+        run_weeks(m, ai, folder, first + dt.timedelta(days=1), end)
+
+
+def test_weekly_run_reads_only_the_months_it_needs(spark, tmp_path):
+    from guestflow.plans.weekly import complaint_log, run_weeks
+    base = dt.datetime(2023, 1, 2, 9)
+    rows = [(f"m{i}", "inbound", "villa-1", base + dt.timedelta(days=3 * i), "no wifi here") for i in range(120)]
+    m = spark.createDataFrame(rows, "id string, direction string, property_id string, sent_at timestamp_ntz, raw_content string")
+    ai = m.select(F.col("id").alias("message_id"), F.lit("complaint").alias("query_type"), F.col("sent_at").alias("created_at"))
+    folder = tmp_path / "weekly"
+    run_weeks(m, ai, str(folder), dt.date(2023, 1, 2), dt.date(2023, 12, 18))
+    for old in ("2023-02", "2023-07"):  # a run that touched these months would fail on them
+        for f in (folder / "log" / f"month={old}").rglob("*.parquet"):
+            f.write_bytes(b"not parquet")
+    run_weeks(m, ai, str(folder), dt.date(2023, 12, 18), dt.date(2023, 12, 25))
+    plan = complaint_log(spark, str(folder), dt.datetime(2023, 10, 19), dt.datetime(2023, 12, 25))._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "month" in filters and "2023-10" in filters and "2023-12" in filters, plan
+
+
+# --- random ids --------------------------------------------------------------------
+
+def test_random_ids_stay_the_same_for_all_readers(spark, tmp_path):
+    from guestflow.sources.inbound import pinned_ids, read_inbound
+    (tmp_path / "in.jsonl").write_text("\n".join(['{"a":1}'] * 50 + ["oops"]))
+    read = lambda: read_inbound(spark, str(tmp_path / "in.jsonl"), id_store=str(tmp_path / "ids")).select("message_id", "raw")
+    first = sorted(map(tuple, read().collect()))
+    assert sorted(map(tuple, read().collect())) == first and len({i for i, _ in first}) == 51
+    assert len({r.message_id for r in read_inbound(spark, str(tmp_path / "in.jsonl")).collect()}) == 2  # by hash: equal bodies, one id
+    (tmp_path / "ids" / "_SUCCESS").unlink()  # an unfinished store is made anew
+    assert sorted(map(tuple, read().collect())) != first
+    assert pinned_ids(spark.createDataFrame([], "raw string"), str(tmp_path / "none")).count() == 0
+
+
+def test_random_ids_survive_failed_tasks(tmp_path):
+    """Tasks that fail after the ids are drawn run again and find the same ids (own process: task retries)."""
+    import subprocess
+    import sys
+    script = f"""
+import sys; sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})
+from pyspark import TaskContext
+from pyspark.sql import SparkSession, functions as F
+from guestflow.session import ship_package
+from guestflow.sources.inbound import pinned_ids
+spark = (SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate())
+ship_package(spark)
+
+def fail_once(rows):
+    out = list(rows)
+    if TaskContext.get().attemptNumber() == 0:
+        raise RuntimeError("lost")
+    return iter(out)
+
+df = spark.createDataFrame(spark.range(40, numPartitions=4).rdd.mapPartitions(fail_once), "id bigint")
+ids = pinned_ids(df, {str(tmp_path / "ids")!r})
+once = sorted(ids.rdd.mapPartitions(fail_once).map(tuple).collect())
+assert sorted(map(tuple, ids.collect())) == once and len(set(i for _, i in once)) == 40 and [i for i, _ in once] == list(range(40))
+print("SAME")
+"""
+    done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=180)
+    assert "SAME" in done.stdout, done.stderr[-2000:]
