@@ -309,7 +309,7 @@ def _scratch(spark, name):
     return scratch_path(spark, name)
 
 
-_COMPLAINTS = ("messages", "ai_message_metadata")
+_COMPLAINTS = ("inbound_messages", "query_types")
 
 
 def _loaded(spark, sf):
@@ -491,7 +491,7 @@ def overdue_escalations(spark, sf):
 
 def complaint_trends(spark, sf):
     f = _flow(spark, sf, *_COMPLAINTS)
-    return R.complaint_trends(f.messages(), f.ai_metadata(), fixtures.properties(spark, sf))
+    return R.complaint_trends(f.inbound_messages(), f.query_types(), fixtures.properties(spark, sf))
 
 
 def resolve_booking(spark, sf):
@@ -530,14 +530,14 @@ def thread_messages(spark, sf):
 
 def unaudited_messages(spark, sf):
     f = _flow(spark, sf, *_COMPLAINTS)
-    return R.unaudited(f.messages(), f.ai_metadata())
+    return R.unaudited(f.inbound_messages(), f.query_types())
 
 
 # --- E -------------------------------------------------------------------------
 
 def recurring_complaints(spark, sf):
     f = _flow(spark, sf, *_COMPLAINTS)
-    return R.recurring_complaints(f.messages(), f.ai_metadata(), n=3, days=60)
+    return R.recurring_complaints(f.inbound_messages(), f.query_types(), n=3, days=60)
 
 
 def last_message_at(spark, sf):
@@ -600,7 +600,7 @@ def inbox(spark, sf):
 
 def rolling_complaints(spark, sf):
     f = _flow(spark, sf, *_COMPLAINTS)
-    return R.rolling_complaints(f.messages(), f.ai_metadata(), days=60) \
+    return R.rolling_complaints(f.inbound_messages(), f.query_types(), days=60) \
         .select("message_id", "property_id", "topic", "sent_at", "rolling_count")
 
 
@@ -651,7 +651,7 @@ def edit_pairs(spark, sf):
 
 def maintenance_tickets(spark, sf):
     f = _flow(spark, sf, *_COMPLAINTS)
-    return R.maintenance_tickets(f.messages(), f.ai_metadata())
+    return R.maintenance_tickets(f.inbound_messages(), f.query_types())
 
 
 def pre_arrival_checklist(spark, sf):
@@ -808,7 +808,7 @@ def recurring_complaints_weekly(spark, sf):
     from .weekly import monday, patterns, run_weeks
     import datetime as dt
     f = _flow(spark, sf, *_COMPLAINTS)
-    m, ai, folder = f.messages(), f.ai_metadata(), _scratch(spark, "weekly")
+    m, ai, folder = f.inbound_messages(), f.query_types(), _scratch(spark, "weekly")
     span = m.agg(F.min("sent_at"), F.max("sent_at")).first()
     if span[0] is not None:
         cuts = sorted({monday(span[0].date()), dt.date(2024, 4, 1), monday(span[1].date()) + dt.timedelta(days=7)})

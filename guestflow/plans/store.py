@@ -25,13 +25,17 @@ from . import process as P
 MANIFEST = "_manifest"
 BRANCHES = ("ok", "failed", "rejected")
 
-#: Columns of the flow that each derived table is made from.
+#: Columns of the flow that each derived table is made from; the last two are all that
+#: the complaint reports read of messages and audit rows.
 NEEDS = {
     "messages": ["event_id", "guest_id", "message_id", "source", "property_id", "booking_ref", "message", "sent_at", "action", "drafted_reply"],
     "conversations": ["event_id", "guest_id", "message_id", "source", "property_id", "booking_ref", "message", "sent_at", "action", "drafted_reply"],
     "ai_message_metadata": ["event_id", "event_value", "message_id", "query_type", "drafted_reply", "confidence_score", "action", "sent_at"],
     "escalations": ["event_id", "event_value", "guest_id", "message_id", "source", "property_id", "query_type", "action", "message", "sent_at", "draft_error"],
+    "inbound_messages": ["message_id", "guest_id", "property_id", "message", "sent_at"],
+    "query_types": ["message_id", "query_type", "sent_at"],
 }
+TABLES = ("messages", "conversations", "ai_message_metadata", "escalations")
 
 
 def _write_manifest(spark: SparkSession, path: str, content: dict) -> None:
@@ -72,6 +76,15 @@ class StoredFlow(Stored):
         """Valid messages (also those whose processing failed) and outbound replies."""
         return P.messages_table(self.branch("ok", "failed"))
 
+    def inbound_messages(self) -> DataFrame:
+        """``messages`` without replies, the columns that reports on complaints and audits read."""
+        return self.branch("ok", "failed").select(F.col("message_id").alias("id"), F.lit("inbound").alias("direction"), "guest_id", "property_id",
+                                                  F.col("message").alias("raw_content"), "sent_at")
+
+    def query_types(self) -> DataFrame:
+        """``ai_message_metadata`` with its class only."""
+        return self.branch("ok").select("message_id", "query_type", F.col("sent_at").alias("created_at"))
+
     def ai_metadata(self) -> DataFrame:
         return P.ai_metadata_table(self.branch("ok"))
 
@@ -97,7 +110,7 @@ def flow_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("draft_error", F.lit(None).cast("string")))
 
 
-def store_flow(spark: SparkSession, sf_dir: str, path: str, tables: Iterable[str] = tuple(NEEDS), rejected: bool = False) -> StoredFlow:
+def store_flow(spark: SparkSession, sf_dir: str, path: str, tables: Iterable[str] = TABLES, rejected: bool = False) -> StoredFlow:
     """Run the flow once and keep what ``tables`` are made from under ``path``.
 
     ``rejected`` keeps the rejected rows with their errors too. The counts per branch

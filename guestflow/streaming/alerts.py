@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -124,10 +124,10 @@ def event_log(esc: DataFrame, opening_seen=None) -> DataFrame:
     return esc.select(F.col("id").alias("escalation_id"), F.inline(both))
 
 
-def clock(spark: SparkSession, at) -> DataFrame:
+def clock(spark: SparkSession, at: Column) -> DataFrame:
     """One event that moves the log's clock to ``at``."""
     return spark.range(1).select(F.lit("").alias("escalation_id"), F.lit(CLOCK).alias("kind"), F.lit(None).cast("timestamp").alias("at"),
-                                 F.lit(None).cast("timestamp").alias("deadline"), F.lit(at).cast("timestamp").alias("seen_at"))
+                                 F.lit(None).cast("timestamp").alias("deadline"), at.alias("seen_at"))
 
 
 def replay_alerts(log: DataFrame, base: str, cuts=(), end=None, state_partitions: int | None = None, **kw) -> int:
@@ -137,11 +137,11 @@ def replay_alerts(log: DataFrame, base: str, cuts=(), end=None, state_partitions
     the caller's, whatever the length of the history. Alerts land in ``{base}/out``;
     returns how many rows came too late."""
     spark = log.sparkSession
-    log.write.parquet(f"{base}/log")
-    log = spark.read.schema(log.schema).parquet(f"{base}/log")
-    if end is None:
-        last = log.agg(F.greatest(F.max("seen_at"), F.max("deadline"), F.max("at"))).first()[0]
-        end = spark.sql("select timestamp'1970-01-01'" if last is None else f"select timestamp'{last}' + interval 1 second").first()[0]
+    last = Observation()
+    log = log.observe(last, F.max(F.greatest("seen_at", "deadline", "at")).alias("at"))
+    if cuts:  # read once per part
+        log.write.parquet(f"{base}/log")
+        log = spark.read.schema(log.schema).parquet(f"{base}/log")
     late, low = 0, None
     for high in [*cuts, None]:
         part = log
@@ -150,8 +150,9 @@ def replay_alerts(log: DataFrame, base: str, cuts=(), end=None, state_partitions
         if high is not None:
             part = part.where(F.col("seen_at") < F.lit(high).cast("timestamp"))
         part.write.mode("append").json(f"{base}/in")
-        if high is None:  # its own file: taken in with the last part, moves the clock after it
-            clock(spark, end).coalesce(1).write.mode("append").json(f"{base}/in")
+        if high is None:  # in a file of its own: taken in with the last part, it moves the clock for the timers after it
+            at = F.lit(end).cast("timestamp") if end is not None else F.coalesce(F.lit(last.get["at"]), F.lit(0).cast("timestamp")) + F.expr("INTERVAL 1 SECOND")
+            clock(spark, at).coalesce(1).write.mode("append").json(f"{base}/in")
         late += run_alerts(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", state_partitions, **kw)
         low = high
     return late
