@@ -10,11 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guestflow.session import checkpoint_dir
+from guestflow.session import scratch_folder
 
 #: Text handled at once inside a Python task, in characters. It bounds a
 #: task's memory whatever the number of rows in an Arrow batch.
 BATCH_CHARS = 3_000_000
+#: Keys holding one row in HOT or more are joined apart (there are at most HOT).
+HOT = 1000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,15 +43,31 @@ def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: in
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet under the shared checkpoint folder and read it back.
+    """Write df once as Parquet in the application's folder under the shared checkpoint
+    folder and read it back.
 
-    Cuts the lineage with files every executor can reach."""
+    Cuts the lineage with files every executor can reach; they go when the application ends."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
 
 
+def met(rows: DataFrame, found: DataFrame, key: str, spread: Column) -> DataFrame:
+    """Left join of rows with ``found``, which has one row per key and ``n``, the key's
+    number of rows. Keys with one row in HOT or more meet by broadcast, at most HOT of
+    them; for the shuffled join of the others they get keys of their own (``spread``)."""
+    total = found.agg(F.sum("n")).first()[0] or 0
+    cols = [c for c in found.columns if c not in (key, "n")]
+    hot = found.where(F.col("n") * HOT >= total).select(F.col(key).alias("_hot"), *[F.col(c).alias("_h_" + c) for c in cols])
+    rest = found.where(F.col("n") * HOT < total).select(F.col(key).alias("_key"), *[F.col(c).alias("_r_" + c) for c in cols])
+    out = rows.join(F.broadcast(hot), rows[key] == F.col("_hot"), "left")
+    own = F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.concat(F.lit("\0"), spread.cast("string")).cast(rows.schema[key].dataType))
+    out = out.withColumn("_own", own).join(rest, F.col("_own") == F.col("_key"), "left")
+    return out.select(*rows.columns, *[F.coalesce("_h_" + c, "_r_" + c).alias(c) for c in cols],
+                      (F.col("_hot").isNotNull() | F.col("_key").isNotNull()).alias("met"))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished jobs whose frames are gone.
 

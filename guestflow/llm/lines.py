@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from guestflow.llm.common import release, stored
+from guestflow.llm.common import met, release, stored
 from guestflow.llm.components import connected_components
 
 #: Edits that still link two lines, and the length from which lines link by edits.
@@ -15,9 +15,15 @@ LETTERS = "entahirosdlucgbwmf.,"
 MAP_BITS = 1 << 22
 
 
+def text_key(text: Column) -> Column:
+    """Sets apart the texts of rows that share a doc_id."""
+    return F.xxhash64(text)
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line) of every line that is not blank; null doc_ids have none."""
-    return (docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """(doc_id, of, line_no, line) of every line that is not blank, ``of`` being the key
+    of its text; null doc_ids have none."""
+    return (docs.where("doc_id is not null").select("doc_id", text_key(F.col("text")).alias("of"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
             .where(F.trim("line") != ""))
 
 
@@ -34,29 +40,23 @@ def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     return start, base + F.when(F.lit(i) >= first_long, 1).otherwise(0)
 
 
-def index_keys(line: Column, n: Column, edits: int) -> Column:
-    """Hashes of a line's segments with its length and the segment's number."""
-    out = []
-    for i in range(edits + 1):
-        start, size = _segment(n, i, edits + 1)
-        out.append(F.xxhash64(n, F.lit(i), F.substring(line, start, size)))
-    return F.array(*out)
-
-
-def probe_keys(line: Column, n: Column, edits: int) -> Column:
-    """Hashes of the substrings that can equal a segment of a line no longer than this one.
+def segment_keys(line: Column, n: Column, edits: int) -> tuple[list[Column], list[Column]]:
+    """(index keys, further probe keys): hashes of a line's own segments, and of the
+    other substrings that can equal a segment of a line no longer than this one, each
+    with that line's length and the segment's number.
 
     For a partner shorter by d, segment i lies near its own start: the edits to
     its left are at most i, and those to its right at most edits - i, which also
-    bounds how far it is shifted."""
-    out = []
+    bounds how far it is shifted. A line's own segments (d and shift 0) probe too."""
+    own, others = [], []
     for d in range(edits + 1):
         short = (n - d).cast("int")
         for i in range(edits + 1):
             start, size = _segment(short, i, edits + 1)
             for shift in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1):
-                out.append(F.xxhash64(short, F.lit(i), F.substring(line, start + shift, size)))
-    return F.array(*out)
+                key = F.xxhash64(short, F.lit(i), F.substring(line, start + shift, size))
+                (own if d == shift == 0 else others).append(key)
+    return own, others
 
 
 def letter_counts(line: Column) -> Column:
@@ -134,11 +134,13 @@ def line_links(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHA
     spark = docs.sparkSession
     line, n = F.col("line"), F.length("line")
     long_lines = lines_of(docs).where(n >= min_chars).select("line")
-    # the counts ride along as part of the key, so that they are worked out before the shuffle both sides read
-    known = (long_lines.select("line", letter_counts(line).alias("counts")).distinct()
-             .select("line", n.alias("n"), F.xxhash64("line").alias("id"), "counts"))
-    index = known.select(F.explode(index_keys(line, F.col("n"), edits)).alias("key"), F.col("id").alias("i"), F.col("counts").alias("ic"))
-    probe = known.select(F.explode(probe_keys(line, F.col("n"), edits)).alias("key"), F.col("id").alias("p"), F.col("counts").alias("pc"))
+    # a line is its hash, length and letter counts here: its keys are worked out where it is read, and its text stays there
+    own, others = segment_keys(line, n, edits)
+    keys = [f"k{i}" for i in range(len(own) + len(others))]
+    known = long_lines.select(F.xxhash64("line").alias("id"), n.alias("n"), letter_counts(line).alias("counts"),
+                              *[k.alias(name) for k, name in zip([*own, *others], keys)]).distinct()
+    index = known.select(F.explode(F.array(*keys[:len(own)])).alias("key"), F.col("id").alias("i"), F.col("counts").alias("ic"))
+    probe = known.select(F.explode(F.array(*keys)).alias("key"), F.col("id").alias("p"), F.col("counts").alias("pc"))
     near = probe.join(index, (probe["key"] == index["key"]) & (F.col("p") != F.col("i")) & counts_agree(F.col("pc"), F.col("ic"), edits))
     pairs = stored(near.select(F.least("p", "i").alias("x"), F.greatest("p", "i").alias("y")).distinct(), "line-pairs")
     del near, probe, index, known
@@ -163,28 +165,31 @@ def line_links(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHA
 
 
 def repeated_lines(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, gone, first_docs, n_links): numbers of the lines that go, where their
-    classes start, and how many links to different lines the document's lines have.
+    """(doc_id, of, gone, first_docs, n_links): numbers of the lines that go, where their
+    classes start, and how many links to different lines the text's lines have.
 
     A class is a connected group of equal or linked lines; its first line in
-    (doc_id, line number) order stays."""
+    (doc_id, text key, line number) order stays. Classes of very many lines meet their
+    first line by broadcast (``met``), so no class is one task."""
     links = stored(line_links(docs, edits, min_chars), "line-links")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     known = stored(connected_components(links).join(degree, "node"), "line-classes")
     release(docs.sparkSession)
-    at = (lines_of(docs).select("doc_id", "line_no", line_key(F.col("line")).alias("h"))
-          .groupBy("h", "doc_id").agg(F.collect_list("line_no").alias("at")))
+    at = (lines_of(docs).select("doc_id", "of", "line_no", line_key(F.col("line")).alias("h"))
+          .groupBy("h", "doc_id", "of").agg(F.collect_list("line_no").alias("at")))
     at = (at.join(known, at["h"] == known["node"], "left")
-          .select(F.coalesce("root", "h").alias("c"), "doc_id", "at", F.coalesce("links", F.lit(0)).alias("links")))
-    first = at.groupBy("c").agg(F.min("doc_id").alias("first_doc"), F.sum(F.size("at")).alias("n"), F.max("links").alias("l")).where("n > 1 or l > 0")
-    mine = (at.join(first, "c").groupBy("c", "doc_id")
-            .agg(F.flatten(F.collect_list("at")).alias("at"), F.min("first_doc").alias("first_doc"),
-                 F.sum(F.col("links") * F.size("at")).alias("links")))
-    gone = F.when(F.col("doc_id") == F.col("first_doc"), F.array_remove("at", F.array_min("at"))).otherwise(F.col("at"))
-    return (mine.withColumn("gone", gone).groupBy("doc_id")
+          .select(F.coalesce("root", "h").alias("c"), "doc_id", "of", "at", F.coalesce("links", F.lit(0)).alias("links")))
+    first = stored(at.groupBy("c").agg(F.min("doc_id").alias("first_doc"), F.sum(F.size("at")).alias("n"), F.max("links").alias("l"))
+                   .where("n > 1 or l > 0").drop("l"), "line-firsts")
+    mine = (met(at, first, "c", F.xxhash64("doc_id", "of")).where("met").groupBy("c", "doc_id")
+            .agg(F.collect_list(F.struct("of", "at", "links")).alias("parts"), F.min("first_doc").alias("first_doc")))
+    start = F.array_min(F.transform("parts", lambda p: F.named_struct(F.lit("of"), p["of"], F.lit("line_no"), F.array_min(p["at"]))))
+    mine = mine.select("doc_id", "first_doc", F.when(F.col("doc_id") == F.col("first_doc"), start).alias("stays"), F.inline("parts"))
+    gone = F.when(F.col("of") == F.col("stays.of"), F.array_remove("at", F.col("stays.line_no"))).otherwise(F.col("at"))
+    return (mine.withColumn("gone", gone).groupBy("doc_id", "of")
             .agg(F.flatten(F.collect_list("gone")).alias("gone"),
                  F.array_sort(F.collect_set(F.when(F.size("gone") > 0, F.col("first_doc")))).alias("first_docs"),
-                 F.sum("links").alias("n_links")))
+                 F.sum(F.col("links") * F.size("at")).alias("n_links")))
 
 
 def line_dedup(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -194,11 +199,14 @@ def line_dedup(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHA
     Blank lines are no lines: they stay and never link. Null and empty texts
     stay as they are with n_lines 0; so do rows with a null doc_id, whose lines
     are not compared. Rows that repeat a doc_id and its text lose the same lines
-    and never one another's. An empty table gives no rows. Columns of the
-    result's own names are replaced."""
+    and never one another's; rows that repeat a doc_id with another text are
+    documents of their own, the one with the smaller text key first. An empty table
+    gives no rows. Columns of the result's own names are replaced."""
     new = ["n_lines", "n_removed", "n_links", "first_docs"]
-    gone = repeated_lines(docs, edits, min_chars).select(F.col("doc_id").alias("_d"), "gone", F.col("first_docs").alias("_f"), F.col("n_links").alias("_l"))
-    out = docs.drop(*new, "gone", "_d", "_f", "_l").join(gone, F.col("doc_id") == F.col("_d"), "left")
+    gone = repeated_lines(docs, edits, min_chars).select(F.col("doc_id").alias("_d"), F.col("of").alias("_of"), "gone", F.col("first_docs").alias("_f"),
+                                                         F.col("n_links").alias("_l"))
+    out = docs.drop(*new, "gone", "_d", "_of", "_f", "_l")
+    out = out.join(gone, (F.col("doc_id") == F.col("_d")) & (text_key(F.col("text")) == F.col("_of")), "left")
     whole = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     kept = F.when(F.size("gone") > 0, F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
                   ).otherwise(F.col("text"))
@@ -207,4 +215,4 @@ def line_dedup(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHA
         "n_removed": F.coalesce(F.size(F.array_distinct("gone")), F.lit(0)).cast("bigint"),
         "n_links": F.coalesce("_l", F.lit(0)).cast("bigint"),
         "first_docs": F.coalesce("_f", F.array().cast(f"array<{docs.schema['doc_id'].dataType.simpleString()}>")),
-        "text": kept}).drop("gone", "_d", "_f", "_l"))
+        "text": kept}).drop("gone", "_d", "_of", "_f", "_l"))

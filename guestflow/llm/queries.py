@@ -23,7 +23,7 @@ from guestflow.llm.simhash import simhash_components
 from guestflow.llm.substring import substring_dedup
 from guestflow.llm.toxicity import toxicity
 from guestflow.llm.warc import archived
-from guestflow.session import checkpoint_dir
+from guestflow.session import scratch_folder
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +89,7 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/warc-{uuid.uuid4().hex}"
     d = archived(read(spark, sf_dir, "pages"), path, min_bytes=0)
     return d.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "state")
 

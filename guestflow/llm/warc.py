@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guestflow.llm.common import slots, stored
+from guestflow.llm.common import met, slots, stored
 
 #: --- FIXED VALUES of the format: what opens a record, what ends it, the revisit profile.
 MARK = b"WARC/1.1"
@@ -21,8 +21,6 @@ HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTrans
 #: Bytes of a block from which it is cut into segments, of a chunk of the transfer
 #: framing, records per file, and bytes that a task sends to Spark at once.
 SEGMENT, CHUNK, FILE_RECORDS, OUT_BYTES = 16_384, 4_096, 20_000, 4_000_000
-#: Keys holding one row in HOT or more are joined apart (there are at most HOT).
-HOT = 1000
 #: Own header fields: the page's id.
 PAGE = "Page-ID"
 
@@ -87,21 +85,6 @@ def first_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keys, stored(groups, "warc-groups")
 
 
-def met(rows: DataFrame, found: DataFrame, key: str, spread: Column) -> DataFrame:
-    """Left join of rows with ``found``, which has one row per key and ``n``, the key's
-    number of rows. Keys with one row in HOT or more meet by broadcast, at most HOT of
-    them; for the shuffled join of the others they get keys of their own (``spread``)."""
-    total = found.agg(F.sum("n")).first()[0] or 0
-    cols = [c for c in found.columns if c not in (key, "n")]
-    hot = found.where(F.col("n") * HOT >= total).select(F.col(key).alias("_hot"), *[F.col(c).alias("_h_" + c) for c in cols])
-    rest = found.where(F.col("n") * HOT < total).select(F.col(key).alias("_key"), *[F.col(c).alias("_r_" + c) for c in cols])
-    out = rows.join(F.broadcast(hot), rows[key] == F.col("_hot"), "left")
-    own = F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.concat(F.lit("-"), spread.cast("string")))
-    out = out.withColumn("_own", own).join(rest, F.col("_own") == F.col("_key"), "left")
-    return out.select(*rows.columns, *[F.coalesce("_h_" + c, "_r_" + c).alias(c) for c in cols],
-                      (F.col("_hot").isNotNull() | F.col("_key").isNotNull()).alias("met"))
-
-
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, segment: int = SEGMENT) -> None:
     """WARC files (gzip) under ``path`` with one record set per page.
 
