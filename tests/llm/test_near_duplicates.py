@@ -91,6 +91,7 @@ def test_bit_parallel_distance(spark, edits):
 
 @pytest.mark.parametrize("edits", [1, 2, 3])
 def test_near_lines_always_share_a_key(spark, edits):
+    keys = lambda c: lines.segment_keys(F.col(c), F.length(c), edits)
     rnd = random.Random(10 + edits)
     rows = []
     while len(rows) < 600:
@@ -100,7 +101,7 @@ def test_near_lines_always_share_a_key(spark, edits):
         if brute.edit_distance(a, b) <= edits:
             rows.append((a, b))
     df = spark.createDataFrame(rows, "a string, b string").select(
-        F.arrays_overlap(lines.index_keys(F.col("a"), F.length("a"), edits), lines.probe_keys(F.col("b"), F.length("b"), edits)).alias("o"))
+        F.arrays_overlap(F.array(*keys("a")[0]), F.array(*keys("b")[0], *keys("b")[1])).alias("o"))
     assert all(r["o"] for r in df.collect())
 
 
@@ -125,3 +126,33 @@ def test_line_dedup_awkward_empty_and_native(awkward, empty, spark):
     assert all(r["n_removed"] == 0 for r in by[None])
     assert not python_nodes(df)
     assert lines.line_dedup(empty).count() == 0
+
+
+def brute_lines(rows):
+    """Kept text per row: equal lines are one class; rows of one id follow one another by text key."""
+    import xxhash
+    key = lambda t: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64(t.encode(), seed=42).intdigest())
+    seen, gone = {}, {}
+    for d, of, t in sorted({(d, key(t), t) for d, t in rows}):
+        for n, line in enumerate(t.split("\n")):
+            if line.strip(" "):
+                if seen.setdefault(line, (d, of)) and line in gone.setdefault("met", set()):
+                    gone.setdefault((d, t), set()).add(n)
+                gone["met"].add(line)
+    return sorted((d, "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone.get((d, t), ()))) for d, t in rows)
+
+
+def test_rows_that_share_an_id_keep_their_own_lines(spark):
+    """One doc_id with several texts: line numbers of one are never taken out of the other."""
+    rows = [(1, "first line here\nonly in one"), (5, "first line here\nkept in five a\nshared"), (5, "kept in five b\nshared\nkept in five b"),
+            (5, "kept in five b\nshared\nkept in five b"), (6, "shared\nlast\nlast"), (2, "alone")]
+    got = lines.line_dedup(frame(spark, rows)).select("doc_id", "text", "n_removed").collect()
+    assert sorted((r.doc_id, r.text) for r in got) == brute_lines(rows)
+
+
+def test_a_class_of_a_third_of_all_lines(spark):
+    import hashlib
+    own = lambda i: hashlib.sha256(str(i).encode()).hexdigest()
+    rows = [(i, f"a line that very many documents hold\n{own(i)}" if i % 3 else own(i)) for i in range(900)]
+    out = lines.line_dedup(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text) for r in out) == brute_lines(rows) and sum(r.n_removed for r in out) == 599
