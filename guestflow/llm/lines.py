@@ -40,10 +40,11 @@ def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     return start, base + F.when(F.lit(i) >= first_long, 1).otherwise(0)
 
 
-def segment_keys(line: Column, n: Column, edits: int) -> tuple[list[Column], list[Column]]:
-    """(index keys, further probe keys): hashes of a line's own segments, and of the
-    other substrings that can equal a segment of a line no longer than this one, each
-    with that line's length and the segment's number.
+def segment_keys(wide: Column, n: Column, edits: int) -> tuple[list[Column], list[Column]]:
+    """(index keys, further probe keys) of a line in UTF-32 (its places are found without
+    a walk) of ``n`` characters: hashes of its own segments, and of the other substrings
+    that can equal a segment of a line no longer than this one, each with that line's
+    length and the segment's number.
 
     For a partner shorter by d, segment i lies near its own start: the edits to
     its left are at most i, and those to its right at most edits - i, which also
@@ -54,18 +55,23 @@ def segment_keys(line: Column, n: Column, edits: int) -> tuple[list[Column], lis
         for i in range(edits + 1):
             start, size = _segment(short, i, edits + 1)
             for shift in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1):
-                key = F.xxhash64(short, F.lit(i), F.substring(line, start + shift, size))
+                key = F.xxhash64(short, F.lit(i), F.substring(wide, (start + shift - 1) * 4 + 1, size * 4))
                 (own if d == shift == 0 else others).append(key)
     return own, others
 
 
-def letter_counts(line: Column) -> Column:
-    """Three bits per letter: its count modulo eight."""
-    out = F.lit(0).cast("bigint")
+def with_letter_counts(df: DataFrame, line: str = "line", name: str = "counts") -> DataFrame:
+    """Adds three bits per letter: its count in ``line`` modulo eight.
+
+    A letter's count is what the text loses in bytes when it is taken out; each is
+    taken out of what the ones before left, so the texts shrink from step to step."""
+    keep = [*df.columns, name]
+    out = df.withColumns({name: F.lit(0).cast("bigint"), "_rest": F.col(line)})
     for k, c in enumerate(LETTERS):
-        count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
-        out = out.bitwiseOR(F.shiftleft(count.cast("bigint").bitwiseAND(7), 3 * k))
-    return out
+        out = out.withColumn("_less", F.replace("_rest", F.lit(c), F.lit("")))
+        count = (F.octet_length("_rest") - F.octet_length("_less")).cast("bigint").bitwiseAND(7)
+        out = out.select(*[F.col(x) for x in keep if x != name], F.col(name).bitwiseOR(F.shiftleft(count, 3 * k)).alias(name), F.col("_less").alias("_rest"))
+    return out.select(*keep)
 
 
 def counts_agree(a: Column, b: Column, edits: int) -> Column:
@@ -132,13 +138,13 @@ def line_links(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHA
     if not 0 < edits <= 3:
         raise ValueError("edits must be 1, 2 or 3")
     spark = docs.sparkSession
-    line, n = F.col("line"), F.length("line")
+    n = F.length("line")
     long_lines = lines_of(docs).where(n >= min_chars).select("line")
     # a line is its hash, length and letter counts here: its keys are worked out where it is read, and its text stays there
-    own, others = segment_keys(line, n, edits)
+    own, others = segment_keys(F.col("wide"), F.col("n"), edits)
     keys = [f"k{i}" for i in range(len(own) + len(others))]
-    known = long_lines.select(F.xxhash64("line").alias("id"), n.alias("n"), letter_counts(line).alias("counts"),
-                              *[k.alias(name) for k, name in zip([*own, *others], keys)]).distinct()
+    known = (with_letter_counts(long_lines.withColumns({"wide": F.encode("line", "UTF-32"), "n": n}))
+             .select(F.xxhash64("line").alias("id"), "n", "counts", *[k.alias(name) for k, name in zip([*own, *others], keys)]).distinct())
     index = known.select(F.explode(F.array(*keys[:len(own)])).alias("key"), F.col("id").alias("i"), F.col("counts").alias("ic"))
     probe = known.select(F.explode(F.array(*keys)).alias("key"), F.col("id").alias("p"), F.col("counts").alias("pc"))
     near = probe.join(index, (probe["key"] == index["key"]) & (F.col("p") != F.col("i")) & counts_agree(F.col("pc"), F.col("ic"), edits))
@@ -177,8 +183,8 @@ def repeated_lines(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN
     release(docs.sparkSession)
     at = (lines_of(docs).select("doc_id", "of", "line_no", line_key(F.col("line")).alias("h"))
           .groupBy("h", "doc_id", "of").agg(F.collect_list("line_no").alias("at")))
-    at = (at.join(known, at["h"] == known["node"], "left")
-          .select(F.coalesce("root", "h").alias("c"), "doc_id", "of", "at", F.coalesce("links", F.lit(0)).alias("links")))
+    at = stored(at.join(known, at["h"] == known["node"], "left")
+                .select(F.coalesce("root", "h").alias("c"), "doc_id", "of", "at", F.coalesce("links", F.lit(0)).alias("links")), "line-places")
     first = stored(at.groupBy("c").agg(F.min("doc_id").alias("first_doc"), F.sum(F.size("at")).alias("n"), F.max("links").alias("l"))
                    .where("n > 1 or l > 0").drop("l"), "line-firsts")
     mine = (met(at, first, "c", F.xxhash64("doc_id", "of")).where("met").groupBy("c", "doc_id")
