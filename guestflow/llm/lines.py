@@ -181,21 +181,19 @@ def repeated_lines(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     known = stored(connected_components(links).join(degree, "node"), "line-classes")
     release(docs.sparkSession)
-    at = (lines_of(docs).select("doc_id", "of", "line_no", line_key(F.col("line")).alias("h"))
-          .groupBy("h", "doc_id", "of").agg(F.collect_list("line_no").alias("at")))
-    at = stored(at.join(known, at["h"] == known["node"], "left")
-                .select(F.coalesce("root", "h").alias("c"), "doc_id", "of", "at", F.coalesce("links", F.lit(0)).alias("links")), "line-places")
-    first = stored(at.groupBy("c").agg(F.min("doc_id").alias("first_doc"), F.sum(F.size("at")).alias("n"), F.max("links").alias("l"))
+    at = lines_of(docs).select("doc_id", "of", "line_no", line_key(F.col("line")).alias("h")).join(known, F.col("h") == F.col("node"), "left")
+    at = stored(at.select(F.coalesce("root", "h").alias("c"), "doc_id", "of", "line_no", F.coalesce("links", F.lit(0)).alias("links")), "line-places")
+    first = stored(at.groupBy("c").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"), F.max("links").alias("l"))
                    .where("n > 1 or l > 0").drop("l"), "line-firsts")
-    mine = (met(at, first, "c", F.xxhash64("doc_id", "of")).where("met").groupBy("c", "doc_id")
-            .agg(F.collect_list(F.struct("of", "at", "links")).alias("parts"), F.min("first_doc").alias("first_doc")))
-    start = F.array_min(F.transform("parts", lambda p: F.named_struct(F.lit("of"), p["of"], F.lit("line_no"), F.array_min(p["at"]))))
-    mine = mine.select("doc_id", "first_doc", F.when(F.col("doc_id") == F.col("first_doc"), start).alias("stays"), F.inline("parts"))
-    gone = F.when(F.col("of") == F.col("stays.of"), F.array_remove("at", F.col("stays.line_no"))).otherwise(F.col("at"))
-    return (mine.withColumn("gone", gone).groupBy("doc_id", "of")
-            .agg(F.flatten(F.collect_list("gone")).alias("gone"),
-                 F.array_sort(F.collect_set(F.when(F.size("gone") > 0, F.col("first_doc")))).alias("first_docs"),
-                 F.sum(F.col("links") * F.size("at")).alias("n_links")))
+    mine = (met(at, first, "c", F.xxhash64("doc_id", "of", "line_no")).where("met").groupBy("c", "doc_id")
+            .agg(F.collect_list(F.struct("of", "line_no", "links")).alias("lines"), F.min("first_doc").alias("first_doc")))
+    stays = F.when(F.col("doc_id") == F.col("first_doc"), F.array_min("lines"))
+    mine = mine.select("doc_id", "first_doc", stays.alias("stays"), F.inline("lines"))
+    gone = ~F.coalesce((F.col("of") == F.col("stays.of")) & (F.col("line_no") == F.col("stays.line_no")), F.lit(False))
+    return (mine.groupBy("doc_id", "of")
+            .agg(F.collect_list(F.when(gone, F.col("line_no"))).alias("gone"),
+                 F.array_sort(F.collect_set(F.when(gone, F.col("first_doc")))).alias("first_docs"),
+                 F.sum("links").alias("n_links")))
 
 
 def line_dedup(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
