@@ -28,6 +28,9 @@ _HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner\w*|sponsor\w*|promo\w*
 _MAIN = re.compile(r"(?:^|[\s_-])(?:article(?:body)?|main|content|post|entry|story)(?:$|[\s_-])", re.I)
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 FEATURES = ("words", "link_density", "words_before", "density_before", "words_after", "density_after", "in_main", "page_has_main", "in_side")
+#: Share of the page's words from which a wrapper's side hint is not believed, and share
+#: of its plain words (not linked, in no side part) that marked parts must hold to be the article.
+MOST, MARKED = 0.5, 1 / 3
 #: Words of a block count up to this many: beyond it a block is simply long.
 LONG = 60
 #: The labelled blocks the tree is trained on: FEATURES, then 1 for main text.
@@ -57,6 +60,14 @@ LABELLED = (
     (9, 0.0, 60, 0.0, 12, 0.2, 1, 1, 0, 1), (60, 0.0, 60, 0.0, 1, 1.0, 1, 1, 0, 1), (14, 0.0, 5, 0.0, 2, 1.0, 1, 1, 0, 1),
     (1, 0.0, 1, 0.0, 1, 0.0, 1, 1, 0, 1), (5, 0.0, 60, 0.0, 0, 0.0, 1, 1, 0, 1), (60, 0.1, 2, 1.0, 60, 0.0, 1, 1, 0, 1),
     (15, 0.0, 60, 0.3, 3, 0.0, 1, 1, 0, 1), (2, 0.0, 60, 0.0, 60, 1.0, 1, 1, 0, 1), (4, 1.0, 4, 1.0, 4, 1.0, 1, 1, 0, 1),
+    # pages without a marked article: what is linked, and what stands among links, is no text; the same words among text are
+    (20, 0.9, 30, 0.0, 40, 0.0, 0, 0, 0, 0), (20, 0.1, 30, 0.0, 40, 0.0, 0, 0, 0, 1), (40, 0.8, 40, 0.0, 40, 0.0, 0, 0, 0, 0),
+    (12, 0.0, 12, 0.9, 14, 0.9, 0, 0, 0, 0), (12, 0.0, 12, 0.0, 14, 0.0, 0, 0, 0, 1), (12, 0.0, 12, 0.9, 14, 0.0, 0, 0, 0, 1),
+    (12, 0.0, 12, 0.0, 14, 0.9, 0, 0, 0, 1), (7, 0.0, 30, 0.9, 30, 0.9, 0, 0, 0, 0), (7, 0.0, 30, 0.0, 30, 0.0, 0, 0, 0, 1),
+    (7, 0.0, 3, 1.0, 35, 0.0, 0, 0, 0, 1), (5, 0.5, 20, 0.8, 25, 0.7, 0, 0, 0, 0), (8, 0.0, 20, 0.0, 20, 0.8, 0, 0, 0, 1),
+    (3, 0.0, 0, 0.0, 15, 0.0, 0, 0, 0, 1), (3, 0.0, 1, 1.0, 16, 0.0, 0, 0, 0, 1), (5, 0.0, 0, 0.0, 40, 0.0, 0, 0, 0, 1),
+    (2, 0.0, 6, 0.9, 25, 0.0, 0, 0, 0, 1), (8, 0.0, 2, 1.0, 30, 0.0, 0, 0, 0, 1), (3, 0.0, 4, 1.0, 4, 1.0, 0, 0, 0, 0),
+    (60, 0.0, 20, 1.0, 20, 1.0, 0, 0, 0, 1), (35, 0.6, 10, 0.8, 10, 0.8, 0, 0, 0, 0), (35, 0.3, 10, 0.0, 10, 0.0, 0, 0, 0, 1),
     # text of a page without a marked article
     (50, 0.0, 12, 0.0, 60, 0.0, 0, 0, 0, 1), (25, 0.1, 40, 0.0, 30, 0.0, 0, 0, 0, 1), (90, 0.2, 3, 1.0, 20, 0.0, 0, 0, 0, 1),
     (16, 0.0, 1, 1.0, 45, 0.0, 0, 0, 0, 1), (6, 0.0, 45, 0.0, 60, 0.0, 0, 0, 0, 1), (3, 0.0, 30, 0.0, 80, 0.0, 0, 0, 0, 1),
@@ -98,10 +109,30 @@ def trained_tree(table=LABELLED) -> DecisionTree:
     return DecisionTree(t[:, :-1], t[:, -1])
 
 
+class Part:
+    """An open element that holds blocks: its name, what its mark and hint say, the words in it."""
+
+    def __init__(self, name: str, main: bool, side: bool, hinted: bool):
+        self.name, self.main, self.side, self.hinted, self.words = name, main, side, hinted, 0
+
+
+def part(name: str, rest: str, inside: bool) -> Part:
+    attrs = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(rest)}
+    hidden = "hidden" in rest.lower().split() or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
+    main = name in ("article", "main") or attrs.get("role") == "main" or bool(_MAIN.search(attrs.get("itemprop", "")))
+    hint = name not in ("body", "html") and not main and bool(_HINT.search(" ".join(attrs.get(k, "") for k in ("class", "id", "role"))))
+    return Part(name, main, hidden or (name in SIDE and not (name == "header" and inside)), hint)
+
+
 def blocks(html: str) -> list[tuple[str, int, int, bool, bool]]:
-    """Flat blocks in page order: text, words, linked words, inside the main part, inside a side part."""
-    out: list[tuple[str, int, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []
+    """Flat blocks in page order: text, words, linked words, inside the article's part, inside a side part.
+
+    A side hint (class, id, role) of a wrapper that holds MOST of the page's words says
+    nothing about them. Marked parts (article, main) are the article's if they hold at
+    least MARKED of the page's plain words; else they are something small beside it, a
+    teaser or a reader's comment, and count as side parts."""
+    found: list[tuple[str, int, int, tuple[Part, ...]]] = []
+    stack: list[Part] = []
     parts: list[str] = []
     linked: list[str] = []
     in_link = 0
@@ -110,8 +141,9 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool]]:
         text = " ".join(unescape("".join(parts)).split())
         if text:
             words = len(text.split(" "))
-            out.append((text, words, min(words, len(unescape(" ".join(linked)).split())),
-                        any(s[1] for s in stack), any(s[2] for s in stack)))
+            for p in stack:
+                p.words += words
+            found.append((text, words, min(words, len(unescape(" ".join(linked)).split())), tuple(stack)))
         parts.clear()
         linked.clear()
 
@@ -139,20 +171,19 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool]]:
             in_link = 0
             if name in HOLDERS:
                 if m[2]:
-                    k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+                    k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].name == name), None)
                     if k is not None:
                         del stack[k:]
                 else:
-                    attrs = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(m[4])}
-                    hint = " ".join(attrs.get(k, "") for k in ("class", "id", "role"))
-                    inside = any(s[1] for s in stack)
-                    hidden = "hidden" in m[4].lower().split() or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
-                    main = name in ("article", "main") or attrs.get("role") == "main" or bool(_MAIN.search(attrs.get("itemprop", "")))
-                    side = hidden or (name in SIDE and not (name == "header" and inside)) or (not main and bool(_HINT.search(hint)))
-                    stack.append((name, main, side))
+                    stack.append(part(name, m[4], any(p.main for p in stack)))
     put(html[at:])
     flush()
-    return out
+    total = sum(words for _, words, _, _ in found)
+    side = [any(p.side or (p.hinted and p.words < MOST * total) for p in within) for _, _, _, within in found]
+    main = [any(p.main for p in within) for _, _, _, within in found]
+    plain = [0 if out else words - links for (_, words, links, _), out in zip(found, side)]
+    trusted = sum(n for n, m in zip(plain, main) if m) >= MARKED * sum(plain)
+    return [(text, words, links, m and trusted, out or (m and not trusted)) for (text, words, links, _), m, out in zip(found, main, side)]
 
 
 def main_text(html: str | None, tree: DecisionTree) -> str:
@@ -170,7 +201,8 @@ def extract(pages: DataFrame) -> DataFrame:
     markup go, character references are decoded, white space inside a block
     becomes one space. A decision tree trained on LABELLED judges each block by
     its words and link density, those of its neighbours, and the part of the
-    page it stands in. Null, empty and text-free html gives an empty string.
+    page it stands in, as far as that part's share of the words bears it out
+    (``blocks``). On pages without a marked article words and links alone decide. Null, empty and text-free html gives an empty string.
     Repeated rows give a row each, an empty table none; other columns are not
     read. Broken markup (open tags, open comments) is read to its end."""
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
