@@ -179,6 +179,65 @@ def test_labelled_blocks_are_learned():
     assert all(tree.predict(r[:-1]) == r[-1] for r in rows)
 
 
+ARTICLE = "<h1>Title of it</h1>" + "".join(f"<p>Sentence number {i} of the article says something that is long enough to count.</p>" for i in range(6))
+ASIDE = "<div class='sidebar'><p>Some words beside the text here</p><ul><li><a href=x>one</a></li><li><a href=y>two</a></li></ul></div>"
+
+
+def test_marks_and_hints_count_only_as_far_as_words_bear_them_out():
+    tree = html.trained_tree()
+    want = html.main_text(f"<article>{ARTICLE}</article>", tree)
+    assert want.startswith("Title of it\n\nSentence number 0") and want.count("\n\n") == 6
+    for page in (f"<body class='single post has-sidebar'><article>{ARTICLE}</article>{ASIDE}</body>",
+                 f"<body class='home no-sidebar'><main>{ARTICLE}</main>{ASIDE}</body>",
+                 f"<body><div class='content with-sidebar'>{ARTICLE}</div>{ASIDE}</body>",
+                 f"<body><section class='article tag-news'><article>{ARTICLE}</article></section>{ASIDE}</body>",
+                 f"<nav><a href=a>Home</a></nav><div>{ARTICLE}</div><article><h2>Read next</h2><p>Another story in a few words</p></article>",
+                 f"<div>{ARTICLE}</div><div class=c><article><p>I liked this a lot, thanks!</p></article></div><footer>The end of it all</footer>",
+                 f"<article>{ARTICLE}</article><div class='comments'><p>A comment of a reader</p><p>and one more of them</p></div>"):
+        assert html.main_text(page, tree) == want, page
+
+
+def test_links_decide_on_pages_without_a_marked_article():
+    tree = html.trained_tree()
+    text = "words that nobody linked to and that go on for a while here"
+    links = "".join(f"<p><a href=/{i}>some linked words of a list that goes on</a></p>" for i in range(3))
+    page = f"<div>{links}<p>{text}</p><p>{text}</p>{links}</div>"
+    assert html.main_text(page, tree) == f"{text}\n\n{text}"
+    assert html.main_text(f"<div>{links}<p>a short line among links</p>{links}</div>", tree) == ""
+
+    def features(node):
+        return {html.FEATURES[node.split[0]]} | features(node.split[2]) | features(node.split[3]) if node.split else set()
+
+    assert {"words", "link_density", "density_before", "density_after"} <= features(tree)
+
+
+def block_by_block(page, tree):
+    """Brute force: each block of a flat page of <p> and <li> judged alone from its and its neighbours' texts."""
+    import re
+    found = re.findall(r"<(?:p|li)>(.*?)</(?:p|li)>", page)
+    shape = []
+    for t in found:
+        words = len(re.sub("<[^>]*>", "", t).split())
+        linked = sum(len(x.split()) for x in re.findall(r"<a[^>]*>(.*?)</a>", t))
+        shape.append((min(words, html.LONG), linked / words))
+    shape = [(0, 0.0), *shape, (0, 0.0)]
+    return "\n\n".join(re.sub("<[^>]*>", "", t) for k, t in enumerate(found, 1) if tree.predict((*shape[k], *shape[k - 1], *shape[k + 1], 0, 0, 0)))
+
+
+def test_flat_pages_equal_brute_force():
+    tree, rnd = html.trained_tree(), random.Random(4)
+    for _ in range(300):
+        page = ""
+        for _ in range(rnd.randint(1, 12)):
+            n = rnd.choice([1, 2, 5, 12, 30, 80])
+            words = [f"w{rnd.randint(0, 99)}" for _ in range(n)]
+            k = rnd.randint(0, n) if rnd.random() < 0.5 else 0
+            inner = (f"<a href='/x'>{' '.join(words[:k])}</a> " if k else "") + " ".join(words[k:])
+            tag = rnd.choice(["p", "li"])
+            page += f"<{tag}>{inner.strip()}</{tag}>"
+        assert html.main_text(page, tree) == block_by_block(page, tree), page
+
+
 def test_extract_rows_awkward_and_empty(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", ""), (3, "w", "<article><p>" + "long " * 200_000 + "</p></article>")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id bigint, url string, html string, text string")
