@@ -28,6 +28,18 @@ def fold(col: str, k: int) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % k
 
 
+def text_key(text: str | Column = "text") -> Column:
+    """Sets apart the texts of rows that share a doc_id (or have none)."""
+    return F.xxhash64(text)
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose (doc_id, text key) is in ``gone`` (doc_id, of): a
+    verdict goes with its row, also where ids are null or repeated with other texts."""
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("of").alias("_of")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & text_key().eqNullSafe(F.col("_of")), "left_anti")
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``chars`` characters (one row at least)."""
     for b in batches:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from guestflow.llm.common import text_slices
+from guestflow.llm.common import text_key, text_slices, without
 
 #: Words of benchmark text indexed and broadcast at once; a larger benchmark is
 #: scanned in several such blocks, one broadcast each.
@@ -87,7 +87,8 @@ _HITS = "hits array<struct<start:int,length:int>>, items array<string>"
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
-    """(doc_id, n_words, hits, items) of every row: where test windows occur in it.
+    """(doc_id, of, n_words, hits, items) of every row: where test windows occur in it
+    (``of`` is the key of its text).
 
     A window is n consecutive words of an item; an item of fewer words, but not
     none, is one window. Null and empty texts have no words and no hits; null
@@ -98,13 +99,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFra
     sc = docs.sparkSession.sparkContext
     kind = docs.schema["doc_id"].dataType.simpleString()
     empty = "cast(array() as array<struct<start:int,length:int>>) as hits", "cast(array() as array<string>) as items"
-    df = docs.selectExpr("doc_id", "text", *empty)
+    df = docs.select("doc_id", text_key().alias("of"), "text", *map(F.expr, empty))
     blocks = _blocks(benchmark, n)
     block = next(blocks)
     while block is not None:
         following = next(blocks, None)
         text = "text string, " if following is not None else ""
-        df = df.mapInArrow(_scan(sc.broadcast(block), bool(text)), f"doc_id {kind}, {text}{_HITS}, n_words bigint")
+        df = df.mapInArrow(_scan(sc.broadcast(block), bool(text)), f"doc_id {kind}, of bigint, {text}{_HITS}, n_words bigint")
         block, last = following, df
         df = df.drop("n_words")
     return last
@@ -122,7 +123,7 @@ def _scan(shared, keep_text: bool):
                     hits[r] = [*hits[r], *({"start": s, "length": k} for s, k in spans)]
                     items[r] = sorted({*items[r], *found})
                 counts.append(len(words))
-            out = {"doc_id": b.column("doc_id")} | ({"text": b.column("text")} if keep_text else {})
+            out = {"doc_id": b.column("doc_id"), "of": b.column("of")} | ({"text": b.column("text")} if keep_text else {})
             out |= {"hits": pa.array(hits, b.column("hits").type), "items": pa.array(items, b.column("items").type),
                     "n_words": pa.array(counts, pa.int64())}
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
@@ -146,11 +147,10 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20)
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "hits", "items")
+        ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "hits", "items", "of")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20) -> DataFrame:
-    """``docs`` without its contaminated documents; all others stay as they are."""
-    bad = report(docs, benchmark, n, share).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
-
+    """``docs`` without its contaminated documents; all others stay as they are. Null and
+    repeated ids are told apart by their texts."""
+    return without(docs, report(docs, benchmark, n, share).where("contaminated"))

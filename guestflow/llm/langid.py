@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from guestflow.llm.common import stored, text_slices
+from guestflow.llm.common import stored, text_key, text_slices, without
 
 ORDER = 4
 SPACE, START = 32, 2
@@ -239,8 +239,8 @@ def _entropy(kn: KneserNey, sym: np.ndarray, row: np.ndarray, rows: int) -> tupl
 
 
 def cross_entropies(docs: DataFrame, models: list[KneserNey]) -> DataFrame:
-    """(doc_id, lang, best, entropy, fresh, sure, symbols): the nearest language of every
-    whole text, its cross-entropy per symbol, for learning rows that of their own
+    """(doc_id, of, lang, best, entropy, fresh, sure, symbols): the nearest language of every
+    whole text (``of`` is its key), its cross-entropy per symbol, for learning rows that of their own
     language under the other half's model, and the posterior among the languages."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -266,12 +266,12 @@ def cross_entropies(docs: DataFrame, models: list[KneserNey]) -> DataFrame:
                     keep = mine[row]
                     fresh[mine] = _entropy(halves[h], sym[keep], row[keep], rows)[0][mine, own[mine]]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("lang"), pa.array([kn.langs[k] if ok else None for k, ok in zip(best, usable)], pa.string()),
+                [b.column("doc_id"), b.column("of"), b.column("lang"), pa.array([kn.langs[k] if ok else None for k, ok in zip(best, usable)], pa.string()),
                  pa.array(low), pa.array(fresh, from_pandas=True), pa.array(sure), pa.array(n)],
-                ["doc_id", "lang", "best", "entropy", "fresh", "sure", "symbols"])
+                ["doc_id", "of", "lang", "best", "entropy", "fresh", "sure", "symbols"])
 
-    return docs.select("doc_id", F.col("lang").cast("string").alias("lang"), learning().alias("learned"), half(), "text").mapInArrow(
-        run, f"doc_id {kind}, lang string, best string, entropy double, fresh double, sure double, symbols bigint")
+    return docs.select("doc_id", text_key().alias("of"), F.col("lang").cast("string").alias("lang"), learning().alias("learned"), half(), "text").mapInArrow(
+        run, f"doc_id {kind}, of bigint, lang string, best string, entropy double, fresh double, sure double, symbols bigint")
 
 
 def _terms(counts: DataFrame, langs: list[str]) -> tuple[DataFrame, list[float]]:
@@ -383,7 +383,7 @@ def cross_entropies_in_parts(docs: DataFrame, counts: DataFrame, langs: list[str
     broadcast one part (whole languages, or a hash range of one) at a time, and
     each text's sums added up."""
     spark = docs.sparkSession
-    docs = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("lang").cast("string").alias("lang"),
+    docs = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_key().alias("of"), F.col("lang").cast("string").alias("lang"),
                               learning().alias("learned"), half(), "text"), "rows")
     terms, floors = _terms(counts, langs)
     terms, room = stored(terms, "terms"), max(1, MAX_CELLS // 4)
@@ -420,13 +420,13 @@ def cross_entropies_in_parts(docs: DataFrame, counts: DataFrame, langs: list[str
     ok, reach = F.col("letters") > 0, F.least("symbols", F.lit(40))
     weight = F.aggregate("ces", F.lit(0.0), lambda acc, x: acc + F.exp((F.col("least.ce") - x) * reach))
     return docs.drop("text").join(best, "row").select(
-        "doc_id", "lang", F.when(ok, F.get(names, F.col("least.j"))).alias("best"), F.col("least.ce").alias("entropy"),
+        "doc_id", "of", "lang", F.when(ok, F.get(names, F.col("least.j"))).alias("best"), F.col("least.ce").alias("entropy"),
         ((F.col("symbols") * floor - F.col("f")) / F.greatest("symbols", F.lit(1))).alias("fresh"),
         F.when(ok, 1 / weight).otherwise(0.0).alias("sure"), "symbols")
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, rejected) of every row.
+def judged(docs: DataFrame) -> DataFrame:
+    """(doc_id, of, held_out, lang_pred, score, rejected) of every row; ``of`` is the key of its text.
 
     The language is the one with the lowest cross-entropy per symbol; ``und``
     with score 0 if the text is null or has no letter (or nothing can be
@@ -456,12 +456,17 @@ def identify(docs: DataFrame) -> DataFrame:
     scored = scored.join(F.broadcast(mean.join(limit, "best")), "best", "left")
     far = (F.col("entropy") - F.col("mean")) * reach > SLACK * F.greatest("limit", F.lit(0.5))
     return scored.select(
-        "doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False)).alias("held_out"),
+        "doc_id", "of", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False)).alias("held_out"),
         F.coalesce("best", F.lit("und")).alias("lang_pred"), F.col("sure").alias("score"),
         (F.col("best").isNull() | F.coalesce(far, F.lit(False))).alias("rejected"))
 
 
+def identify(docs: DataFrame) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, rejected) of every row (``judged``)."""
+    return judged(docs).drop("of")
+
+
 def identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents whose language is rejected."""
-    gone = identify(docs).where("rejected").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the documents whose language is rejected; null and repeated ids
+    are told apart by their texts."""
+    return without(docs, judged(docs).where("rejected"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from guestflow.llm.common import met, release, stored
+from guestflow.llm.common import met, release, stored, text_key
 from guestflow.llm.components import connected_components
 
 #: Edits that still link two lines, and the length from which lines link by edits.
@@ -15,15 +15,10 @@ LETTERS = "entahirosdlucgbwmf.,"
 MAP_BITS = 1 << 22
 
 
-def text_key(text: Column) -> Column:
-    """Sets apart the texts of rows that share a doc_id."""
-    return F.xxhash64(text)
-
-
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, of, line_no, line) of every line that is not blank, ``of`` being the key
     of its text; null doc_ids have none."""
-    return (docs.where("doc_id is not null").select("doc_id", text_key(F.col("text")).alias("of"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return (docs.where("doc_id is not null").select("doc_id", text_key().alias("of"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
             .where(F.trim("line") != ""))
 
 
@@ -210,7 +205,7 @@ def line_dedup(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHA
     gone = repeated_lines(docs, edits, min_chars).select(F.col("doc_id").alias("_d"), F.col("of").alias("_of"), "gone", F.col("first_docs").alias("_f"),
                                                          F.col("n_links").alias("_l"))
     out = docs.drop(*new, "gone", "_d", "_of", "_f", "_l")
-    out = out.join(gone, (F.col("doc_id") == F.col("_d")) & (text_key(F.col("text")) == F.col("_of")), "left")
+    out = out.join(gone, (F.col("doc_id") == F.col("_d")) & (text_key() == F.col("_of")), "left")
     whole = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     kept = F.when(F.size("gone") > 0, F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
                   ).otherwise(F.col("text"))

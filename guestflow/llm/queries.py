@@ -49,7 +49,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), n=13, share=20)
-    return d.drop("hits", "items")
+    return d.drop("hits", "items", "of")
 
 
 def op6_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:

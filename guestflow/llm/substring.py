@@ -9,7 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from guestflow.llm.common import text_slices
+from guestflow.llm.common import stored, text_key, text_slices
+from guestflow.llm.manifest import numbered
 
 #: Words of the prefix that groups suffixes, and bytes kept of a window's hash
 #: beside the 64-bit hash of its group's prefix.
@@ -248,18 +249,36 @@ def _subtree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out.select(["doc_id", "start", "n"])
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """(doc_id, place, text): ``place`` numbers the documents in their order.
+
+    It is the doc_id itself, unless some doc_id has several texts: then each of its
+    texts is a document of its own, by text key, and (doc_id, text key) pairs are
+    numbered in that order (range-partitioned, counts per partition added up)."""
+    rows = docs.select("doc_id", "text", text_key().alias("of"))
+    several = (rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("of").alias("low"), F.max("of").alias("high"))
+               .where("low <> high"))
+    if several.isEmpty():
+        return rows.select("doc_id", F.col("doc_id").alias("place"), "text")
+    pairs = rows.where("doc_id is not null").select(F.lit("").alias("tree"), "doc_id", "of").distinct()
+    order = stored(numbered(stored(pairs, "places"), ["doc_id", "of"], "places"), "places").select(
+        F.col("doc_id").alias("_id"), F.col("of").alias("_of"), F.col("pos").alias("place"))
+    return rows.join(order, (F.col("doc_id") == F.col("_id")) & (F.col("of") == F.col("_of")), "left").select("doc_id", "place", "text")
+
+
 def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) of every row.
 
     A word goes if a window of ``window`` words that covers it also starts
     earlier: in a smaller doc_id, or earlier in the same document. Windows are
-    judged on the input. Null and empty texts have no words. doc_id is the
-    place: rows that repeat a doc_id and its text are one document, none is
-    earlier than the other, and each gets the same result; so do rows with a
-    null doc_id, which keep all their words. An empty table gives no rows, and
-    other columns are not read."""
+    judged on the input. Null and empty texts have no words. Rows that repeat a
+    doc_id and its text are one document, none is earlier than the other, and each
+    gets the same result; rows that repeat a doc_id with another text are documents of
+    their own (``placed``). Rows with a null doc_id keep all their words. An empty
+    table gives no rows, and other columns are not read."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    gone = (repeated_windows(docs, window).groupBy("doc_id")
+    docs = placed(docs)
+    gone = (repeated_windows(docs.select(F.col("place").alias("doc_id"), "text"), window).withColumnRenamed("doc_id", "place").groupBy("place")
             .agg(F.collect_list(F.struct("start", "n")).alias("runs")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,6 +300,6 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
                 [b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
                  pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    return (docs.select("doc_id", "text").join(gone, "doc_id", "left")
+    return (docs.join(gone, "place", "left")
             .mapInArrow(run, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_text string"))
 
