@@ -127,3 +127,14 @@ def test_obfuscated_words_are_read_plain():
         assert toxicity.plain(t)[1] is True
     assert toxicity.plain("i.d.i.o.t")[0] == toxicity.plain("1d1ot")[0] == "idiot"
     assert toxicity.plain("###") == ("", False) and toxicity.plain("2024") == ("", False)
+
+
+def test_language_verdicts_go_by_rows(spark):
+    """A rejected text goes and a clean one with the same id, or without one, stays."""
+    from conftest import frame
+    from guestflow.llm.langid import identified
+    words = {"en": "the house and the garden are near the old river bank", "es": "la casa y el jardín están cerca del viejo río grande"}
+    rows = [(i, f"{words[k]} {words[k]} {i}", k) for i in range(40) for k in ("en", "es")]
+    rows += [(500, words["en"], "en"), (500, "12345 67890", "en"), (None, words["es"], None), (None, "???", None), (501, None, "en")]
+    kept = sorted((r.doc_id or -1, r.text) for r in identified(frame(spark, rows)).where("doc_id is null or doc_id >= 500").collect())
+    assert kept == [(-1, words["es"]), (500, words["en"])]

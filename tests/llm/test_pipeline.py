@@ -43,5 +43,5 @@ def test_pipeline_against_brute_force(spark):
 def test_queries_are_registered():
     import __spark_entry__ as E
     names = set(E.queries())
-    assert "pipeline" in names and {n.split("_")[0] for n in names if n[:2] == "op" and n[2].isdigit()} == {f"op{k}" for k in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in names if n[:2] == "op" and n[2].isdigit()} == {f"op{k}" for k in range(1, 14)}
     assert {"op4_substring_dedup", "op5_decontamination", "op7_line_dedup"} <= set(E.oracle_sql())

@@ -74,6 +74,30 @@ def test_substring_awkward_and_empty(spark, awkward, empty):
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in rows) == [(0, 0), (9, 0), (9, 0), (10, 40)]
 
 
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    """Runs of one text are never taken out of another; equal rows share a result."""
+    rnd = random.Random(5)
+    words = lambda k: " ".join(f"{k}{i}" for i in range(25))
+    rows = [(3, words("a")), (5, words("a") + " " + words("b")), (5, words("c")), (5, words("c")), (5, words("a") + " tail"), (8, words("c") + " " + words("d")),
+            (None, words("a")), (9, "short")]
+    rows += [(7, " ".join(rnd.choice([words("a"), words("b"), words("x")]) for _ in range(3))) for _ in range(6)]
+    got = sorted((r["doc_id"] or -1, r["kept_text"]) for r in substring.substring_dedup(frame(spark, rows)).collect())
+    import xxhash
+    key = lambda t: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64(t.encode(), seed=42).intdigest())
+    order = sorted({(d, key(t), t) for d, t in rows if d is not None})
+    kept = brute.substring_dedup({k: t for k, (_, _, t) in enumerate(order)})
+    by = {(d, t): kept[k][2] for k, (d, _, t) in enumerate(order)}
+    assert got == sorted((d or -1, by[d, t] if d is not None else t) for d, t in rows)
+
+
+def test_decontamination_goes_by_rows(spark):
+    """Contaminated rows go and clean ones stay, whatever their ids."""
+    bench = spark.createDataFrame([("i", "one two three")], "item_id string, text string")
+    rows = [(1, "one two three"), (1, "a clean text"), (None, "one two three four"), (None, "clean too"), (2, None), (None, None), (3, "x one two three")]
+    got = decontaminate.decontaminated(frame(spark, rows), bench)
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == [(0, ""), (0, "clean too"), (1, "a clean text"), (2, "")]
+
+
 def items(rnd, docs):
     out = []
     for i in range(30):
