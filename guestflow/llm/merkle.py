@@ -4,14 +4,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from guestflow.llm.common import stored
+from guestflow.llm.common import slots, stored
 
 #: Words of a span (the leaves below a paragraph), the first words of the shorter
 #: spans that open a paragraph, and the share of paragraphs whose content ends a
 #: section (one in SECTION).
 SPAN, OPENING, SECTION = 16, (1, 2, 5, 9), 4
-#: Ids per bucket and buckets per group when neighbours are found.
-BUCKET, GROUP = 1024, 4096
+#: Ids per bucket when neighbours are found: two to the power of this.
+BUCKET_BITS = 10
 
 
 def fingerprint(text: Column) -> Column:
@@ -90,14 +90,14 @@ def bucket_heads(ids: DataFrame) -> DataFrame:
     ids (after the highest the lowest): there it is the next document of the
     smallest id.
 
-    Order is found inside groups of buckets, then between groups, so no window
-    holds more than GROUP buckets, or one row per group."""
-    heads = (ids.groupBy(F.floor(F.col("k") / BUCKET).alias("b")).agg(F.max("k").alias("k"))
-             .withColumn("g", F.floor(F.col("b") / GROUP)))
-    groups = heads.groupBy("g").agg(F.min("b").alias("low"))
-    groups = groups.select("g", F.coalesce(F.lead("low").over(Window.orderBy("g")), F.min("low").over(Window.partitionBy())).alias("after_g"))
-    return (heads.withColumn("after", F.lead("b").over(Window.partitionBy("g").orderBy("b")))
-            .join(groups, "g").select("k", F.coalesce("after", "after_g").alias("to")))
+    Buckets are range-partitioned, so their order is found per partition; only one
+    row per partition meets in one place, however far the ids lie apart."""
+    heads = ids.groupBy(F.shiftright("k", BUCKET_BITS).alias("b")).agg(F.max("k").alias("k"))
+    heads = stored(heads.repartitionByRange(slots(ids), "b").sortWithinPartitions("b").withColumn("part", F.spark_partition_id()), "buckets")
+    lows = heads.groupBy("part").agg(F.min("b").alias("low"))
+    lows = lows.select("part", F.coalesce(F.lead("low").over(Window.orderBy("part")), F.min("low").over(Window.partitionBy())).alias("after_part"))
+    return (heads.withColumn("after", F.lead("b").over(Window.partitionBy("part").orderBy("b")))
+            .join(F.broadcast(lows), "part").select("k", F.coalesce("after", "after_part").alias("to")))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -111,13 +111,13 @@ def with_next(docs: DataFrame) -> DataFrame:
     single document is its own next; an empty table gives no rows.
 
     Texts move once, to their bucket of ids; the head of a bucket is also copied
-    to the next higher one. The table of heads (one id in BUCKET) is joined as
+    to the next higher one. The table of heads (one id per bucket) is joined as
     its stored size suggests to Spark."""
     base = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 62))).alias("k"),
                        F.coalesce("text", F.lit("")).alias("text"))
     heads = stored(bucket_heads(base.select("k")), "heads")
-    b = F.floor(F.col("k") / BUCKET)
-    places = F.array(F.struct(b.alias("b"), (F.col("k") - b * BUCKET).alias("place")),
+    b = F.shiftright("k", BUCKET_BITS)  # whole numbers throughout: a quotient of large ids would be rounded
+    places = F.array(F.struct(b.alias("b"), (F.col("k") - F.shiftleft(b, BUCKET_BITS)).alias("place")),
                      F.when(F.col("to").isNotNull(), F.struct(F.col("to").alias("b"), F.lit(-1).cast("bigint").alias("place"))))
     dealt = (base.join(heads, "k", "left").withColumn("fingerprint", fingerprint(F.col("text")))
              .select("doc_id", "text", "fingerprint", F.explode(F.filter(places, lambda p: p.isNotNull())).alias("p"))
