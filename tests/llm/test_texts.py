@@ -127,6 +127,17 @@ def test_fingerprints_of_documents_and_edits(spark):
         assert len(set(seen.values())) == len(seen)
 
 
+def test_next_documents_of_sparse_ids(spark):
+    """Hashed 63-bit ids: nearly every id is alone in its bucket."""
+    rnd = random.Random(9)
+    ids = sorted({rnd.getrandbits(63) - (1 << 62) for _ in range(500)} | {7, 8, 9, 1030})
+    df = merkle.with_next(frame(spark, [(d, f"text of {d}") for d in ids]))
+    got = {r["doc_id"]: (r["fingerprint"], r["next_fingerprint"]) for r in df.collect()}
+    assert len(got) == len(ids) and all(got[d][1] == got[ids[k - 1]][0] for k, d in enumerate(ids))
+    plan = merkle.bucket_heads(df.select(F.col("doc_id").alias("k")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SinglePartition") <= 2  # one row per range partition, not per bucket
+
+
 def test_fingerprint_tree_locates_edits(spark):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     paras = [f"paragraph number {i} with some words in it" for i in range(60)]
