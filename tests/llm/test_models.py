@@ -121,6 +121,42 @@ def test_classifiers_awkward_and_empty(spark, awkward, empty, run, col):
     assert {(r["score"], r["predicted"]) for r in none} == {(0.0, 0)}
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    """All good rows lie where a hash sample of 20,000 rows used to leave them out."""
+    mark = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) / (1 << 20)
+    text = F.when(F.col("good"), F.lit("Plain sentences follow here. They end as they should, one by one. ")).otherwise(F.lit("BUY!!! || now $$$ "))
+    docs = (spark.range(30_000).select(F.col("id").alias("doc_id"), (mark > 0.97).alias("good"))
+            .select("doc_id", "good", F.repeat(text, (F.col("doc_id") % 4 + 1).cast("int")).alias("text")))
+    labels = docs.select("doc_id", F.col("good").cast("int").alias("quality"))
+    got = quality.quality(docs, labels).join(labels, "doc_id").groupBy("quality", "predicted").count().collect()
+    assert {(r["quality"], r["predicted"]) for r in got} == {(0, 0), (1, 1)}
+
+
+def test_quality_threshold_is_the_exact_quantile_of_all_rows(spark):
+    x = np.random.default_rng(3).normal(size=(5000, len(quality.BASE)))
+    x[:2000, 0] = 0.0  # repeated values
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "doc_id bigint, x array<double>")
+    for n_bad in (1, 700, 2500, 4999):
+        ranker = quality.Ranker(np.zeros(len(quality.BASE)), np.ones(len(quality.BASE)), np.zeros((1, len(quality.BASE))))
+        ranker.w[0] = 1.0
+        quality._threshold(ranker, rows, n_bad, len(x))
+        s = ranker.strength(x)
+        assert math.isclose(ranker.cut, np.quantile(s, n_bad / len(x)), abs_tol=1e-12) and math.isclose(ranker.spread, s.std(), rel_tol=1e-6)
+
+
+def test_quality_blocks_hold_every_row(spark, monkeypatch):
+    """Blocks of a rare class: each row of the other class once, each block with both."""
+    monkeypatch.setattr(quality, "BLOCK", 50)
+    monkeypatch.setattr(quality, "MATES", 8)
+    x = lambda i: [float(i)] * len(quality.BASE)
+    for good in (3, 40, 500):
+        rows = spark.createDataFrame([(i, int(i < good), x(i)) for i in range(1000)], "doc_id bigint, y int, x array<double>")
+        blocks = quality._blocks(rows, 1000 - good, good).collect()
+        ids = lambda c: [int(v) for r in blocks for v in np.frombuffer(r[c]).reshape(-1, len(quality.BASE))[:, 0]]
+        assert len(blocks) == 20 and all(r["good"] and r["bad"] for r in blocks)
+        assert set(ids("good")) == set(range(good)) and sorted(ids("bad")) == list(range(good, 1000))
+
+
 def test_obfuscated_words_are_read_plain():
     assert toxicity.plain("Idiot!!!") == ("idiot", False)
     for t in ("1d1ot", "i.d.i.o.t", "idiiiiot", "!d!ot's"):
