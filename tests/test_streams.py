@@ -55,6 +55,27 @@ def test_a_delay_lets_stale_rows_in(spark):
     assert [x[:2] for x in sent(spark, base)] == [("a", 1), ("a", 2), ("b", 1), ("b", 2)]
 
 
+def test_alert_state_is_read_by_groups(spark):
+    """Many escalations in few groups: alerts as one by one, over several batches, with a state row and a timer per group."""
+    base = scratch_path(spark, "alerts-test")
+    n = 300
+    answered = lambda i: (None, 20, 40)[i % 3]  # minutes: never, in time, late
+    due = lambda i: t(10, 30) + dt.timedelta(minutes=i % 200)
+    parts = [[(f"e{i}", A.OPENED, t(10), due(i), t(10)) for i in range(n)] + [(f"e{i}", A.OPENED, t(10, 1), due(i), t(10)) for i in range(0, n, 7)],
+             [(f"e{i}", A.RESPONDED, due(i) + dt.timedelta(minutes=answered(i) - 30), None, t(10, 20)) for i in range(n) if answered(i)] + [("", A.CLOCK, None, None, t(11, 30))],
+             [("", A.CLOCK, None, None, t(20))], [("", A.CLOCK, None, None, t(20, day=9))]]
+    states = []
+    for rows in parts:
+        spark.createDataFrame(rows, A.EVENT_SCHEMA).coalesce(1).write.mode("append").json(f"{base}/in")
+        q = A.run_to_end(A.deadline_alerts(spark.readStream.schema(A.EVENT_SCHEMA).json(f"{base}/in"), keep_days=2, buckets=3), f"{base}/out", f"{base}/ckpt", 2,
+                         {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"})
+        states.append([op["customMetrics"].get("numRegisteredTimers", 0) for p in q.recentProgress for op in p["stateOperators"]])
+    want = [(f"e{i}", 1, "on_call_manager", t(10)) for i in range(n)]
+    want += [(f"e{i}", 2, "senior_manager", due(i)) for i in range(n) if answered(i) != 20]
+    assert sent(spark, base) == sorted(want)
+    assert max(map(max, states)) <= 3 and sum(states[0]) > 0
+
+
 def test_replayed_alerts_equal_the_batch(spark):
     esc = DOM.escalations(spark, SF001)
     base = scratch_path(spark, "alerts-test")
