@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -130,7 +131,8 @@ def store_flow(spark: SparkSession, sf_dir: str, path: str, tables: Iterable[str
 
 
 class one_writer_per_branch:
-    """Inside, a task keeps one open file per branch instead of sorting its rows by branch."""
+    """Inside, a task keeps one open file per branch (or of rows set aside or not) instead of
+    sorting its rows by it."""
 
     KEY = "spark.sql.maxConcurrentOutputFileWriters"
 
@@ -181,16 +183,32 @@ def load_table(df: DataFrame, name: str, path: str, as_of: str = DOM.AS_OF) -> t
     return {k: int(v) for k, v in seen.get.items()}, rows.schema
 
 
+def _load_each(tables: dict[str, DataFrame], path: str, as_of: str) -> dict[str, tuple[dict[str, int], T.StructType]]:
+    """The writes do not wait for each other: a small table's few tasks run beside a large one's."""
+    spark = next(iter(tables.values())).sparkSession
+    with one_writer_per_branch(spark), ThreadPoolExecutor(len(tables)) as pool:
+        done = {name: pool.submit(load_table, df, name, path, as_of) for name, df in tables.items()}
+        return {name: d.result() for name, d in done.items()}
+
+
+def _loaded(spark: SparkSession, path: str, as_of: str, done: dict[str, tuple[dict[str, int], T.StructType]]) -> LoadedTables:
+    _write_manifest(spark, path, {"as_of": as_of, "counts": {n: c for n, (c, _) in done.items()}, "schemas": {n: s.jsonValue() for n, (_, s) in done.items()}})
+    return LoadedTables(spark, path)
+
+
 def load_tables(tables: dict[str, DataFrame], path: str, as_of: str = DOM.AS_OF) -> LoadedTables:
     """Write the eight domain tables, typed, under ``path``, with the observed counts in
     the manifest (``CON.counts_report`` turns them into the reports)."""
     spark = next(iter(tables.values())).sparkSession
-    done = {name: load_table(df, name, path, as_of) for name, df in tables.items()}
-    _write_manifest(spark, path, {"as_of": as_of, "counts": {n: c for n, (c, _) in done.items()}, "schemas": {n: s.jsonValue() for n, (_, s) in done.items()}})
-    return LoadedTables(spark, path)
+    return _loaded(spark, path, as_of, _load_each(tables, path, as_of))
 
 
 def load_domain(spark: SparkSession, sf_dir: str, path: str, as_of: str = DOM.AS_OF) -> LoadedTables:
-    """The eight tables of a data set: the flow runs once, and goes when they are written."""
-    with store_flow(spark, sf_dir, path + "/flow") as flow:
-        return load_tables(flow.tables(sf_dir), path, as_of)
+    """The eight tables of a data set: the flow runs once, beside the loads of the four
+    tables that do not come from it, and goes when its own are written."""
+    with one_writer_per_branch(spark), ThreadPoolExecutor(1) as pool:
+        sources = DOM.source_tables(spark, sf_dir)
+        beside = pool.submit(_load_each, sources, path, as_of)
+        with store_flow(spark, sf_dir, path + "/flow") as flow:
+            made = _load_each({n: df for n, df in flow.tables(sf_dir).items() if n not in sources}, path, as_of)
+        return _loaded(spark, path, as_of, {**beside.result(), **made})

@@ -7,6 +7,8 @@ is set aside (quarantined) with everything it brought; no bad value fails a job
 or turns into a silent null."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,7 +98,12 @@ def enforce(df: DataFrame, table: str, defaults: dict[str, Column] | None = None
         if not f.nullable and f.name not in defaults:
             missing.append(F.when(absent, F.lit(f.name)))
     rescued += [F.when(F.col(c).isNotNull(), entry(c)) for c in have if c not in schema.fieldNames()]
-    some = lambda items, kind: F.filter(F.array(*items), lambda x: x.isNotNull()) if items else F.array().cast(kind)
+    def some(items, kind):
+        """Those that are not null; rows without any, nearly all, build no array of them."""
+        none = F.array().cast(kind)
+        given = F.concat(*[F.when(x.isNotNull(), F.array(x)).otherwise(none) for x in items], none)
+        return F.when(reduce(Column.__or__, [x.isNotNull() for x in items]), given).otherwise(none) if items else none
+
     lacking = some(missing, "array<string>")
     return df.select(*columns, F.map_from_entries(some(rescued, "array<struct<key:string,value:string>>")).alias(RESCUED),
                      lacking.alias(MISSING), (unfit | (F.size(lacking) > 0)).alias(QUARANTINED))

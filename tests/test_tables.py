@@ -174,3 +174,45 @@ def test_reviewer_blocks_a_guest_and_an_escalation_a_message(spark):
     assert out == {("messages", "m1"): ("deleted", ""), ("ai_message_metadata", "x1"): ("deleted", ""), ("guests", "2"): ("deleted", ""),
                    ("guest_channel_identities", "i3"): ("deleted", ""), ("messages", "m2"): ("blocked", "escalations.message_id"),
                    ("ai_message_metadata", "x2"): ("spared", "")}
+
+
+def test_loads_do_not_wait_for_each_other(spark, monkeypatch):
+    """Every write begins before any is done, those beside the flow included."""
+    import threading
+    from guestflow.plans import store
+    from guestflow.sources.sinks import scratch_path
+    whole, together, begun = store.load_table, threading.Barrier(4, timeout=60), []
+
+    def load(df, name, *rest):
+        begun.append(name)
+        assert spark.conf.get(store.one_writer_per_branch.KEY) == "4"  # no sort by the rows' fate
+        together.wait()
+        return whole(df, name, *rest)
+
+    monkeypatch.setattr(store, "load_table", load)
+    before = spark.conf.get(store.one_writer_per_branch.KEY, None)
+    loaded = store.load_domain(spark, SF001, scratch_path(spark, "side-by-side"))
+    assert sorted(begun) == sorted(typed.SCHEMAS) and list(loaded.counts) == list(loaded.rows())
+    assert spark.conf.get(store.one_writer_per_branch.KEY, None) == before
+    assert {n: df.count() for n, df in loaded.rows().items()} == {n: c["rows"] for n, c in loaded.counts.items()}
+
+
+def test_rows_that_fit_build_no_array_of_faults(spark):
+    rows = [("r1", "BK-1", "7", "v", "direct", "2024-01-01", "2024-01-03", "2", None, "more"), ("r2", None, "x", "v", None, "soon", "2024-01-03", "2", "5", None)]
+    df = spark.createDataFrame(rows, "id string, booking_ref string, guest_id string, property_id string, channel string, check_in_date string, "
+                                     "check_out_date string, num_guests string, total_amount_inr string, extra string")
+    enforced = typed.enforce(df, "reservations")
+    assert "lambda" not in enforced._jdf.queryExecution().analyzed().toString()
+    got = {r["id"]: r for r in enforced.collect()}
+    assert got["r1"]["_rescued"] == {"extra": "more"} and got["r1"]["_missing"] == ["status"] and got["r1"]["_quarantined"]
+    assert got["r2"]["_rescued"] == {"guest_id": "x", "check_in_date": "soon"} and got["r2"]["_missing"] == ["booking_ref", "channel", "status"]
+    fits = typed.enforce(df.where("id = 'r1'").drop("extra").withColumn("status", F.lit("confirmed")), "reservations").first()
+    assert fits["_rescued"] == {} and fits["_missing"] == [] and not fits["_quarantined"]
+
+
+def test_bodies_are_told_apart_as_by_their_schema(spark):
+    from guestflow.operators.validate import MSG_NOT_JSON, MSG_NOT_OBJECT, typed_fields
+    bodies = {'{"source":"direct"}': "JSON", '{"message":null}': "JSON", "{}": "JSON", '{"other":{"source":1}}': "JSON", "[1]": MSG_NOT_OBJECT,
+              '[{"source":"direct"}]': MSG_NOT_OBJECT, '"source"': MSG_NOT_OBJECT, "null": MSG_NOT_OBJECT, "{oops": MSG_NOT_JSON}
+    df = spark.createDataFrame([(b,) for b in bodies], "raw string")
+    assert {r["raw"]: r["_body"] for r in typed_fields(df, "raw").collect()} == bodies
