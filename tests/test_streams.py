@@ -5,9 +5,11 @@ import json
 from conftest import SF001
 from guestflow.operators.reports import rate_counts
 from guestflow.plans import domain as DOM
+from guestflow.plans import registry as REG
 from guestflow.sources import fixtures
 from guestflow.sources.sinks import scratch_path
 from guestflow.streaming import alerts as A
+from guestflow.streaming import stream as S
 from guestflow.streaming.stream import batch_counts, replay_rate_counts, run_rate_counts, stream_process, write_deliveries
 from pyspark.sql import functions as F
 
@@ -85,6 +87,30 @@ def test_replayed_alerts_equal_the_batch(spark):
     assert [x[:2] for x in sent(spark, base)] == sorted(want)
 
 
+def test_replays_deal_the_rows_of_one_row_group(spark, tmp_path, monkeypatch):
+    """The log is made in all task slots, however few row groups the file has, and the session's setting is left alone."""
+    n = 3000
+    (spark.range(0, n, 1, 1).selectExpr("id AS event_id", "timestampadd(MINUTE, CAST(id AS INT), timestamp_ntz'2024-01-01 00:00:00') AS ts", "id % 40 AS user_id",
+                                        "'click' AS event_type", "CAST(id % 1500 AS DOUBLE) AS value", "'{}' AS props").write.parquet(f"{tmp_path}/events.parquet"))
+    spread = []
+
+    def counted(replay):
+        def run(log, *args, **kw):
+            spread.append([r["count"] for r in log.groupBy(F.spark_partition_id()).count().collect()])
+            return replay(log, *args, **kw)
+        return run
+
+    for module, name in ((A, "replay_alerts"), (S, "replay_rate_counts")):
+        monkeypatch.setattr(module, name, counted(getattr(module, name)))
+    breaches = REG.stream_sla_timer(spark, str(tmp_path)).collect()
+    assert REG.stream_sla_alerts(spark, str(tmp_path)).count() > len(breaches)
+    assert REG.stream_rate_limit(spark, str(tmp_path)).count() > 0
+    esc = DOM.escalations(spark, str(tmp_path)).where("first_response_at IS NULL OR first_response_at > sla_deadline")
+    assert sorted(map(tuple, breaches)) == sorted(map(tuple, esc.select("id", "sla_deadline").collect())) and breaches
+    assert all(len(rows) >= spark.sparkContext.defaultParallelism and max(rows) < sum(rows) / 3 for rows in spread) and len(spread) == 3
+    assert spark.conf.get(fixtures.INPUT_PARTITIONS, None) is None
+
+
 def test_rate_counts_stream_equals_batch(spark):
     m = DOM.messages(spark, SF001).filter(F.col("direction") == "inbound").withColumnRenamed("id", "message_id")
     base = scratch_path(spark, "rate-test")
